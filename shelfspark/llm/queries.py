@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import byte_bpe, token_counts
-from shelfspark.llm.common import table
+from shelfspark.llm import byte_bpe, fingerprints, packing, token_counts, token_shards
+from shelfspark.llm.common import scratch, stored, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,23 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edited = fingerprints.edited_texts(table(spark, sf_dir, "documents"))
+    edited = edited.withColumns({"n_chars": F.length("text").cast("long"), "edited_sha256": F.sha2("edited", 256)})
+    marked = stored(fingerprints.fingerprint(edited, "key", ("text", "edited"), keep=("next_key", "n_chars", "edited_sha256")))
+    following = marked.groupBy(F.col("key").alias("next_key")).agg(F.min("text_fingerprint").alias("next_fingerprint"))
+    like = lambda a, b: F.when(F.col(a) == F.col(b), 1.0).otherwise(0.0)
+    return marked.join(following, "next_key").select(
+        F.when(F.col("key") != fingerprints.NULL_KEY, F.col("key")).alias("doc_id"),
+        "n_chars",
+        "edited_sha256",
+        F.col("text_fingerprint").alias("fingerprint"),
+        F.col("edited_fingerprint").alias("edited_fingerprint"),
+        like("text_fingerprint", "edited_fingerprint").alias("near_edited"),
+        like("text_fingerprint", "next_fingerprint").alias("near_next"),
+    )
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     ids = byte_bpe.encode(table(spark, sf_dir, "documents"), path, pattern)
@@ -24,9 +41,22 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", byte_bpe.id_count(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch(spark)
+    token_shards.write_shards(table(spark, sf_dir, "documents"), out, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_shards.read_shards(spark, out)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op3_fingerprints": op3_fingerprints,
     "op6_byte_bpe": op6_byte_bpe,
+    "op9_token_shards": op9_token_shards,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {}
