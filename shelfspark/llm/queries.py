@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import byte_bpe, fingerprints, packing, token_counts, token_shards
+from shelfspark.llm import byte_bpe, fingerprints, near_dedup, packing, token_counts, token_shards
 from shelfspark.llm.common import scratch, stored, table
 
 
@@ -34,6 +34,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     ids = byte_bpe.encode(table(spark, sf_dir, "documents"), path, pattern)
@@ -54,6 +58,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_fingerprints": op3_fingerprints,
+    "op4_near_duplicates": op4_near_duplicates,
     "op6_byte_bpe": op6_byte_bpe,
     "op9_token_shards": op9_token_shards,
     "op10_packing": op10_packing,
