@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import byte_bpe, fingerprints, near_dedup, packing, token_counts, token_shards
+from shelfspark.llm import byte_bpe, fingerprints, near_dedup, packing, token_counts, token_shards, toxicity
 from shelfspark.llm.common import scratch, stored, table
 
 
@@ -17,6 +17,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    scored = toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (~toxicity.learnable("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "rejected")
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = fingerprints.edited_texts(table(spark, sf_dir, "documents"))
     edited = edited.withColumns({"n_chars": F.length("text").cast("long"), "edited_sha256": F.sha2("edited", 256)})
@@ -57,6 +63,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_toxicity": op2_toxicity,
     "op3_fingerprints": op3_fingerprints,
     "op4_near_duplicates": op4_near_duplicates,
     "op6_byte_bpe": op6_byte_bpe,
