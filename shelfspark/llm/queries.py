@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import byte_bpe, fingerprints, near_dedup, packing, token_counts, token_shards, toxicity
+from shelfspark.llm import byte_bpe, fingerprints, line_dedup, near_dedup, packing, preferences, token_counts, token_shards, toxicity
 from shelfspark.llm.common import scratch, stored, table
 
 
@@ -51,6 +51,15 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", byte_bpe.id_count(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", line_dedup.host_of(F.col("url")).alias("host"), line_dedup.html_text(F.col("html")).alias("text"))
+    return line_dedup.drop_boilerplate(pages, "host", "text").select("page_id", "host", "n_lines", "n_dropped", "text")
+
+
+def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences.format_preferences(preferences.swapped(preferences.conversations(table(spark, sf_dir, "conversations"))))
+
+
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark)
     token_shards.write_shards(table(spark, sf_dir, "documents"), out, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -67,8 +76,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
     "op4_near_duplicates": op4_near_duplicates,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_preferences": op8_preferences,
     "op9_token_shards": op9_token_shards,
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_line_dedup": line_dedup.pages_sql(),
+    "op8_preferences": preferences.swapped_sql(),
+}
