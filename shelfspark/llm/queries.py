@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import byte_bpe, fingerprints, line_dedup, near_dedup, packing, preferences, token_counts, token_shards, toxicity
+from shelfspark.llm import audio, byte_bpe, fingerprints, line_dedup, near_dedup, packing, preferences, token_counts, token_shards, toxicity
 from shelfspark.llm.common import scratch, stored, table
 
 
@@ -44,6 +44,17 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings made of the vectors: a note for each number. A vector with the label of the first of its
+    fifty ids quotes half of that one's recording at its end. Each fiftieth recording is searched in all."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("notes"))
+    first = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("block"), F.col("label").alias("block_label"), F.slice("notes", 17, 32).alias("quote"))
+    joined = vectors.join(first, (F.col("vec_id") - F.pmod("vec_id", F.lit(50))) == F.col("block"), "left")
+    quotes = F.when((F.col("label") == F.col("block_label")) & (F.col("vec_id") != F.col("block")), F.col("quote")).otherwise(F.array().cast("array<double>"))
+    prints = audio.fingerprint(joined.select("vec_id", F.concat("notes", quotes).alias("recording")), "vec_id", "recording", decode=audio.melody)
+    return audio.search(prints, "vec_id % 50 = 0", "vec_id")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     ids = byte_bpe.encode(table(spark, sf_dir, "documents"), path, pattern)
@@ -75,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_fingerprints": op3_fingerprints,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_audio_fingerprints": op5_audio_fingerprints,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_line_dedup": op7_line_dedup,
     "op8_preferences": op8_preferences,
