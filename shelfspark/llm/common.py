@@ -65,6 +65,26 @@ def space_segments(text: str) -> list[str] | None:
     return None if not text or _ODD_SPACE.search(text) else text.split(" ")
 
 
+#: Anything but Latin letters, digits, plain punctuation and white space on which engines agree.
+_NOT_LATIN = re.compile("[^\t-\r -~\xa0-\u012f\u0132-\u017f]")
+_TOUCHING = re.compile(r"[^\w\s]{2}|_")
+_LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\u012f\u0132-\u017f]+")
+
+
 def word_segments(text: str) -> list[str] | None:
-    """The parts between white space, for tokenizers that drop white space; None if engines differ on it."""
-    return None if _ODD_CONTROL.search(text) else text.split()
+    """Parts of a text that a lower-casing tokenizer without white space can encode by themselves.
+
+    Latin texts are put in lower case, and full stops and commas that touch no other sign stand alone, so
+    that fewer parts differ. None if the text holds a control character on which engines differ.
+    """
+    if _NOT_LATIN.search(text):
+        return None if _ODD_CONTROL.search(text) else text.split()
+    text = text.lower()
+    if not _TOUCHING.search(text):
+        text = text.replace(".", " . ").replace(",", " , ")
+    return text.split()
+
+
+def plain_word(part: str) -> bool:
+    """Whether a part is one run of lower-case Latin letters, which every normaliser leaves as it is."""
+    return _LETTERS.fullmatch(part) is not None and part.lower() == part

@@ -7,7 +7,8 @@ from functools import lru_cache
 
 import numpy as np
 
-from shelfspark.llm.common import MEMO_ENTRIES, word_segments
+from shelfspark.llm.common import MEMO_ENTRIES, plain_word, word_segments
+from shelfspark.llm.token_counts import byte_alphabet
 
 
 class WordIds:
@@ -20,10 +21,17 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.memo: dict[str, bytes] = {}
+        self.spell = dict(enumerate(byte_alphabet()))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _part_ids(self, parts: list[str]) -> list[bytes]:
+        """Runs of letters go to the library's model at once; the rest through its normaliser and splits."""
+        merge, spell = self.library.model.tokenize, self.spell
+        other = iter(self._ids([p for p in parts if not plain_word(p)]))
+        return [np.array([t.id for t in merge(p.encode().decode("latin-1").translate(spell))], "<u4").tobytes() if plain_word(p) else next(other) for p in parts]
+
     def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
         """Ids of each text, then ``end``, as little-endian unsigned 32-bit integers."""
         cut = [word_segments(t) for t in texts]
@@ -31,7 +39,7 @@ class WordIds:
         if len(self.memo) > MEMO_ENTRIES:
             self.memo.clear()
         new = [w for w in set().union(*[s for s in cut if s]) if w not in self.memo]
-        self.memo.update(zip(new, self._ids(new), strict=True))
+        self.memo.update(zip(new, self._part_ids(new), strict=True))
         get = self.memo.__getitem__
         return [(next(whole) if s is None else b"".join(map(get, s))) + end for s in cut]
 
