@@ -21,6 +21,26 @@ DOUBLES: dict[str, str] = {
     "d18_action_suppliers": "on_time_delivery_rate average_delay_days lead_time_variability received_vs_ordered_fill_rate supplier_service_risk_proxy downstream_lost_sales_revenue downstream_stockout_rate",
     "d19_action_segments": "avg_governance_priority_score total_lost_sales_revenue total_avg_inventory_value service_risk_driver_share excess_inventory_driver_share supplier_risk_driver_share",
     "d20_headline_facts": "top_20_value_share dual_failure_lost_sales",
+    "db01_daily_proxies": "lost_sales_revenue inventory_value days_of_supply excess_inventory_proxy slow_moving_proxy trapped_wc_proxy lost_sales_margin_proxy",
+    "db02_monthly_sku_fact": "lost_sales_revenue inventory_value excess_inventory_proxy slow_moving_proxy trapped_wc_proxy lost_sales_margin_proxy avg_days_of_supply",
+    "db03_sku_risk_extract": "service_risk_score stockout_risk_score excess_inventory_score supplier_risk_score working_capital_risk_score governance_priority_score",
+    "db04_official_snapshot": "overall_fill_rate overall_stockout_rate total_lost_sales_revenue trapped_working_capital_proxy_observed opportunity_total_12m_proxy",
+    "db08_fact_slice": "lost_sales_revenue inventory_value excess_inventory_proxy slow_moving_proxy trapped_wc_proxy lost_sales_margin_proxy avg_days_of_supply",
+    "db09_slice_totals": "lost_sales inventory excess trapped trapped_scenario slow lost_margin fill_rate stockout_rate scenario_opportunity_12m",
+    "db10_slice_by_month": "lost_sales inventory fill_rate stockout_rate",
+    "db11_slice_by_warehouse": "lost_sales inventory avg_dos fill_rate stockout_rate",
+    "db12_slice_by_category": "lost_sales inventory excess trapped avg_dos fill_rate stockout_rate",
+    "db13_slice_by_region": "lost_sales inventory fill_rate stockout_rate",
+    "db14_slice_by_supplier": "lost_sales inventory fill_rate stockout_rate on_time_delivery_rate average_delay_days lead_time_variability supplier_service_risk_proxy",
+    "db15_slice_by_segment": "lost_sales inventory avg_dos fill_rate stockout_rate",
+    "db16_slice_by_sku": "lost_sales inventory excess trapped avg_dos fill_rate stockout_rate stockout_persistence service_risk_score stockout_risk_score excess_inventory_score supplier_risk_score working_capital_risk_score governance_priority_score",
+    "db17_weighted_supplier_otd": "weighted_supplier_otd",
+    "db18_posture": "balanced_share",
+    "db20_kpi_tiles": "value",
+    "db21_top_supplier_heatmap": "otd_gap avg_delay_norm lt_variability_norm risk_proxy_norm",
+    "db22_warehouse_quadrant_means": "fill_rate inventory fill_line value_line",
+    "db23_detail_table": "lost_sales inventory excess trapped avg_dos fill_rate stockout_rate stockout_persistence service_risk_score stockout_risk_score excess_inventory_score supplier_risk_score working_capital_risk_score governance_priority_score",
+    "db24_slice_reconciliation": "fill_diff stockout_diff lost_diff",
     "f01_supplier_features": "on_time_delivery_rate average_delay_days lead_time_variability received_vs_ordered_fill_rate supplier_service_risk_proxy",
     "f02_product_features": "average_inventory_units average_inventory_value average_days_of_supply stockout_frequency fill_rate_average lost_sales_exposure slow_moving_inventory_proxy excess_inventory_proxy working_capital_risk_proxy",
     "f03_warehouse_features": "fill_rate stockout_rate lost_sales_value average_days_of_supply inventory_value capacity_pressure_proxy warehouse_service_risk_proxy",
@@ -63,4 +83,15 @@ DOUBLES: dict[str, str] = {
     "v04_warehouse_service_profile": "fill_rate stockout_rate lost_sales_value average_days_of_supply inventory_value capacity_pressure_proxy warehouse_service_risk_proxy",
     "v05_inventory_risk_base": "avg_days_of_supply avg_inventory_value excess_inventory_day_rate slow_moving_day_rate dos_stretch_ratio inventory_risk_score_base",
     "v06_service_risk_base": "fill_rate stockout_rate stockout_day_rate service_gap_rate lost_sales_revenue service_risk_score_base",
+    "vz01_monthly_trend": "lost_sales_revenue fill_rate stockout_rate",
+    "vz02_fill_rate_by_category": "fill_rate",
+    "vz03_lost_sales_by_region": "lost_sales_revenue",
+    "vz04_category_inventory_share": "avg_inventory_value total_inventory_value inventory_share cumulative_share",
+    "vz05_category_region_scatter": "avg_inventory_value lost_sales_revenue fill_rate",
+    "vz06_sku_ranking": "governance_priority_score",
+    "vz07_excess_exposure": "excess_inventory_value_proxy avg_excess_rate excess_exposure_proxy",
+    "vz08_top_slow_moving": "slow_moving_value_proxy slow_moving_rate",
+    "vz09_supplier_heatmap": "otd_gap avg_delay_norm lt_variability_norm risk_proxy_norm",
+    "vz10_days_of_supply_bins": "bin_start p90 p99",
+    "vz11_warehouse_quadrant": "fill_rate inventory_value fill_line value_line",
 }
