@@ -52,16 +52,21 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_cols: tuple[str, ...
     canon = texts.select("_id", *kept, *[canonical(F.col(n)).alias(n) for n in names])
     hashed = canon.select("_id", *kept, *[wide_hash(F.col(n)).alias(n) for n in names])
 
-    each = hashed.select("_id", F.explode(F.array(*names)).alias("_hash"))
-    shared = each.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    suspects = each.join(shared.select("_hash"), "_hash", "left_semi").select("_id").distinct()
-    again = texts.select("_id", *names).join(suspects, "_id", "left_semi").select("_id", *[canonical(F.col(n)).alias(n) for n in names])
-    bytes_ = again.select("_id", F.explode(F.array(*names)).alias("_canon")).withColumn("_hash", wide_hash(F.col("_canon")))
-    different = bytes_.select("_hash", "_canon").distinct()
-    clashing = different.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_hash")
-    order = Window.partitionBy("_hash").orderBy("_canon")
-    places = different.join(clashing, "_hash", "left_semi").withColumn("_place", F.row_number().over(order) - 1).filter("_place > 0")
-    of_id = bytes_.join(places, ["_hash", "_canon"]).groupBy("_id").agg(F.map_from_entries(F.collect_set(F.struct("_hash", "_place"))).alias("_places"))
+    def bytes_of(ids: DataFrame) -> DataFrame:
+        """id, canonical text and hash of each text of the rows with these ids."""
+        some = texts.select("_id", *names).join(ids, "_id", "left_semi").select("_id", *[canonical(F.col(n)).alias(n) for n in names])
+        return some.select("_id", F.explode(F.array(*names)).alias("_canon")).withColumn("_hash", wide_hash(F.col("_canon")))
+
+    # rows that share a hash with another text: half of the hash is enough to find them all
+    each = canon.select("_id", F.explode(F.array(*[F.xxhash64(F.col(n)) for n in names])).alias("_half"))
+    shared = each.groupBy("_half").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    suspects = bytes_of(each.join(shared.select("_half"), "_half", "left_semi").select("_id").distinct())
+    clashing = suspects.select("_hash", "_canon").distinct().groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_hash")
+    # what follows handles rows whose hash stands for different bytes: none, but for forged texts
+    clashes = bytes_of(suspects.select("_id", "_hash").join(clashing, "_hash", "left_semi").select("_id").distinct())
+    different = clashes.select("_hash", "_canon").distinct()
+    places = different.withColumn("_place", F.row_number().over(Window.partitionBy("_hash").orderBy("_canon")) - 1).filter("_place > 0")
+    of_id = clashes.join(places, ["_hash", "_canon"]).groupBy("_id").agg(F.map_from_entries(F.collect_set(F.struct("_hash", "_place"))).alias("_places"))
 
     marked = hashed.join(of_id, "_id", "left")
     outs = [F.concat_ws("-", F.col(n), F.try_element_at(F.col("_places"), F.col(n)).cast("string")).alias(f"{c}_fingerprint") for c, n in zip(text_cols, names, strict=True)]
