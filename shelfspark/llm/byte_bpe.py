@@ -6,12 +6,13 @@ import base64
 import codecs
 import os
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 from shelfspark.llm.common import MEMO_ENTRIES, slices, space_segments
 from shelfspark.llm.token_counts import byte_alphabet
@@ -25,26 +26,31 @@ class ByteBPE:
     """
 
     def __init__(self, path: str, pattern: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the unit of parallelism
-        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
-
+        self.pattern = pattern
         with open(path, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        alphabet = byte_alphabet()
-        spell = lambda token: "".join([alphabet[b] for b in token])
-        merges = []
-        for token, _ in sorted(ranks.items(), key=lambda x: x[1]):
-            merges += [(spell(token[:i]), spell(token[i:])) for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
-        vocabulary = {spell(token): rank for token, rank in ranks.items()}
-        self.library = Tokenizer(models.BPE(vocab=vocabulary, merges=merges, ignore_merges=True))
-        self.library.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self.alphabet = byte_alphabet()
         # the way back: id -> characters of the vocabulary -> bytes
-        back = {c: b for b, c in enumerate(alphabet)}
-        self.bytes_of: list[bytes] = [b""] * (max(vocabulary.values(), default=-1) + 1)
-        for word, rank in vocabulary.items():
-            self.bytes_of[rank] = bytes(back[c] for c in word)
+        back = {c: b for b, c in enumerate(self.alphabet)}
+        self.bytes_of: list[bytes] = [b""] * (max(self.ranks.values(), default=-1) + 1)
+        for token, rank in self.ranks.items():
+            self.bytes_of[rank] = bytes(back[c] for c in self.spell(token))
         self.memo: dict[str, bytes] = {}
 
+    def spell(self, token: bytes) -> str:
+        return "".join([self.alphabet[b] for b in token])
+
+    @cached_property
+    def library(self) -> Tokenizer:
+        """Made when first used: decoding does without it."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the unit of parallelism
+        ranks, merges = self.ranks, []
+        for token in sorted(ranks, key=ranks.get):
+            merges += [(self.spell(token[:i]), self.spell(token[i:])) for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
+        made = Tokenizer(models.BPE(vocab={self.spell(token): rank for token, rank in ranks.items()}, merges=merges, ignore_merges=True))
+        made.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(self.pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return made
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
