@@ -21,7 +21,7 @@ LOST = f"{money('lost_sales_revenue')} AS lost_sales_revenue"
 
 
 def performance(t: Tables) -> DataFrame:
-    return views.supplier_performance(t.purchase_orders, t.suppliers)
+    return t.keep("performance", lambda: views.supplier_performance(t.purchase_orders, t.suppliers))
 
 
 def suppliers(t: Tables) -> DataFrame:
@@ -41,7 +41,7 @@ def base(t: Tables) -> DataFrame:
 
 
 def skus(t: Tables) -> DataFrame:
-    return scoring.sku_risk(t.daily, base(t))
+    return t.keep("sku risk", lambda: scoring.sku_risk(t.daily, base(t)))
 
 
 def queue(t: Tables) -> DataFrame:
@@ -49,7 +49,7 @@ def queue(t: Tables) -> DataFrame:
 
 
 def amounts(t: Tables) -> DataFrame:
-    return impact.valued(t.daily, t.products, impact.delay_factor(performance(t)))
+    return t.keep("amounts", lambda: impact.valued(t.daily, t.products, impact.delay_factor(performance(t))))
 
 
 IMPACT_KEYS = {"sku": ["product_id", "product_name", "warehouse_id", "category", "supplier_id"], "warehouse": ["warehouse_id", "region"], "supplier": ["supplier_id"], "category": ["category"]}

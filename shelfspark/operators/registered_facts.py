@@ -54,7 +54,7 @@ part("shown", "SELECT * FROM month_fact WHERE month BETWEEN DATE '1996-01-01' AN
 
 
 def fact(t: Tables) -> DataFrame:
-    return facts.monthly_fact(facts.daily_proxies(amounts(t)))
+    return t.keep("monthly fact", lambda: facts.monthly_fact(facts.daily_proxies(amounts(t))))
 
 
 def shown(t: Tables) -> DataFrame:

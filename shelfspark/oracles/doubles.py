@@ -41,10 +41,17 @@ DOUBLES: dict[str, str] = {
     "db22_warehouse_quadrant_means": "fill_rate inventory fill_line value_line",
     "db23_detail_table": "lost_sales inventory excess trapped avg_dos fill_rate stockout_rate stockout_persistence service_risk_score stockout_risk_score excess_inventory_score supplier_risk_score working_capital_risk_score governance_priority_score",
     "db24_slice_reconciliation": "fill_diff stockout_diff lost_diff",
+    "dp01_table_summary": "null_rate",
+    "dp02_null_profile": "null_rate",
+    "dp03_cardinality": "top_share",
+    "dp04_distribution": "min p50 p95 p99 max mean std skew p99_p50_ratio",
+    "dp12_skew_flags": "p99_p50_ratio skew_limit",
+    "dp14_generation_health": "fill_rate stockout_day_rate late_rate excess_day_rate",
     "f01_supplier_features": "on_time_delivery_rate average_delay_days lead_time_variability received_vs_ordered_fill_rate supplier_service_risk_proxy",
     "f02_product_features": "average_inventory_units average_inventory_value average_days_of_supply stockout_frequency fill_rate_average lost_sales_exposure slow_moving_inventory_proxy excess_inventory_proxy working_capital_risk_proxy",
     "f03_warehouse_features": "fill_rate stockout_rate lost_sales_value average_days_of_supply inventory_value capacity_pressure_proxy warehouse_service_risk_proxy",
     "f04_sku_risk_baseline": "service_risk_score stockout_risk_score excess_inventory_score supplier_risk_score working_capital_risk_score governance_priority_score",
+    "g01_unified_checks": "observed",
     "i01_supplier_delay_factor": "supplier_delay_factor on_time_delivery_rate average_delay_days lead_time_variability",
     "i02_daily_impact": "gross_margin_rate supplier_delay_factor lost_sales_revenue lost_sales_margin_proxy excess_inventory_value_proxy trapped_working_capital_proxy slow_moving_value_proxy supplier_delay_impact_proxy",
     "i03a_impact_by_sku": "lost_sales_revenue_observed lost_sales_margin_proxy_observed excess_inventory_value_proxy_observed trapped_working_capital_proxy_observed slow_moving_value_proxy_observed supplier_delay_impact_proxy_observed lost_sales_revenue_annualized lost_sales_margin_proxy_annualized excess_inventory_value_proxy_annualized trapped_working_capital_proxy_annualized slow_moving_value_proxy_annualized supplier_delay_impact_proxy_annualized opportunity_margin_recovery_12m_proxy opportunity_wc_release_12m_proxy opportunity_total_12m_proxy stockout_rate opportunity_share",
@@ -67,6 +74,49 @@ DOUBLES: dict[str, str] = {
     "k08_quadrant_summary": "avg_fill_rate avg_stockout_day_rate avg_excess_day_rate total_lost_revenue total_avg_inventory_value",
     "k09_top_risk_skus": "fill_rate stockout_day_rate excess_inventory_day_rate slow_moving_day_rate avg_days_of_supply lost_sales_revenue avg_inventory_value risk_score",
     "k10_working_capital_concentration": "avg_inventory_value rank_percentile cumulative_inventory_value total_portfolio_value cumulative_value_share",
+    "p01_daily_duplicate_keys": "observed",
+    "p02_daily_fill_rate_bounds": "observed",
+    "p03_daily_stockout_logic": "observed",
+    "p04_sku_score_bounds": "observed",
+    "p05_dashboard_expected_grain": "observed",
+    "p06_rowcount_dense_demand_history": "observed",
+    "p07_rowcount_daily_equals_demand_history": "observed",
+    "p08_rowcount_sku_risk_expected_grain": "observed",
+    "p09_duplicates_demand_history": "observed",
+    "p10_duplicates_inventory_snapshots": "observed",
+    "p11_duplicates_purchase_orders": "observed",
+    "p12_duplicates_daily_product_warehouse_metrics": "observed",
+    "p13_products_critical_nulls": "observed",
+    "p14_suppliers_critical_nulls": "observed",
+    "p15_daily_critical_nulls": "observed",
+    "p16_sku_risk_critical_nulls": "observed",
+    "p17_impossible_negative_values": "observed",
+    "p18_fill_rate_logic_bounds_raw": "observed",
+    "p19_demand_balance_units": "observed",
+    "p20_stockout_flag_logic": "observed",
+    "p21_lost_sales_revenue_consistency_daily": "observed",
+    "p22_inventory_value_consistency_raw": "observed",
+    "p23_available_units_consistency_raw": "observed",
+    "p24_working_capital_proxy_overall_consistency": "observed",
+    "p25_excess_inventory_proxy_overall_consistency": "observed",
+    "p26_supplier_delay_proxy_consistency": "observed",
+    "p27_aggregation_lost_sales_sku_to_overall": "observed",
+    "p28_aggregation_lost_sales_warehouse_to_overall": "observed",
+    "p29_aggregation_lost_sales_supplier_to_overall": "observed",
+    "p30_aggregation_lost_sales_category_to_overall": "observed",
+    "p31_impact_opportunity_non_negative": "observed",
+    "p32_denominator_zero_demand_with_activity_raw": "observed",
+    "p33_denominator_zero_demand_with_activity_daily": "observed",
+    "p34_scoring_formula_consistency": "observed",
+    "p35_scoring_tier_consistency": "observed",
+    "p36_scoring_main_driver_consistency": "observed",
+    "p37_scoring_action_policy_non_low_not_monitor_only": "observed",
+    "p38_scoring_top25_stability_under_weight_perturbation": "observed",
+    "p39_data_contract_blocking_failures": "observed",
+    "p40_data_contract_warning_sanity": "observed",
+    "p41_dashboard_metric_reconciliation": "observed",
+    "p42_dashboard_official_snapshot_present_and_reconciled": "observed",
+    "q13_value_mismatch_rows": "inventory_value expected_value",
     "s01_supplier_base_score": "on_time_delivery_rate average_delay_days lead_time_variability received_vs_ordered_fill_rate supplier_risk_score_base",
     "s02_scoring_input": "demand_weight excess_day slow_moving_day weighted_criticality weighted_dos_cap weighted_supplier_risk",
     "s03_entity_measures_by_region": "fill_rate stockout_rate service_gap_rate excess_day_rate slow_moving_rate dos_stretch stockout_active_month_ratio lost_sales_revenue inventory_value_sum stockout_frequency average_days_of_supply average_inventory_value",

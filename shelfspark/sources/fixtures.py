@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark import StorageLevel
@@ -14,6 +15,13 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._kept: dict[str, DataFrame] = {}
+
+    def keep(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A result that several queries start from, computed once (in memory, on disk beyond it)."""
+        if name not in self._kept:
+            self._kept[name] = make().persist(StorageLevel.MEMORY_AND_DISK)
+        return self._kept[name]
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
