@@ -13,7 +13,7 @@ RATIO, LEAST_PAGES = 0.2, 3
 BROADCAST_LINES = 100_000
 
 #: What a page's visible lines are made from, in this order: dropped elements, line breaks, other tags.
-HIDDEN = (r"(?is)<!--.*?-->", r"(?is)<head[^>]*>.*?</head>", r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>")
+HIDDEN = r"(?is)<!--.*?-->|<head([ \t\r\n][^>]*)?>.*?</head>|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>"
 BREAKS = r"(?is)</?(p|br|div|li|ul|ol|dl|dt|dd|h1|h2|h3|h4|h5|h6|article|nav|footer|header|section|main|aside|table|tr|td|th|form|pre|blockquote|body|html)([ \t\r\n/][^>]*)?>"
 TAG = r"(?s)<[^>]*>"
 #: Character references that are replaced, the ampersand last.
@@ -29,9 +29,7 @@ def host_of(url: Column) -> Column:
 
 def html_text(html: Column) -> Column:
     """Visible text of a page, a line for each block."""
-    text = F.coalesce(html, F.lit(""))
-    for pattern in HIDDEN:
-        text = F.regexp_replace(text, pattern, "")
+    text = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, "")
     text = F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), TAG, "")
     for name, character in REFERENCES:
         text = F.replace(text, F.lit(name), F.lit(character))
@@ -88,9 +86,7 @@ def drop_boilerplate(df: DataFrame, host_col: str, text_col: str, ratio: float =
 
 #: The same in DuckDB, for ``pages``: page_id, host, n_lines, n_dropped, text.
 def pages_sql(ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> str:
-    text = "coalesce(html, '')"
-    for pattern in HIDDEN:
-        text = f"regexp_replace({text}, '{pattern}', '', 'g')"
+    text = f"regexp_replace(coalesce(html, ''), '{HIDDEN}', '', 'g')"
     text = f"regexp_replace(regexp_replace({text}, '{BREAKS}', chr(10), 'g'), '{TAG}', '', 'g')"
     for name, character in REFERENCES:
         text = f"replace({text}, '{name}', '{character.replace(chr(39), chr(39) * 2)}')"

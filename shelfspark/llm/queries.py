@@ -64,7 +64,8 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", line_dedup.host_of(F.col("url")).alias("host"), line_dedup.html_text(F.col("html")).alias("text"))
-    return line_dedup.drop_boilerplate(pages, "host", "text").select("page_id", "host", "n_lines", "n_dropped", "text")
+    # lines are counted and dropped in two passes; the text is made from the pages once
+    return line_dedup.drop_boilerplate(stored(pages), "host", "text").select("page_id", "host", "n_lines", "n_dropped", "text")
 
 
 def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
