@@ -25,6 +25,11 @@ def tables(spark: SparkSession, folder: str) -> Tables:
     return _HELD[key]
 
 
+def forget() -> None:
+    """Let go of the tables held for the last folder."""
+    _HELD.clear()
+
+
 #: Places that results are rounded to, so that both engines give the same figures; a hair decides ties.
 PLACES, HAIR = 6, 1e-10
 
