@@ -49,13 +49,13 @@ def floored_share(part: Col, whole: Col, floor: float = 1.0) -> Column:
 
 
 def clip(x: Col, low: float | None = None, high: float | None = None) -> Column:
-    """x within bounds; a null stays null."""
-    out = c(x)
+    """x within bounds; a null stays null. x stands in the result twice only, so that nested bounds stay small."""
+    out = x = c(x)
     if high is not None:
-        out = F.when(out > high, F.lit(high)).otherwise(out)
+        out = F.least(out, F.lit(high))
     if low is not None:
-        out = F.when(out < low, F.lit(low)).otherwise(out)
-    return out
+        out = F.greatest(out, F.lit(low))
+    return F.when(x.isNotNull(), out)
 
 
 def unit(x: Col) -> Column:

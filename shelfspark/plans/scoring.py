@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.functions.expressions import argmax, clip, criticality_weight, dbl, floored_share, linear_score, log_share_score, money_mean, money_sum, month_of, ratio, risk_tier, safe_divide, scaled, unit, weighted
+from shelfspark.functions.expressions import argmax, clip, criticality_weight, dbl, floored_share, linear_score, log_share_score, money_sum, month_of, ratio, risk_tier, safe_divide, scaled, unit, weighted
 from shelfspark.plans.features import DRIVERS
 from shelfspark.plans.views import flagged
 from shelfspark.schemas import Policy
@@ -63,13 +63,22 @@ def scoring_input(daily: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def entity_measures(prepared: DataFrame, keys: list[str]) -> DataFrame:
-    """Measures of entities of any grain. Months are summed first: persistence is the share of months with losses."""
-    monthly = prepared.groupBy(*keys, "month").agg(F.sum("units_lost_sales").alias("lost")).groupBy(*keys).agg(F.avg((F.col("lost") > 0).cast("double")).alias("stockout_active_month_ratio"))
-    sums = {n: F.sum(n) for n in ("units_demanded", "units_fulfilled", "units_lost_sales")}
-    sums |= {"service_gap_units": money_sum("service_gap_units"), "stockout_frequency": F.avg("stockout_flag"), "excess_day_rate": F.avg("excess_day"), "slow_moving_rate": F.avg("slow_moving_day"), "average_days_of_supply": F.avg("days_of_supply")}
-    sums |= {"average_inventory_value": money_mean("inventory_value"), "inventory_value_sum": money_sum("inventory_value"), "lost_sales_revenue": money_sum("lost_sales_revenue"), "active_days": F.countDistinct("date")}
-    sums |= {n: money_sum(n) for n in ("demand_weight", "weighted_criticality", "weighted_dos_cap", "weighted_supplier_risk")}
-    joined = prepared.groupBy(*keys).agg(*[f.alias(n) for n, f in sums.items()]).join(monthly, keys, "left")
+    """Measures of entities of any grain, in one pass: months are summed first, then entities from their months.
+
+    Persistence is the share of months with losses. Months part the days, so days of months add up.
+    """
+    units, days = ["units_demanded", "units_fulfilled", "units_lost_sales"], ["stockout_flag", "excess_day", "slow_moving_day", "days_of_supply"]
+    amounts = ["service_gap_units", "inventory_value", "lost_sales_revenue", "demand_weight", "weighted_criticality", "weighted_dos_cap", "weighted_supplier_risk"]
+    counted = [*days, "inventory_value"]
+    monthly = prepared.groupBy(*keys, "month").agg(
+        *[F.sum(n).alias(n) for n in [*units, *days]], *[F.sum(F.col(n).cast("decimal(18,6)")).alias(n) for n in amounts], *[F.count(n).alias(f"n_{n}") for n in counted], F.countDistinct("date").alias("active_days")
+    )
+    total = lambda n: F.sum(n).cast("double")
+    mean = lambda n: total(n) / F.nullif(total(f"n_{n}"), F.lit(0.0))
+    sums = {n: F.sum(n) for n in units} | {n: total(n) for n in amounts if n != "inventory_value"}
+    sums |= {"stockout_frequency": mean("stockout_flag"), "excess_day_rate": mean("excess_day"), "slow_moving_rate": mean("slow_moving_day"), "average_days_of_supply": mean("days_of_supply"), "average_inventory_value": mean("inventory_value")}
+    sums |= {"inventory_value_sum": total("inventory_value"), "active_days": F.sum("active_days"), "stockout_active_month_ratio": F.avg((F.col("units_lost_sales") > 0).cast("double"))}
+    joined = monthly.groupBy(*keys).agg(*[f.alias(n) for n, f in sums.items()])
     by_weight = lambda x: safe_divide(x, "demand_weight")
     return joined.withColumns({
         "fill_rate": safe_divide("units_fulfilled", "units_demanded"), "stockout_rate": safe_divide("units_lost_sales", "units_demanded"), "service_gap_rate": safe_divide("service_gap_units", "units_demanded"),
