@@ -6,7 +6,7 @@ import pytest
 from shelfspark import catalog
 
 TABLES = "region nation customer supplier part orders lineitem documents".split()
-SOME = ["v01_daily_product_warehouse_metrics", "v02_supplier_performance_summary", "v04_warehouse_service_profile", "f04_sku_risk_baseline", "s06_sku_risk_governed", "s10_management_counts", "i04_impact_overall", "k09_top_risk_skus", "d10_stockout_levels", "d14_tradeoff_zones", "vz10_days_of_supply_bins", "db16_slice_by_sku", "db20_kpi_tiles", "dc05_contract_run", "dp03_cardinality", "q12_validation_summary", "p46_written_conclusion_overclaiming_risk"]
+SOME = ["v01_daily_product_warehouse_metrics", "v02_supplier_performance_summary", "v04_warehouse_service_profile", "f04_sku_risk_baseline", "s06_sku_risk_governed", "s10_management_counts", "i04_impact_overall", "k09_top_risk_skus", "d10_stockout_levels", "d14_tradeoff_zones", "vz10_days_of_supply_bins", "db16_slice_by_sku", "db20_kpi_tiles", "dc05_contract_run", "dp03_cardinality", "q12_validation_summary", "p46_written_conclusion_overclaiming_risk", "ex20_tiers", "ex27_pattern_count", "jn11_reconcile", "ag10_skewness", "ag13_mode", "ag18_levels", "wn03_running_sum"]
 
 
 def plain(value):
