@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from shelfspark.oracles.doubles import DOUBLES
 from shelfspark.registry import register as _register
 from shelfspark.sources.fixtures import Tables
 
+#: Name: what makes the column (columns need a session, which is not there on import), and its SQL.
+Columns = dict[str, tuple[Callable[[], Column], str]]
 PRODUCT, ORDER, DAY = ["product_id"], ["po_id"], ["date", "warehouse_id", "product_id"]
 
 
@@ -22,17 +26,17 @@ def register(name: str, plan, sql: str, doubles: str = "") -> None:
     _register(name, plan, sql)
 
 
-def project(name: str, table: str, keys: list[str], columns: dict[str, tuple[Column, str]], doubles: str = "") -> None:
-    """A projection: keys of a table and named expressions (column, SQL)."""
+def project(name: str, table: str, keys: list[str], columns: Columns, doubles: str = "") -> None:
+    """A projection: keys of a table and named expressions."""
     register(
-        name, lambda t: t.raw(table).select(*keys, *[e.alias(n) for n, (e, _) in columns.items()]), f"SELECT {', '.join([*keys, *[f'{s} AS {n}' for n, (_, s) in columns.items()]])} FROM {table}", doubles
+        name, lambda t: t.raw(table).select(*keys, *[e().alias(n) for n, (e, _) in columns.items()]), f"SELECT {', '.join([*keys, *[f'{s} AS {n}' for n, (_, s) in columns.items()]])} FROM {table}", doubles
     )
 
 
-def total(name: str, table: str, columns: dict[str, tuple[Column, str]], by: str = "", doubles: str = "") -> None:
+def total(name: str, table: str, columns: Columns, by: str = "", doubles: str = "") -> None:
     """An aggregate of a table, of all its rows or by a key."""
     pick = ", ".join([*([by] if by else []), *[f"{s} AS {n}" for n, (_, s) in columns.items()]])
-    register(name, lambda t: t.raw(table).groupBy(*([by] if by else [])).agg(*[e.alias(n) for n, (e, _) in columns.items()]), f"SELECT {pick} FROM {table}{f' GROUP BY {by}' if by else ''}", doubles)
+    register(name, lambda t: t.raw(table).groupBy(*([by] if by else [])).agg(*[e().alias(n) for n, (e, _) in columns.items()]), f"SELECT {pick} FROM {table}{f' GROUP BY {by}' if by else ''}", doubles)
 
 
 def rows(name: str, table: str, plan, where: str, keys: list[str]) -> None:
@@ -45,7 +49,7 @@ DEM, FUL, LOST = "CAST(units_demanded AS DOUBLE)", "CAST(units_fulfilled AS DOUB
 
 # sources: typed tables, views
 for table, keys in (("products", PRODUCT), ("suppliers", ["supplier_id"]), ("warehouses", ["warehouse_id"]), ("product_classification", PRODUCT), ("demand_history", DAY), ("inventory_snapshots", ["snapshot_date", *DAY[1:]]), ("purchase_orders", ORDER)):
-    total(f"io02_typed_{table}", table, {"n_rows": (F.count(lit(1)), "count(*)"), "n_keys": (F.countDistinct(*keys), f"count(DISTINCT ({', '.join(keys)}))" if len(keys) > 1 else f"count(DISTINCT {keys[0]})")})
+    total(f"io02_typed_{table}", table, {"n_rows": (lambda: F.count(lit(1)), "count(*)"), "n_keys": (lambda keys=keys: F.countDistinct(*keys), f"count(DISTINCT ({', '.join(keys)}))" if len(keys) > 1 else f"count(DISTINCT {keys[0]})")})
 
 
 def _by_sql(t: Tables) -> DataFrame:
@@ -57,33 +61,33 @@ register("io04_named_view", _by_sql, "SELECT warehouse_id, CAST(sum(units_demand
 register("io07_expected_columns", lambda t: t.daily.select(*schemas.DAILY_COLUMNS).groupBy("warehouse_id").agg(F.count(lit(1)).alias("n")), "SELECT warehouse_id, count(*) AS n FROM daily GROUP BY warehouse_id")
 
 # expressions
-project("ex01_projection", "products", PRODUCT, {"sku_name": (c("product_name"), "product_name"), "margin": (c("unit_price") - c("unit_cost"), "unit_price - unit_cost")}, "margin")
-project("ex02_case", "products", PRODUCT, {"size": (F.when(c("lead_time_days") < 10, "short").when(c("lead_time_days") < 20, "middle").otherwise("long"), "CASE WHEN lead_time_days < 10 THEN 'short' WHEN lead_time_days < 20 THEN 'middle' ELSE 'long' END")})
-project("ex03_fill_ratio", "demand_history", DAY, {"fill": (x.fill_ratio("units_fulfilled", "units_demanded"), div("units_fulfilled", "units_demanded", "1"))}, "fill")
-project("ex04_loss_ratio", "demand_history", DAY, {"loss": (x.loss_ratio("units_lost_sales", "units_demanded"), div("units_lost_sales", "units_demanded", "0"))}, "loss")
-project("ex05_safe_divide", "demand_history", DAY, {"fill": (x.safe_divide("units_fulfilled", "units_demanded"), f"coalesce({div('units_fulfilled', 'units_demanded', '0')}, 0)")}, "fill")
-project("ex06_safe_divide_by_zero", "inventory_snapshots", ["snapshot_date", *DAY[1:]], {"cover": (x.ratio("on_order_units", "available_units", 0.0), div("on_order_units", "available_units", "0"))}, "cover")
-project("ex07_share", "demand_history", DAY, {"share": (x.share("units_lost_sales", "units_demanded"), div("units_lost_sales", "units_demanded", "NULL")), "floored": (x.floored_share("units_lost_sales", "units_demanded"), f"{LOST} / greatest({DEM}, 1)")}, "share floored")
-project("ex08_cast", "products", PRODUCT, {"days": (D("lead_time_days"), "CAST(lead_time_days AS DOUBLE)"), "life": (c("shelf_life_days").cast("string"), "CAST(shelf_life_days AS VARCHAR)")}, "days")
-project("ex09_greatest_least", "purchase_orders", ORDER, {"most": (F.greatest("ordered_units", "received_units"), "greatest(ordered_units, received_units)"), "least": (F.least("ordered_units", "received_units"), "least(ordered_units, received_units)")})
-project("ex10_clip", "inventory_snapshots", ["snapshot_date", *DAY[1:]], {"bounded": (x.clip("days_of_supply", 5.0, 60.0), "least(greatest(days_of_supply, 5), 60)")}, "bounded")
-project("ex13_arithmetic", "purchase_orders", ORDER, {"gap": (F.abs(c("ordered_units") - c("received_units")), "abs(ordered_units - received_units)")})
-project("ex14_log", "products", PRODUCT, {"log_price": (F.log(c("unit_price") + lit(1e-12)), "ln(unit_price + CAST(1e-12 AS DOUBLE))")}, "log_price")
-project("ex15_round", "products", PRODUCT, {"life": (F.round(c("shelf_life_days") / lit(7.0), 2), "round(shelf_life_days / CAST(7 AS DOUBLE), 2)")}, "life")
-project("ex16_days_between", "purchase_orders", ORDER, {"delay": (F.datediff("actual_arrival_date", "expected_arrival_date").cast("double"), "CAST(actual_arrival_date - expected_arrival_date AS DOUBLE)")}, "delay")
-project("ex17_month", "demand_history", DAY, {"month": (x.month_of(), "CAST(date_trunc('month', date) AS DATE)"), "label": (F.date_format("date", "yyyy-MM-01"), "strftime(date, '%Y-%m-01')")})
-total("ex18_day_span", "demand_history", {"span": (F.datediff(F.max("date"), F.min("date")) + 1, "max(date) - min(date) + 1"), "to_year": (lit(365.0) / F.greatest(F.countDistinct("date"), lit(1)), "CAST(365 AS DOUBLE) / greatest(count(DISTINCT date), 1)")}, doubles="to_year")
-project("ex19_value_map", "product_classification", PRODUCT, {"weight": (x.criticality_weight("criticality_level", 0.6), "CASE criticality_level WHEN 'High' THEN CAST(1 AS DOUBLE) WHEN 'Medium' THEN 0.6 WHEN 'Low' THEN 0.3 ELSE 0.6 END")}, "weight")
-project("ex20_tiers", "inventory_snapshots", ["snapshot_date", *DAY[1:]], {"tier": (x.risk_tier("days_of_supply"), TIER.format("days_of_supply"))})
+project("ex01_projection", "products", PRODUCT, {"sku_name": (lambda: c("product_name"), "product_name"), "margin": (lambda: c("unit_price") - c("unit_cost"), "unit_price - unit_cost")}, "margin")
+project("ex02_case", "products", PRODUCT, {"size": (lambda: F.when(c("lead_time_days") < 10, "short").when(c("lead_time_days") < 20, "middle").otherwise("long"), "CASE WHEN lead_time_days < 10 THEN 'short' WHEN lead_time_days < 20 THEN 'middle' ELSE 'long' END")})
+project("ex03_fill_ratio", "demand_history", DAY, {"fill": (lambda: x.fill_ratio("units_fulfilled", "units_demanded"), div("units_fulfilled", "units_demanded", "1"))}, "fill")
+project("ex04_loss_ratio", "demand_history", DAY, {"loss": (lambda: x.loss_ratio("units_lost_sales", "units_demanded"), div("units_lost_sales", "units_demanded", "0"))}, "loss")
+project("ex05_safe_divide", "demand_history", DAY, {"fill": (lambda: x.safe_divide("units_fulfilled", "units_demanded"), f"coalesce({div('units_fulfilled', 'units_demanded', '0')}, 0)")}, "fill")
+project("ex06_safe_divide_by_zero", "inventory_snapshots", ["snapshot_date", *DAY[1:]], {"cover": (lambda: x.ratio("on_order_units", "available_units", 0.0), div("on_order_units", "available_units", "0"))}, "cover")
+project("ex07_share", "demand_history", DAY, {"share": (lambda: x.share("units_lost_sales", "units_demanded"), div("units_lost_sales", "units_demanded", "NULL")), "floored": (lambda: x.floored_share("units_lost_sales", "units_demanded"), f"{LOST} / greatest({DEM}, 1)")}, "share floored")
+project("ex08_cast", "products", PRODUCT, {"days": (lambda: D("lead_time_days"), "CAST(lead_time_days AS DOUBLE)"), "life": (lambda: c("shelf_life_days").cast("string"), "CAST(shelf_life_days AS VARCHAR)")}, "days")
+project("ex09_greatest_least", "purchase_orders", ORDER, {"most": (lambda: F.greatest("ordered_units", "received_units"), "greatest(ordered_units, received_units)"), "least": (lambda: F.least("ordered_units", "received_units"), "least(ordered_units, received_units)")})
+project("ex10_clip", "inventory_snapshots", ["snapshot_date", *DAY[1:]], {"bounded": (lambda: x.clip("days_of_supply", 5.0, 60.0), "least(greatest(days_of_supply, 5), 60)")}, "bounded")
+project("ex13_arithmetic", "purchase_orders", ORDER, {"gap": (lambda: F.abs(c("ordered_units") - c("received_units")), "abs(ordered_units - received_units)")})
+project("ex14_log", "products", PRODUCT, {"log_price": (lambda: F.log(c("unit_price") + lit(1e-12)), "ln(unit_price + CAST(1e-12 AS DOUBLE))")}, "log_price")
+project("ex15_round", "products", PRODUCT, {"life": (lambda: F.round(c("shelf_life_days") / lit(7.0), 2), "round(shelf_life_days / CAST(7 AS DOUBLE), 2)")}, "life")
+project("ex16_days_between", "purchase_orders", ORDER, {"delay": (lambda: F.datediff("actual_arrival_date", "expected_arrival_date").cast("double"), "CAST(actual_arrival_date - expected_arrival_date AS DOUBLE)")}, "delay")
+project("ex17_month", "demand_history", DAY, {"month": (lambda: x.month_of(), "CAST(date_trunc('month', date) AS DATE)"), "label": (lambda: F.date_format("date", "yyyy-MM-01"), "strftime(date, '%Y-%m-01')")})
+total("ex18_day_span", "demand_history", {"span": (lambda: F.datediff(F.max("date"), F.min("date")) + 1, "max(date) - min(date) + 1"), "to_year": (lambda: lit(365.0) / F.greatest(F.countDistinct("date"), lit(1)), "CAST(365 AS DOUBLE) / greatest(count(DISTINCT date), 1)")}, doubles="to_year")
+project("ex19_value_map", "product_classification", PRODUCT, {"weight": (lambda: x.criticality_weight("criticality_level", 0.6), "CASE criticality_level WHEN 'High' THEN CAST(1 AS DOUBLE) WHEN 'Medium' THEN 0.6 WHEN 'Low' THEN 0.3 ELSE 0.6 END")}, "weight")
+project("ex20_tiers", "inventory_snapshots", ["snapshot_date", *DAY[1:]], {"tier": (lambda: x.risk_tier("days_of_supply"), TIER.format("days_of_supply"))})
 project(
     "ex21_row_argmax", "inventory_snapshots", ["snapshot_date", *DAY[1:]],
-    {"largest": (x.argmax([("on_hand_units", "hand"), ("on_order_units", "order"), ("reserved_units", "reserved")]), "CASE WHEN on_hand_units >= on_order_units AND on_hand_units >= reserved_units THEN 'hand' WHEN on_order_units >= reserved_units THEN 'order' ELSE 'reserved' END")},
+    {"largest": (lambda: x.argmax([("on_hand_units", "hand"), ("on_order_units", "order"), ("reserved_units", "reserved")]), "CASE WHEN on_hand_units >= on_order_units AND on_hand_units >= reserved_units THEN 'hand' WHEN on_order_units >= reserved_units THEN 'order' ELSE 'reserved' END")},
 )
-project("ex22_concat", "demand_history", DAY, {"place": (F.concat("product_id", lit("|"), "warehouse_id"), "product_id || '|' || warehouse_id")})
-project("ex23_lower_trim", "products", PRODUCT, {"is_promo": (F.lower(F.trim("category")) == "promo", "lower(trim(category)) = 'promo'")})
+project("ex22_concat", "demand_history", DAY, {"place": (lambda: F.concat("product_id", lit("|"), "warehouse_id"), "product_id || '|' || warehouse_id")})
+project("ex23_lower_trim", "products", PRODUCT, {"is_promo": (lambda: F.lower(F.trim("category")) == "promo", "lower(trim(category)) = 'promo'")})
 rows("ex24_text_search", "products", lambda t: t.filter(F.contains(F.lower(F.concat_ws(" ", "product_id", "product_name", "category")), lit("sku-1"))), "contains(lower(concat_ws(' ', product_id, product_name, category)), 'sku-1')", PRODUCT)
 rows("ex25_pattern", "products", lambda t: t.filter(c("product_id").rlike("7$|-1.*3$")), "regexp_matches(product_id, '7$|-1.*3$')", PRODUCT)
-project("ex26_pattern_number", "purchase_orders", ORDER, {"line": (F.regexp_extract("po_id", r"^PO-\d+-(\d+)-", 1).cast("long"), r"CAST(regexp_extract(po_id, '^PO-\d+-(\d+)-', 1) AS BIGINT)")})
+project("ex26_pattern_number", "purchase_orders", ORDER, {"line": (lambda: F.regexp_extract("po_id", r"^PO-\d+-(\d+)-", 1).cast("long"), r"CAST(regexp_extract(po_id, '^PO-\d+-(\d+)-', 1) AS BIGINT)")})
 register(
     "ex27_pattern_count", lambda t: t.read("documents").select("doc_id", F.regexp_count("text", lit(r"(?i)\b(the|and|of)\b")).cast("long").alias("n")),
     r"SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)\b(the|and|of)\b')) AS BIGINT) AS n FROM documents",
@@ -100,13 +104,13 @@ def _ranged(top: float, constant: float):
 
 register("ex28_scale_100", *_ranged(100.0, 50.0), "scaled")
 register("ex29_scale_1", *_ranged(1.0, 0.5), "scaled")
-project("ex30_linear_score", "inventory_snapshots", ["snapshot_date", *DAY[1:]], {"score": (x.linear_score("days_of_supply", 10.0, 50.0), linear("days_of_supply", 10.0, 50.0))}, "score")
-project("ex31_log_share_score", "products", PRODUCT, {"score": (x.log_share_score(c("unit_price") / lit(1e6), 0.0005, 0.01), log_share("(unit_price / CAST(1e6 AS DOUBLE))", 0.0005, 0.01))}, "score")
-project("ex32_range_norm", "products", PRODUCT, {"norm": (x.range_norm(D("lead_time_days"), 5.0, 20.0), "least(greatest((CAST(lead_time_days AS DOUBLE) - 5) / 15, 0), 1)"), "none": (x.range_norm("unit_price", 1.0, 1.0), "CAST(0 AS DOUBLE)")}, "norm none")
+project("ex30_linear_score", "inventory_snapshots", ["snapshot_date", *DAY[1:]], {"score": (lambda: x.linear_score("days_of_supply", 10.0, 50.0), linear("days_of_supply", 10.0, 50.0))}, "score")
+project("ex31_log_share_score", "products", PRODUCT, {"score": (lambda: x.log_share_score(c("unit_price") / lit(1e6), 0.0005, 0.01), log_share("(unit_price / CAST(1e6 AS DOUBLE))", 0.0005, 0.01))}, "score")
+project("ex32_range_norm", "products", PRODUCT, {"norm": (lambda: x.range_norm(D("lead_time_days"), 5.0, 20.0), "least(greatest((CAST(lead_time_days AS DOUBLE) - 5) / 15, 0), 1)"), "none": (lambda: x.range_norm("unit_price", 1.0, 1.0), "CAST(0 AS DOUBLE)")}, "norm none")
 BUCKETS = "CASE " + " ".join(f"WHEN days_of_supply < {bound} THEN '{label}'" for bound, label in x.DOS_BUCKETS) + " ELSE '05_50_plus' END"
-project("ex33_buckets", "inventory_snapshots", ["snapshot_date", *DAY[1:]], {"bucket": (x.dos_bucket(), BUCKETS)})
-project("ex34_supply_cap", "product_classification", PRODUCT, {"cap": (x.dos_cap(), CAP)}, "cap")
-project("ex35_flags", "daily", DAY, {"excess": (x.flag(c("days_of_supply") > x.dos_cap()), f"CASE WHEN days_of_supply > {CAP} THEN CAST(1 AS DOUBLE) ELSE 0 END"), "slow": (x.flag(x.slow_moving()), f"CASE WHEN {SLOW} THEN CAST(1 AS DOUBLE) ELSE 0 END")}, "excess slow")
+project("ex33_buckets", "inventory_snapshots", ["snapshot_date", *DAY[1:]], {"bucket": (lambda: x.dos_bucket(), BUCKETS)})
+project("ex34_supply_cap", "product_classification", PRODUCT, {"cap": (lambda: x.dos_cap(), CAP)}, "cap")
+project("ex35_flags", "daily", DAY, {"excess": (lambda: x.flag(c("days_of_supply") > x.dos_cap()), f"CASE WHEN days_of_supply > {CAP} THEN CAST(1 AS DOUBLE) ELSE 0 END"), "slow": (lambda: x.flag(x.slow_moving()), f"CASE WHEN {SLOW} THEN CAST(1 AS DOUBLE) ELSE 0 END")}, "excess slow")
 
 # filters
 rows("fi01_comparisons", "demand_history", lambda t: t.filter((c("units_demanded") > 20) & ~(c("promo_flag") == 1) | (c("stockout_flag") == 1)), "(units_demanded > 20 AND NOT promo_flag = 1) OR stockout_flag = 1", DAY)
@@ -131,38 +135,48 @@ register("jn09_scalar", lambda t: t.products.crossJoin(F.broadcast(t.products.ag
 register("jn11_reconcile", lambda t: t.daily.join(t.products.select("product_id", "category").withColumnRenamed("category", "own"), "product_id", "left").groupBy("warehouse_id").agg(F.count_if(~c("category").eqNullSafe(c("own"))).alias("differs")), "SELECT warehouse_id, count(*) FILTER (d.category IS DISTINCT FROM p.category) AS differs FROM daily d LEFT JOIN products p USING (product_id) GROUP BY 1")
 
 # aggregates
-FOUR = {"sum": (F.sum("units_demanded"), "CAST(sum(units_demanded) AS BIGINT)"), "mean": (F.avg("units_demanded"), "avg(units_demanded)"), "low": (F.min("units_demanded"), "min(units_demanded)"), "high": (F.max("units_demanded"), "max(units_demanded)"), "n": (F.count(lit(1)), "count(*)")}
+FOUR = {"sum": (lambda: F.sum("units_demanded"), "CAST(sum(units_demanded) AS BIGINT)"), "mean": (lambda: F.avg("units_demanded"), "avg(units_demanded)"), "low": (lambda: F.min("units_demanded"), "min(units_demanded)"), "high": (lambda: F.max("units_demanded"), "max(units_demanded)"), "n": (lambda: F.count(lit(1)), "count(*)")}
 total("ag01_global", "demand_history", FOUR, doubles="mean")
 total("ag02_grouped", "demand_history", FOUR, "product_id", "mean")
-total("ag03_conditional_rate", "purchase_orders", {"late": (x.rate(c("late_delivery_flag") == 1), rate("late_delivery_flag = 1"))}, "supplier_id", "late")
-total("ag04_conditional_counts", "purchase_orders", {"late": (F.count_if(c("late_delivery_flag") == 1), "count(*) FILTER (late_delivery_flag = 1)"), "late_units": (F.sum(F.when(c("late_delivery_flag") == 1, c("ordered_units")).otherwise(0)), "CAST(sum(CASE WHEN late_delivery_flag = 1 THEN ordered_units ELSE 0 END) AS BIGINT)")}, "supplier_id")
-total("ag05_ratio_of_sums", "demand_history", {"fill": (x.fill_ratio(F.sum("units_fulfilled"), F.sum("units_demanded")), div("sum(units_fulfilled)", "sum(units_demanded)", "1"))}, "warehouse_id", "fill")
-total("ag06_mean_of_ratios", "demand_history", {"fill": (F.avg(x.fill_ratio("units_fulfilled", "units_demanded")), f"avg({div('units_fulfilled', 'units_demanded', '1')})")}, "warehouse_id", "fill")
-total("ag07_sample_deviation", "purchase_orders", {"spread": (F.coalesce(F.stddev_samp("ordered_units"), lit(0.0)), "coalesce(stddev_samp(ordered_units), 0)")}, "supplier_id", "spread")
-total("ag08_quantiles", "inventory_snapshots", {f"p{q}": (F.percentile("days_of_supply", q / 100), f"quantile_cont(days_of_supply, {q / 100})") for q in (25, 50, 90, 99)}, "warehouse_id", "p25 p50 p90 p99")
-total("ag09_median", "inventory_snapshots", {"middle": (F.median("on_hand_units"), "median(on_hand_units)")}, "warehouse_id", "middle")
-n = F.count("on_hand_units").cast("double")
-total("ag10_skewness", "inventory_snapshots", {"skew": (F.skewness("on_hand_units") * F.sqrt(n * (n - 1)) / F.nullif(n - 2, lit(0.0)), "skewness(on_hand_units)")}, "warehouse_id", "skew")
-total("ag11_distinct", "demand_history", {"days": (F.countDistinct("date"), "count(DISTINCT date)"), "products": (F.countDistinct("product_id"), "count(DISTINCT product_id)")}, "warehouse_id")
+total("ag03_conditional_rate", "purchase_orders", {"late": (lambda: x.rate(c("late_delivery_flag") == 1), rate("late_delivery_flag = 1"))}, "supplier_id", "late")
+total("ag04_conditional_counts", "purchase_orders", {"late": (lambda: F.count_if(c("late_delivery_flag") == 1), "count(*) FILTER (late_delivery_flag = 1)"), "late_units": (lambda: F.sum(F.when(c("late_delivery_flag") == 1, c("ordered_units")).otherwise(0)), "CAST(sum(CASE WHEN late_delivery_flag = 1 THEN ordered_units ELSE 0 END) AS BIGINT)")}, "supplier_id")
+total("ag05_ratio_of_sums", "demand_history", {"fill": (lambda: x.fill_ratio(F.sum("units_fulfilled"), F.sum("units_demanded")), div("sum(units_fulfilled)", "sum(units_demanded)", "1"))}, "warehouse_id", "fill")
+total("ag06_mean_of_ratios", "demand_history", {"fill": (lambda: F.avg(x.fill_ratio("units_fulfilled", "units_demanded")), f"avg({div('units_fulfilled', 'units_demanded', '1')})")}, "warehouse_id", "fill")
+total("ag07_sample_deviation", "purchase_orders", {"spread": (lambda: F.coalesce(F.stddev_samp("ordered_units"), lit(0.0)), "coalesce(stddev_samp(ordered_units), 0)")}, "supplier_id", "spread")
+total("ag08_quantiles", "inventory_snapshots", {f"p{q}": (lambda q=q: F.percentile("days_of_supply", q / 100), f"quantile_cont(days_of_supply, {q / 100})") for q in (25, 50, 90, 99)}, "warehouse_id", "p25 p50 p90 p99")
+total("ag09_median", "inventory_snapshots", {"middle": (lambda: F.median("on_hand_units"), "median(on_hand_units)")}, "warehouse_id", "middle")
+
+
+def _skewness() -> Column:
+    n = F.count("on_hand_units").cast("double")
+    return F.skewness("on_hand_units") * F.sqrt(n * (n - 1)) / F.nullif(n - 2, lit(0.0))
+
+
+total("ag10_skewness", "inventory_snapshots", {"skew": (_skewness, "skewness(on_hand_units)")}, "warehouse_id", "skew")
+total("ag11_distinct", "demand_history", {"days": (lambda: F.countDistinct("date"), "count(DISTINCT date)"), "products": (lambda: F.countDistinct("product_id"), "count(DISTINCT product_id)")}, "warehouse_id")
 register("ag12_repeated_keys", lambda t: t.purchase_orders.groupBy("product_id", "warehouse_id").count().agg(F.sum(c("count") - 1).alias("repeats")), "SELECT CAST(count(*) - count(DISTINCT (product_id, warehouse_id)) AS BIGINT) AS repeats FROM purchase_orders")
 register(
     "ag13_mode", lambda t: t.demand_history.groupBy("warehouse_id", "units_demanded").count().groupBy("warehouse_id").agg(F.max_by("units_demanded", F.struct("count", "units_demanded")).alias("mode"), (F.max("count") / F.sum("count")).alias("share")),
     "SELECT warehouse_id, max_by(units_demanded, (n, units_demanded)) AS mode, max(n) / CAST(sum(n) AS DOUBLE) AS share FROM (SELECT warehouse_id, units_demanded, count(*) AS n FROM demand_history GROUP BY ALL) GROUP BY 1", "share",
 )
-total("ag14_null_rates", "daily", {f"{k}_null": (F.avg(c(k).isNull().cast("double")), f"avg(CAST({k} IS NULL AS INTEGER))") for k in ("abc_class", "category", "supplier_id")}, doubles="abc_class_null category_null supplier_id_null")
+total("ag14_null_rates", "daily", {f"{k}_null": (lambda k=k: F.avg(c(k).isNull().cast("double")), f"avg(CAST({k} IS NULL AS INTEGER))") for k in ("abc_class", "category", "supplier_id")}, doubles="abc_class_null category_null supplier_id_null")
 register("ag15_two_levels", lambda t: t.demand_history.groupBy("product_id", x.month_of().alias("month")).agg(F.sum("units_demanded").alias("u")).groupBy("product_id").agg(F.avg("u").alias("a_month"), F.count(lit(1)).alias("months")), "SELECT product_id, avg(u) AS a_month, count(*) AS months FROM (SELECT product_id, date_trunc('month', date) AS m, sum(units_demanded) AS u FROM demand_history GROUP BY ALL) GROUP BY 1", "a_month")
-w = F.greatest(D("units_demanded"), lit(1.0))
-total("ag16_weighted_mean", "daily", {"dos": (x.safe_divide(x.money_sum(w * c("days_of_supply")), x.money_sum(w)), f"{money(f'greatest({DEM}, 1) * days_of_supply')} / {money(f'greatest({DEM}, 1)')}")}, "category", "dos")
+WEIGHT = f"greatest({DEM}, 1)"
+
+
+def _weight() -> Column:
+    return F.greatest(D("units_demanded"), lit(1.0))
+
+
+total("ag16_weighted_mean", "daily", {"dos": (lambda: x.safe_divide(x.money_sum(_weight() * c("days_of_supply")), x.money_sum(_weight())), f"{money(f'{WEIGHT} * days_of_supply')} / {money(WEIGHT)}")}, "category", "dos")
 register("ag18_levels", lambda t: t.daily.groupingSets([["region"], ["category"]], "region", "category").agg(F.grouping("region").cast("long").alias("by_category"), F.sum("units_lost_sales").alias("lost")).select(F.coalesce("region", "category").alias("segment"), "by_category", "lost"), "SELECT coalesce(region, category) AS segment, CAST(grouping(region) AS BIGINT) AS by_category, CAST(sum(units_lost_sales) AS BIGINT) AS lost FROM daily GROUP BY GROUPING SETS ((region), (category))")
-total("ag19_carried_label", "daily", {"category": (F.max("category"), "max(category)"), "region": (F.max("region"), "max(region)")}, "product_id")
+total("ag19_carried_label", "daily", {"category": (lambda: F.max("category"), "max(category)"), "region": (lambda: F.max("region"), "max(region)")}, "product_id")
 
 # windows, sorts, sets
 register("wn01_row_number", lambda t: t.products.withColumn("nth", F.row_number().over(Window.partitionBy("category").orderBy(c("unit_price").desc(), "product_id"))).select("product_id", "nth"), "SELECT product_id, row_number() OVER (PARTITION BY category ORDER BY unit_price DESC, product_id) AS nth FROM products")
 register("wn02_total", lambda t: t.products.crossJoin(F.broadcast(t.products.agg(F.count(lit(1)).alias("n"), x.money_sum("unit_price").alias("all_prices")))).select("product_id", "n", "all_prices"), f"SELECT product_id, (SELECT count(*) FROM products) AS n, (SELECT {money('unit_price')} FROM products) AS all_prices FROM products", "all_prices")  # one row
-month = x.month_of().alias("month")
-running = Window.partitionBy("warehouse_id").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
 MONTHS = "SELECT warehouse_id, CAST(date_trunc('month', date) AS DATE) AS month, sum(units_demanded) AS u FROM demand_history GROUP BY ALL"
-register("wn03_running_sum", lambda t: t.demand_history.groupBy("warehouse_id", month).agg(F.sum("units_demanded").alias("u")).select("warehouse_id", "month", F.sum("u").over(running).alias("so_far")), f"SELECT warehouse_id, month, CAST(sum(u) OVER (PARTITION BY warehouse_id ORDER BY month ROWS UNBOUNDED PRECEDING) AS BIGINT) AS so_far FROM ({MONTHS})")
+register("wn03_running_sum", lambda t: t.demand_history.groupBy("warehouse_id", x.month_of().alias("month")).agg(F.sum("units_demanded").alias("u")).select("warehouse_id", "month", F.sum("u").over(Window.partitionBy("warehouse_id").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)).alias("so_far")), f"SELECT warehouse_id, month, CAST(sum(u) OVER (PARTITION BY warehouse_id ORDER BY month ROWS UNBOUNDED PRECEDING) AS BIGINT) AS so_far FROM ({MONTHS})")
 register("wn04_over_aggregate", lambda t: t.daily.groupBy("category").agg(F.count(lit(1)).alias("n")).withColumn("share", c("n") / F.sum("n").over(Window.partitionBy())), "SELECT category, count(*) AS n, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share FROM daily GROUP BY 1", "share")
 register("wn07_share_of_total", lambda t: t.daily.groupBy("category").agg(F.sum("units_lost_sales").alias("lost")).withColumn("share", x.share("lost", F.sum("lost").over(Window.partitionBy()))).select("category", "share"), f"SELECT category, {div('sum(units_lost_sales)', 'sum(sum(units_lost_sales)) OVER ()', 'NULL')} AS share FROM daily GROUP BY 1", "share")
 register("sl02_top", lambda t: t.products.orderBy(c("unit_price").desc(), "product_id").limit(25).select("product_id", "unit_price"), "SELECT product_id, unit_price FROM products ORDER BY unit_price DESC, product_id LIMIT 25", "unit_price")
