@@ -1,17 +1,88 @@
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
 import corpus_pipeline
+from shelfspark.llm import line_dedup, near_dedup, toxicity
 from shelfspark.llm.common import stored
 
 
+def stages(spark, folder):
+    """documents, and what each stage makes of its predecessor's rows."""
+    seen = [spark.read.parquet(f"{folder}/documents.parquet")]
+    for _, stage in corpus_pipeline.STAGES:
+        seen.append(stored(stage(spark, seen[-1], folder)))
+    return seen
+
+
+@pytest.fixture(scope="module")
+def small(spark, data):
+    return [df.collect() for df in stages(spark, data)]
+
+
+def test_toxicity_stage_scores_every_text(spark, data, small):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{data}/labels.parquet"))
+    scorer, limits = toxicity.Scorer(model), model.thresholds
+    kept = [r for r in small[0] if scorer.score(r.text or "") < limits.get(r.lang, limits[None])]
+    assert sorted(kept, key=repr) == sorted(small[1], key=repr)
+
+
+def test_line_stage_equals_brute_force(small):
+    plain = lambda line: re.sub("[ \t\r\f\xa0]+", " ", line).strip(" ")
+    pages, found = Counter(r.source for r in small[1]), Counter()
+    for r in small[1]:
+        found.update({(r.source, plain(line)) for line in (r.text or "").split("\n") if plain(line)})
+    drop = {(s, line) for (s, line), n in found.items() if n >= line_dedup.LEAST_PAGES and n >= pages[s] * line_dedup.RATIO}
+    want = {r.doc_id: "\n".join(line for line in (r.text or "").split("\n") if (r.source, plain(line)) not in drop) for r in small[1]}
+    assert drop and {r.doc_id: r.text for r in small[2]} == want
+    assert all(r.n_chars == len(r.text) for r in small[2] if r.text != next(x.text for x in small[1] if x.doc_id == r.doc_id))
+
+
+def test_near_duplicate_stage_equals_brute_force(small):
+    rows = sorted(small[2], key=lambda r: r.doc_id)
+    words = [near_dedup.words_of(r.text or "") for r in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and (words[i] == words[j] or (words[i] and words[j] and near_dedup.similar(words[i], words[j], near_dedup.SIMILARITY))):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    assert len(set(label)) < len(rows)
+    assert sorted(r.doc_id for r in small[3]) == [rows[i].doc_id for i in sorted(set(label))]
+    assert {r.doc_id: r for r in small[3]} == {rows[i].doc_id: rows[i] for i in set(label)}
+
+
+def test_packing_stage_holds_every_id_once(small):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {r.doc_id: np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4") for r in small[3]}
+    filled, reached = Counter(), Counter()
+    for r in sorted(small[4], key=lambda r: (r.doc_id, r.start)):
+        assert r.start == reached[r.doc_id] and zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32
+        reached[r.doc_id] += r.length
+        filled[r.sequence_id] += r.length
+    assert reached == {i: len(x) for i, x in ids.items()} and max(filled.values()) <= 4096
+
+
 def test_stages(spark):
     folder = "/root/testdata/sf0.01"
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
-    seen = [docs]
-    for _, stage in corpus_pipeline.STAGES:
-        seen.append(stored(stage(spark, seen[-1], folder)))
+    seen = stages(spark, folder)
     ids = [{r.doc_id for r in df.select("doc_id").collect()} for df in seen]
     assert ids[0] >= ids[1] == ids[2] >= ids[3] == ids[4]
-    assert all(df.columns == docs.columns for df in seen[:4])
+    assert all(df.columns == seen[0].columns for df in seen[:4])
     gone = ids[0] - ids[1]
     assert sum(labels.get(i) == 1 for i in gone) > 0.85 * sum(v == 1 for v in labels.values())
     assert sum(labels.get(i) == 0 for i in gone) < 0.03 * len(labels)
+
+
+def test_no_documents(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, data))
+        assert docs.count() == 0
