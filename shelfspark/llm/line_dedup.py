@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import stored
+from shelfspark.llm.common import fresh, stored
 
 #: Share of a host's pages from which a line is boilerplate, and on how many pages it must stand at least.
 RATIO, LEAST_PAGES = 0.2, 3
@@ -71,17 +71,18 @@ def drop_boilerplate(df: DataFrame, host_col: str, text_col: str, ratio: float =
     counted or dropped. Null hosts are one host, null texts are empty, repeated rows count each, texts
     keep the order of their lines, and rows stay even when no line is left.
     """
-    found = stored(boilerplate(df, host_col, text_col, ratio, least_pages)).select(F.col("host").alias("_host"), F.col("drop").alias("_drop"))
-    if (found.agg(F.sum(F.size("_drop"))).first()[0] or 0) <= BROADCAST_LINES:
+    its_host, its_drop, its_left = fresh(df, "_host", "_drop", "_left")
+    found = stored(boilerplate(df, host_col, text_col, ratio, least_pages)).select(F.col("host").alias(its_host), F.col("drop").alias(its_drop))
+    if (found.agg(F.sum(F.size(its_drop))).first()[0] or 0) <= BROADCAST_LINES:
         found = F.broadcast(found)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = df.join(found, F.coalesce(F.col(host_col).cast("string"), F.lit("")) == F.col("_host"), "left")
-    lines, drop = F.split(text, "\n"), F.col("_drop")
+    joined = df.join(found, F.coalesce(F.col(host_col).cast("string"), F.lit("")) == F.col(its_host), "left")
+    lines, drop = F.split(text, "\n"), F.col(its_drop)
     stays = lambda line: ~F.array_contains(drop, _key(line)) | (_plain(line) == "")
     left = F.when(drop.isNull(), lines).otherwise(F.filter(lines, stays))
     full = lambda a: F.size(F.filter(a, lambda line: _plain(line) != ""))
-    out = joined.withColumn("_left", left).withColumns({"n_lines": full(lines).cast("long"), "n_dropped": (F.size(lines) - F.size("_left")).cast("long")})
-    return out.withColumn(text_col, F.array_join("_left", "\n")).drop("_left", "_host", "_drop")
+    out = joined.withColumn(its_left, left).withColumns({"n_lines": full(lines).cast("long"), "n_dropped": (F.size(lines) - F.size(its_left)).cast("long")})
+    return out.withColumn(text_col, F.array_join(its_left, "\n")).drop(its_left, its_host, its_drop)
 
 
 #: The same in DuckDB, for ``pages``: page_id, host, n_lines, n_dropped, text.

@@ -147,6 +147,15 @@ def test_line_dedup(spark):
     assert line_dedup.drop_boilerplate(df.limit(0), "host", "text").count() == 0
 
 
+def test_clashing_names(spark):
+    names = "_host _drop _left _head _nth host label".split()
+    df = spark.createDataFrame([(i, f"Menu\nbody {i} text", "s", *names) for i in range(6)], f"doc_id long, text string, source string, {', '.join(f'{n} string' for n in names)}")
+    rows = line_dedup.drop_boilerplate(df, "source", "text").orderBy("doc_id").collect()
+    assert [r.text for r in rows] == [f"body {i} text" for i in range(6)] and all([r[n] for n in names] == names for r in rows)
+    kept = near_dedup.keep_one(df.unionByName(df))
+    assert kept.columns == df.columns and sorted(kept.collect()) == sorted(df.collect())
+
+
 def test_large_boilerplate_is_joined_alike(spark, monkeypatch):
     df = spark.createDataFrame([(i, "h", f"Menu\n{i}") for i in range(9)], "page_id long, host string, text string")
     small = line_dedup.drop_boilerplate(df, "host", "text").orderBy("page_id").collect()
