@@ -81,15 +81,18 @@ _TOUCHING = re.compile(r"[^\w\s]{2}|_")
 _LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\u012f\u0132-\u017f]+")
 
 
-def word_segments(text: str) -> list[str] | None:
+def word_segments(text: str, special: Iterable[str] = ()) -> list[str] | None:
     """Parts of a text that a lower-casing tokenizer without white space can encode by themselves.
 
     Latin texts are put in lower case, and full stops and commas that touch no other sign stand alone, so
-    that fewer parts differ. None if the text holds a control character on which engines differ.
+    that fewer parts differ. None if the text holds a control character on which engines differ, or if
+    lower case makes one of the ``special`` tokens, which a tokenizer looks for in the raw text.
     """
     if _NOT_LATIN.search(text):
         return None if _ODD_CONTROL.search(text) else text.split()
-    text = text.lower()
+    raw, text = text, text.lower()
+    if any(text.count(token) != raw.count(token) for token in special):
+        return None
     if not _TOUCHING.search(text):
         text = text.replace(".", " . ").replace(",", " , ")
     return text.split()

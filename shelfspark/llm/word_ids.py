@@ -20,6 +20,7 @@ class WordIds:
 
         self.library = Tokenizer.from_file(path)
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
         self.spell = dict(enumerate(byte_alphabet()))
 
@@ -34,7 +35,7 @@ class WordIds:
 
     def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
         """Ids of each text, then ``end``, as little-endian unsigned 32-bit integers."""
-        cut = [word_segments(t) for t in texts]
+        cut = [word_segments(t, self.special) for t in texts]
         whole = iter(self._ids([t for t, s in zip(texts, cut, strict=True) if s is None]))
         if len(self.memo) > MEMO_ENTRIES:
             self.memo.clear()

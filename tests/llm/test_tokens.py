@@ -81,6 +81,12 @@ def test_word_ids_equal_the_library():
         assert np.frombuffer(model.encode([text])[0], "<u4").tolist() == model.library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_special_tokens_are_looked_for_in_raw_text():
+    model = WordIds(WORDS)
+    for text in ["a <|ENDOFTEXT|> b", "<|EndOfText|>", "x <|endoftext|> y <|ENDOFTEXT|> z", "a<|StartOfText|>b", "a <|endoftext|> B.", "A <|ENDOFTEXT|>. 漢"]:
+        assert np.frombuffer(model.encode([text])[0], "<u4").tolist() == model.library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def expected_ids(docs, end):
     library = Tokenizer.from_file(WORDS)
     return [(i, np.array([*library.encode(t, add_special_tokens=False).ids, end], "<u4")) for i, t in sorted(plain_texts(docs), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))]
