@@ -21,8 +21,11 @@ from shelfspark.llm.common import MEMO_ENTRIES, fresh, slices, stored
 
 #: Words in a k-mer, k-mers in a sketch, sketches of a text, least similarity.
 WORDS, PICKS, SKETCHES, SIMILARITY = 5, 2, 16, 0.8
-#: Rounds in which what still shares a bucket with another class is compared to a new member of the bucket.
+#: Rounds in which what still shares a bucket with another class is compared to a new member of the bucket,
+#: so that large classes are joined before the pairs that are left are compared one by one.
 ROUNDS = 3
+#: Members of a bucket that are paired in one group of the last pass, and bins of a text's word counts there.
+BLOCK_ROWS, BINS = 256, 128
 #: Hash values held at a time while sketches are made.
 _BLOCK = 1 << 20
 _find_words = re.compile(r"\w+").findall
@@ -187,6 +190,68 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.select("label", "other_label", "text_a", "text_b").mapInArrow(aligned, f"label {kind}, other_label {kind}")
 
 
+def word_bins(df: DataFrame) -> DataFrame:
+    """id, n_words and bins (binary: unsigned 16-bit counts of hashed words, the highest count standing for more) of each id, text."""
+    kind = df.schema["id"].dataType.simpleString()
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _WordHashes()
+        for batch in slices(batches):
+            if len(known) > MEMO_ENTRIES:
+                known.clear()
+            numbers, bins = [], []
+            for text in batch.column(1).to_pylist():
+                words = words_of(text)
+                at = np.fromiter(map(known.__getitem__, words), np.uint64, len(words)) % np.uint64(BINS)
+                numbers.append(len(words))
+                bins.append(np.minimum(np.bincount(at.astype(np.int64), minlength=BINS), 65535).astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.int64()), pa.array(bins, pa.binary())], names=["id", "n_words", "bins"])
+
+    return df.select("id", "text").mapInArrow(binned, f"id {kind}, n_words bigint, bins binary")
+
+
+def _rest(entries: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """id, label, other, other_label: every pair of one bucket and two classes, but for those that cannot align.
+
+    Lengths and binned word counts differ by no more than the edit distance on either side, so a pair that
+    they part is no link. Members of a bucket are dealt to blocks; a group holds two blocks of a bucket.
+    """
+    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    sizes = sizes.filter("low <> high").select("key", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks"))
+    mixed = stored(entries.join(sizes, "key"))
+    bins = word_bins(texts.join(mixed.select("id").distinct(), "id", "left_semi"))
+    own = F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).alias("own")
+    dealt = mixed.join(bins, "id").select("key", "id", "label", "n_words", "bins", own, "blocks")
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"), "id", "label", "n_words", "bins", "own")
+    kind = entries.schema["id"].dataType.simpleString()
+
+    def paired(group: pa.Table) -> pa.Table:
+        ids, labels = group.column("id").combine_chunks(), group.column("label").combine_chunks()
+        own, n = group.column("own").to_numpy(), group.column("n_words").to_numpy()
+        bins = np.frombuffer(b"".join(group.column("bins").to_pylist()), "<u2").reshape(-1, BINS).astype(np.int32)
+        code = labels.dictionary_encode().indices.to_numpy()
+        one, two = group.column("one")[0].as_py(), group.column("two")[0].as_py()
+        firsts, left, right = np.flatnonzero(own == one), [], []
+        for nth, i in enumerate(firsts):
+            others = firsts[nth + 1 :] if one == two else np.flatnonzero(own == two)
+            others = others[code[others] != code[i]]
+            limit = ((1 - similarity) * np.maximum(n[others], n[i]) + 1e-9).astype(np.int64)
+            near = np.abs(n[others] - n[i]) <= limit
+            others, limit = others[near], limit[near]
+            apart = bins[others] - bins[i]
+            fits = (np.maximum(apart, 0).sum(axis=1) <= limit) & (np.maximum(-apart, 0).sum(axis=1) <= limit)
+            right.append(others[fits])
+            left.append(np.full(len(right[-1]), i))
+        a, b = (pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (left, right))
+        return pa.table({"id": ids.take(a), "label": labels.take(a), "other": ids.take(b), "other_label": labels.take(b)})
+
+    found = dealt.groupBy("key", "one", "two").applyInArrow(paired, f"id {kind}, label {kind}, other {kind}, other_label {kind}")
+    swap = F.col("id") > F.col("other")
+    ends = [F.when(swap, b).otherwise(F.col(a)).alias(a) for a, b in (("id", F.col("other")), ("label", F.col("other_label")), ("other", F.col("id")), ("other_label", F.col("label")))]
+    return found.select(*ends).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, label for each end of ``links`` (two columns): the smallest id that it reaches.
 
@@ -219,8 +284,9 @@ def near_duplicates(
     Classes are the connected components of links between texts whose words align to ``similarity`` or
     more (1 - edit distance / words of the longer text). Texts with the same words are one text from the
     start. Candidates share one of ``number`` sketches of ``picks`` k-mers. In each bucket all members are
-    compared to one of them, and again, for ``rounds``, those that are not yet in its class to another,
-    so that the work is in proportion to the members, not to their pairs. No bucket is cut or left out.
+    compared to one of them, and again, for ``rounds``, those that are not yet in its class to another, so
+    that large classes are joined with work in proportion to their members. Then every pair of a bucket
+    whose texts are still in two classes is compared: no bucket is cut or left out.
 
     Null and empty texts are one text; a text without words counts as one word. Rows without an id keep a
     null class. Ids that repeat are one node of the graph. Other columns are ignored.
@@ -236,11 +302,14 @@ def near_duplicates(
     texts = stored(rows.join(entries.select("id").distinct(), "id", "left_semi").distinct())
 
     entries = entries.withColumn("label", F.col("id"))
-    for turn in range(rounds):
-        draw = F.xxhash64("id", F.lit(turn))
-        heads = entries.groupBy("key").agg(F.min(F.struct(draw.alias("draw"), "id", "label")).alias("head"), F.min("label").alias("low"), F.max("label").alias("high"))
-        heads = heads.filter("low <> high").select("key", F.col("head.id").alias("other"), F.col("head.label").alias("other_label"))
-        pairs = entries.join(heads, "key").filter("label <> other_label").select("id", "label", "other", "other_label").distinct()
+    for turn in range(rounds + 1):
+        if turn < rounds:
+            draw = F.xxhash64("id", F.lit(turn))
+            heads = entries.groupBy("key").agg(F.min(F.struct(draw.alias("draw"), "id", "label")).alias("head"), F.min("label").alias("low"), F.max("label").alias("high"))
+            heads = heads.filter("low <> high").select("key", F.col("head.id").alias("other"), F.col("head.label").alias("other_label"))
+            pairs = entries.join(heads, "key").filter("label <> other_label").select("id", "label", "other", "other_label").distinct()
+        else:
+            pairs = _rest(entries, texts, similarity)
         links = stored(_verified(pairs, texts, similarity).distinct())
         if links.isEmpty():
             continue

@@ -113,6 +113,19 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_pairs_that_meet_only_beside_a_large_class(spark, monkeypatch):
+    """One passage as all sketches: every text is in the same buckets, most are of one class, and heads are drawn from it."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 7, raising=False)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    large, pairs = [word() for _ in range(60)], [[word() for _ in range(60)] for _ in range(5)]
+    texts = [" ".join([*large[:i], word(), *large[i + 1 :]]) for i in range(60)] + [" ".join([*p, *more]) for p in pairs for more in ([], [word()])]
+    whole = near_dedup.sketches
+    monkeypatch.setattr(near_dedup, "sketches", lambda *a: whole(*a).withColumn("keys", F.array(F.lit(1).cast("long"))))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(frame(spark, texts)).collect()}
+    assert got == {i: 0 if i < 60 else i - i % 2 for i in range(70)}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (200, 150), (150, 199)]
     got = {r.id: r.label for r in near_dedup.components(spark.createDataFrame(chain, "id long, other long")).collect()}
