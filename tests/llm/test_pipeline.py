@@ -81,6 +81,24 @@ def test_stages(spark):
     assert sum(labels.get(i) == 0 for i in gone) < 0.03 * len(labels)
 
 
+def test_rare_lines_go_and_copies_stay_whole(spark):
+    """300 documents a source: a line in 6 of them goes; ten copies of one document keep their lines for the next stage."""
+    own = lambda i: f"own text of number {i}, " * 5
+    texts = [f"{own(i)}\nLicensed under X." if i < 6 else own(i) for i in range(300)] + ["one whole text\nof two lines"] * 10
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.drop_boilerplate(spark, docs, "").collect()}
+    assert all(got[i].text == (own(i) if i < 300 else texts[i]) and got[i].n_chars == len(got[i].text) for i in range(310))
+
+
+def test_lines_are_dropped_at_a_larger_size(spark):
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    left = corpus_pipeline.drop_boilerplate(spark, docs, folder).withColumnRenamed("text", "rest")
+    changed = docs.join(left.select("doc_id", "rest"), "doc_id").filter("rest <> text")
+    licenses = lambda c: changed.filter(f"{c} like '%GNU General Public License%'").count()
+    assert left.count() == docs.count() and changed.count() > 1000 and licenses("text") > 2 * licenses("rest")
+
+
 def test_no_documents(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
