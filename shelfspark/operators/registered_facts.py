@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 
 from shelfspark.operators import facts, kpis
 from shelfspark.operators.registered import FILL, LOSS, LOST, U, amounts, skus, suppliers, warehouses
-from shelfspark.oracles.base import dbl, mean_money, money, part
+from shelfspark.oracles.base import PARTS, dbl, mean_money, money, part
 from shelfspark.plans import impact
-from shelfspark.registry import register
+from shelfspark.registry import ORACLES, PLANS, register
 from shelfspark.sources.fixtures import Tables
 
 U2 = "CAST(sum(units_demanded) AS BIGINT) AS units_demanded, CAST(sum(units_fulfilled) AS BIGINT) AS units_fulfilled"
@@ -57,8 +57,18 @@ def fact(t: Tables) -> DataFrame:
     return t.keep("monthly fact", lambda: facts.monthly_fact(facts.daily_proxies(amounts(t))))
 
 
-def shown(t: Tables) -> DataFrame:
-    return SHOWN.of(fact(t))
+class AllMonths:
+    """Tables of which the slices show every month, from the data's first to its last."""
+
+    def __init__(self, t: Tables):
+        self._tables = t
+
+    def __getattr__(self, name: str) -> object:
+        return getattr(self._tables, name)
+
+
+def shown(t: Tables | AllMonths) -> DataFrame:
+    return fact(t) if isinstance(t, AllMonths) else SHOWN.of(fact(t))
 
 
 register("db01_daily_proxies", lambda t: facts.daily_proxies(amounts(t)), "SELECT * FROM proxies")
@@ -180,3 +190,14 @@ register(
     ),
 )
 register("db27_empty_slice", lambda t: facts.is_empty(facts.Slice({"region": "ATLANTIS"}).of(fact(t))), "SELECT count(*) = 0 AS is_empty FROM month_fact WHERE region = 'ATLANTIS'")
+
+
+def _over_all_months(name: str) -> None:
+    """The slice query ``name`` once more, over the whole monthly fact; its oracle lacks the filter by month."""
+    plan = PLANS[name]
+    register(f"{name}_all_months", lambda t: plan(AllMonths(t)))
+    ORACLES[f"{name}_all_months"] = ORACLES[name].replace(f"shown AS ({PARTS['shown']})", "shown AS (SELECT * FROM month_fact)")
+
+
+for _name in [n for n in PLANS if "db09" <= n[:4] <= "db26" and n[:4] != "db24"]:
+    _over_all_months(_name)

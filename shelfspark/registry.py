@@ -13,6 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+PLANS: dict[str, Callable[[Tables], DataFrame]] = {}
 _HELD: dict[tuple[str, str], Tables] = {}
 
 
@@ -40,6 +41,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 def register(name: str, plan: Callable[[Tables], DataFrame], sql: str | None = None) -> None:
     """Register ``plan`` under ``name``; ``sql`` selects the same columns from the oracle's parts."""
+    PLANS[name] = plan
     QUERIES[name] = lambda spark, folder: rounded(plan(tables(spark, folder)))
     if sql:
         from shelfspark.oracles.base import query

@@ -31,3 +31,15 @@ def test_query_equals_oracle(spark, data, name):
 
 def test_every_query_has_its_oracle():
     assert set(catalog.QUERIES) == set(catalog.ORACLES)
+
+
+@pytest.mark.parametrize("name", ["db09_slice_totals", "db10_slice_by_month", "db16_slice_by_sku", "db20_kpi_tiles"])
+def test_slices_over_all_months(spark, data, name):
+    test_query_equals_oracle(spark, data, f"{name}_all_months")
+
+
+def test_all_months_are_all_months(spark, data):
+    months = lambda name: {r.month for r in catalog.QUERIES[name](spark, data).select("month").distinct().collect()}
+    assert months("db10_slice_by_month_all_months") == months("db02_monthly_sku_fact") > months("db10_slice_by_month")
+    assert sum(n.endswith("_all_months") for n in catalog.QUERIES) == 17
+    assert not any("1996-01-01' AND DATE" in sql for n, sql in catalog.ORACLES.items() if n.endswith("_all_months"))
