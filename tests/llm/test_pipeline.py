@@ -69,6 +69,10 @@ def test_packing_stage_holds_every_id_once(small):
     assert reached == {i: len(x) for i, x in ids.items()} and max(filled.values()) <= 4096
 
 
+def test_pipeline_holds_the_packed_ids(small):
+    assert small[4] and all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in small[4])
+
+
 def test_stages(spark):
     folder = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
