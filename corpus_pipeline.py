@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from shelfspark.llm import line_dedup, near_dedup, packing, toxicity
 from shelfspark.llm.common import fresh, stored, table
 
-#: Share of a source's documents from which a line is boilerplate. At sf0.1 (500 documents a source) the planted lines and
-#: passages stand in 3 to 66 documents, so a fifth finds none and this share finds those in 3 or more.
+#: Share of a source's documents from which a line is boilerplate. At sf0.1 (500 documents a source) repeated lines
+#: stand in up to 66 documents, so a fifth finds none and this share finds those in 3 or more.
 LINE_RATIO = 0.005
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
