@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,14 @@ TAG = r"(?s)<[^>]*>"
 REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 BLANKS = r"[ \t\r\f\x{a0}]+"
 
+#: The same languages as ``HIDDEN`` and ``BREAKS`` for the plan: one sign to look for, no step back.
+_HIDDEN = r"(?i)<(?:!--[^-]*+(?:-(?!->)[^-]*+)*+-->|head(?:[ \t\r\n][^>]*+)?+>[^<]*+(?:<(?!/head>)[^<]*+)*+</head>|s(?:cript[^>]*+>[^<]*+(?:<(?!/script>)[^<]*+)*+</script>|tyle[^>]*+>[^<]*+(?:<(?!/style>)[^<]*+)*+</style>))"
+_BREAKS = r"(?i)</?+(?:p(?:re)?+|d(?:iv|[ltd])|li|[uo]l|h(?:[1-6]|eader|tml)|t(?:able|[rdh])|b(?:r|ody|lockquote)|a(?:rticle|side)|nav|fo(?:oter|rm)|section|main)(?:[ \t\r\n/][^>]*+)?+>"
+#: References that few pages hold: all but the last three.
+_SELDOM = "&(?:nbsp|[lg]t|quot|#39);"
+#: Blanks that are not one space already; texts without these signs hold none.
+_WIDE, _BLANK_SIGNS = r"[ \t\r\f\x{a0}]{2,}+|[\t\r\f\x{a0}]", ("  ", "\t", "\r", "\f", "\xa0")
+
 
 def host_of(url: Column) -> Column:
     """Host in lower case without user, port and ``www.``; empty for nulls and for what is no address."""
@@ -27,23 +38,29 @@ def host_of(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(found, r"^.*@|:[0-9]*$", ""), r"^www\.", "")
 
 
+def _single_spaced(text: Column) -> Column:
+    wide = reduce(or_, [F.contains(text, F.lit(sign)) for sign in _BLANK_SIGNS])
+    return F.when(wide, F.regexp_replace(text, _WIDE, " ")).otherwise(text)
+
+
 def html_text(html: Column) -> Column:
     """Visible text of a page, a line for each block."""
-    text = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, "")
-    text = F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), TAG, "")
-    for name, character in REFERENCES:
-        text = F.replace(text, F.lit(name), F.lit(character))
-    lines = F.filter(F.transform(F.split(text, "\n"), _plain), lambda line: line != "")
-    return F.array_join(lines, "\n")
+    text = F.regexp_replace(F.coalesce(html, F.lit("")), _HIDDEN, "")
+    text = F.regexp_replace(F.regexp_replace(text, _BREAKS, "\n"), TAG, "")
+    replaced = lambda references: reduce(lambda t, r: F.replace(t, F.lit(r[0]), F.lit(r[1])), references, text)
+    text = F.when(F.rlike(text, F.lit(_SELDOM)), replaced(REFERENCES)).otherwise(replaced(REFERENCES[-3:]))
+    text = F.replace(_single_spaced(text), F.lit(" \n"), F.lit("\n"))
+    return F.btrim(F.regexp_replace(text, r"\n[ \n]++", "\n"), F.lit(" \n"))
 
 
-def _plain(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, BLANKS, " "))
+def plain(text: Column) -> Column:
+    """``text`` with each line as it is compared: one space for blanks inside a line, none at its ends."""
+    text = F.replace(F.replace(_single_spaced(text), F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
+    return F.btrim(text, F.lit(" "))
 
 
 def _key(line: Column) -> Column:
-    """128 bits that stand for a line, without blanks at its ends and runs of them inside."""
-    line = _plain(line)
+    """128 bits that stand for a plain line."""
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("second half"), line).alias("b"))
 
 
@@ -56,8 +73,8 @@ def boilerplate(df: DataFrame, host_col: str, text_col: str, ratio: float = RATI
     """
     pages = df.select(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    lines = F.filter(F.split("text", "\n"), lambda line: _plain(line) != "")
-    keys = pages.select("host", F.explode(F.array_distinct(F.transform(lines, _key))).alias("key"))
+    lines = pages.select("host", F.explode(F.array_distinct(F.split(plain(F.col("text")), "\n"))).alias("line"))
+    keys = lines.filter("line <> ''").select("host", _key(F.col("line")).alias("key"))
     counts = keys.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_pages)
     frequent = counts.join(totals, "host").filter(F.col("n") >= F.col("pages") * ratio)
     return frequent.groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("drop"))
@@ -69,20 +86,22 @@ def drop_boilerplate(df: DataFrame, host_col: str, text_col: str, ratio: float =
     A line is boilerplate if at least ``least_pages`` and at least the share ``ratio`` of its host's rows
     contain it. Lines are compared without blanks at their ends; those without any other character are never
     counted or dropped. Null hosts are one host, null texts are empty, repeated rows count each, texts
-    keep the order of their lines, and rows stay even when no line is left.
+    keep the order of their lines, and rows stay even when no line is left. Columns of ``df`` stay: where it
+    has an n_lines or n_dropped, the new one has an underscore after its name (``fresh``).
     """
-    its_host, its_drop, its_left = fresh(df, "_host", "_drop", "_left")
+    its_host, its_drop, its_plain, its_left, n_lines, n_dropped = fresh(df, "_host", "_drop", "_plain", "_left", "n_lines", "n_dropped")
     found = stored(boilerplate(df, host_col, text_col, ratio, least_pages)).select(F.col("host").alias(its_host), F.col("drop").alias(its_drop))
     if (found.agg(F.sum(F.size(its_drop))).first()[0] or 0) <= BROADCAST_LINES:
         found = F.broadcast(found)
     text = F.coalesce(F.col(text_col), F.lit(""))
     joined = df.join(found, F.coalesce(F.col(host_col).cast("string"), F.lit("")) == F.col(its_host), "left")
-    lines, drop = F.split(text, "\n"), F.col(its_drop)
-    stays = lambda line: ~F.array_contains(drop, _key(line)) | (_plain(line) == "")
-    left = F.when(drop.isNull(), lines).otherwise(F.filter(lines, stays))
-    full = lambda a: F.size(F.filter(a, lambda line: _plain(line) != ""))
-    out = joined.withColumn(its_left, left).withColumns({"n_lines": full(lines).cast("long"), "n_dropped": (F.size(lines) - F.size(its_left)).cast("long")})
-    return out.withColumn(text_col, F.array_join(its_left, "\n")).drop(its_left, its_host, its_drop)
+    joined = joined.withColumn(its_plain, F.split(plain(text), "\n"))
+    lines, lean, drop = F.split(text, "\n"), F.col(its_plain), F.col(its_drop)
+    # a line goes if its key is boilerplate; the plain line at its place gives the key
+    stays = lambda line, i: (F.get(lean, i) == "") | ~F.array_contains(drop, _key(F.get(lean, i)))
+    out = joined.withColumn(its_left, F.when(drop.isNull(), lines).otherwise(F.filter(lines, stays)))
+    out = out.withColumns({n_lines: F.size(F.array_remove(lean, "")).cast("long"), n_dropped: (F.size(lean) - F.size(its_left)).cast("long")})
+    return out.withColumn(text_col, F.array_join(its_left, "\n")).drop(its_left, its_plain, its_host, its_drop)
 
 
 #: The same in DuckDB, for ``pages``: page_id, host, n_lines, n_dropped, text.

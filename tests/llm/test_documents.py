@@ -169,6 +169,79 @@ def test_clashing_names(spark):
     assert kept.columns == df.columns and sorted(kept.collect()) == sorted(df.collect())
 
 
+def test_line_counts_never_overwrite_columns(spark):
+    df = spark.createDataFrame([(i, "h", f"Menu\n{i}", 77, "d") for i in range(4)], "page_id long, host string, text string, n_lines long, N_DROPPED string")
+    row = line_dedup.drop_boilerplate(df, "host", "text").first()
+    assert row.n_lines == 77 and row.N_DROPPED == "d" and row["n_lines_"] == 2 and row["n_dropped_"] == 1
+
+
+def slow_html_text(html):
+    """An extractor of its own: signs one by one, no pattern of the operator."""
+    def element(text, start, name):
+        low = text.lower()
+        rest = low[start + 1 :]
+        if name == "!--":
+            end = low.find("-->", start + 4) if rest.startswith("!--") else -1
+            return end + 3 if end >= 0 else 0
+        if not rest.startswith(name):
+            return 0
+        at, gap = start + 1 + len(name), low[start + 1 + len(name) : start + 2 + len(name)]
+        if name == "head" and gap not in (">", " ", "\t", "\r", "\n"):
+            return 0
+        opened = low.find(">", at)
+        closed = low.find(f"</{name}>", opened + 1) if opened >= 0 else -1
+        return closed + len(name) + 3 if closed >= 0 else 0
+
+    out, at = [], 0
+    while at < len(html):
+        end = max((element(html, at, name) for name in ("!--", "head", "script", "style")), default=0) if html[at] == "<" else 0
+        if not end:
+            out.append(html[at])
+        at = end or at + 1
+    blocks = set("p br div li ul ol dl dt dd h1 h2 h3 h4 h5 h6 article nav footer header section main aside table tr td th form pre blockquote body html".split())
+    html, out, at = "".join(out), [], 0
+    while at < len(html):
+        end = html.find(">", at) if html[at] == "<" else -1
+        inside = html[at + 1 : end].removeprefix("/").lower() if end >= 0 else ""
+        name = next((inside[:k] for k, c in enumerate(inside + " ") if c in " \t\r\n/"), "")
+        out.append("\n" if end >= 0 and name in blocks else html[at])
+        at = end + 1 if end >= 0 and name in blocks else at + 1
+    html, text, at = "".join(out), "", 0
+    while at < len(html):
+        end = html.find(">", at) if html[at] == "<" else -1
+        text += "" if end >= 0 else html[at]
+        at = end + 1 if end >= 0 else at + 1
+    for name, sign in {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "#39": "'", "copy": "©", "middot": "·", "amp": "&"}.items():
+        text = text.replace(f"&{name};", sign)
+    lines = [" ".join(w for w in line.replace("\xa0", " ").replace("\t", " ").replace("\r", " ").replace("\f", " ").split(" ") if w) for line in text.split("\n")]
+    return "\n".join(line for line in lines if line)
+
+
+def test_html_text_equals_a_slow_extractor(spark, data):
+    rng = random.Random(6)
+    parts = [" ", "\t", "\n", "\r", "\xa0", "a", "b", "é", "&amp;", "&lt;", "&copy;", "&nbsp;", "<p>", "</P >", "<br/>", "<b>", "<", "!--", "-->", "<!--", "<script>", "</script>", "<head>", "</HEAD>", "<header>", "<head x>", "<style a>", "</style>", "-", ">"]
+    pages = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    pages += [r.html or "" for r in spark.read.parquet(f"{data}/pages.parquet").collect()]
+    got = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i long, html string").select("i", line_dedup.html_text(F.col("html")).alias("text"))
+    assert {r.i: r.text for r in got.collect()} == {i: slow_html_text(p) for i, p in enumerate(pages)}
+
+
+def test_lines_equal_a_slow_count(spark):
+    rng = random.Random(7)
+    line = lambda: "".join(rng.choice([" ", "\t", "\xa0", "a", "b"]) for _ in range(rng.randint(0, 4)))
+    rows = [(i, f"h{i % 3}", "\n".join(line() for _ in range(rng.randint(0, 6)))) for i in range(200)]
+    tidy = lambda x: " ".join(w for w in x.replace("\t", " ").replace("\xa0", " ").split(" ") if w)
+    pages, found = {}, {}
+    for _, h, t in rows:
+        pages[h] = pages.get(h, 0) + 1
+        for x in {tidy(x) for x in t.split("\n")} - {""}:
+            found[h, x] = found.get((h, x), 0) + 1
+    drop = {k for k, n in found.items() if n >= 3 and n >= pages[k[0]] * 0.1}
+    want = {i: "\n".join(x for x in t.split("\n") if (h, tidy(x)) not in drop) for i, h, t in rows}
+    got = line_dedup.drop_boilerplate(spark.createDataFrame(rows, "id long, h string, text string"), "h", "text", 0.1).collect()
+    assert drop and {r.id: r.text for r in got} == want and all(r.n_lines == sum(bool(tidy(x)) for x in rows[r.id][2].split("\n")) for r in got)
+
+
 def test_large_boilerplate_is_joined_alike(spark, monkeypatch):
     df = spark.createDataFrame([(i, "h", f"Menu\n{i}") for i in range(9)], "page_id long, host string, text string")
     small = line_dedup.drop_boilerplate(df, "host", "text").orderBy("page_id").collect()
