@@ -29,14 +29,14 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Lines that a fifth have go everywhere, and emptied documents stay. Rarer ones go only where at least half
     of the text is left: copies of one document repeat all of their lines, and the next stage keeps one of them.
     """
-    few, its_dropped = fresh(docs, "_few", "_dropped")
-    common = line_dedup.drop_boilerplate(docs, "source", "text").withColumnRenamed("n_dropped", its_dropped)
-    common = stored(common.select(*docs.columns, its_dropped))
-    left = line_dedup.drop_boilerplate(common.withColumn(few, F.col("text")), "source", "text", LINE_RATIO)
-    keeps = F.col("n_dropped").eqNullSafe(0) | (F.length("text") * 2 < F.length(few))
-    n_dropped = F.col(its_dropped) + F.when(keeps, 0).otherwise(F.col("n_dropped"))
-    left = left.withColumns({"n_dropped": n_dropped, "text": F.when(keeps, F.col(few)).otherwise(F.col("text"))})
-    n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    few, often, n_dropped = fresh(docs, "_few", "_often", "n_dropped")
+    common = line_dedup.drop_boilerplate(docs, "source", "text").withColumnRenamed(n_dropped, often)
+    common = stored(common.select(*docs.columns, often).withColumn(few, F.col("text")))
+    left = line_dedup.drop_boilerplate(common, "source", "text", LINE_RATIO)
+    keeps = F.col(n_dropped).eqNullSafe(0) | (F.length("text") * 2 < F.length(few))
+    dropped = F.col(often) + F.when(keeps, 0).otherwise(F.col(n_dropped))
+    left = left.withColumns({n_dropped: dropped, "text": F.when(keeps, F.col(few)).otherwise(F.col("text"))})
+    n_chars = F.when(F.col(n_dropped) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
