@@ -7,6 +7,7 @@ sketch are candidates; a banded alignment of their words decides.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -19,15 +20,21 @@ from pyspark.sql import functions as F
 
 from shelfspark.llm.common import MEMO_ENTRIES, fresh, slices, stored
 
-#: Words in a k-mer, k-mers in a sketch, sketches of a text, least similarity.
-WORDS, PICKS, SKETCHES, SIMILARITY = 5, 2, 16, 0.8
+#: Words in a k-mer, k-mers in a sketch, sketches of a text, least similarity. At a word similarity of 0.8 about a
+#: fifth of the k-mers are shared, so a sketch of two agrees for one in 26 pairs; more k-mers would need more sketches.
+WORDS, PICKS, SKETCHES, SIMILARITY = 5, 2, 72, 0.8
+#: Sketches of texts with fewer words than ``SHORT_WORDS``: the few k-mers that edits leave there vary more.
+SHORT_SKETCHES, SHORT_WORDS = 192, 100
 #: Rounds in which what still shares a bucket with another class is compared to a new member of the bucket,
-#: so that large classes are joined before the pairs that are left are compared one by one.
-ROUNDS = 3
+#: so that large classes are joined before the pairs that are left are compared one by one. The first round
+#: looks at one bucket in ``FIRST_OF``: copies share many, and the others need not be compared twice.
+ROUNDS, FIRST_OF = 3, 4
 #: Members of a bucket that are paired in one group of the last pass, and bins of a text's word counts there.
-BLOCK_ROWS, BINS = 256, 128
+BLOCK_ROWS, BINS = 256, 256
+#: Pairs whose bins are compared at a time.
+_PAIRS = 8192
 #: Hash values held at a time while sketches are made.
-_BLOCK = 1 << 20
+_BLOCK, _LARGEST = 1 << 20, np.uint64((1 << 64) - 1)
 _find_words = re.compile(r"\w+").findall
 
 
@@ -72,9 +79,11 @@ def labelled_kmers(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 class Sketcher:
-    def __init__(self, k: int, picks: int, sketches: int):
-        self.k, self.picks, self.words = k, picks, _WordHashes()
-        numbers = np.arange(1, sketches + 1, dtype=np.uint64)
+    """``number`` sketches of a text, or ``short_number`` where it has fewer than ``SHORT_WORDS`` words."""
+
+    def __init__(self, k: int = WORDS, picks: int = PICKS, number: int = SKETCHES, short_number: int = SHORT_SKETCHES):
+        self.k, self.picks, self.number, self.words = k, picks, number, _WordHashes()
+        numbers = np.arange(1, max(number, short_number) + 1, dtype=np.uint64)
         self.seeds = _mix(numbers)[:, None]
         self.odd = (_mix(numbers + np.uint64(1 << 40)) | np.uint64(1))[:, None]
 
@@ -86,25 +95,29 @@ class Sketcher:
         if not n:
             return np.zeros(0, np.int64)
         out, step = [], max(1, _BLOCK // n)
-        for a in range(0, len(self.seeds), step):
-            seeds, odd = self.seeds[a : a + step], self.odd[a : a + step]
+        number = len(self.seeds) if len(words) < SHORT_WORDS else self.number
+        for a in range(0, number, step):
+            seeds, odd = self.seeds[a : min(a + step, number)], self.odd[a : min(a + step, number)]
             drawn = (kmers[None, :] ^ seeds) * odd
             drawn ^= drawn >> np.uint64(31)
-            at = np.sort(np.argpartition(drawn, picks - 1, axis=1)[:, :picks], axis=1)
+            every, smallest = np.arange(len(seeds)), []
+            for _ in range(picks):
+                smallest.append(drawn.argmin(axis=1))
+                drawn[every, smallest[-1]] = _LARGEST
             key = seeds[:, 0]
-            for i in range(picks):
-                key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + kmers[at[:, i]])
+            for at in np.sort(np.stack(smallest), axis=0):
+                key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + kmers[at])
             out.append(key)
         return np.concatenate(out).view(np.int64)
 
 
-def sketches(df: DataFrame, id_col: str, text_col: str, k: int = WORDS, picks: int = PICKS, number: int = SKETCHES) -> DataFrame:
+def sketches(df: DataFrame, id_col: str, text_col: str, k: int = WORDS, picks: int = PICKS, number: int = SKETCHES, short_number: int = SHORT_SKETCHES) -> DataFrame:
     """id, digest (128 bits of the words in order, hexadecimal) and keys (array of long) of each row."""
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = Sketcher(k, picks, number)
+        maker = Sketcher(k, picks, number, short_number)
         for batch in slices(batches):
             digests, keys = [], []
             if len(maker.words) > MEMO_ENTRIES:
@@ -191,7 +204,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 
 def word_bins(df: DataFrame) -> DataFrame:
-    """id, n_words and bins (binary: unsigned 16-bit counts of hashed words, the highest count standing for more) of each id, text."""
+    """id, n_words and bins (binary: unsigned 8-bit counts of hashed words, the highest count standing for more) of each id, text."""
     kind = df.schema["id"].dataType.simpleString()
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +217,7 @@ def word_bins(df: DataFrame) -> DataFrame:
                 words = words_of(text)
                 at = np.fromiter(map(known.__getitem__, words), np.uint64, len(words)) % np.uint64(BINS)
                 numbers.append(len(words))
-                bins.append(np.minimum(np.bincount(at.astype(np.int64), minlength=BINS), 65535).astype("<u2").tobytes())
+                bins.append(np.minimum(np.bincount(at.astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.int64()), pa.array(bins, pa.binary())], names=["id", "n_words", "bins"])
 
     return df.select("id", "text").mapInArrow(binned, f"id {kind}, n_words bigint, bins binary")
@@ -214,39 +227,46 @@ def _rest(entries: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """id, label, other, other_label: every pair of one bucket and two classes, but for those that cannot align.
 
     Lengths and binned word counts differ by no more than the edit distance on either side, so a pair that
-    they part is no link. Members of a bucket are dealt to blocks; a group holds two blocks of a bucket.
+    they part is no link. Members of a bucket go to the band of their length and to the one below, for a
+    link never reaches further; a band's members are dealt to blocks, and a group holds two blocks.
     """
-    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-    sizes = sizes.filter("low <> high").select("key", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks"))
-    mixed = stored(entries.join(sizes, "key"))
-    bins = word_bins(texts.join(mixed.select("id").distinct(), "id", "left_semi"))
+    mixed = entries.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+    mixed = stored(entries.join(mixed, "key"))
+    sizes = stored(word_bins(texts.join(mixed.select("id").distinct(), "id", "left_semi")))
+    # a hair wider than the similarity, so that rounding never parts a pair by two bands
+    band = F.floor(F.log(F.greatest("n_words", F.lit(1))) / F.lit(-math.log(similarity) * (1 + 1e-6))) if similarity < 1 else F.col("n_words")
+    placed = mixed.join(sizes.select("id", band.alias("at")), "id").withColumn("band", F.explode(F.array("at", F.col("at") - 1)))
+    groups = placed.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("at").alias("top"), F.min("at").alias("bottom"))
+    groups = groups.filter("low <> high and bottom = band").select("key", "band", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks"))
     own = F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).alias("own")
-    dealt = mixed.join(bins, "id").select("key", "id", "label", "n_words", "bins", own, "blocks")
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"), "id", "label", "n_words", "bins", "own")
+    dealt = placed.join(groups, ["key", "band"]).select("key", "band", "id", "label", (F.col("at") > F.col("band")).alias("above"), own, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with"))
+    dealt = dealt.select("key", "band", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"), "id", "label", "above", "own").join(sizes, "id")
     kind = entries.schema["id"].dataType.simpleString()
 
     def paired(group: pa.Table) -> pa.Table:
         ids, labels = group.column("id").combine_chunks(), group.column("label").combine_chunks()
-        own, n = group.column("own").to_numpy(), group.column("n_words").to_numpy()
-        bins = np.frombuffer(b"".join(group.column("bins").to_pylist()), "<u2").reshape(-1, BINS).astype(np.int32)
+        own, n, above = (group.column(c).to_numpy() for c in ("own", "n_words", "above"))
+        bins = np.frombuffer(b"".join(group.column("bins").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
         code = labels.dictionary_encode().indices.to_numpy()
         one, two = group.column("one")[0].as_py(), group.column("two")[0].as_py()
-        firsts, left, right = np.flatnonzero(own == one), [], []
-        for nth, i in enumerate(firsts):
-            others = firsts[nth + 1 :] if one == two else np.flatnonzero(own == two)
-            others = others[code[others] != code[i]]
-            limit = ((1 - similarity) * np.maximum(n[others], n[i]) + 1e-9).astype(np.int64)
-            near = np.abs(n[others] - n[i]) <= limit
-            others, limit = others[near], limit[near]
-            apart = bins[others] - bins[i]
-            fits = (np.maximum(apart, 0).sum(axis=1) <= limit) & (np.maximum(-apart, 0).sum(axis=1) <= limit)
-            right.append(others[fits])
-            left.append(np.full(len(right[-1]), i))
+        firsts, seconds = np.flatnonzero(own == one), np.flatnonzero(own == two)
+        i, j = np.triu_indices(len(firsts), 1) if one == two else (x.ravel() for x in np.indices((len(firsts), len(seconds))))
+        i, j = firsts[i], seconds[j]
+        limit = ((1 - similarity) * np.maximum(n[i], n[j]) + 1e-9).astype(np.int64)
+        near = (code[i] != code[j]) & (np.abs(n[i] - n[j]) <= limit) & ~(above[i] & above[j])
+        i, j, limit = i[near], j[near], limit[near]
+        left, right = [], []
+        for first in range(0, len(i), _PAIRS):
+            part = slice(first, first + _PAIRS)
+            apart = bins[i[part]] - bins[j[part]]
+            more = np.maximum(apart, 0).sum(axis=1, dtype=np.int64)
+            fits = (more <= limit[part]) & (more - apart.sum(axis=1, dtype=np.int64) <= limit[part])
+            left.append(i[part][fits])
+            right.append(j[part][fits])
         a, b = (pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (left, right))
         return pa.table({"id": ids.take(a), "label": labels.take(a), "other": ids.take(b), "other_label": labels.take(b)})
 
-    found = dealt.groupBy("key", "one", "two").applyInArrow(paired, f"id {kind}, label {kind}, other {kind}, other_label {kind}")
+    found = dealt.groupBy("key", "band", "one", "two").applyInArrow(paired, f"id {kind}, label {kind}, other {kind}, other_label {kind}")
     swap = F.col("id") > F.col("other")
     ends = [F.when(swap, b).otherwise(F.col(a)).alias(a) for a, b in (("id", F.col("other")), ("label", F.col("other_label")), ("other", F.col("id")), ("other_label", F.col("label")))]
     return found.select(*ends).distinct()
@@ -277,27 +297,34 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, k: int = WORDS, picks: int = PICKS, number: int = SKETCHES, rounds: int = ROUNDS
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, k: int = WORDS, picks: int = PICKS,
+    number: int = SKETCHES, short_number: int = SHORT_SKETCHES, rounds: int = ROUNDS,
 ) -> DataFrame:
     """One row per row of ``df``: ``id_col``, class_id (smallest id of its class) and copies (rows with the same words).
 
     Classes are the connected components of links between texts whose words align to ``similarity`` or
     more (1 - edit distance / words of the longer text). Texts with the same words are one text from the
-    start. Candidates share one of ``number`` sketches of ``picks`` k-mers. In each bucket all members are
-    compared to one of them, and again, for ``rounds``, those that are not yet in its class to another, so
-    that large classes are joined with work in proportion to their members. Then every pair of a bucket
-    whose texts are still in two classes is compared: no bucket is cut or left out.
+    start. Candidates share one of ``number`` (``short_number`` below ``SHORT_WORDS`` words) sketches of ``picks``
+    k-mers. In each bucket all members are compared to one of them, and again, for ``rounds``, those that are
+    not yet in its class to another, so that large classes are joined with work in proportion to their
+    members. Then every pair of a bucket whose texts are still in two classes is compared: no bucket is cut
+    or left out.
+
+    Words are runs of letters and digits: where a script sets no spaces a clause is one word, and copies
+    there are found by their equal clauses. Aligning a pair takes words times a fifth of the words, in bits,
+    on one core: a minute at a million words.
 
     Null and empty texts are one text; a text without words counts as one word. Rows without an id keep a
     null class. Ids that repeat are one node of the graph. Other columns are ignored.
     """
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    made = stored(sketches(rows, "id", "text", k, picks, number))
+    made = stored(sketches(rows, "id", "text", k, picks, number, short_number))
     same = made.filter("id is not null").groupBy("digest").agg(F.min("id").alias("text_id"), F.count(F.lit(1)).alias("copies"))
     members = stored(made.select("id", "digest").join(same, "digest", "left").select("id", "text_id", "copies"))
     texts_of = members.select("text_id").filter("text_id is not null").distinct()
-    entries = made.join(texts_of, made["id"] == texts_of["text_id"], "left_semi").select("id", F.explode("keys").alias("key")).distinct()
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    entries = made.join(texts_of, made["id"] == texts_of["text_id"], "left_semi").select("id", F.explode("keys").alias("key"))
+    # counted in each task first, so a bucket of many texts is a few rows in the shuffle
+    shared = entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key")
     entries = stored(entries.join(shared, "key"))
     texts = stored(rows.join(entries.select("id").distinct(), "id", "left_semi").distinct())
 
@@ -305,9 +332,10 @@ def near_duplicates(
     for turn in range(rounds + 1):
         if turn < rounds:
             draw = F.xxhash64("id", F.lit(turn))
-            heads = entries.groupBy("key").agg(F.min(F.struct(draw.alias("draw"), "id", "label")).alias("head"), F.min("label").alias("low"), F.max("label").alias("high"))
+            looked_at = entries if turn else entries.filter(F.pmod("key", F.lit(FIRST_OF)) == 0)
+            heads = looked_at.groupBy("key").agg(F.min(F.struct(draw.alias("draw"), "id", "label")).alias("head"), F.min("label").alias("low"), F.max("label").alias("high"))
             heads = heads.filter("low <> high").select("key", F.col("head.id").alias("other"), F.col("head.label").alias("other_label"))
-            pairs = entries.join(heads, "key").filter("label <> other_label").select("id", "label", "other", "other_label").distinct()
+            pairs = looked_at.join(heads, "key").filter("label <> other_label").select("id", "label", "other", "other_label").distinct()
         else:
             pairs = _rest(entries, texts, similarity)
         links = stored(_verified(pairs, texts, similarity).distinct())

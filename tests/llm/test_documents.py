@@ -126,6 +126,41 @@ def test_pairs_that_meet_only_beside_a_large_class(spark, monkeypatch):
     assert got == {i: 0 if i < 60 else i - i % 2 for i in range(70)}
 
 
+def test_recall_of_candidates_down_to_the_least_similarity():
+    """Random substitutions of 10 to 20 of 100 words: the share of pairs of at least 0.8 that meet in a bucket."""
+    rng, maker = random.Random(5), near_dedup.Sketcher()
+    for n in (30, 100, 400):
+        for share in (0.1, 0.15, 0.18, 0.2):
+            met = 0
+            for _ in range(150):
+                a = [f"w{rng.randrange(5000)}" for _ in range(n)]
+                b = list(a)
+                for i in rng.sample(range(n), int(n * share)):
+                    b[i] = f"new{rng.randrange(5000)}"
+                assert near_dedup.similar(a, b, 0.8)
+                met += bool(set(maker.keys(a).tolist()) & set(maker.keys(b).tolist()))
+            assert met >= 0.85 * 150 if share == 0.2 else met >= 0.93 * 150, (n, share, met)
+
+
+def test_last_pass_pairs_all_that_may_align(spark, monkeypatch):
+    """Against every pair of one bucket, by the same bounds, over lengths of many bands."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 5)
+    rng = random.Random(8)
+    texts = []
+    for i in range(60):
+        words = [rng.choice("abcdefghij") for _ in range(rng.choice((1, 2, 3, 4, 5, 8, 10, 20, 25, 31, 32, 40)))]
+        if i >= 3 and rng.random() < 0.6:
+            words = texts[i - 3].split()
+            words += ["z"] * (len(words) // rng.choice((4, 5, 8)))
+        texts.append(" ".join(words))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    entries = spark.createDataFrame([(i, k, i // 3) for i in range(60) for k in (1, 2 + i % 2)], "id long, key long, label long")
+    got = {(r.id, r.other) for r in near_dedup._rest(entries, rows, 0.8).collect()}
+    words = [near_dedup.words_of(t) for t in texts]
+    want = {(i, j) for j in range(60) for i in range(j) if i // 3 != j // 3 and near_dedup.similar(words[i], words[j], 0.8)}
+    assert want and want <= got and len(got) < 60 * 59 / 4
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (200, 150), (150, 199)]
     got = {r.id: r.label for r in near_dedup.components(spark.createDataFrame(chain, "id long, other long")).collect()}
