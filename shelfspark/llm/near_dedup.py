@@ -7,10 +7,9 @@ sketch are candidates; a banded alignment of their words decides.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +28,10 @@ SHORT_SKETCHES, SHORT_WORDS = 192, 100
 #: so that large classes are joined before the pairs that are left are compared one by one. The first round
 #: looks at one bucket in ``FIRST_OF``: copies share many, and the others need not be compared twice.
 ROUNDS, FIRST_OF = 3, 4
-#: Members of a bucket that are paired in one group of the last pass, and bins of a text's word counts there.
-BLOCK_ROWS, BINS = 256, 256
+#: In the last pass: texts that make a block of a group, bins of a text's word counts, and bins of all texts' counts.
+BLOCK_ROWS, BINS, COUNT_BINS = 256, 256, 1 << 18
+#: Rows of that pass in one Python call, about: many groups, whole ones.
+PART_ROWS = 20_000
 #: Pairs whose bins are compared at a time.
 _PAIRS = 8192
 #: Hash values held at a time while sketches are made.
@@ -203,73 +204,115 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.select("label", "other_label", "text_a", "text_b").mapInArrow(aligned, f"label {kind}, other_label {kind}")
 
 
-def word_bins(df: DataFrame) -> DataFrame:
-    """id, n_words and bins (binary: unsigned 8-bit counts of hashed words, the highest count standing for more) of each id, text."""
-    kind = df.schema["id"].dataType.simpleString()
+def _labelled_words(df: DataFrame, make: Callable[[np.ndarray], list], schema: str) -> DataFrame:
+    """Columns of ``df`` (id, label, text) without the text, and what ``make`` gives for each text's labelled word hashes."""
+    kept, kind = ["id", "label"], df.schema["id"].dataType.simpleString()
 
-    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
         for batch in slices(batches):
             if len(known) > MEMO_ENTRIES:
                 known.clear()
-            numbers, bins = [], []
-            for text in batch.column(1).to_pylist():
+            rows = []
+            for text in batch.column(2).to_pylist():
                 words = words_of(text)
-                at = np.fromiter(map(known.__getitem__, words), np.uint64, len(words)) % np.uint64(BINS)
-                numbers.append(len(words))
-                bins.append(np.minimum(np.bincount(at.astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.int64()), pa.array(bins, pa.binary())], names=["id", "n_words", "bins"])
+                rows.append(make(labelled_kmers(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), 1)))
+            columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=[*kept, "n_words", "bins", "tokens"])
 
-    return df.select("id", "text").mapInArrow(binned, f"id {kind}, n_words bigint, bins binary")
+    return df.select(*kept, "text").mapInArrow(made, f"id {kind}, label {kind}, {schema}")
 
 
-def _rest(entries: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """id, label, other, other_label: every pair of one bucket and two classes, but for those that cannot align.
+def word_counts(df: DataFrame) -> np.ndarray:
+    """How often labelled words fall in each of ``COUNT_BINS`` bins, over the column text of all rows.
+
+    Tasks count for themselves; the sums are ``COUNT_BINS`` numbers at most, whatever the table's size.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, total = _WordHashes(), np.zeros(COUNT_BINS, np.int64)
+        for batch in slices(batches):
+            if len(known) > MEMO_ENTRIES:
+                known.clear()
+            for text in batch.column(0).to_pylist():
+                words = words_of(text)
+                tokens = labelled_kmers(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), 1)
+                np.add.at(total, (tokens % np.uint64(COUNT_BINS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bin", "n"])
+
+    sums = df.select("text").mapInArrow(counted, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNT_BINS, np.int64)
+    out[sums.column("bin").to_numpy()] = sums.column("n").to_numpy()
+    return out
+
 
-    Lengths and binned word counts differ by no more than the edit distance on either side, so a pair that
-    they part is no link. Members of a bucket go to the band of their length and to the one below, for a
-    link never reaches further; a band's members are dealt to blocks, and a group holds two blocks.
+def _rest(entries: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """id, label, other, other_label: every pair of two classes that may align, of all texts in buckets with two classes.
+
+    Texts within the similarity share so many words that they share one of their rarest: of n words, in one
+    order for all texts, the first (1 - similarity) * n + 1. So texts meet under their rare words, and a
+    passage that thousands have brings none of them together. Equal words are told apart by the number of
+    those before, so the bound holds for repeated ones. Texts under one word are dealt to blocks, and a
+    group holds two blocks; pairs whose lengths or binned word counts differ by more than the edit
+    distance go.
     """
     mixed = entries.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    mixed = stored(entries.join(mixed, "key"))
-    sizes = stored(word_bins(texts.join(mixed.select("id").distinct(), "id", "left_semi")))
-    # a hair wider than the similarity, so that rounding never parts a pair by two bands
-    band = F.floor(F.log(F.greatest("n_words", F.lit(1))) / F.lit(-math.log(similarity) * (1 + 1e-6))) if similarity < 1 else F.col("n_words")
-    placed = mixed.join(sizes.select("id", band.alias("at")), "id").withColumn("band", F.explode(F.array("at", F.col("at") - 1)))
-    groups = placed.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("at").alias("top"), F.min("at").alias("bottom"))
-    groups = groups.filter("low <> high and bottom = band").select("key", "band", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks"))
+    rows = stored(texts.join(entries.join(mixed, "key").select("id", "label").distinct(), "id").select("id", "label", "text"))
+    shared = rows.sparkSession.sparkContext.broadcast(word_counts(rows))
+
+    def rarest(tokens: np.ndarray) -> tuple[int, bytes, np.ndarray]:
+        n = len(tokens)
+        seen = shared.value[(tokens % np.uint64(COUNT_BINS)).astype(np.int64)]
+        first = np.lexsort((tokens, seen))[: int((1 - similarity) * n + 1e-9) + 1]
+        bins = np.minimum(np.bincount(((tokens >> np.uint64(40)) % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+        return n, bins.tobytes(), tokens[first].view(np.int64)
+
+    bags = stored(_labelled_words(rows, rarest, "n_words bigint, bins binary, tokens array<bigint>"))
+    meets = stored(bags.select("id", "label", "n_words", F.explode("tokens").alias("token")))
+    groups = meets.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    groups = stored(groups.filter("low <> high").select("token", "n", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks")))
+    parts = -(-(groups.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0) // PART_ROWS)
     own = F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).alias("own")
-    dealt = placed.join(groups, ["key", "band"]).select("key", "band", "id", "label", (F.col("at") > F.col("band")).alias("above"), own, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with"))
-    dealt = dealt.select("key", "band", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"), "id", "label", "above", "own").join(sizes, "id")
+    dealt = meets.join(groups.drop("n"), "token").select("token", "id", "label", "n_words", own, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with"))
+    dealt = dealt.select("token", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"), "id", "label", "n_words", "own")
     kind = entries.schema["id"].dataType.simpleString()
 
-    def paired(group: pa.Table) -> pa.Table:
-        ids, labels = group.column("id").combine_chunks(), group.column("label").combine_chunks()
-        own, n, above = (group.column(c).to_numpy() for c in ("own", "n_words", "above"))
-        bins = np.frombuffer(b"".join(group.column("bins").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+    def paired(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("token", "ascending"), ("one", "ascending"), ("two", "ascending")]).combine_chunks()
+        ids, labels = part.column("id").combine_chunks(), part.column("label").combine_chunks()
+        token, one, two, own, n = (part.column(c).to_numpy() for c in ("token", "one", "two", "own", "n_words"))
         code = labels.dictionary_encode().indices.to_numpy()
-        one, two = group.column("one")[0].as_py(), group.column("two")[0].as_py()
-        firsts, seconds = np.flatnonzero(own == one), np.flatnonzero(own == two)
-        i, j = np.triu_indices(len(firsts), 1) if one == two else (x.ravel() for x in np.indices((len(firsts), len(seconds))))
-        i, j = firsts[i], seconds[j]
-        limit = ((1 - similarity) * np.maximum(n[i], n[j]) + 1e-9).astype(np.int64)
-        near = (code[i] != code[j]) & (np.abs(n[i] - n[j]) <= limit) & ~(above[i] & above[j])
-        i, j, limit = i[near], j[near], limit[near]
-        left, right = [], []
-        for first in range(0, len(i), _PAIRS):
-            part = slice(first, first + _PAIRS)
-            apart = bins[i[part]] - bins[j[part]]
-            more = np.maximum(apart, 0).sum(axis=1, dtype=np.int64)
-            fits = (more <= limit[part]) & (more - apart.sum(axis=1, dtype=np.int64) <= limit[part])
-            left.append(i[part][fits])
-            right.append(j[part][fits])
+        starts = np.r_[True, (token[1:] != token[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
+        group, i, step, left, right = np.cumsum(starts), np.arange(len(token)), 0, [], []
+        while len(i):  # each row with the one so many places further on, as long as any group reaches so far
+            step += 1
+            i = i[i + step < len(group)]
+            i = i[group[i] == group[i + step]]
+            j = i + step
+            near = (code[i] != code[j]) & ((one[i] == two[i]) | (own[i] != own[j])) & (np.abs(n[i] - n[j]) <= ((1 - similarity) * np.maximum(n[i], n[j]) + 1e-9).astype(np.int64))
+            left.append(i[near])
+            right.append(j[near])
         a, b = (pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (left, right))
         return pa.table({"id": ids.take(a), "label": labels.take(a), "other": ids.take(b), "other_label": labels.take(b)})
 
-    found = dealt.groupBy("key", "band", "one", "two").applyInArrow(paired, f"id {kind}, label {kind}, other {kind}, other_label {kind}")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("token", "one", "two"), F.lit(max(1, parts))))
+    found = dealt.groupBy("part").applyInArrow(paired, f"id {kind}, label {kind}, other {kind}, other_label {kind}")
     swap = F.col("id") > F.col("other")
     ends = [F.when(swap, b).otherwise(F.col(a)).alias(a) for a, b in (("id", F.col("other")), ("label", F.col("other_label")), ("other", F.col("id")), ("other_label", F.col("label")))]
-    return found.select(*ends).distinct()
+    found = found.select(*ends).distinct()
+
+    def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, _PAIRS):
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for k in (5, 7))
+            limit = ((1 - similarity) * np.maximum(batch.column(4).to_numpy(), batch.column(6).to_numpy()) + 1e-9).astype(np.int64)
+            more = np.maximum(a - b, 0).sum(axis=1, dtype=np.int64)
+            fits = (more <= limit) & (more - (a - b).sum(axis=1, dtype=np.int64) <= limit)
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=batch.schema.names[:4]).filter(pa.array(fits, pa.bool_()))
+
+    first, second = (bags.select(F.col("id").alias(c), F.col("n_words").alias(f"n_{c}"), F.col("bins").alias(f"bins_{c}")) for c in ("id", "other"))
+    pairs = found.join(first, "id").join(second, "other").select("id", "label", "other", "other_label", "n_id", "bins_id", "n_other", "bins_other")
+    return pairs.mapInArrow(fitting, f"id {kind}, label {kind}, other {kind}, other_label {kind}")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -307,8 +350,8 @@ def near_duplicates(
     start. Candidates share one of ``number`` (``short_number`` below ``SHORT_WORDS`` words) sketches of ``picks``
     k-mers. In each bucket all members are compared to one of them, and again, for ``rounds``, those that are
     not yet in its class to another, so that large classes are joined with work in proportion to their
-    members. Then every pair of a bucket whose texts are still in two classes is compared: no bucket is cut
-    or left out.
+    members. Then all pairs of texts in buckets that still hold two classes are compared that share a rare
+    word as links must (``_rest``): no bucket is cut or left out.
 
     Words are runs of letters and digits: where a script sets no spaces a clause is one word, and copies
     there are found by their equal clauses. Aligning a pair takes words times a fifth of the words, in bits,
