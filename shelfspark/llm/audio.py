@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import struct
 import wave
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -11,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.llm.common import slices, stored
@@ -33,28 +34,45 @@ class Settings:
     span: int = 16
     #: Filter answers (log ratios) that part the four values of a filter.
     steps: tuple[float, float, float] = (-0.3, 0.0, 0.3)
-    #: Integers that make a search key, and frames between them.
-    picks: int = 6
+    #: Integers that make a search key, frames between them, and bands: a key takes one band of each integer's bits,
+    #: so that a wrong bit spoils the keys of its band alone.
+    picks: int = 5
     stride: int = 4
-    #: Keys that must agree on an offset, and the largest share of wrong bits over the common frames.
-    votes: int = 3
+    bands: int = 4
+    #: Keys that must agree on an offset, the largest share of wrong bits over the common frames, and their least
+    #: number: over 24 frames unlike melodies differ in a quarter of the bits or more.
+    votes: int = 2
     bit_error: float = 0.2
+    least_frames: int = 24
+
+
+#: The integer of frames without any sound: equal energies on both sides of every filter.
+SILENCE = np.uint32(0xFFFFFFFF)
 
 
 def wav(data: object) -> tuple[np.ndarray, int]:
-    """Samples (mean of channels, -1 to 1) and rate of a PCM WAV file of 8, 16 or 32 bits; none for null or broken ones."""
+    """Samples (mean of channels, -1 to 1) and rate of a PCM WAV file of 8, 16, 24 or 32 bits.
+
+    Null values and what is no such file have no samples; of a file that breaks off, whole frames count.
+    """
+    nothing = np.zeros(0, np.float32), 1
     if not data:
-        return np.zeros(0, np.float32), 1
+        return nothing
     try:
         with wave.open(io.BytesIO(data)) as f:
             raw, channels, width, rate = f.readframes(f.getnframes()), f.getnchannels(), f.getsampwidth(), f.getframerate()
-    except (wave.Error, EOFError):
-        return np.zeros(0, np.float32), 1
-    kind, zero = {1: ("u1", 128), 2: ("<i2", 0), 4: ("<i4", 0)}.get(width, (None, 0))
-    if kind is None:
-        return np.zeros(0, np.float32), 1
-    samples = (np.frombuffer(raw, kind).astype(np.float32) - zero) / float(1 << (8 * width - 1))
-    return samples[: len(samples) // channels * channels].reshape(-1, channels).mean(axis=1), rate
+    except (wave.Error, EOFError, struct.error, ValueError, RuntimeError):
+        return nothing
+    if width not in (1, 2, 3, 4) or channels < 1 or rate < 1:
+        return nothing
+    raw = np.frombuffer(raw, np.uint8)[: len(raw) // (width * channels) * width * channels].reshape(-1, width)
+    if width == 1:
+        samples = (raw[:, 0].astype(np.float32) - 128) / 128
+    else:  # the high bytes of a 32-bit integer
+        wide = np.zeros((len(raw), 4), np.uint8)
+        wide[:, 4 - width :] = raw
+        samples = wide.view("<i4")[:, 0].astype(np.float32) / float(1 << 31)
+    return samples.reshape(-1, channels).mean(axis=1), rate
 
 
 class Chroma:
@@ -120,16 +138,42 @@ class Chroma:
 
 
 def search_keys(integers: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and places: each joins ``picks`` integers at equal distances; places that repeat one integer throughout have none."""
+    """Keys and places: each joins one band of the bits of ``picks`` integers at equal distances.
+
+    Places where these integers are all equal (silence, a held note) have no key.
+    """
     n = len(integers) - (s.picks - 1) * s.stride
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    parts = [integers[i * s.stride : i * s.stride + n].astype(np.uint64) for i in range(s.picks)]
-    key = np.zeros(n, np.uint64)
-    for p in parts:
-        key = (key ^ p) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64), np.arange(n)
+    parts = np.stack([integers[i * s.stride : i * s.stride + n] for i in range(s.picks)]).astype(np.uint64)
+    places = np.flatnonzero((parts != parts[0]).any(axis=0))
+    width, keys = 32 // s.bands, []
+    for band in range(s.bands):
+        key = np.full(len(places), band, np.uint64)
+        for p in parts[:, places]:
+            key = (key ^ ((p >> np.uint64(band * width)) & np.uint64((1 << width) - 1))) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        keys.append(key)
+    return np.concatenate(keys).view(np.int64), np.tile(places, s.bands)
+
+
+def best_run(a: np.ndarray, b: np.ndarray, offset: int, s: Settings) -> tuple[int, int, float, float]:
+    """start, frames, bit error and gain of the run of ``a`` that fits ``b`` best, ``b`` being ``offset`` ahead.
+
+    A frame gains what is left to the allowed share of wrong bits, and silence in both gains nothing; the run
+    with the greatest sum is it, so its share is within the limit. No gain: no frames.
+    """
+    first, last = max(0, -offset), min(len(a), len(b) - offset)
+    if last <= first:
+        return 0, 0, 1.0, 0.0
+    x, y = a[first:last], b[first + offset : last + offset]
+    wrong = np.bitwise_count(x ^ y).astype(np.int64)
+    gain = np.where((x == SILENCE) & (y == SILENCE), 0.0, s.bit_error * 32 - wrong)
+    total = np.concatenate([[0.0], gain.cumsum()])
+    end = int((total - np.minimum.accumulate(total)).argmax())
+    start = int(total[: end + 1].argmin())
+    n = end - start
+    return first + start, n, float(wrong[start:end].sum()) / (32 * n) if n else 1.0, float(total[end] - total[start])
 
 
 def fingerprint(df: DataFrame, id_col: str, media_col: str, decode: Decoder = wav, settings: Settings = Settings()) -> DataFrame:
@@ -152,7 +196,7 @@ def fingerprint(df: DataFrame, id_col: str, media_col: str, decode: Decoder = wa
 
 
 def _postings(prints: DataFrame, s: Settings) -> DataFrame:
-    """class_id, key, place for each key of each class."""
+    """class_id, key, place for each place of each key of each class."""
     kind = prints.schema["class_id"].dataType.simpleString()
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,10 +204,9 @@ def _postings(prints: DataFrame, s: Settings) -> DataFrame:
             ids, keys, places = [], [], []
             for i, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 k, p = search_keys(np.frombuffer(blob, "<u4"), s)
-                k, first = np.unique(k, return_index=True)  # a key counts where it stands first
                 ids += [i] * len(k)
                 keys.append(k)
-                places.append(p[first])
+                places.append(p)
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(np.concatenate(keys)), pa.array(np.concatenate(places))], names=["class_id", "key", "place"])
 
     return prints.select("class_id", "prints").mapInArrow(posted, f"class_id {kind}, key bigint, place bigint")
@@ -176,11 +219,13 @@ def search(prints: DataFrame, is_query: str, id_col: str, settings: Settings = S
     the SQL condition ``is_query`` holds, matches lists the other classes that align with it, in order of
     class_id: class_id, offset (frames by which the other is ahead), start and frames (the part of the query
     that aligns), votes (keys on that offset) and bit_error over that part. A query's own class is not
-    listed, other rows have null matches, and recordings without integers match nothing.
+    listed, other rows have null matches, and recordings without integers match nothing. Recordings of
+    silence or one held note have no keys: they match by class alone.
 
-    Keys of queries meet equal keys of all classes; votes are summed by offset before they are shuffled, and
-    the offset with most votes (the smallest of equals) is checked bit by bit. Ids should be unique; rows
-    with a null id keep a null class.
+    Keys of queries meet equal keys of all classes, at every place; votes are summed by offset before they are
+    shuffled, and every offset with enough of them is checked bit by bit for its best run. Of one class the
+    run with the greatest gain is listed (the smallest offset of equals). Ids should be unique; rows with a
+    null id keep a null class.
     """
     s = settings
     marked = stored(prints.withColumn("is_query", F.expr(f"coalesce({is_query}, false)")))
@@ -190,25 +235,25 @@ def search(prints: DataFrame, is_query: str, id_col: str, settings: Settings = S
     index = _postings(heads, s)
     asked = _postings(heads.filter("asks"), s).select(F.col("class_id").alias("query_id"), "key", F.col("place").alias("query_place"))
     met = asked.join(index, "key").filter("query_id <> class_id")
-    votes = met.groupBy("query_id", "class_id", (F.col("place") - F.col("query_place")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"), F.min("query_place").alias("start"), F.max("query_place").alias("end"))
-    best = Window.partitionBy("query_id", "class_id").orderBy(F.col("votes").desc(), "offset")
-    candidates = votes.filter(F.col("votes") >= s.votes).withColumn("nth", F.row_number().over(best)).filter("nth = 1")
-    candidates = candidates.select("query_id", "class_id", "offset", "start", (F.col("end") - F.col("start") + (s.picks - 1) * s.stride + 1).alias("frames"), "votes")
+    votes = met.groupBy("query_id", "class_id", (F.col("place") - F.col("query_place")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
+    candidates = votes.filter(F.col("votes") >= s.votes)
     kind = marked.schema[id_col].dataType.simpleString()
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             x = batch.to_pydict()
-            errors = []
-            for a, b, offset, start, n in zip(x["a"], x["b"], x["offset"], x["start"], x["frames"], strict=True):
-                left, right = np.frombuffer(a, "<u4")[start : start + n], np.frombuffer(b, "<u4")[start + offset : start + offset + n]
-                errors.append(float(np.bitwise_count(left ^ right).sum()) / (32 * n))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(errors, pa.float64())], names=["query_id", "class_id", "offset", "start", "frames", "votes", "bit_error"])
+            runs = [best_run(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), offset, s) for a, b, offset in zip(x["a"], x["b"], x["offset"], strict=True)]
+            columns = [pa.array(c, t) for c, t in zip(zip(*runs, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
+            found = pa.RecordBatch.from_arrays([*batch.columns[:4], *columns], names=["query_id", "class_id", "offset", "votes", "start", "frames", "bit_error", "gain"])
+            yield found.filter(pa.array([n >= s.least_frames for _, n, _, _ in runs], pa.bool_()))
 
     pairs = candidates.join(heads.select(F.col("class_id").alias("query_id"), F.col("prints").alias("a")), "query_id").join(heads.select("class_id", F.col("prints").alias("b")), "class_id")
     columns = ["offset", "start", "frames", "votes"]
-    found = pairs.select("query_id", "class_id", *columns, "a", "b").mapInArrow(compared, f"query_id {kind}, class_id {kind}, {', '.join(f'{c} bigint' for c in columns)}, bit_error double")
-    lists = found.filter(F.col("bit_error") <= s.bit_error).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("class_id", *columns, "bit_error"))).alias("found"))
+    schema = f"query_id {kind}, class_id {kind}, offset bigint, votes bigint, start bigint, frames bigint, bit_error double, gain double"
+    found = pairs.select("query_id", "class_id", "offset", "votes", "a", "b").mapInArrow(compared, schema)
+    best = F.max_by(F.struct(*columns, "bit_error"), F.struct("gain", -F.col("offset"))).alias("best")
+    found = found.groupBy("query_id", "class_id").agg(best).select("query_id", "class_id", "best.*")
+    lists = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("class_id", *columns, "bit_error"))).alias("found"))
     rows = marked.join(classes.select(F.col("digest").alias("class_digest"), "class_id"), F.col("digest") == F.col("class_digest"), "left").join(lists, F.col("class_id") == F.col("query_id"), "left")
     none = F.array().cast(lists.schema["found"].dataType)
     own = F.when(F.col(id_col).isNotNull(), F.col("class_id")).alias("class_id")

@@ -187,6 +187,47 @@ def test_toxicity_edges(spark):
     assert np.mean([scores[i] for i in range(1, 40, 2)]) > 0.6 > 0.4 > np.mean([scores[i] for i in range(0, 40, 2)])
 
 
+def test_null_language_is_the_empty_one(spark):
+    docs = spark.createDataFrame([(0, "some text", None), (1, "some text", "")], "doc_id long, text string, lang string")
+    model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    for own in (0.0, 2.0):
+        model.thresholds = {None: 2.0 - own, "": own}
+        rejected = {r.doc_id: r.rejected for r in toxicity.score(docs, model).collect()}
+        assert rejected == {0: own == 0.0, 1: own == 0.0} and toxicity.keep_clean(docs, model).count() == (0 if own == 0.0 else 2)
+
+
+def test_convolution_and_its_gradient():
+    """Pooled answers against loops over windows, and one step against the slope of the loss."""
+    s = toxicity.Settings(buckets=64, size=4, filters=3, row_rate=1e-3)
+    rng, model = np.random.default_rng(2), toxicity.Model.fresh(s)
+    vectors = rng.normal(0, 1, (9, 4)).astype(np.float32)
+    pooled, places = model.pooled(vectors)
+    for k, w in enumerate(s.widths):
+        for f in range(s.filters):
+            answers = [sum(float(vectors[t + i] @ model.filters[k][i][:, f]) for i in range(w)) for t in range(9 - w + 1)]
+            assert abs(pooled[k * 3 + f] - max(0.0, *answers)) < 1e-4 and (max(answers) <= 0 or places[k * 3 + f] == int(np.argmax(answers)))
+
+    class Slopes:
+        def step(self, name, weights, grad):
+            self.__dict__.setdefault("found", {})[name] = grad
+
+    model.table[:-1] = rng.normal(0, 1, (64, 4))
+    features, batch, labels = np.arange(5)[:, None], [np.array([0, 1, 2, 1, 3]), np.array([4, 2])], np.array([1.0, 0.0])
+    loss = lambda: -np.mean([np.log(p if y else 1 - p) for d, y in zip(batch, labels) for p in [float(model.score(model.pooled(model.table[features[d]].sum(axis=1))[0]))]])
+    slopes, table = Slopes(), model.table.copy()
+    toxicity._step(model, batch, labels, features, slopes, np.full(65, 1e-2, np.float32), np.zeros(1, np.float32))
+    model.table[:] = table
+    for k, weights in enumerate(model.filters):
+        for at in [(0, 0, 0), (0, 2, 1), (len(weights) - 1, 3, 2)]:
+            kept = weights[at]
+            weights[at] = kept + 1e-2
+            high = loss()
+            weights[at] = kept - 1e-2
+            low = loss()
+            weights[at] = kept
+            assert abs((high - low) / 2e-2 - slopes.found[k][at]) < 2e-2
+
+
 def test_line_dedup(spark):
     pages = [("a.org", f"Menu\nbody {i}\n\n  Foot  ") for i in range(8)] + [("a.org", "Foot\nfoot\nbody 1"), ("b.org", "Menu\nFoot"), (None, None), (None, "Menu"), ("c.org", "")]
     df = spark.createDataFrame([(i, h, t, "x", 1) for i, (h, t) in enumerate(pages)], "page_id long, host string, text string, _drop string, pages int").withColumnRenamed("_drop", "drop")
@@ -314,6 +355,53 @@ def test_audio(spark):
     assert audio.search(audio.fingerprint(df.limit(0), "rec", "notes", decode=audio.melody), "rec = 0", "rec").count() == 0
 
 
+def test_audio_search_equals_all_offsets(spark):
+    """Noise, shifts that are no whole hop, repeats, silence and a held note, against every offset of every pair."""
+    s, rng = audio.Settings(), np.random.default_rng(9)
+    notes = [rng.normal(0, 0.2, 40).tolist() for _ in range(8)]
+    rows = {i: (n, 0, 0.0) for i, n in enumerate(notes)}
+    rows |= {10: (notes[0], 100, 0.1), 11: (notes[1][5:35], 60, 0.2), 12: ([None] * 30 + notes[2][:25], 0, 0.05), 13: (notes[3][10:] * 2, 30, 0.0), 14: (notes[4] + [None] * 30 + notes[5], 90, 0.1), 15: ([None] * 60, 0, 0.0), 16: ([0.1] * 60, 0, 0.0), 17: (notes[6][:4] + notes[7][:20] + notes[6][24:], 0, 0.0)}
+
+    def noisy(row):
+        samples, rate = audio.melody(row["notes"])
+        return samples[row["cut"] :] + np.random.default_rng(row["cut"]).normal(0, row["noise"], len(samples) - row["cut"]).astype(np.float32), rate
+
+    df = spark.createDataFrame([(i, {"notes": n, "cut": c, "noise": z}) for i, (n, c, z) in rows.items()], "id long, media struct<notes: array<double>, cut: long, noise: double>")
+    chroma = audio.Chroma(s)
+    prints = {i: chroma.integers(*noisy({"notes": n, "cut": c, "noise": z})) for i, (n, c, z) in rows.items()}
+    want = {}
+    for i, a in prints.items():
+        for j, b in prints.items():
+            runs = [(audio.best_run(a, b, o, s), o) for o in range(-len(a) + 1, len(b))] if i != j and i not in (15, 16) else []
+            long = [(gain, -o, frames) for (_, frames, _, gain), o in runs if frames >= s.least_frames]
+            if long:
+                want[i, j] = max(long)
+    got = {(r.id, m.class_id): m for r in audio.search(audio.fingerprint(df, "id", "media", decode=noisy), "true", "id").collect() for m in r.matches}
+    assert {(0, 10), (1, 11), (2, 12), (3, 13), (4, 14), (5, 14), (7, 17)} <= set(got) <= set(want)
+    assert len(got) >= 0.9 * len(want) and sum(got[k].frames == want[k][2] for k in got) >= 0.9 * len(got)
+    for (i, j), m in got.items():
+        a, b = prints[i][m.start : m.start + m.frames], prints[j][m.start + m.offset : m.start + m.offset + m.frames]
+        assert abs(sum(int(x ^ y).bit_count() for x, y in zip(a.tolist(), b.tolist(), strict=True)) / (32 * m.frames) - m.bit_error) < 1e-9 and m.bit_error <= 0.2
+
+
+def test_broken_and_deep_wav():
+    import io
+    import wave
+
+    for width in (1, 2, 3, 4):
+        out = io.BytesIO()
+        with wave.open(out, "wb") as f:
+            f.setnchannels(1)
+            f.setsampwidth(width)
+            f.setframerate(8000)
+            f.writeframes((b"\x00" * (width - 1) + (b"\xc0" if width == 1 else b"\x40")) * 500)
+        whole = out.getvalue()
+        assert np.allclose(audio.wav(whole)[0], 0.5, atol=1e-2) and len(audio.wav(whole)[0]) == 500
+        for cut in range(len(whole)):
+            audio.wav(whole[:cut])
+        assert len(audio.wav(whole[:-1])[0]) == 499
+
+
 def test_wav():
     import io
     import wave
