@@ -30,6 +30,8 @@ SHORT_SKETCHES, SHORT_WORDS = 192, 100
 ROUNDS, FIRST_OF = 3, 4
 #: In the last pass: texts that make a block of a group, bins of a text's word counts, and bins of all texts' counts.
 BLOCK_ROWS, BINS, COUNT_BINS = 256, 256, 1 << 18
+#: There, links must share one more of their rarest words for so many words of the shorter text.
+MORE_SHARED = 20
 #: Rows of that pass in one Python call, about: many groups, whole ones.
 PART_ROWS = 20_000
 #: Pairs whose bins are compared at a time.
@@ -251,11 +253,11 @@ def _rest(entries: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """id, label, other, other_label: every pair of two classes that may align, of all texts in buckets with two classes.
 
     Texts within the similarity share so many words that they share one of their rarest: of n words, in one
-    order for all texts, the first (1 - similarity) * n + 1. So texts meet under their rare words, and a
-    passage that thousands have brings none of them together. Equal words are told apart by the number of
-    those before, so the bound holds for repeated ones. Texts under one word are dealt to blocks, and a
-    group holds two blocks; pairs whose lengths or binned word counts differ by more than the edit
-    distance go.
+    order for all texts, the first (1 - similarity) * n + 1; and of so many more they share as many more. So
+    texts meet under their rare words, a passage that thousands have brings none of them together, and
+    pairs that share too few go before any text moves. Equal words are told apart by the number of those
+    before, so the bound holds for repeated ones. Texts under one word are dealt to blocks, and a group holds
+    two blocks; pairs whose lengths or binned word counts differ by more than the edit distance go.
     """
     mixed = entries.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
     rows = stored(texts.join(entries.join(mixed, "key").select("id", "label").distinct(), "id").select("id", "label", "text"))
@@ -264,7 +266,7 @@ def _rest(entries: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     def rarest(tokens: np.ndarray) -> tuple[int, bytes, np.ndarray]:
         n = len(tokens)
         seen = shared.value[(tokens % np.uint64(COUNT_BINS)).astype(np.int64)]
-        first = np.lexsort((tokens, seen))[: int((1 - similarity) * n + 1e-9) + 1]
+        first = np.lexsort((tokens, seen))[: int((1 - similarity) * n + 1e-9) + 1 + n // MORE_SHARED]
         bins = np.minimum(np.bincount(((tokens >> np.uint64(40)) % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
         return n, bins.tobytes(), tokens[first].view(np.int64)
 
@@ -280,7 +282,7 @@ def _rest(entries: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
     def paired(part: pa.Table) -> pa.Table:
         part = part.sort_by([("token", "ascending"), ("one", "ascending"), ("two", "ascending")]).combine_chunks()
-        ids, labels = part.column("id").combine_chunks(), part.column("label").combine_chunks()
+        ids, labels = (part.column(c).combine_chunks() for c in ("id", "label"))
         token, one, two, own, n = (part.column(c).to_numpy() for c in ("token", "one", "two", "own", "n_words"))
         code = labels.dictionary_encode().indices.to_numpy()
         starts = np.r_[True, (token[1:] != token[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
@@ -293,14 +295,12 @@ def _rest(entries: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
             near = (code[i] != code[j]) & ((one[i] == two[i]) | (own[i] != own[j])) & (np.abs(n[i] - n[j]) <= ((1 - similarity) * np.maximum(n[i], n[j]) + 1e-9).astype(np.int64))
             left.append(i[near])
             right.append(j[near])
-        a, b = (pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (left, right))
-        return pa.table({"id": ids.take(a), "label": labels.take(a), "other": ids.take(b), "other_label": labels.take(b)})
+        a, b = (ids.take(pa.array(np.concatenate([np.zeros(0, np.int64), *x]))) for x in (left, right))
+        return pa.table({"id": a, "other": b})
 
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("token", "one", "two"), F.lit(max(1, parts))))
-    found = dealt.groupBy("part").applyInArrow(paired, f"id {kind}, label {kind}, other {kind}, other_label {kind}")
-    swap = F.col("id") > F.col("other")
-    ends = [F.when(swap, b).otherwise(F.col(a)).alias(a) for a, b in (("id", F.col("other")), ("label", F.col("other_label")), ("other", F.col("id")), ("other_label", F.col("label")))]
-    found = found.select(*ends).distinct()
+    found = dealt.groupBy("part").applyInArrow(paired, f"id {kind}, other {kind}")
+    found = found.groupBy(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).agg(F.count(F.lit(1)).alias("shared"))
 
     def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, _PAIRS):
@@ -310,8 +310,11 @@ def _rest(entries: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
             fits = (more <= limit) & (more - (a - b).sum(axis=1, dtype=np.int64) <= limit)
             yield pa.RecordBatch.from_arrays(batch.columns[:4], names=batch.schema.names[:4]).filter(pa.array(fits, pa.bool_()))
 
-    first, second = (bags.select(F.col("id").alias(c), F.col("n_words").alias(f"n_{c}"), F.col("bins").alias(f"bins_{c}")) for c in ("id", "other"))
-    pairs = found.join(first, "id").join(second, "other").select("id", "label", "other", "other_label", "n_id", "bins_id", "n_other", "bins_other")
+    sizes = bags.select("id", "n_words")
+    enough = F.col("shared") > F.floor(F.least("n_words", "n_other") / MORE_SHARED)
+    found = stored(found.join(sizes, "id").join(sizes.select(F.col("id").alias("other"), F.col("n_words").alias("n_other")), "other").filter(enough).select("id", "other"))
+    first, second = (bags.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"), F.col("n_words").alias(f"n_{c}"), F.col("bins").alias(f"bins_{c}")) for c in ("id", "other"))
+    pairs = found.join(first, "id").join(second, "other").select("id", F.col("id_label").alias("label"), "other", "other_label", "n_id", "bins_id", "n_other", "bins_other")
     return pairs.mapInArrow(fitting, f"id {kind}, label {kind}, other {kind}, other_label {kind}")
 
 
@@ -367,7 +370,7 @@ def near_duplicates(
     texts_of = members.select("text_id").filter("text_id is not null").distinct()
     entries = made.join(texts_of, made["id"] == texts_of["text_id"], "left_semi").select("id", F.explode("keys").alias("key"))
     # counted in each task first, so a bucket of many texts is a few rows in the shuffle
-    shared = entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key")
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     entries = stored(entries.join(shared, "key"))
     texts = stored(rows.join(entries.select("id").distinct(), "id", "left_semi").distinct())
 
