@@ -30,7 +30,7 @@ SHORT_SKETCHES, SHORT_WORDS = 192, 100
 ROUNDS, FIRST_OF = 3, 4
 #: In the last pass: texts that make a block of a group, bins of a text's word counts, and bins of all texts' counts.
 BLOCK_ROWS, BINS, COUNT_BINS = 256, 256, 1 << 18
-#: There, links must share one more of their rarest words for so many words of the shorter text.
+#: There, links must share one more of their rarest word pairs for so many words of the shorter text.
 MORE_SHARED = 20
 #: Rows of that pass in one Python call, about: many groups, whole ones.
 PART_ROWS = 20_000
@@ -206,8 +206,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.select("label", "other_label", "text_a", "text_b").mapInArrow(aligned, f"label {kind}, other_label {kind}")
 
 
-def _labelled_words(df: DataFrame, make: Callable[[np.ndarray], list], schema: str) -> DataFrame:
-    """Columns of ``df`` (id, label, text) without the text, and what ``make`` gives for each text's labelled word hashes."""
+def _word_pairs(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of two words in a row, each with the number of equal ones before it; one word stands alone."""
+    return labelled_kmers(hashes, 2)
+
+
+def _with_hashes(df: DataFrame, make: Callable[[np.ndarray], tuple], schema: str) -> DataFrame:
+    """Columns of ``df`` (id, label, text) without the text, and what ``make`` gives for the hashes of each text's words."""
     kept, kind = ["id", "label"], df.schema["id"].dataType.simpleString()
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,15 +223,15 @@ def _labelled_words(df: DataFrame, make: Callable[[np.ndarray], list], schema: s
             rows = []
             for text in batch.column(2).to_pylist():
                 words = words_of(text)
-                rows.append(make(labelled_kmers(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), 1)))
+                rows.append(make(np.fromiter(map(known.__getitem__, words), np.uint64, len(words))))
             columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=[*kept, "n_words", "bins", "tokens"])
 
     return df.select(*kept, "text").mapInArrow(made, f"id {kind}, label {kind}, {schema}")
 
 
-def word_counts(df: DataFrame) -> np.ndarray:
-    """How often labelled words fall in each of ``COUNT_BINS`` bins, over the column text of all rows.
+def pair_counts(df: DataFrame) -> np.ndarray:
+    """How often pairs of words fall in each of ``COUNT_BINS`` bins, over the column text of all rows.
 
     Tasks count for themselves; the sums are ``COUNT_BINS`` numbers at most, whatever the table's size.
     """
@@ -238,7 +243,7 @@ def word_counts(df: DataFrame) -> np.ndarray:
                 known.clear()
             for text in batch.column(0).to_pylist():
                 words = words_of(text)
-                tokens = labelled_kmers(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), 1)
+                tokens = _word_pairs(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
                 np.add.at(total, (tokens % np.uint64(COUNT_BINS)).astype(np.int64), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bin", "n"])
@@ -252,25 +257,27 @@ def word_counts(df: DataFrame) -> np.ndarray:
 def _rest(entries: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """id, label, other, other_label: every pair of two classes that may align, of all texts in buckets with two classes.
 
-    Texts within the similarity share so many words that they share one of their rarest: of n words, in one
-    order for all texts, the first (1 - similarity) * n + 1; and of so many more they share as many more. So
-    texts meet under their rare words, a passage that thousands have brings none of them together, and
-    pairs that share too few go before any text moves. Equal words are told apart by the number of those
-    before, so the bound holds for repeated ones. Texts under one word are dealt to blocks, and a group holds
-    two blocks; pairs whose lengths or binned word counts differ by more than the edit distance go.
+    An edit spoils two pairs of neighbouring words at most. So texts within the similarity share one of their
+    rarest pairs: of a text of n words, in one order for all texts, the first 2 * (1 - similarity) * n + 1 and
+    one more, for f(m) = m - 1 - 2 * floor((1 - similarity) * m) falls by one at most as m grows; and of so
+    many more they share as many more. So texts meet under what is rare in them, a passage that thousands
+    have brings none of them together, and pairs that share too little go before any text moves. Equal
+    pairs are told apart by the number of those before, so the bound holds for repeated ones. Texts under
+    one pair are dealt to blocks, and a group holds two blocks; then those go whose lengths or binned word
+    counts differ by more than the edit distance.
     """
     mixed = entries.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
     rows = stored(texts.join(entries.join(mixed, "key").select("id", "label").distinct(), "id").select("id", "label", "text"))
-    shared = rows.sparkSession.sparkContext.broadcast(word_counts(rows))
+    shared = rows.sparkSession.sparkContext.broadcast(pair_counts(rows))
 
-    def rarest(tokens: np.ndarray) -> tuple[int, bytes, np.ndarray]:
-        n = len(tokens)
+    def rarest(words: np.ndarray) -> tuple[int, bytes, np.ndarray]:
+        n, tokens = len(words), _word_pairs(words)
         seen = shared.value[(tokens % np.uint64(COUNT_BINS)).astype(np.int64)]
-        first = np.lexsort((tokens, seen))[: int((1 - similarity) * n + 1e-9) + 1 + n // MORE_SHARED]
-        bins = np.minimum(np.bincount(((tokens >> np.uint64(40)) % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+        first = np.lexsort((tokens, seen))[: 2 * int((1 - similarity) * n + 1e-9) + 2 + n // MORE_SHARED]
+        bins = np.minimum(np.bincount((words % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
         return n, bins.tobytes(), tokens[first].view(np.int64)
 
-    bags = stored(_labelled_words(rows, rarest, "n_words bigint, bins binary, tokens array<bigint>"))
+    bags = stored(_with_hashes(rows, rarest, "n_words bigint, bins binary, tokens array<bigint>"))
     meets = stored(bags.select("id", "label", "n_words", F.explode("tokens").alias("token")))
     groups = meets.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
     groups = stored(groups.filter("low <> high").select("token", "n", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks")))
@@ -295,12 +302,13 @@ def _rest(entries: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
             near = (code[i] != code[j]) & ((one[i] == two[i]) | (own[i] != own[j])) & (np.abs(n[i] - n[j]) <= ((1 - similarity) * np.maximum(n[i], n[j]) + 1e-9).astype(np.int64))
             left.append(i[near])
             right.append(j[near])
-        a, b = (ids.take(pa.array(np.concatenate([np.zeros(0, np.int64), *x]))) for x in (left, right))
-        return pa.table({"id": a, "other": b})
+        i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
+        return pa.table({"id": ids.take(pa.array(i)), "other": ids.take(pa.array(j)), "least": np.minimum(n[i], n[j])})
 
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("token", "one", "two"), F.lit(max(1, parts))))
-    found = dealt.groupBy("part").applyInArrow(paired, f"id {kind}, other {kind}")
-    found = found.groupBy(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).agg(F.count(F.lit(1)).alias("shared"))
+    found = dealt.groupBy("part").applyInArrow(paired, f"id {kind}, other {kind}, least bigint")
+    found = found.groupBy(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"), "least").agg(F.count(F.lit(1)).alias("shared"))
+    found = stored(found.filter(F.col("shared") > F.floor(F.col("least") / MORE_SHARED)).select("id", "other"))
 
     def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, _PAIRS):
@@ -310,9 +318,6 @@ def _rest(entries: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
             fits = (more <= limit) & (more - (a - b).sum(axis=1, dtype=np.int64) <= limit)
             yield pa.RecordBatch.from_arrays(batch.columns[:4], names=batch.schema.names[:4]).filter(pa.array(fits, pa.bool_()))
 
-    sizes = bags.select("id", "n_words")
-    enough = F.col("shared") > F.floor(F.least("n_words", "n_other") / MORE_SHARED)
-    found = stored(found.join(sizes, "id").join(sizes.select(F.col("id").alias("other"), F.col("n_words").alias("n_other")), "other").filter(enough).select("id", "other"))
     first, second = (bags.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"), F.col("n_words").alias(f"n_{c}"), F.col("bins").alias(f"bins_{c}")) for c in ("id", "other"))
     pairs = found.join(first, "id").join(second, "other").select("id", F.col("id_label").alias("label"), "other", "other_label", "n_id", "bins_id", "n_other", "bins_other")
     return pairs.mapInArrow(fitting, f"id {kind}, label {kind}, other {kind}, other_label {kind}")
@@ -353,8 +358,8 @@ def near_duplicates(
     start. Candidates share one of ``number`` (``short_number`` below ``SHORT_WORDS`` words) sketches of ``picks``
     k-mers. In each bucket all members are compared to one of them, and again, for ``rounds``, those that are
     not yet in its class to another, so that large classes are joined with work in proportion to their
-    members. Then all pairs of texts in buckets that still hold two classes are compared that share a rare
-    word as links must (``_rest``): no bucket is cut or left out.
+    members. Then all pairs of texts in buckets that still hold two classes are compared that share rare
+    pairs of words as links must (``_rest``): no bucket is cut or left out.
 
     Words are runs of letters and digits: where a script sets no spaces a clause is one word, and copies
     there are found by their equal clauses. Aligning a pair takes words times a fifth of the words, in bits,
