@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,14 @@ SHORT_SKETCHES, SHORT_WORDS = 192, 100
 #: looks at one bucket in ``FIRST_OF``: copies share many, and the others need not be compared twice.
 ROUNDS, FIRST_OF = 3, 4
 #: In the last pass: texts that make a block of a group, bins of a text's word counts, and bins of all texts' counts.
-BLOCK_ROWS, BINS, COUNT_BINS = 256, 256, 1 << 18
+BLOCK_ROWS, BINS, COUNT_BINS = 128, 256, 1 << 18
 #: There, links must share one more of their rarest word pairs for so many words of the shorter text.
 MORE_SHARED = 20
 #: Rows of that pass in one Python call, about: many groups, whole ones.
-PART_ROWS = 20_000
+PART_ROWS = 2_000
+#: Words of a text up to which its words (32 bits each) go to its groups and pairs are aligned there. Of longer
+#: texts, which stand in more groups, only ids go, and their pairs are brought together with the texts later.
+GROUP_WORDS = 512
 #: Pairs whose bins are compared at a time.
 _PAIRS = 8192
 #: Hash values held at a time while sketches are made.
@@ -224,8 +228,8 @@ def _with_hashes(df: DataFrame, make: Callable[[np.ndarray], tuple], schema: str
             for text in batch.column(2).to_pylist():
                 words = words_of(text)
                 rows.append(make(np.fromiter(map(known.__getitem__, words), np.uint64, len(words))))
-            columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=[*kept, "n_words", "bins", "tokens"])
+            columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=[*kept, "n_words", "bins", "tokens", "codes"])
 
     return df.select(*kept, "text").mapInArrow(made, f"id {kind}, label {kind}, {schema}")
 
@@ -261,23 +265,27 @@ def _rest(entries: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     rarest pairs: of a text of n words, in one order for all texts, the first 2 * (1 - similarity) * n + 1 and
     one more, for f(m) = m - 1 - 2 * floor((1 - similarity) * m) falls by one at most as m grows; and of so
     many more they share as many more. So texts meet under what is rare in them, a passage that thousands
-    have brings none of them together, and pairs that share too little go before any text moves. Equal
-    pairs are told apart by the number of those before, so the bound holds for repeated ones. Texts under
-    one pair are dealt to blocks, and a group holds two blocks; then those go whose lengths or binned word
-    counts differ by more than the edit distance.
+    have brings none of them together. Equal pairs are told apart by the number of those before, so the bound
+    holds for repeated ones. Texts under one pair of words are dealt to blocks, and a group holds two blocks.
+
+    Texts up to ``GROUP_WORDS`` words bring codes of their words along: of all groups that two of them
+    share, the one of the smallest common pair of words counts the common ones and aligns the codes. Codes of
+    different words may be equal, those of equal ones never differ, so no link is lost and what
+    passes is nearly all links. Pairs with a longer text are counted over all groups, and those go
+    whose lengths or binned word counts differ by more than the edit distance.
     """
     mixed = entries.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
     rows = stored(texts.join(entries.join(mixed, "key").select("id", "label").distinct(), "id").select("id", "label", "text"))
     shared = rows.sparkSession.sparkContext.broadcast(pair_counts(rows))
 
-    def rarest(words: np.ndarray) -> tuple[int, bytes, np.ndarray]:
+    def rarest(words: np.ndarray) -> tuple[int, bytes, np.ndarray, bytes | None]:
         n, tokens = len(words), _word_pairs(words)
         seen = shared.value[(tokens % np.uint64(COUNT_BINS)).astype(np.int64)]
         first = np.lexsort((tokens, seen))[: 2 * int((1 - similarity) * n + 1e-9) + 2 + n // MORE_SHARED]
         bins = np.minimum(np.bincount((words % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
-        return n, bins.tobytes(), tokens[first].view(np.int64)
+        return n, bins.tobytes(), tokens[first].view(np.int64), words.astype(np.uint32).tobytes() if n <= GROUP_WORDS else None
 
-    bags = stored(_with_hashes(rows, rarest, "n_words bigint, bins binary, tokens array<bigint>"))
+    bags = stored(_with_hashes(rows, rarest, "n_words bigint, bins binary, tokens array<bigint>, codes binary"))
     meets = stored(bags.select("id", "label", "n_words", F.explode("tokens").alias("token")))
     groups = meets.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
     groups = stored(groups.filter("low <> high").select("token", "n", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks")))
@@ -285,6 +293,8 @@ def _rest(entries: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     own = F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).alias("own")
     dealt = meets.join(groups.drop("n"), "token").select("token", "id", "label", "n_words", own, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with"))
     dealt = dealt.select("token", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"), "id", "label", "n_words", "own")
+    short = F.col("codes").isNotNull()
+    dealt = dealt.join(bags.select("id", "codes", F.when(short, F.col("tokens")).alias("tokens")), "id")
     kind = entries.schema["id"].dataType.simpleString()
 
     def paired(part: pa.Table) -> pa.Table:
@@ -303,12 +313,31 @@ def _rest(entries: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
             left.append(i[near])
             right.append(j[near])
         i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
-        return pa.table({"id": ids.take(pa.array(i)), "other": ids.take(pa.array(j)), "least": np.minimum(n[i], n[j])})
+        long = np.maximum(n[i], n[j]) > GROUP_WORDS
+        codes, tokens = part.column("codes").combine_chunks(), part.column("tokens").combine_chunks()
+
+        @lru_cache(len(token))
+        def common_of(at: int) -> frozenset:
+            return frozenset(tokens[at].as_py())
+
+        @lru_cache(len(token))
+        def codes_of(at: int) -> list[int]:
+            return np.frombuffer(codes[at].as_buffer(), np.uint32).tolist()
+
+        aligned = []
+        for x, y in zip(i[~long].tolist(), j[~long].tolist(), strict=True):
+            common = common_of(x) & common_of(y)
+            enough = len(common) > min(n[x], n[y]) // MORE_SHARED and min(common) == token[x]
+            aligned.append(enough and similar(codes_of(x), codes_of(y), similarity))
+        stays = long.copy()
+        stays[~long] = aligned
+        i, j, long = i[stays], j[stays], long[stays]
+        return pa.table({"id": ids.take(pa.array(i)), "other": ids.take(pa.array(j)), "least": np.minimum(n[i], n[j]), "long": long})
 
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("token", "one", "two"), F.lit(max(1, parts))))
-    found = dealt.groupBy("part").applyInArrow(paired, f"id {kind}, other {kind}, least bigint")
-    found = found.groupBy(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"), "least").agg(F.count(F.lit(1)).alias("shared"))
-    found = stored(found.filter(F.col("shared") > F.floor(F.col("least") / MORE_SHARED)).select("id", "other"))
+    found = dealt.groupBy("part").applyInArrow(paired, f"id {kind}, other {kind}, least bigint, long boolean")
+    found = found.groupBy(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"), "least", "long").agg(F.count(F.lit(1)).alias("shared"))
+    found = stored(found.filter(~F.col("long") | (F.col("shared") > F.floor(F.col("least") / MORE_SHARED))).select("id", "other"))
 
     def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, _PAIRS):

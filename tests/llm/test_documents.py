@@ -142,9 +142,11 @@ def test_recall_of_candidates_down_to_the_least_similarity():
             assert met >= 0.85 * 150 if share == 0.2 else met >= 0.93 * 150, (n, share, met)
 
 
-def test_last_pass_pairs_all_that_may_align(spark, monkeypatch):
-    """Against every pair of one bucket, by the same bounds, over lengths of many bands."""
+@pytest.mark.parametrize("group_words", [0, 20, 512])
+def test_last_pass_pairs_all_that_may_align(spark, monkeypatch, group_words):
+    """Against every pair of one bucket, over many lengths: aligned in groups, by later bounds, and both."""
     monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(near_dedup, "GROUP_WORDS", group_words)
     rng = random.Random(8)
     texts = []
     for i in range(60):
@@ -159,6 +161,7 @@ def test_last_pass_pairs_all_that_may_align(spark, monkeypatch):
     words = [near_dedup.words_of(t) for t in texts]
     want = {(i, j) for j in range(60) for i in range(j) if i // 3 != j // 3 and near_dedup.similar(words[i], words[j], 0.8)}
     assert want and want <= got and len(got) < 60 * 59 / 4
+    assert group_words < 512 or got == want
 
 
 def test_components(spark):
