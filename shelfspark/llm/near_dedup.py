@@ -29,13 +29,17 @@ SHORT_SKETCHES, SHORT_WORDS = 192, 100
 #: looks at one bucket in ``FIRST_OF``: copies share many, and the others need not be compared twice.
 ROUNDS, FIRST_OF = 3, 4
 #: In the last pass: texts that make a block of a group, bins of a text's word counts, and bins of all texts' counts.
-BLOCK_ROWS, BINS, COUNT_BINS = 256, 256, 1 << 18
-#: There, links must share one more of their rarest word pairs for so many words of the shorter text.
-MORE_SHARED = 20
+BLOCK_ROWS, BINS, COUNT_BINS = 256, 512, 1 << 18
+#: There, word pairs before each one that tell whether two texts have met before.
+BEFORE = 4
 #: Rows of that pass in one Python call, about: many groups, whole ones.
 PART_ROWS = 20_000
+#: Characters of the texts that are aligned in one Python call, about: whole groups.
+PART_CHARS = 8_000_000
 #: Pairs whose bins are compared at a time.
-_PAIRS = 8192
+_PAIRS = 4096
+#: Rows of word pairs in an Arrow batch, about.
+_FLUSH = 100_000
 #: Hash values held at a time while sketches are made.
 _BLOCK, _LARGEST = 1 << 20, np.uint64((1 << 64) - 1)
 _find_words = re.compile(r"\w+").findall
@@ -211,23 +215,31 @@ def _word_pairs(hashes: np.ndarray) -> np.ndarray:
     return labelled_kmers(hashes, 2)
 
 
-def _with_hashes(df: DataFrame, make: Callable[[np.ndarray], tuple], schema: str) -> DataFrame:
-    """Columns of ``df`` (id, label, text) without the text, and what ``make`` gives for the hashes of each text's words."""
-    kept, kind = ["id", "label"], df.schema["id"].dataType.simpleString()
+def _rare_pairs(df: DataFrame, choose: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """For each word pair that ``choose`` takes of each text of ``df`` (id, label, text), in its order: id, label, n_words, at (its place), token and the ``BEFORE`` tokens before it (0 where there are none)."""
+    kind, names = df.schema["id"].dataType.simpleString(), [f"before_{k}" for k in range(1, BEFORE + 1)]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
         for batch in slices(batches):
             if len(known) > MEMO_ENTRIES:
                 known.clear()
-            rows = []
-            for text in batch.column(2).to_pylist():
-                words = words_of(text)
-                rows.append(make(np.fromiter(map(known.__getitem__, words), np.uint64, len(words))))
-            columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=[*kept, "n_words", "bins", "tokens"])
-
-    return df.select(*kept, "text").mapInArrow(made, f"id {kind}, label {kind}, {schema}")
+            texts, first, held, lengths = batch.column(2), 0, [], []
+            for row in range(batch.num_rows):
+                words = words_of(texts[row].as_py())
+                held.append(choose(np.fromiter(map(known.__getitem__, words), np.uint64, len(words))).view(np.int64))
+                lengths.append(len(words))
+                if row + 1 < batch.num_rows and sum(map(len, held)) < _FLUSH:
+                    continue
+                sizes, tokens = np.array([len(x) for x in held]), np.concatenate(held)
+                at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                before = [np.where(at >= k, np.r_[np.zeros(k, np.int64), tokens][: len(tokens)], 0) for k in range(1, BEFORE + 1)]
+                of = pa.array(np.repeat(np.arange(first, row + 1), sizes))
+                columns = [np.repeat(np.array(lengths), sizes), at, tokens, *before]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *map(pa.array, columns)], names=["id", "label", "n_words", "at", "token", *names])
+                first, held, lengths = row + 1, [], []
+
+    return df.select("id", "label", "text").mapInArrow(made, f"id {kind}, label {kind}, n_words bigint, at bigint, token bigint, " + ", ".join(f"{n} bigint" for n in names))
 
 
 def pair_counts(df: DataFrame) -> np.ndarray:
@@ -255,42 +267,44 @@ def pair_counts(df: DataFrame) -> np.ndarray:
 
 
 def _rest(entries: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """id, label, other, other_label: every pair of two classes that may align, of all texts in buckets with two classes.
-
-    An edit spoils two pairs of neighbouring words at most. So texts within the similarity share one of their
-    rarest pairs: of a text of n words, in one order for all texts, the first 2 * (1 - similarity) * n + 1 and
-    one more, for f(m) = m - 1 - 2 * floor((1 - similarity) * m) falls by one at most as m grows; and of so
-    many more they share as many more. So texts meet under what is rare in them, a passage that thousands
-    have brings none of them together, and pairs that share too little go before any text moves. Equal
-    pairs are told apart by the number of those before, so the bound holds for repeated ones. Texts under
-    one pair are dealt to blocks, and a group holds two blocks; then those go whose lengths or binned word
-    counts differ by more than the edit distance.
+    """id, label, other, other_label: every pair of two classes that aligns, of all texts in buckets with two classes.
+
+    An edit spoils two pairs of neighbouring words at most, so texts within the similarity share
+    f(m) = m - 1 - 2 * floor((1 - similarity) * m) pairs, m words in the longer. They share one of the first
+    2 * (1 - similarity) * n + 2 of the rarest pairs of a text of n words, in one order for all texts, for f falls by one at
+    most as m grows. Equal pairs are told apart by the number of those before, so the bound holds for
+    repeated ones. So texts meet under what is rare in them, and the first pair that two share must leave f(m)
+    pairs to share from there on in both. Where one of the ``BEFORE`` pairs before is shared too, the texts have
+    met under it, and it is decided there; so a passage that thousands have brings two texts together about once.
+
+    Texts under one pair are dealt to blocks, and a group holds two blocks. What meets is aligned for a whole
+    group, so a text travels once to a group and not once to each of its pairs (``_aligned``).
     """
     mixed = entries.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
     rows = stored(texts.join(entries.join(mixed, "key").select("id", "label").distinct(), "id").select("id", "label", "text"))
     shared = rows.sparkSession.sparkContext.broadcast(pair_counts(rows))
 
-    def rarest(words: np.ndarray) -> tuple[int, bytes, np.ndarray]:
-        n, tokens = len(words), _word_pairs(words)
+    def rarest(words: np.ndarray) -> np.ndarray:
+        tokens = _word_pairs(words)
         seen = shared.value[(tokens % np.uint64(COUNT_BINS)).astype(np.int64)]
-        first = np.lexsort((tokens, seen))[: 2 * int((1 - similarity) * n + 1e-9) + 2 + n // MORE_SHARED]
-        bins = np.minimum(np.bincount((words % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
-        return n, bins.tobytes(), tokens[first].view(np.int64)
+        return tokens[np.lexsort((tokens, seen))[: 2 * int((1 - similarity) * len(words) + 1e-9) + 2]]
 
-    bags = stored(_with_hashes(rows, rarest, "n_words bigint, bins binary, tokens array<bigint>"))
-    meets = stored(bags.select("id", "label", "n_words", F.explode("tokens").alias("token")))
+    meets = stored(_rare_pairs(rows, rarest))
     groups = meets.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
     groups = stored(groups.filter("low <> high").select("token", "n", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks")))
     parts = -(-(groups.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0) // PART_ROWS)
     own = F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).alias("own")
-    dealt = meets.join(groups.drop("n"), "token").select("token", "id", "label", "n_words", own, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with"))
-    dealt = dealt.select("token", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"), "id", "label", "n_words", "own")
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with")
+    dealt = meets.join(groups.drop("n"), "token").select(*meets.columns, own, blocks)
+    dealt = dealt.withColumns({"one": F.least("own", "with"), "two": F.greatest("own", "with")}).drop("with")
     kind = entries.schema["id"].dataType.simpleString()
 
     def paired(part: pa.Table) -> pa.Table:
         part = part.sort_by([("token", "ascending"), ("one", "ascending"), ("two", "ascending")]).combine_chunks()
         ids, labels = (part.column(c).combine_chunks() for c in ("id", "label"))
-        token, one, two, own, n = (part.column(c).to_numpy() for c in ("token", "one", "two", "own", "n_words"))
+        token, one, two, own, n, at, place = (part.column(c).to_numpy() for c in ("token", "one", "two", "own", "n_words", "at", "place"))
+        before = [part.column(f"before_{k}").to_numpy() for k in range(1, BEFORE + 1)]
+        ahead = np.maximum(n - 1, 1) - at
         code = labels.dictionary_encode().indices.to_numpy()
         starts = np.r_[True, (token[1:] != token[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
         group, i, step, left, right = np.cumsum(starts), np.arange(len(token)), 0, [], []
@@ -299,28 +313,60 @@ def _rest(entries: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
             i = i[i + step < len(group)]
             i = i[group[i] == group[i + step]]
             j = i + step
-            near = (code[i] != code[j]) & ((one[i] == two[i]) | (own[i] != own[j])) & (np.abs(n[i] - n[j]) <= ((1 - similarity) * np.maximum(n[i], n[j]) + 1e-9).astype(np.int64))
+            longer = np.maximum(n[i], n[j])
+            limit = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+            near = (code[i] != code[j]) & ((one[i] == two[i]) | (own[i] != own[j])) & (np.abs(n[i] - n[j]) <= limit)
+            near = np.flatnonzero(near & (np.minimum(ahead[i], ahead[j]) >= longer - 1 - 2 * limit))
+            for x in before:
+                for y in before:
+                    x_i, y_j = x[i[near]], y[j[near]]
+                    near = near[(x_i != y_j) | (x_i == 0)]
             left.append(i[near])
             right.append(j[near])
         i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
-        return pa.table({"id": ids.take(pa.array(i)), "other": ids.take(pa.array(j)), "least": np.minimum(n[i], n[j])})
+        return pa.table({"id": ids.take(pa.array(i)), "other": ids.take(pa.array(j)), "place": place[i]})
+
+    dealt = dealt.withColumn("place", F.xxhash64("token", "one", "two")).withColumn("part", F.pmod("place", F.lit(max(1, parts))))
+    found = dealt.groupBy("part").applyInArrow(paired, f"id {kind}, other {kind}, place bigint")
+    sides = F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")
+    return _aligned(stored(found.groupBy(*sides).agg(F.min("place").alias("place"))), rows, similarity)
 
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("token", "one", "two"), F.lit(max(1, parts))))
-    found = dealt.groupBy("part").applyInArrow(paired, f"id {kind}, other {kind}, least bigint")
-    found = found.groupBy(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"), "least").agg(F.count(F.lit(1)).alias("shared"))
-    found = stored(found.filter(F.col("shared") > F.floor(F.col("least") / MORE_SHARED)).select("id", "other"))
 
-    def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, _PAIRS):
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for k in (5, 7))
-            limit = ((1 - similarity) * np.maximum(batch.column(4).to_numpy(), batch.column(6).to_numpy()) + 1e-9).astype(np.int64)
-            more = np.maximum(a - b, 0).sum(axis=1, dtype=np.int64)
-            fits = (more <= limit) & (more - (a - b).sum(axis=1, dtype=np.int64) <= limit)
-            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=batch.schema.names[:4]).filter(pa.array(fits, pa.bool_()))
+def _aligned(found: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """id, label, other, other_label of the pairs ``found`` (id, other, place) whose texts align.
+
+    Pairs of one place are looked at together, and each of their texts (``rows``: id, label, text) is brought
+    there once: two blocks of texts at most. Pairs whose lengths or binned word counts differ by more
+    than the edit distance go first, many at a time; words decide the rest.
+    """
+    ends = lambda c: found.select(c, "id").union(found.select(c, "other")).distinct()
+    n_chars = ends("place").join(rows.select("id", F.length("text").alias("n_chars")), "id").agg(F.sum("n_chars")).first()[0] or 0
+    found = found.withColumn("part", F.pmod("place", F.lit(max(1, -(-n_chars // PART_CHARS)))))
+    texts = ends("part").join(rows, "id").select(F.col("part").alias("text_part"), F.col("id").alias("text_id"), "label", "text")
+    kind = rows.schema["id"].dataType.simpleString()
 
-    first, second = (bags.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"), F.col("n_words").alias(f"n_{c}"), F.col("bins").alias(f"bins_{c}")) for c in ("id", "other"))
-    pairs = found.join(first, "id").join(second, "other").select("id", F.col("id_label").alias("label"), "other", "other_label", "n_id", "bins_id", "n_other", "bins_other")
-    return pairs.mapInArrow(fitting, f"id {kind}, label {kind}, other {kind}, other_label {kind}")
+    def checked(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        codes: dict[str, int] = {}
+        held = [np.array([codes.setdefault(w, len(codes)) for w in words_of(t.as_py())], np.int32) for t in texts.column("text")]
+        bins = np.zeros((len(held), BINS), np.uint8)
+        for row, words in zip(bins, held, strict=True):
+            row[:] = np.minimum(np.bincount(words % BINS, minlength=BINS), 255)
+        n, at = np.array([len(words) for words in held], np.int64), np.arange(len(held))
+        # an id that repeats has several texts, and each of them is looked at
+        one, two = (pa.table({c: texts.column("text_id"), at_c: at, f"{c}_label": texts.column("label")}) for c, at_c in (("id", "a"), ("other", "b")))
+        both = pairs.select(["id", "other"]).join(one, "id", join_type="inner", use_threads=False).join(two, "other", join_type="inner", use_threads=False)
+        keep = np.zeros(both.num_rows, bool)
+        left, right = (both.column(c).to_numpy() for c in ("a", "b"))
+        for start in range(0, len(keep), _PAIRS):
+            i, j = left[start : start + _PAIRS], right[start : start + _PAIRS]
+            limit = ((1 - similarity) * np.maximum(n[i], n[j]) + 1e-9).astype(np.int64)
+            apart = bins[i].astype(np.int16) - bins[j]
+            more = np.maximum(apart, 0).sum(axis=1, dtype=np.int64)
+            for k in np.flatnonzero((np.abs(n[i] - n[j]) <= limit) & (more <= limit) & (more - apart.sum(axis=1, dtype=np.int64) <= limit)):
+                keep[start + k] = similar(held[i[k]].tolist(), held[j[k]].tolist(), similarity)
+        return both.select(["id", "id_label", "other", "other_label"]).rename_columns(["id", "label", "other", "other_label"]).filter(pa.array(keep, pa.bool_()))
+
+    return found.groupBy("part").cogroup(texts.groupBy("text_part")).applyInArrow(checked, f"id {kind}, label {kind}, other {kind}, other_label {kind}")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -387,9 +433,10 @@ def near_duplicates(
             heads = looked_at.groupBy("key").agg(F.min(F.struct(draw.alias("draw"), "id", "label")).alias("head"), F.min("label").alias("low"), F.max("label").alias("high"))
             heads = heads.filter("low <> high").select("key", F.col("head.id").alias("other"), F.col("head.label").alias("other_label"))
             pairs = looked_at.join(heads, "key").filter("label <> other_label").select("id", "label", "other", "other_label").distinct()
+            links = _verified(pairs, texts, similarity)
         else:
-            pairs = _rest(entries, texts, similarity)
-        links = stored(_verified(pairs, texts, similarity).distinct())
+            links = _rest(entries, texts, similarity).select("label", "other_label")
+        links = stored(links.distinct())
         if links.isEmpty():
             continue
         new = components(links).select(F.col("id").alias("label"), F.col("label").alias("new_label"))
