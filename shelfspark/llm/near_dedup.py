@@ -31,7 +31,7 @@ ROUNDS, FIRST_OF = 3, 4
 #: In the last pass: texts that make a block of a group, bins of a text's word counts, and bins of all texts' counts.
 BLOCK_ROWS, BINS, COUNT_BINS = 256, 512, 1 << 18
 #: There, word pairs before each one that tell whether two texts have met before.
-BEFORE = 4
+BEFORE = 2
 #: Rows of that pass in one Python call, about: many groups, whole ones.
 PART_ROWS = 20_000
 #: Characters of the texts that are aligned in one Python call, about: whole groups.
@@ -235,11 +235,11 @@ def _rare_pairs(df: DataFrame, choose: Callable[[np.ndarray], np.ndarray]) -> Da
                 at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 before = [np.where(at >= k, np.r_[np.zeros(k, np.int64), tokens][: len(tokens)], 0) for k in range(1, BEFORE + 1)]
                 of = pa.array(np.repeat(np.arange(first, row + 1), sizes))
-                columns = [np.repeat(np.array(lengths), sizes), at, tokens, *before]
+                columns = [np.repeat(np.array(lengths, np.int32), sizes), at.astype(np.int32), tokens, *before]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *map(pa.array, columns)], names=["id", "label", "n_words", "at", "token", *names])
                 first, held, lengths = row + 1, [], []
 
-    return df.select("id", "label", "text").mapInArrow(made, f"id {kind}, label {kind}, n_words bigint, at bigint, token bigint, " + ", ".join(f"{n} bigint" for n in names))
+    return df.select("id", "label", "text").mapInArrow(made, f"id {kind}, label {kind}, n_words int, at int, token bigint, " + ", ".join(f"{n} bigint" for n in names))
 
 
 def pair_counts(df: DataFrame) -> np.ndarray:
@@ -289,7 +289,7 @@ def _rest(entries: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
         seen = shared.value[(tokens % np.uint64(COUNT_BINS)).astype(np.int64)]
         return tokens[np.lexsort((tokens, seen))[: 2 * int((1 - similarity) * len(words) + 1e-9) + 2]]
 
-    meets = stored(_rare_pairs(rows, rarest))
+    meets = _rare_pairs(rows, rarest)  # made twice: in a table it would be larger than the texts
     groups = meets.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
     groups = stored(groups.filter("low <> high").select("token", "n", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks")))
     parts = -(-(groups.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0) // PART_ROWS)
