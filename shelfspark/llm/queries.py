@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import audio, byte_bpe, fingerprints, line_dedup, near_dedup, packing, preferences, token_counts, token_shards, toxicity
+from shelfspark.llm import audio, byte_bpe, filter_audit, fingerprints, line_dedup, near_dedup, packing, preferences, token_counts, token_shards, toxicity
 from shelfspark.llm.common import scratch, stored, table
 
 
@@ -82,6 +82,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
@@ -93,9 +97,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_preferences": op8_preferences,
     "op9_token_shards": op9_token_shards,
     "op10_packing": op10_packing,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
     "op7_line_dedup": line_dedup.pages_sql(),
     "op8_preferences": preferences.swapped_sql(),
+    "op11_filter_audit": filter_audit.SQL,
 }
