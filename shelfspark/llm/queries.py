@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import audio, byte_bpe, conversation_trie, filter_audit, fingerprints, line_dedup, near_dedup, packing, preferences, token_counts, token_shards, toxicity
+from shelfspark.llm import audio, byte_bpe, conversation_trie, filter_audit, fingerprints, line_dedup, near_dedup, packing, preferences, token_counts, token_shards, toxicity, vector_search
 from shelfspark.llm.common import scratch, stored, table
 
 
@@ -86,6 +86,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.search(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", 5)
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie(table(spark, sf_dir, "conversations"))
 
@@ -102,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_shards": op9_token_shards,
     "op10_packing": op10_packing,
     "op11_filter_audit": op11_filter_audit,
+    "op12_vector_search": op12_vector_search,
     "op13_conversation_trie": op13_conversation_trie,
 }
 
@@ -109,5 +114,6 @@ ORACLES: dict[str, str] = {
     "op7_line_dedup": line_dedup.pages_sql(),
     "op8_preferences": preferences.swapped_sql(),
     "op11_filter_audit": filter_audit.SQL,
+    "op12_vector_search": vector_search.search_sql(),
     "op13_conversation_trie": conversation_trie.SQL,
 }
