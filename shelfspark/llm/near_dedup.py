@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 
 from shelfspark.llm.common import MEMO_ENTRIES, fresh, slices, stored
 
-#: Words in a k-mer, k-mers in a sketch, sketches of a text, least similarity. At a word similarity of 0.8 about a
-#: fifth of the k-mers are shared, so a sketch of two agrees for one in 26 pairs; more k-mers would need more sketches.
-WORDS, PICKS, SKETCHES, SIMILARITY = 5, 2, 72, 0.8
+#: Words in a k-mer, k-mers in a sketch, sketches of a text, least similarity. K-mers choose candidates only. Where every
+#: fifth word is edited no k-mer of five words is left, but half of those of two words are; a sketch of four of them in
+#: text order is as rare in unlike texts as one of eight words in a row.
+WORDS, PICKS, SKETCHES, SIMILARITY = 2, 4, 80, 0.8
 #: Sketches of texts with fewer words than ``SHORT_WORDS``: the few k-mers that edits leave there vary more.
-SHORT_SKETCHES, SHORT_WORDS = 192, 100
+SHORT_SKETCHES, SHORT_WORDS = 128, 100
 #: Rounds in which what still shares a bucket with another class is compared to a new member of the bucket,
 #: so that large classes are joined before the pairs that are left are compared one by one. The first round
 #: looks at one bucket in ``FIRST_OF``: copies share many, and the others need not be compared twice.
@@ -425,23 +426,32 @@ def near_duplicates(
     entries = stored(entries.join(shared, "key"))
     texts = stored(rows.join(entries.select("id").distinct(), "id", "left_semi").distinct())
 
+    labels = stored(texts.select("id", F.col("id").alias("label")).distinct())
     entries = entries.withColumn("label", F.col("id"))
     for turn in range(rounds + 1):
         if turn < rounds:
             draw = F.xxhash64("id", F.lit(turn))
-            looked_at = entries if turn else entries.filter(F.pmod("key", F.lit(FIRST_OF)) == 0)
+            first = F.pmod("key", F.lit(FIRST_OF)) == 0
+            looked_at = entries if turn else entries.filter(first)
             heads = looked_at.groupBy("key").agg(F.min(F.struct(draw.alias("draw"), "id", "label")).alias("head"), F.min("label").alias("low"), F.max("label").alias("high"))
             heads = heads.filter("low <> high").select("key", F.col("head.id").alias("other"), F.col("head.label").alias("other_label"))
-            pairs = looked_at.join(heads, "key").filter("label <> other_label").select("id", "label", "other", "other_label").distinct()
+            # a bucket of one class stays one: only the others are written again
+            mixed = stored(looked_at.join(heads, "key"))
+            pairs = mixed.filter("label <> other_label").select("id", "label", "other", "other_label").distinct()
             links = _verified(pairs, texts, similarity)
+            mixed = mixed.select("id", "key", "label")
+            entries = mixed if turn else mixed.unionByName(entries.filter(~first))
         else:
             links = _rest(entries, texts, similarity).select("label", "other_label")
         links = stored(links.distinct())
         if links.isEmpty():
             continue
         new = components(links).select(F.col("id").alias("label"), F.col("label").alias("new_label"))
-        entries = stored(entries.join(new, "label", "left").select("id", "key", F.coalesce("new_label", "label").alias("label")))
-    labels = entries.select(F.col("id").alias("text_id"), "label").distinct()
+        moved = F.coalesce("new_label", "label").alias("label")
+        labels = stored(labels.join(new, "label", "left").select("id", moved))
+        if turn < rounds:
+            entries = stored(entries.join(new, "label", "left").select("id", "key", moved))
+    labels = labels.withColumnRenamed("id", "text_id")
     result = members.join(labels, "text_id", "left")
     known = F.col("id").isNotNull()
     return result.select(F.col("id").alias(id_col), F.when(known, F.coalesce("label", "text_id")).alias("class_id"), F.when(known, F.col("copies")).alias("copies"))
