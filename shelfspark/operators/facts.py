@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions.expressions import dbl, fill_ratio, loss_ratio, money_mean, money_sum, month_of, range_norm, ratio
 from shelfspark.operators.kpis import UNITS, by_amount, first
+from shelfspark.plans.selection import exact_quantiles
 
 DIMENSIONS = ("month", "region", "warehouse_id", "product_id", "category", "supplier_id", "abc_class")
 _CENTS = ("lost_sales_revenue", "inventory_value", "excess_inventory_proxy", "slow_moving_proxy", "trapped_wc_proxy", "lost_sales_margin_proxy")
@@ -76,17 +77,21 @@ def supplier_heat(suppliers: DataFrame, floor: float, n: int | None = None) -> D
 def days_histogram(daily: DataFrame, bins: int = 60) -> DataFrame:
     """Equal bins from the least to the most days of supply, with the 90th and 99th percentile on each row."""
     days = F.col("days_of_supply")
-    edges = daily.agg(F.min(days).alias("low"), F.max(days).alias("high"), F.percentile(days, F.array(F.lit(0.9), F.lit(0.99))).alias("p"))
+    p90, p99 = exact_quantiles(daily, {"days_of_supply": [0.9, 0.99]})[()]["days_of_supply"]
+    edges = daily.agg(F.min(days).alias("low"), F.max(days).alias("high"))
     width = (F.col("high") - F.col("low")) / bins
     place = F.least(F.floor((days - F.col("low")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))
     placed = daily.select("days_of_supply").crossJoin(F.broadcast(edges)).withColumn("bin", F.coalesce(place, F.lit(0)))  # one row
-    return placed.groupBy("bin", "low", "high", "p").agg(F.count(F.lit(1)).alias("days")).select("bin", (F.col("low") + F.col("bin") * width).alias("bin_start"), "days", F.col("p")[0].alias("p90"), F.col("p")[1].alias("p99"))
+    counted = placed.groupBy("bin", "low", "high").agg(F.count(F.lit(1)).alias("days"))
+    return counted.select("bin", (F.col("low") + F.col("bin") * width).alias("bin_start"), "days", F.lit(p90).cast("double").alias("p90"), F.lit(p99).cast("double").alias("p99"))
 
 
 def quadrant(df: DataFrame, key: str, fill: str, value: str, middle: str = "median") -> DataFrame:
     """Places on a service and stock quadrant with its two lines, medians or means."""
-    of = {"median": F.median, "mean": F.avg}[middle]
-    lines = df.agg(of(fill).alias("fill_line"), of(value).alias("value_line"))
+    if middle == "median":
+        points = exact_quantiles(df, {fill: [0.5], value: [0.5]})[()]
+        return df.select(key, fill, value, *[F.lit(points[c][0]).cast("double").alias(n) for c, n in ((fill, "fill_line"), (value, "value_line"))])
+    lines = df.agg(F.avg(fill).alias("fill_line"), F.avg(value).alias("value_line"))
     return df.select(key, fill, value).crossJoin(F.broadcast(lines))  # one row
 
 

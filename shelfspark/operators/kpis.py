@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions.expressions import c, dos_bucket, dos_cap, fill_ratio, floored_share, loss_ratio, money_mean, money_sum, month_of, rate, share, slow_moving, weighted
+from shelfspark.plans.selection import exact_quantiles
 
 UNITS = ("units_demanded", "units_fulfilled", "units_lost_sales")
 
@@ -53,9 +54,9 @@ def inventory_by_category(inventory: DataFrame, products: DataFrame) -> DataFram
 
 def days_of_supply_spread(inventory: DataFrame) -> DataFrame:
     days = F.col("days_of_supply")
-    points = F.percentile(days, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, 0.9)]))
-    row = inventory.agg(F.min(days).alias("dos_min"), points.alias("p"), F.max(days).alias("dos_max"), F.avg(days).alias("dos_avg"))
-    return row.select("dos_min", *[F.col("p")[i].alias(n) for i, n in enumerate(("dos_p25", "dos_p50", "dos_p75", "dos_p90"))], "dos_max", "dos_avg")
+    points = exact_quantiles(inventory, {"days_of_supply": [0.25, 0.5, 0.75, 0.9]})[()]["days_of_supply"]
+    row = inventory.agg(F.min(days).alias("dos_min"), F.max(days).alias("dos_max"), F.avg(days).alias("dos_avg"))
+    return row.select("dos_min", *[F.lit(p).cast("double").alias(n) for p, n in zip(points, ("dos_p25", "dos_p50", "dos_p75", "dos_p90"), strict=True)], "dos_max", "dos_avg")
 
 
 def supplier_on_time(orders: DataFrame, suppliers: DataFrame) -> DataFrame:
@@ -151,11 +152,13 @@ def warehouse_columns(profile: DataFrame) -> DataFrame:
 
 def inventory_efficiency(daily: DataFrame) -> DataFrame:
     days, value = F.col("days_of_supply"), F.col("inventory_value")
+    points = exact_quantiles(daily, {"days_of_supply": [0.5, 0.9, 0.99], "inventory_value": [0.95]})[()]
     row = daily.agg(
-        F.avg(days).alias("avg_days_of_supply"), F.percentile(days, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99))).alias("p"), money_mean(value).alias("avg_inventory_value"), F.percentile(value, F.lit(0.95)).alias("p95_inventory_value"),
-        rate(days > dos_cap()).alias("excess_inventory_day_rate"), rate(slow_moving()).alias("slow_moving_day_rate"),
+        F.avg(days).alias("avg_days_of_supply"), money_mean(value).alias("avg_inventory_value"), rate(days > dos_cap()).alias("excess_inventory_day_rate"), rate(slow_moving()).alias("slow_moving_day_rate"),
     )
-    return row.select("avg_days_of_supply", *[F.col("p")[i].alias(f"{n}_days_of_supply") for i, n in enumerate(("median", "p90", "p99"))], "avg_inventory_value", "p95_inventory_value", "excess_inventory_day_rate", "slow_moving_day_rate")
+    known = lambda p, n: F.lit(p).cast("double").alias(n)
+    spread = [known(p, f"{n}_days_of_supply") for p, n in zip(points["days_of_supply"], ("median", "p90", "p99"), strict=True)]
+    return row.select("avg_days_of_supply", *spread, "avg_inventory_value", known(points["inventory_value"][0], "p95_inventory_value"), "excess_inventory_day_rate", "slow_moving_day_rate")
 
 
 def days_of_supply_histogram(daily: DataFrame) -> DataFrame:

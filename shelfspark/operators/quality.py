@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions.expressions import fill_ratio, ratio
+from shelfspark.plans.selection import exact_quantiles, quantiles
 
 CHECK = "check_name string, layer string, method string, status string, severity string, observed string, expected string, details string"
 
@@ -96,11 +97,12 @@ def cardinality(name: str, df: DataFrame, columns: list[str]) -> DataFrame:
 
 def distribution(name: str, df: DataFrame, columns: list[str]) -> DataFrame:
     """Least, percentiles, most, mean, deviation, bias-corrected skewness and p99 over p50 of each column."""
-    parts = []
+    parts, points = [], exact_quantiles(df, {c: [0.5, 0.95, 0.99] for c in columns})[()]
     for c in columns:
         x, n = F.col(c).cast("double"), F.count(F.col(c)).cast("double")
+        known = [F.lit(p).cast("double").alias(q) for p, q in zip(points[c], ("p50", "p95", "p99"), strict=True)]
         skew = F.when(n > 2, F.skewness(x) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)))
-        parts.append(F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), F.min(x).alias("min"), F.percentile(x, F.lit(0.5)).alias("p50"), F.percentile(x, F.lit(0.95)).alias("p95"), F.percentile(x, F.lit(0.99)).alias("p99"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), skew.alias("skew")).alias(f"d_{c}"))
+        parts.append(F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), F.min(x).alias("min"), *known, F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), skew.alias("skew")).alias(f"d_{c}"))
     row = df.agg(*parts).select(F.inline(F.array(*[F.col(f"d_{c}") for c in columns])))
     return row.withColumn("p99_p50_ratio", ratio("p99", "p50", 0.0))
 
@@ -148,7 +150,7 @@ def supplier_signal(suppliers: DataFrame, orders: DataFrame, least: int = 100) -
 
 def skew_flags(inventory: DataFrame) -> DataFrame:
     parts = [("days_of_supply", 8.0), ("inventory_value", 15.0)]
-    row = inventory.agg(*[F.percentile(c, F.array(F.lit(0.5), F.lit(0.99))).alias(c) for c, _ in parts])
+    row = quantiles(inventory, {c: [0.5, 0.99] for c, _ in parts})
     rows = [F.struct(F.lit(c).alias("column_name"), ratio(F.col(c)[1], F.col(c)[0], 0.0).alias("p99_p50_ratio"), F.lit(limit).alias("skew_limit")) for c, limit in parts]
     return row.select(F.inline(F.array(*rows))).withColumn("severity", F.when(F.col("p99_p50_ratio") > F.col("skew_limit"), "Medium").otherwise("Info"))
 

@@ -11,6 +11,7 @@ from shelfspark import schemas
 from shelfspark.functions import expressions as x
 from shelfspark.oracles.base import CAP, SLOW, TIER, div, linear, log_share, money, rate
 from shelfspark.oracles.doubles import DOUBLES
+from shelfspark.plans.selection import quantiles
 from shelfspark.registry import register as _register
 from shelfspark.sources.fixtures import Tables
 
@@ -143,8 +144,15 @@ total("ag04_conditional_counts", "purchase_orders", {"late": (lambda: F.count_if
 total("ag05_ratio_of_sums", "demand_history", {"fill": (lambda: x.fill_ratio(F.sum("units_fulfilled"), F.sum("units_demanded")), div("sum(units_fulfilled)", "sum(units_demanded)", "1"))}, "warehouse_id", "fill")
 total("ag06_mean_of_ratios", "demand_history", {"fill": (lambda: F.avg(x.fill_ratio("units_fulfilled", "units_demanded")), f"avg({div('units_fulfilled', 'units_demanded', '1')})")}, "warehouse_id", "fill")
 total("ag07_sample_deviation", "purchase_orders", {"spread": (lambda: F.coalesce(F.stddev_samp("ordered_units"), lit(0.0)), "coalesce(stddev_samp(ordered_units), 0)")}, "supplier_id", "spread")
-total("ag08_quantiles", "inventory_snapshots", {f"p{q}": (lambda q=q: F.percentile("days_of_supply", q / 100), f"quantile_cont(days_of_supply, {q / 100})") for q in (25, 50, 90, 99)}, "warehouse_id", "p25 p50 p90 p99")
-total("ag09_median", "inventory_snapshots", {"middle": (lambda: F.median("on_hand_units"), "median(on_hand_units)")}, "warehouse_id", "middle")
+SHARES = {"p25": 0.25, "p50": 0.5, "p90": 0.9, "p99": 0.99}
+
+
+def _quantiles(t: Tables) -> DataFrame:
+    return quantiles(t.inventory_snapshots, {"days_of_supply": list(SHARES.values())}, ["warehouse_id"]).select("warehouse_id", *[c("days_of_supply")[i].alias(n) for i, n in enumerate(SHARES)])
+
+
+register("ag08_quantiles", _quantiles, f"SELECT warehouse_id, {', '.join(f'quantile_cont(days_of_supply, {q}) AS {n}' for n, q in SHARES.items())} FROM inventory_snapshots GROUP BY warehouse_id", "p25 p50 p90 p99")
+register("ag09_median", lambda t: quantiles(t.inventory_snapshots, {"on_hand_units": [0.5]}, ["warehouse_id"]).select("warehouse_id", c("on_hand_units")[0].alias("middle")), "SELECT warehouse_id, median(on_hand_units) AS middle FROM inventory_snapshots GROUP BY warehouse_id", "middle")
 
 
 def _skewness() -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions.expressions import argmax, clip, fill_ratio, loss_ratio, money_mean, money_sum, risk_tier, scaled, unit, weighted
+from shelfspark.plans.selection import exact_quantiles
 from shelfspark.plans.views import flagged
 
 DRIVERS = (("service_risk_score", "Service Risk"), ("stockout_risk_score", "Stockout Risk"), ("excess_inventory_score", "Excess Inventory"), ("supplier_risk_score", "Supplier Risk"), ("working_capital_risk_score", "Working Capital"))
@@ -29,11 +30,10 @@ def supplier_features(performance: DataFrame) -> DataFrame:
 
 def product_features(profile: DataFrame) -> DataFrame:
     """The product profile with a capital proxy that scales value by its 95th percentile over products."""
-    top = profile.agg(F.percentile("average_inventory_value", F.lit(0.95)).alias("p95"))
-    joined = profile.crossJoin(F.broadcast(top))  # one row
-    value = unit(F.col("average_inventory_value") / F.nullif(F.col("p95"), F.lit(0.0)))
+    (top,) = exact_quantiles(profile, {"average_inventory_value": [0.95]})[()]["average_inventory_value"]
+    value = unit(F.col("average_inventory_value") / F.nullif(F.lit(top).cast("double"), F.lit(0.0)))
     proxy = weighted((0.45, F.col("excess_inventory_proxy")), (0.25, F.col("slow_moving_inventory_proxy")), (0.20, unit(F.col("average_days_of_supply") / 60.0)), (0.10, value))
-    return joined.withColumn("working_capital_risk_proxy", F.round(F.lit(100.0) * proxy, 2)).drop("p95")
+    return profile.withColumn("working_capital_risk_proxy", F.round(F.lit(100.0) * proxy, 2))
 
 
 def warehouse_features(profile: DataFrame) -> DataFrame:
