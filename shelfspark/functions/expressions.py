@@ -147,6 +147,11 @@ def money_mean(x: Col) -> Column:
     return money_sum(x) / F.nullif(F.count(c(x)), F.lit(0)).cast("double")
 
 
+def day_bit(day: Col = "date") -> Column:
+    """One bit for the day of its month: ``bit_or`` merges days, ``bit_count`` counts them, in any order and without distinct rows."""
+    return F.call_function("shiftleft", F.lit(1), F.dayofmonth(c(day)) - 1)
+
+
 def month_of(day: Col = "date") -> Column:
     return F.trunc(c(day), "month")
 

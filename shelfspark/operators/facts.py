@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.functions.expressions import dbl, fill_ratio, loss_ratio, money_mean, money_sum, month_of, range_norm, ratio
+from shelfspark.functions.expressions import day_bit, dbl, fill_ratio, loss_ratio, money_mean, money_sum, month_of, range_norm, ratio
 from shelfspark.operators.kpis import UNITS, by_amount, first
 from shelfspark.plans.selection import exact_quantiles
 
@@ -109,12 +109,9 @@ def _cents(x: str) -> Column:
 
 
 def monthly_fact(proxies: DataFrame) -> DataFrame:
-    """One row for each month and product, warehouse and their attributes; amounts to the cent.
-
-    Two levels make the distinct days cheap: a day of the keys is one row already.
-    """
+    """One row for each month and product, warehouse and their attributes; amounts to the cent. Days are counted as bits."""
     grouped = proxies.groupBy(month_of().alias("month"), *DIMENSIONS[1:]).agg(
-        *[F.sum(u).alias(u) for u in UNITS], *[_cents(x).alias(x) for x in _CENTS], F.round(F.avg("days_of_supply").cast("decimal(18,6)"), 2).cast("double").alias("avg_days_of_supply"), F.countDistinct("date").alias("observation_days")
+        *[F.sum(u).alias(u) for u in UNITS], *[_cents(x).alias(x) for x in _CENTS], F.round(F.avg("days_of_supply").cast("decimal(18,6)"), 2).cast("double").alias("avg_days_of_supply"), F.bit_count(F.bit_or(day_bit())).cast("long").alias("observation_days")
     )
     return grouped.withColumn("stockout_month_flag", (F.col("units_lost_sales") > 0).cast("int"))
 
@@ -172,9 +169,9 @@ class Slice:
 _SUMS = {"demand": "units_demanded", "fulfilled": "units_fulfilled", "lost": "units_lost_sales"}
 
 
-def _summed(fact: DataFrame, keys: list[str], amounts: dict[str, str], weighted_days: bool = False) -> DataFrame:
+def _summed(fact: DataFrame, keys: list[str], amounts: dict[str, str], weighted_days: bool = False, *others: Column) -> DataFrame:
     more = [(money_sum(F.col("avg_days_of_supply") * F.col("observation_days")) / F.nullif(F.sum("observation_days"), F.lit(0))).alias("avg_dos")] if weighted_days else []
-    grouped = fact.groupBy(*keys).agg(*[F.sum(v).alias(k) for k, v in _SUMS.items()], *[money_sum(v).alias(k) for k, v in amounts.items()], *more)
+    grouped = fact.groupBy(*keys).agg(*[F.sum(v).alias(k) for k, v in _SUMS.items()], *[money_sum(v).alias(k) for k, v in amounts.items()], *more, *others)
     return grouped.withColumns({"fill_rate": fill_ratio("fulfilled", "demand"), "stockout_rate": loss_ratio("lost", "demand")})
 
 
@@ -221,10 +218,7 @@ def by_segment(fact: DataFrame) -> DataFrame:
 def by_sku(fact: DataFrame, risk: DataFrame, products: DataFrame) -> DataFrame:
     """SKU-locations of a slice with persistence and governed scores (0, Low and Service Risk where unscored)."""
     keys = ["product_id", "warehouse_id", "supplier_id", "category", "region", "abc_class"]
-    flags = fact.groupBy(*keys).agg(F.avg(dbl("stockout_month_flag")).alias("stockout_persistence"))
-    sums = _summed(fact, keys, _BASE | _EXCESS, weighted_days=True)
-    same = [sums[k].eqNullSafe(flags[k]) for k in keys]
-    joined = sums.join(flags, same).select(*[sums[c] for c in sums.columns], "stockout_persistence")
+    joined = _summed(fact, keys, _BASE | _EXCESS, True, F.avg(dbl("stockout_month_flag")).alias("stockout_persistence"))
     scores = risk_extract(risk)
     out = joined.join(scores, ["product_id", "warehouse_id", "supplier_id"], "left").join(products.select("product_id", "product_name"), "product_id", "left")
     numbers = [c for c in scores.columns if c.endswith("_score")]

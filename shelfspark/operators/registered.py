@@ -40,12 +40,17 @@ def base(t: Tables) -> DataFrame:
     return scoring.supplier_base(performance(t))
 
 
+def states(t: Tables) -> DataFrame:
+    """Monthly states of SKU-locations, written once by month: all scores are merged from them."""
+    return t.write("states", lambda: scoring.partial_states(scoring.scoring_input(t.daily, base(t))), "month")
+
+
 def skus(t: Tables) -> DataFrame:
-    return t.keep("sku risk", lambda: scoring.sku_risk(t.daily, base(t)))
+    return t.keep("sku risk", lambda: scoring.sku_risk(states(t)))
 
 
 def queue(t: Tables) -> DataFrame:
-    return scoring.priority_queue(skus(t), scoring.supplier_risk(t.daily, base(t)), scoring.segment_risk(t.daily, base(t)))
+    return scoring.priority_queue(skus(t), scoring.supplier_risk(states(t), base(t)), scoring.segment_risk(states(t)))
 
 
 def amounts(t: Tables) -> DataFrame:
@@ -85,17 +90,17 @@ register(
     f"""SELECT month, count(*) AS days, sum(w) AS demand_weight, sum(excess_day) AS excess_day, sum(slow_day) AS slow_moving_day, {money('crit * w')} AS weighted_criticality, {money('cap * w')} AS weighted_dos_cap, {money('base * w')} AS weighted_supplier_risk FROM x_scoring GROUP BY month""",
 )
 _MEASURES = ["fill_rate", "stockout_rate", "service_gap_rate", "excess_day_rate", "slow_moving_rate", "dos_stretch", "stockout_active_month_ratio", "lost_sales_revenue", "inventory_value_sum", "stockout_frequency", "average_days_of_supply", "average_inventory_value", "active_days"]
-register("s03_entity_measures_by_region", lambda t: scoring.entity_measures(scoring.scoring_input(t.daily, base(t)), scoring.SEGMENT_KEYS).select("category", "region", *_MEASURES), f"SELECT category, region, {', '.join(_MEASURES)} FROM x_segment_measures")
+register("s03_entity_measures_by_region", lambda t: scoring.entity_measures(states(t), scoring.SEGMENT_KEYS).select("category", "region", *_MEASURES), f"SELECT category, region, {', '.join(_MEASURES)} FROM x_segment_measures")
 register(
     "s04_component_scores",
-    lambda t: scoring.component_scores(scoring.entity_measures(scoring.scoring_input(t.daily, base(t)), scoring.SEGMENT_KEYS), t.daily).select("category", "region", *scoring.SCORES, "governance_priority_score", "risk_tier", "main_risk_driver"),
+    lambda t: scoring.component_scores(scoring.entity_measures(states(t), scoring.SEGMENT_KEYS), states(t)).select("category", "region", *scoring.SCORES, "governance_priority_score", "risk_tier", "main_risk_driver"),
     f"SELECT category, region, {', '.join(scoring.SCORES)}, governance_priority_score, risk_tier, main_risk_driver FROM segment_risk",
 )
 register("s05_recommended_actions", lambda t: queue(t).groupBy("entity_type", "main_risk_driver", "risk_tier", "recommended_action").agg(F.count(F.lit(1)).alias("entities")), "SELECT entity_type, main_risk_driver, risk_tier, recommended_action, count(*) AS entities FROM queue GROUP BY ALL")
 _TAIL = "lost_sales_share, inventory_value_share, lost_sales_revenue, inventory_value_sum"
 register("s06_sku_risk_governed", skus, f"SELECT product_id, warehouse_id, supplier_id, category, region, {SCORES}, fill_rate, stockout_rate, service_gap_rate, excess_day_rate, slow_moving_rate, coalesce(dos_stretch, 0) AS dos_stretch, {_TAIL} FROM sku_risk")
-register("s07_supplier_risk", lambda t: scoring.supplier_risk(t.daily, base(t)), f"SELECT supplier_id, supplier_name, {SCORES}, on_time_delivery_rate, average_delay_days, lead_time_variability, received_vs_ordered_fill_rate, fill_rate, stockout_rate, {_TAIL} FROM supplier_risk")
-register("s08_segment_risk", lambda t: scoring.segment_risk(t.daily, base(t)), f"SELECT category || ' | ' || region AS segment_id, category, region, {SCORES}, fill_rate, stockout_rate, {_TAIL} FROM segment_risk")
+register("s07_supplier_risk", lambda t: scoring.supplier_risk(states(t), base(t)), f"SELECT supplier_id, supplier_name, {SCORES}, on_time_delivery_rate, average_delay_days, lead_time_variability, received_vs_ordered_fill_rate, fill_rate, stockout_rate, {_TAIL} FROM supplier_risk")
+register("s08_segment_risk", lambda t: scoring.segment_risk(states(t)), f"SELECT category || ' | ' || region AS segment_id, category, region, {SCORES}, fill_rate, stockout_rate, {_TAIL} FROM segment_risk")
 register("s09_master_priority_queue", queue, "SELECT * FROM queue")
 register(
     "s10_management_counts",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.functions.expressions import argmax, clip, criticality_weight, dbl, floored_share, linear_score, log_share_score, money_sum, month_of, ratio, risk_tier, safe_divide, scaled, unit, weighted
+from shelfspark.functions.expressions import argmax, clip, criticality_weight, day_bit, dbl, floored_share, linear_score, log_share_score, month_of, ratio, risk_tier, safe_divide, scaled, unit, weighted
 from shelfspark.plans.features import DRIVERS
 from shelfspark.plans.views import flagged
 from shelfspark.schemas import Policy
@@ -62,23 +62,38 @@ def scoring_input(daily: DataFrame, base: DataFrame) -> DataFrame:
     })
 
 
-def entity_measures(prepared: DataFrame, keys: list[str]) -> DataFrame:
-    """Measures of entities of any grain, in one pass: months are summed first, then entities from their months.
+_UNITS = ["units_demanded", "units_fulfilled", "units_lost_sales"]
+_DAYS = ["stockout_flag", "excess_day", "slow_moving_day", "days_of_supply"]
+_AMOUNTS = ["service_gap_units", "inventory_value", "lost_sales_revenue", "demand_weight", "weighted_criticality", "weighted_dos_cap", "weighted_supplier_risk"]
+_COUNTS = [f"n_{n}" for n in [*_DAYS, "inventory_value"]]
 
-    Persistence is the share of months with losses. Months part the days, so days of months add up.
+
+def partial_states(prepared: DataFrame) -> DataFrame:
+    """Sums, counts and days of each SKU-location and month: what every measure of every coarser grain is merged from.
+
+    Amounts are decimals, so merging them in any order gives the same sums. The days with rows are one bit each,
+    which ``bit_or`` merges without counting a day twice. Months part the rows, so a new month is new states only.
     """
-    units, days = ["units_demanded", "units_fulfilled", "units_lost_sales"], ["stockout_flag", "excess_day", "slow_moving_day", "days_of_supply"]
-    amounts = ["service_gap_units", "inventory_value", "lost_sales_revenue", "demand_weight", "weighted_criticality", "weighted_dos_cap", "weighted_supplier_risk"]
-    counted = [*days, "inventory_value"]
-    monthly = prepared.groupBy(*keys, "month").agg(
-        *[F.sum(n).alias(n) for n in [*units, *days]], *[F.sum(F.col(n).cast("decimal(18,6)")).alias(n) for n in amounts], *[F.count(n).alias(f"n_{n}") for n in counted], F.countDistinct("date").alias("active_days")
+    return prepared.groupBy(*SKU_KEYS, "month").agg(
+        *[F.sum(n).alias(n) for n in [*_UNITS, *_DAYS]], *[F.sum(F.col(n).cast("decimal(18,6)")).alias(n) for n in _AMOUNTS], *[F.count(n[2:]).alias(n) for n in _COUNTS], F.bit_or(day_bit()).alias("day_bits")
     )
+
+
+def merged_states(states: DataFrame, keys: list[str]) -> DataFrame:
+    """States of a coarser grain (keys and month)."""
+    if set(keys) == set(SKU_KEYS):
+        return states
+    return states.groupBy(*keys, "month").agg(*[F.sum(n).alias(n) for n in [*_UNITS, *_DAYS, *_AMOUNTS, *_COUNTS]], F.bit_or("day_bits").alias("day_bits"))
+
+
+def entity_measures(states: DataFrame, keys: list[str]) -> DataFrame:
+    """Measures of entities of any grain from monthly states; persistence is the share of months with losses."""
     total = lambda n: F.sum(n).cast("double")
     mean = lambda n: total(n) / F.nullif(total(f"n_{n}"), F.lit(0.0))
-    sums = {n: F.sum(n) for n in units} | {n: total(n) for n in amounts if n != "inventory_value"}
+    sums = {n: F.sum(n) for n in _UNITS} | {n: total(n) for n in _AMOUNTS if n != "inventory_value"}
     sums |= {"stockout_frequency": mean("stockout_flag"), "excess_day_rate": mean("excess_day"), "slow_moving_rate": mean("slow_moving_day"), "average_days_of_supply": mean("days_of_supply"), "average_inventory_value": mean("inventory_value")}
-    sums |= {"inventory_value_sum": total("inventory_value"), "active_days": F.sum("active_days"), "stockout_active_month_ratio": F.avg((F.col("units_lost_sales") > 0).cast("double"))}
-    joined = monthly.groupBy(*keys).agg(*[f.alias(n) for n, f in sums.items()])
+    sums |= {"inventory_value_sum": total("inventory_value"), "active_days": F.sum(F.bit_count("day_bits")), "stockout_active_month_ratio": F.avg((F.col("units_lost_sales") > 0).cast("double"))}
+    joined = merged_states(states, keys).groupBy(*keys).agg(*[f.alias(n) for n, f in sums.items()])
     by_weight = lambda x: safe_divide(x, "demand_weight")
     return joined.withColumns({
         "fill_rate": safe_divide("units_fulfilled", "units_demanded"), "stockout_rate": safe_divide("units_lost_sales", "units_demanded"), "service_gap_rate": safe_divide("service_gap_units", "units_demanded"),
@@ -92,9 +107,9 @@ def priority(weights: tuple[float, ...] = PRIORITY) -> Column:
     return clip(weighted(*zip(weights, [*map(F.col, SCORES), F.least("service_risk_score", "excess_inventory_score")], strict=True)), 0.0, 100.0)
 
 
-def component_scores(measures: DataFrame, daily: DataFrame, p: Policy = Policy()) -> DataFrame:
+def component_scores(measures: DataFrame, states: DataFrame, p: Policy = Policy()) -> DataFrame:
     """Shares of the company's total, five scores, priority, tier and main driver."""
-    total = daily.agg(money_sum("lost_sales_revenue").alias("all_lost"), money_sum("inventory_value").alias("all_value"))
+    total = states.agg(*[F.sum(n).cast("double").alias(a) for n, a in (("lost_sales_revenue", "all_lost"), ("inventory_value", "all_value"))])
     out = measures.crossJoin(F.broadcast(total))  # one row
     out = out.withColumns({"lost_sales_share": floored_share("lost_sales_revenue", "all_lost"), "inventory_value_share": floored_share("inventory_value_sum", "all_value")})
     lost, held = log_share_score("lost_sales_share", *p.lost_share), log_share_score("inventory_value_share", *p.inventory_share)
@@ -126,21 +141,21 @@ _HEAD = [*SCORES, "governance_priority_score", "risk_tier", "main_risk_driver",
 _TAIL = ["lost_sales_share", "inventory_value_share", "lost_sales_revenue", "inventory_value_sum"]
 
 
-def sku_risk(daily: DataFrame, base: DataFrame) -> DataFrame:
-    scored = component_scores(entity_measures(scoring_input(daily, base), SKU_KEYS), daily)
+def sku_risk(states: DataFrame) -> DataFrame:
+    scored = component_scores(entity_measures(states, SKU_KEYS), states)
     return _advised(scored, "sku_warehouse").select(*SKU_KEYS, *_HEAD, "fill_rate", "stockout_rate", "service_gap_rate", "excess_day_rate", "slow_moving_rate", "dos_stretch", *_TAIL)
 
 
-def supplier_risk(daily: DataFrame, base: DataFrame) -> DataFrame:
+def supplier_risk(states: DataFrame, base: DataFrame) -> DataFrame:
     """Scores of suppliers; a supplier's own base score stands for the demand-weighted one."""
-    joined = entity_measures(scoring_input(daily, base), SUPPLIER_KEYS).join(base, "supplier_id", "left")
+    joined = entity_measures(states, SUPPLIER_KEYS).join(base, "supplier_id", "left")
     joined = joined.withColumn("supplier_risk_score", F.coalesce("supplier_risk_score_base", "supplier_risk_score"))
     record = ["on_time_delivery_rate", "average_delay_days", "lead_time_variability", "received_vs_ordered_fill_rate"]
-    return _advised(component_scores(joined, daily), "supplier").select("supplier_id", "supplier_name", *_HEAD, *record, "fill_rate", "stockout_rate", *_TAIL)
+    return _advised(component_scores(joined, states), "supplier").select("supplier_id", "supplier_name", *_HEAD, *record, "fill_rate", "stockout_rate", *_TAIL)
 
 
-def segment_risk(daily: DataFrame, base: DataFrame) -> DataFrame:
-    scored = component_scores(entity_measures(scoring_input(daily, base), SEGMENT_KEYS), daily)
+def segment_risk(states: DataFrame) -> DataFrame:
+    scored = component_scores(entity_measures(states, SEGMENT_KEYS), states)
     return _advised(scored, "segment").select(F.concat("category", F.lit(" | "), "region").alias("segment_id"), "category", "region", *_HEAD, "fill_rate", "stockout_rate", *_TAIL)
 
 

@@ -39,6 +39,21 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", expected: list[s
     df.write.mode("overwrite").format(fmt).option("header", True).save(path)
 
 
+def write_partitioned(df: DataFrame, path: str, *by: str) -> None:
+    """Write a table partitioned by columns; of a table that is there only the partitions that ``df`` has are replaced.
+
+    Rows are dealt out by those columns before, a large partition to several tasks and small ones to one together, so that a
+    partition is a few files.
+    """
+    dealt = df.hint("rebalance", *by) if by else df
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def read_partitioned(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A partitioned table. A filter on its partition columns leaves the other partitions unread."""
+    return spark.read.schema(schema).parquet(path)
+
+
 def read_contracts(spark: SparkSession, path: str) -> DataFrame:
     """One row for each table of a contract document: name, path and its lists of columns."""
     return spark.read.schema(CONTRACT).option("multiLine", True).json(path).select(F.explode("tables").alias("t")).select("t.*")

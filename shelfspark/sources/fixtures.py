@@ -9,6 +9,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfspark.sources.files import read_partitioned, write_partitioned
+from shelfspark.sources.scratch import scratch
+
 
 class Tables:
     """Raw tables of one folder, as lazy DataFrames. Nothing is read before an action."""
@@ -23,6 +26,15 @@ class Tables:
             self._kept[name] = make().persist(StorageLevel.MEMORY_AND_DISK)
         return self._kept[name]
 
+    def write(self, name: str, make: Callable[[], DataFrame], *by: str) -> DataFrame:
+        """A result that several queries start from, written once to the shared folder, partitioned by the columns ``by``."""
+        if name not in self._kept:
+            made = make()
+            path = scratch(self.spark)
+            write_partitioned(made, path, *by)
+            self._kept[name] = read_partitioned(self.spark, path, made.schema)
+        return self._kept[name]
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
