@@ -30,7 +30,7 @@ SHORT_SKETCHES, SHORT_WORDS = 128, 100
 #: looks at one bucket in ``FIRST_OF``: copies share many, and the others need not be compared twice.
 ROUNDS, FIRST_OF = 3, 4
 #: In the last pass: texts that make a block of a group, bins of a text's word counts, and bins of all texts' counts.
-BLOCK_ROWS, BINS, COUNT_BINS = 256, 512, 1 << 18
+BLOCK_ROWS, BINS, COUNT_BINS = 4096, 512, 1 << 18
 #: There, word pairs before each one that tell whether two texts have met before.
 BEFORE = 2
 #: Rows of that pass in one Python call, about: many groups, whole ones.
@@ -278,8 +278,9 @@ def _rest(entries: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     pairs to share from there on in both. Where one of the ``BEFORE`` pairs before is shared too, the texts have
     met under it, and it is decided there; so a passage that thousands have brings two texts together about once.
 
-    Texts under one pair are dealt to blocks, and a group holds two blocks. What meets is aligned for a whole
-    group, so a text travels once to a group and not once to each of its pairs (``_aligned``).
+    Texts under one pair are dealt to blocks, and a group holds two blocks of a few numbers for each text, so that the
+    texts of a pair are written again only beyond ``BLOCK_ROWS`` of them (n texts: n * n / ``BLOCK_ROWS`` rows). What meets is
+    aligned for a whole group, so a text travels once to a group and not once to each of its pairs (``_aligned``).
     """
     mixed = entries.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
     rows = stored(texts.join(entries.join(mixed, "key").select("id", "label").distinct(), "id").select("id", "label", "text"))
