@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,15 +11,16 @@ from shelfspark.functions.expressions import criticality_weight, dbl, dos_cap, f
 from shelfspark.schemas import DAILY_COLUMNS
 
 
-def daily_metrics(demand: DataFrame, inventory: DataFrame, products: DataFrame, warehouses: DataFrame, classification: DataFrame) -> DataFrame:
+def daily_metrics(demand: DataFrame, inventory: DataFrame, products: DataFrame, warehouses: DataFrame, classification: DataFrame, on: Sequence[str] = ("date", "warehouse_id", "product_id")) -> DataFrame:
     """One row for each day, warehouse and product with demand and stock: service, stock and lost revenue.
 
-    The two facts meet on three keys. Warehouses are a handful; the other dimensions are left to the
-    optimizer, which broadcasts them while they are small. A product without a class stays, unclassified.
+    The two facts meet on three keys; where ``on`` names others that say the same (integers, by which both facts are
+    bucketed), they meet on these without an exchange. Dimensions are left to the optimizer, which broadcasts them
+    while they are small. A product without a class stays, unclassified.
     """
-    stock = inventory.select(F.col("snapshot_date").alias("date"), "warehouse_id", "product_id", "on_hand_units", "on_order_units", "available_units", "days_of_supply", "inventory_value")
-    facts = demand.drop("region").join(stock, ["date", "warehouse_id", "product_id"])
-    named = facts.join(products.select("product_id", "category", "supplier_id", "unit_price", "target_service_level"), "product_id").join(F.broadcast(warehouses.select("warehouse_id", "region")), "warehouse_id")
+    stock = inventory.withColumnRenamed("snapshot_date", "date").select(*on, "on_hand_units", "on_order_units", "available_units", "days_of_supply", "inventory_value")
+    facts = demand.drop("region").join(stock, list(on))
+    named = facts.join(products.select("product_id", "category", "supplier_id", "unit_price", "target_service_level"), "product_id").join(warehouses.select("warehouse_id", "region"), "warehouse_id")
     full = named.join(classification, "product_id", "left")
     gap = F.col("target_service_level") * dbl("units_demanded") - dbl("units_fulfilled")
     return full.withColumns({

@@ -9,10 +9,14 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.sources.files import read_partitioned, write_partitioned
+from shelfspark.sources.files import bucketed, read_partitioned, write_partitioned
 from shelfspark.sources.scratch import scratch
 
 
+#: Day, region and part: the integer keys of both daily facts.
+GRAIN = ["pk", "rk", "d"]
+
+
 class Tables:
     """Raw tables of one folder, as lazy DataFrames. Nothing is read before an action."""
 
@@ -89,16 +93,29 @@ class Tables:
         return self.read("lineitem").withColumns({"pk": F.col("l_partkey"), "d": F.to_date("l_shipdate"), "units": F.col("l_quantity").cast("long")}).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
     @cached_property
-    def demand_history(self) -> DataFrame:
+    def _days(self) -> DataFrame:
+        """What both facts are made from, read from the lines once: a row for each day, region and part, with the part's cost.
+
+        It is written in buckets of its keys, so that facts projected from it meet without moving.
+        """
+        cost = (F.col("p_retailprice") * (F.lit(0.40) + (F.col("p_partkey") % 5).cast("double") * F.lit(0.05))).alias("cost")
+        part = self.read("part").select("p_partkey", cost, (F.col("p_type") == "PROMO").cast("long").alias("promo"))
         units = F.when((F.col("pk") % 20 == 7) & (F.col("l_returnflag") == "N"), 0).otherwise(F.col("units"))
         lost = F.when(F.col("l_returnflag") == "R", F.floor(F.col("l_quantity") * (F.col("pk") % 5) / F.lit(10.0))).otherwise(0)
-        days = self._lines.groupBy("d", "rk", "r_name", "pk").agg(F.sum(units).cast("long").alias("demanded"), F.sum(lost).cast("long").alias("lost"))
-        promo = self.read("part").select("p_partkey", (F.col("p_type") == "PROMO").cast("long").alias("promo"))
-        return days.join(promo, F.col("pk") == F.col("p_partkey")).select(
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        lines = self._lines.join(part, F.col("pk") == F.col("p_partkey")).withColumns({"demanded": units, "lost": lost})
+        dealt = lines.select(*GRAIN, "r_name", "cost", "promo", "demanded", "lost").repartition(n, *GRAIN)
+        days = dealt.groupBy(*GRAIN).agg(F.min("r_name").alias("region"), F.min("cost").alias("cost"), F.min("promo").alias("promo"), F.sum("demanded").cast("long").alias("demanded"), F.sum("lost").cast("long").alias("lost"))
+        return bucketed(days, n, *GRAIN)
+
+    @cached_property
+    def _demand(self) -> DataFrame:
+        return self._days.select(
+            *GRAIN,
             F.col("d").alias("date"),
             F.concat(F.lit("WH-"), F.col("rk")).alias("warehouse_id"),
             F.concat(F.lit("SKU-"), F.col("pk")).alias("product_id"),
-            F.col("r_name").alias("region"),
+            "region",
             F.col("demanded").alias("units_demanded"),
             (F.col("demanded") - F.col("lost")).alias("units_fulfilled"),
             F.col("lost").alias("units_lost_sales"),
@@ -108,25 +125,31 @@ class Tables:
         )
 
     @cached_property
-    def inventory_snapshots(self) -> DataFrame:
-        keys = self._lines.select("d", "rk", "pk").distinct()
-        cost = self.products.select("product_id", "unit_cost")
+    def _stock(self) -> DataFrame:
         day, pk = F.dayofyear("d"), F.col("pk")
         k = (pk * 37 + day * 11 + F.col("rk") * 5) % 61
-        shaped = keys.withColumns({"k": k, "product_id": F.concat(F.lit("SKU-"), pk), "on_order": (pk * 3 + day) % 40})
-        on_hand = F.col("k") * 5 + pk % 7
-        return shaped.join(cost, "product_id").select(
+        on_hand = k * 5 + pk % 7
+        return self._days.select(
+            *GRAIN,
             F.col("d").alias("snapshot_date"),
             F.concat(F.lit("WH-"), F.col("rk")).alias("warehouse_id"),
-            "product_id",
+            F.concat(F.lit("SKU-"), pk).alias("product_id"),
             on_hand.alias("on_hand_units"),
-            F.col("on_order").alias("on_order_units"),
+            ((pk * 3 + day) % 40).alias("on_order_units"),
             (pk % 7).alias("reserved_units"),
-            (F.col("k") * 5).alias("available_units"),
-            (on_hand.cast("double") * F.col("unit_cost")).alias("inventory_value"),
-            (F.col("k").cast("double") * (F.lit(0.25) + (pk % 8).cast("double") * F.lit(0.25))).alias("days_of_supply"),
+            (k * 5).alias("available_units"),
+            (on_hand.cast("double") * F.col("cost")).alias("inventory_value"),
+            (k.cast("double") * (F.lit(0.25) + (pk % 8).cast("double") * F.lit(0.25))).alias("days_of_supply"),
         )
 
+    @cached_property
+    def demand_history(self) -> DataFrame:
+        return self._demand.drop(*GRAIN)
+
+    @cached_property
+    def inventory_snapshots(self) -> DataFrame:
+        return self._stock.drop(*GRAIN)
+
     @cached_property
     def purchase_orders(self) -> DataFrame:
         lead = self.read("part").select("p_partkey", (3 + F.col("p_size") % 25).alias("lead"))
@@ -156,7 +179,7 @@ class Tables:
         """The canonical daily fact; kept for the session, as nearly every operator starts from it."""
         from shelfspark.plans.views import daily_metrics
 
-        held = daily_metrics(self.demand_history, self.inventory_snapshots, self.products, self.warehouses, self.product_classification)
+        held = daily_metrics(self._demand, self._stock, self.products, self.warehouses, self.product_classification, on=GRAIN)
         return held.persist(StorageLevel.MEMORY_AND_DISK)
 
 
