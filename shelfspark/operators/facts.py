@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions.expressions import day_bit, dbl, fill_ratio, loss_ratio, money_mean, money_sum, month_of, range_norm, ratio
 from shelfspark.operators.kpis import UNITS, by_amount, first
+from shelfspark.plans.digests import content_digest
 from shelfspark.plans.selection import exact_quantiles
 
 DIMENSIONS = ("month", "region", "warehouse_id", "product_id", "category", "supplier_id", "abc_class")
@@ -147,9 +148,7 @@ def coded(fact: DataFrame, codes: DataFrame) -> DataFrame:
 
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     """rows, and the exclusive or and sum of a hash of each row: the same for any order of rows."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    h = F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long")
-    return df.select(h.alias("h")).agg(F.count(F.lit(1)).alias("rows"), F.bit_xor("h").alias("hash_xor"), F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("hash_sum"))
+    return content_digest(df, columns)
 
 
 @dataclass(frozen=True)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.functions.expressions import fill_ratio, ratio
@@ -40,6 +41,9 @@ def union(parts: list[DataFrame]) -> DataFrame:
 # -- contracts --------------------------------------------------------------------------------------------------------
 
 
+CONTRACT_RESULT = "table_name string, check_name string, severity string, status string, observed long, expected long, details string"
+
+
 def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
     return sorted(set(required) - set(df.columns))
 
@@ -49,9 +53,8 @@ def contract_results(name: str, df: DataFrame, required: list[str], keys: list[s
 
     A missing required column ends the contract with one failed result, as the rest cannot be judged.
     """
-    schema = "table_name string, check_name string, severity string, status string, observed long, expected long, details string"
     missing = missing_columns(df, required)
-    head = df.sparkSession.createDataFrame([(name, "required_columns_present", "HIGH", "FAIL" if missing else "PASS", len(missing), 0, "missing: " + ", ".join(missing) if missing else "all required columns")], schema)
+    head = df.sparkSession.createDataFrame([(name, "required_columns_present", "HIGH", "FAIL" if missing else "PASS", len(missing), 0, "missing: " + ", ".join(missing) if missing else "all required columns")], CONTRACT_RESULT)
     if missing:
         return head
     counted = df.agg(nulls(critical).alias("nulls"), negatives(non_negative).alias("negatives")) if non_negative else df.agg(nulls(critical).alias("nulls"), F.lit(0).cast("long").alias("negatives"))
@@ -61,6 +64,24 @@ def contract_results(name: str, df: DataFrame, required: list[str], keys: list[s
     return head.unionByName(row.select(F.inline(F.array(*structs))))
 
 
+def run_contracts(spark: SparkSession, contracts: DataFrame, folder: str, fmt: str = "parquet") -> DataFrame:
+    """Results of every contract of a document (rows of ``read_contracts``) over the files in ``folder``.
+
+    A table without a file has one failed result. A document names a few tables, so its rows are read by the driver.
+    """
+    results = []
+    for c in contracts.collect():
+        try:
+            df = spark.read.format(fmt).option("header", True).load(f"{folder}/{c.path}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            results.append(spark.createDataFrame([(c.name, "table_exists", "HIGH", "FAIL", 1, 0, f"missing: {c.path}")], CONTRACT_RESULT))
+            continue
+        results.append(contract_results(c.name, df, c.required_columns or [], c.unique_key or [], c.critical_columns or [], c.non_negative or []))
+    return union(results) if results else spark.createDataFrame([], CONTRACT_RESULT)
+
+
 def contract_summary(results: DataFrame) -> DataFrame:
     return results.agg(F.count(F.lit(1)).alias("checks"), count_rows(F.col("status") == "FAIL").alias("failed"), count_rows(F.col("status") == "WARN").alias("warned"))
 

@@ -7,20 +7,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.sources.scratch import scratch
+from shelfspark.sources.scratch import scratch, stored
 
 CONTRACT = T.StructType([T.StructField("tables", T.ArrayType(T.StructType([
     T.StructField("name", T.StringType()), T.StructField("path", T.StringType()), *[T.StructField(n, T.ArrayType(T.StringType())) for n in ("required_columns", "unique_key", "critical_columns", "non_negative")],
 ])))])
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, view: str | None = None) -> DataFrame:
-    """A CSV table with a header; without a schema types are inferred, at the price of a pass. ``view`` names it for SQL."""
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, view: str | None = None, sampling: float = 1.0) -> DataFrame:
+    """A CSV table with a header; ``view`` names it for SQL. Without a schema types are inferred from a share of the lines."""
     reader = spark.read.option("header", True)
-    df = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+    df = (reader.schema(schema) if schema else reader.option("inferSchema", True).option("samplingRatio", sampling)).csv(path)
     return named(df, view) if view else df
 
 
+REJECTED = "_rejected"
+
+
+def tolerant_csv(spark: SparkSession, path: str, schema: T.StructType, date_format: str = "yyyy-MM-dd") -> tuple[DataFrame, DataFrame]:
+    """Good rows of a CSV table with a header, and its rejected lines as text (column ``_rejected``) with their file.
+
+    A line is rejected if a value does not parse to its type or date format, or if it has too few or too many values; it
+    stays whole for whoever mends it. The text is parsed once, into a table that both results are read from.
+    """
+    read = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", REJECTED).option("dateFormat", date_format)
+    parsed = read.schema(T.StructType([*schema.fields, T.StructField(REJECTED, T.StringType())])).csv(path)
+    lines = stored(parsed.withColumn("file", F.input_file_name()))
+    good = lines.filter(F.col(REJECTED).isNull()).select(*schema.names)
+    return good, lines.filter(F.col(REJECTED).isNotNull()).select(REJECTED, "file")
+
+
 def named(df: DataFrame, view: str) -> DataFrame:
     df.createOrReplaceTempView(view)
     return df
@@ -30,7 +46,9 @@ def optional(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "p
     """The table at a path, or an empty one where there is none."""
     try:
         return spark.read.schema(schema).format(fmt).option("header", True).load(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
