@@ -39,6 +39,12 @@ def safe_divide(numerator: Col, denominator: Col) -> Column:
     return F.coalesce(ratio(numerator, denominator, 0.0), F.lit(0.0))
 
 
+def finite(x: Col, otherwise: float = 0.0) -> Column:
+    """x where it is a finite number; ``otherwise`` for nulls, NaN and both infinities."""
+    x = dbl(x)
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(otherwise)).otherwise(x)
+
+
 def share(part: Col, whole: Col) -> Column:
     """Null where the whole is 0."""
     return ratio(part, whole, None)
@@ -143,6 +149,11 @@ def money_sum(x: Col) -> Column:
     return F.sum(c(x).cast("decimal(18,6)")).cast("double")
 
 
+def money_total(x: Col) -> Column:
+    """Sum of amounts that are sums themselves: as ``money_sum``, with room for 32 digits before the point."""
+    return F.sum(c(x).cast("decimal(38,6)")).cast("double")
+
+
 def money_mean(x: Col) -> Column:
     return money_sum(x) / F.nullif(F.count(c(x)), F.lit(0)).cast("double")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions.expressions import c, dos_bucket, dos_cap, fill_ratio, floored_share, loss_ratio, money_mean, money_sum, month_of, rate, share, slow_moving, weighted
+from shelfspark.plans.ranking import ranked
 from shelfspark.plans.selection import exact_quantiles
 
 UNITS = ("units_demanded", "units_fulfilled", "units_lost_sales")
@@ -99,23 +100,13 @@ def top_risk_skus(service: DataFrame, inventory: DataFrame, n: int = 25) -> Data
 def value_curve(values: DataFrame, *keys: str) -> DataFrame:
     """Entities in order of value with rank, percentile, running value and its share of the total.
 
-    Values are ranked over many tasks: sorted ranges are numbered and summed by themselves, and what came
-    before a range is added from one row for each range.
+    Values are ranked and summed over many tasks (``ranked``).
     """
-    spark = values.sparkSession
     order = [F.round("avg_inventory_value", 6).desc(), *[F.col(k) for k in keys]]
-    ranges = values.repartitionByRange(spark.sparkContext.defaultParallelism, *order).withColumn("part", F.spark_partition_id()).persist()  # the ranges are read twice and must not change between
-    sums = ranges.groupBy("part").agg(F.count(F.lit(1)).alias("n"), money_sum("avg_inventory_value").alias("v"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    lead = sums.select("part", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"{x}_before") for x in ("n", "v")], *[F.sum(x).over(whole).alias(f"{x}_all") for x in ("n", "v")])
-    inside = Window.partitionBy("part").orderBy(*order)
-    running = F.sum(F.col("avg_inventory_value").cast("decimal(18,6)")).over(inside.rowsBetween(Window.unboundedPreceding, 0)).cast("double")
-    placed = ranges.withColumns({"value_rank": F.row_number().over(inside), "running": running}).join(F.broadcast(lead), "part")  # a row for each task
-    rank = F.col("n_before") + F.col("value_rank")
+    placed = ranked(values.withColumn("value", F.col("avg_inventory_value").cast("decimal(18,6)")), order, "value_rank", ["value"])
+    running, total = F.col("running_value").cast("double"), F.col("all_value").cast("double")
     return placed.select(
-        *values.columns, rank.alias("value_rank"), (rank / F.col("n_all")).alias("rank_percentile"), (F.col("v_before") + F.col("running")).alias("cumulative_inventory_value"), F.col("v_all").alias("total_inventory_value"),
-        share(F.col("v_before") + F.col("running"), "v_all").alias("cumulative_value_share"),
+        *values.columns, "value_rank", (F.col("value_rank") / F.col("n_all")).alias("rank_percentile"), running.alias("cumulative_inventory_value"), total.alias("total_inventory_value"), share(running, total).alias("cumulative_value_share"),
     )
 
 

@@ -60,8 +60,8 @@ def amounts(t: Tables) -> DataFrame:
 IMPACT_KEYS = {"sku": ["product_id", "product_name", "warehouse_id", "category", "supplier_id"], "warehouse": ["warehouse_id", "region"], "supplier": ["supplier_id"], "category": ["category"]}
 
 
-def impacts(t: Tables, kind: str) -> DataFrame:
-    out = impact.impact_by(amounts(t), IMPACT_KEYS[kind])
+def impacts(t: Tables, kind: str, top: int | None = None) -> DataFrame:
+    out = impact.impact_by(amounts(t), IMPACT_KEYS[kind], top=top)
     if kind == "warehouse":
         out = out.join(F.broadcast(t.warehouses.select("warehouse_id", "warehouse_name")), "warehouse_id", "left")
     if kind == "supplier":
@@ -151,7 +151,7 @@ register("i04_impact_overall", lambda t: impact.overall(amounts(t)), _summary_sq
 _OPP = "opportunity_rank, opportunity_total_12m_proxy, opportunity_margin_recovery_12m_proxy, opportunity_wc_release_12m_proxy, lost_sales_revenue_annualized, trapped_working_capital_proxy_annualized, supplier_delay_impact_proxy_annualized, opportunity_share"
 register(
     "i05_opportunity_priority",
-    lambda t: impact.priorities(*[impacts(t, k) for k in ("sku", "warehouse", "supplier", "category")]),
+    lambda t: impact.priorities(*[impacts(t, k, 15) for k in ("sku", "warehouse", "supplier", "category")]),
     f"""SELECT 'SKU' AS entity_type, product_id || '|' || warehouse_id AS entity_id, product_name || ' @ ' || warehouse_id AS entity_name, {_OPP} FROM impact_sku WHERE opportunity_rank <= 15
     UNION ALL SELECT 'Warehouse', i.warehouse_id, warehouse_name, {_OPP} FROM impact_warehouse i LEFT JOIN warehouses w ON w.warehouse_id = i.warehouse_id WHERE opportunity_rank <= 15
     UNION ALL SELECT 'Supplier', i.supplier_id, supplier_name, {_OPP} FROM impact_supplier i LEFT JOIN suppliers s ON s.supplier_id = i.supplier_id WHERE opportunity_rank <= 15

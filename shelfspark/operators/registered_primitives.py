@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark import schemas
 from shelfspark.functions import expressions as x
+from shelfspark.operators.facts import Slice, detail
+from shelfspark.operators.registered import skus
+from shelfspark.operators.registered_facts import fact
 from shelfspark.oracles.base import CAP, SLOW, TIER, div, linear, log_share, money, rate
 from shelfspark.oracles.doubles import DOUBLES
+from shelfspark.plans.ranking import ranked, top_of_all, top_of_groups
 from shelfspark.plans.selection import quantiles
 from shelfspark.registry import register as _register
 from shelfspark.sources.fixtures import Tables
@@ -191,3 +196,66 @@ register("sl02_top", lambda t: t.products.orderBy(c("unit_price").desc(), "produ
 register("so01_union_all", lambda t: t.demand_history.select(*PAIR, lit("demand").alias("kind")).unionByName(t.purchase_orders.select(*PAIR, lit("order").alias("kind"))).groupBy("warehouse_id", "kind").agg(F.count(lit(1)).alias("n")), "SELECT warehouse_id, kind, count(*) AS n FROM (SELECT warehouse_id, 'demand' AS kind FROM demand_history UNION ALL SELECT warehouse_id, 'order' FROM purchase_orders) GROUP BY ALL")
 register("so03_distinct", lambda t: t.purchase_orders.select("supplier_id", "product_id").distinct(), "SELECT DISTINCT supplier_id, product_id FROM purchase_orders")
 register("so04_overlap", lambda t: t.demand_history.select(PAIR).distinct().join(t.purchase_orders.select(PAIR), PAIR, "left_semi").agg(F.count(lit(1)).alias("shared")), "SELECT count(*) AS shared FROM (SELECT warehouse_id, product_id FROM demand_history INTERSECT SELECT warehouse_id, product_id FROM purchase_orders)")
+
+# what other plans use inside, by itself over whole tables
+project(
+    "ex11_coalesce", "purchase_orders", ORDER,
+    {"units": (lambda: F.coalesce(F.nullif("received_units", lit(0)), c("ordered_units")), "coalesce(nullif(received_units, 0), ordered_units)"), "arrived": (lambda: F.coalesce(c("actual_arrival_date"), c("expected_arrival_date")), "coalesce(actual_arrival_date, expected_arrival_date)")},
+)
+_COVER = "on_hand_units / CAST(nullif(on_order_units, 0) AS DOUBLE)"
+project(
+    "ex12_nullif_and_infinity", "inventory_snapshots", ["snapshot_date", *DAY[1:]],
+    {"cover": (lambda: D("on_hand_units") / F.nullif(D("on_order_units"), lit(0.0)), _COVER), "finite_cover": (lambda: x.finite(F.when(c("on_order_units") == 0, lit(float("inf"))).otherwise(D("on_hand_units") / F.nullif(D("on_order_units"), lit(0.0)))), f"coalesce({_COVER}, 0)")}, "cover finite_cover",
+)
+
+
+def _lost(t: Tables, *keys: str) -> DataFrame:
+    return t.demand_history.groupBy(*keys).agg(F.sum("units_lost_sales").alias("lost"))
+
+
+_LOST = "(SELECT {0}, CAST(sum(units_lost_sales) AS BIGINT) AS lost FROM demand_history GROUP BY {0})"
+_by_lost = lambda: [c("lost").desc(), c("product_id")]
+_RANKED = "(SELECT *, row_number() OVER (ORDER BY lost DESC, product_id) AS place, count(*) OVER () AS n FROM " + _LOST.format("product_id") + ")"
+register("fi05_ranked_filter", lambda t: top_of_groups(_lost(t, "warehouse_id", "product_id"), ["warehouse_id"], _by_lost(), 3, "place").withColumn("place", c("place").cast("long")), f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY warehouse_id ORDER BY lost DESC, product_id) AS place FROM {_LOST.format('warehouse_id, product_id')}) WHERE place <= 3")
+register("fi06_facets", lambda t: Slice({"region": "ASIA", "category": "ALL"}, (date(1997, 12, 1), date(1996, 1, 1))).of(fact(t)).groupBy("month", "warehouse_id").agg(F.sum("units_demanded").alias("units"), F.count(lit(1)).alias("n")), "SELECT month, warehouse_id, CAST(sum(units_demanded) AS BIGINT) AS units, count(*) AS n FROM month_fact WHERE region = 'ASIA' AND month BETWEEN DATE '1996-01-01' AND DATE '1997-12-01' GROUP BY ALL")
+register(
+    "fi07_first_rows", lambda t: _lost(t, "warehouse_id", "product_id").groupBy("warehouse_id").agg(F.max(F.struct("lost", "product_id")).alias("top"), F.min(F.struct("lost", "product_id")).alias("low")).select("warehouse_id", c("top.product_id").alias("most"), c("top.lost").alias("most_lost"), c("low.product_id").alias("least")),
+    f"SELECT warehouse_id, max(x).product_id AS most, max(x).lost AS most_lost, min(x).product_id AS least FROM (SELECT warehouse_id, struct_pack(lost := lost, product_id := product_id) AS x FROM {_LOST.format('warehouse_id, product_id')}) GROUP BY warehouse_id",
+)
+register(
+    "jn06_measures_to_entities", lambda t: skus(t).select(*DAY[1:], "governance_priority_score").join(_lost(t, *DAY[1:]).filter("lost > 0"), DAY[1:], "left").withColumn("lost", F.coalesce("lost", lit(0))),
+    f"SELECT s.warehouse_id, s.product_id, governance_priority_score, coalesce(lost, 0) AS lost FROM sku_risk s LEFT JOIN (SELECT * FROM {_LOST.format('warehouse_id, product_id')} WHERE lost > 0) l ON l.warehouse_id = s.warehouse_id AND l.product_id = s.product_id", "governance_priority_score",
+)
+register(
+    "jn10_lookup_with_defaults", lambda t: t.purchase_orders.join(t.suppliers.filter("supplier_region = 'ASIA'").select("supplier_id", "supplier_name", "supplier_region"), "supplier_id", "left").select(*ORDER, F.coalesce("supplier_name", "supplier_id").alias("supplier"), F.coalesce("supplier_region", lit("elsewhere")).alias("place")),
+    "SELECT po_id, coalesce(supplier_name, o.supplier_id) AS supplier, coalesce(supplier_region, 'elsewhere') AS place FROM purchase_orders o LEFT JOIN (SELECT * FROM suppliers WHERE supplier_region = 'ASIA') s ON s.supplier_id = o.supplier_id",
+)
+register(
+    "ag17_day_weighted_mean", lambda t: fact(t).groupBy("warehouse_id").agg((x.money_sum(c("avg_days_of_supply") * c("observation_days")) / F.sum("observation_days")).alias("days")),
+    f"SELECT warehouse_id, {money('avg_days_of_supply * observation_days')} / sum(observation_days) AS days FROM month_fact GROUP BY warehouse_id", "days",
+)
+
+
+def _by_alias(t: Tables) -> DataFrame:
+    t.purchase_orders.createOrReplaceTempView("purchase_orders")
+    return t.spark.sql("SELECT trunc(order_date, 'month') AS month, CASE WHEN late_delivery_flag = 1 THEN 'late' ELSE 'on time' END AS arrival, count(*) AS n FROM purchase_orders GROUP BY 1, arrival")
+
+
+register("ag20_group_by_alias", _by_alias, "SELECT CAST(date_trunc('month', order_date) AS DATE) AS month, CASE WHEN late_delivery_flag = 1 THEN 'late' ELSE 'on time' END AS arrival, count(*) AS n FROM purchase_orders GROUP BY 1, 2")
+register("wn05_rank_percentile", lambda t: ranked(_lost(t, "product_id"), _by_lost(), "place").select("product_id", (c("place") / c("n_all")).alias("percentile")), f"SELECT product_id, CAST(place AS DOUBLE) / n AS percentile FROM {_RANKED}", "percentile")
+register("wn06_first_rank", lambda t: ranked(_lost(t, "product_id"), _by_lost(), "place").drop("n_all"), f"SELECT product_id, lost, place FROM {_RANKED}")
+register(
+    "wn08_cumulative_share", lambda t: ranked(_lost(t, "product_id"), _by_lost(), "place", ["lost"]).select("product_id", x.share("running_lost", "all_lost").alias("cumulative_share")),
+    f"SELECT product_id, CAST(sum(lost) OVER (ORDER BY lost DESC, product_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) / sum(lost) OVER () AS cumulative_share FROM {_LOST.format('product_id')}", "cumulative_share",
+)
+register("sl01_mixed_order", lambda t: ranked(t.products.select("category", "unit_price", "product_id"), [c("category").asc(), c("unit_price").desc(), c("product_id").asc()], "place").select("product_id", "place"), "SELECT product_id, row_number() OVER (ORDER BY category, unit_price DESC, product_id) AS place FROM products")
+register("sl03_top_by_rank", lambda t: top_of_all(_lost(t, "product_id"), _by_lost(), 15, "place").withColumn("place", c("place").cast("long")), f"SELECT product_id, lost, place FROM {_RANKED} WHERE place <= 15")
+register("sl04_sorted_head", lambda t: _lost(t, "product_id").orderBy(*_by_lost()).limit(25), f"SELECT product_id, lost FROM {_RANKED} WHERE place <= 25")
+register(
+    "sl05_chosen_order", lambda t: detail(skus(t).join(t.products.select("product_id", "product_name"), "product_id"), key="fill_rate", descending=False, n=250).select(*DAY[1:], "fill_rate"),
+    "SELECT warehouse_id, product_id, fill_rate FROM sku_risk ORDER BY round(fill_rate, 6), product_id, warehouse_id, supplier_id LIMIT 250", "fill_rate",
+)
+register(
+    "so02_blocks", lambda t: t.suppliers.select(lit("supplier").alias("kind"), c("supplier_id").alias("id"), c("average_lead_time_days").alias("lead_days")).unionByName(t.products.select(lit("product").alias("kind"), c("product_id").alias("id"), c("lead_time_days").alias("lead_days"))).unionByName(t.warehouses.select(lit("warehouse").alias("kind"), c("warehouse_id").alias("id")), allowMissingColumns=True),
+    "SELECT 'supplier' AS kind, supplier_id AS id, average_lead_time_days AS lead_days FROM suppliers UNION ALL SELECT 'product', product_id, lead_time_days FROM products UNION ALL SELECT 'warehouse', warehouse_id, NULL FROM warehouses",
+)

@@ -7,11 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.functions.expressions import argmax, money_sum, risk_tier
+from shelfspark.functions.expressions import argmax, money_sum, money_total, risk_tier
 from shelfspark.operators import facts, gates, kpis, quality
 from shelfspark.operators.registered import FILL, LOSS, amounts, impacts, skus
 from shelfspark.operators.registered_facts import fact
 from shelfspark.oracles.base import TIER, driver, money, part
+from shelfspark.oracles.doubles import DOUBLES
 from shelfspark.plans import features, impact, scoring
 from shelfspark.registry import register
 from shelfspark.schemas import KEYS, RAW
@@ -142,7 +143,7 @@ for _id, (_name, _sql) in VALIDATION.items():
     register(f"{_id}_{_name}", lambda t, n=_name: validated(t).filter(F.col("check_name") == n), _line(_name, _sql))
 _VALIDATION = " UNION ALL ".join(_line(n, s) for n, s in VALIDATION.values())
 register("q12_validation_summary", validated, _VALIDATION)
-register("q13_value_mismatch_rows", lambda t: quality.value_mismatches(t.inventory_snapshots.withColumn("inventory_value", F.when(F.col("on_order_units") == 0, F.col("inventory_value") + 1).otherwise(F.col("inventory_value"))), t.products), "SELECT snapshot_date, warehouse_id, i.product_id, inventory_value + 1 AS inventory_value, CAST(on_hand_units AS DOUBLE) * unit_cost AS expected_value FROM inventory_snapshots i JOIN products p ON p.product_id = i.product_id WHERE on_order_units = 0 ORDER BY abs(inventory_value + 1 - CAST(on_hand_units AS DOUBLE) * unit_cost) DESC, 1, 2, 3 LIMIT 100")
+register("q13_value_mismatch_rows", lambda t: quality.value_mismatches(t.inventory_snapshots, t.products), "SELECT snapshot_date, warehouse_id, i.product_id, inventory_value, CAST(on_hand_units AS DOUBLE) * unit_cost AS expected_value FROM inventory_snapshots i JOIN products p ON p.product_id = i.product_id WHERE abs(inventory_value - CAST(on_hand_units AS DOUBLE) * unit_cost) > 0.05 ORDER BY abs(inventory_value - CAST(on_hand_units AS DOUBLE) * unit_cost) DESC, 1, 2, 3 LIMIT 100")
 _ISSUES = f"""SELECT 'duplicates' AS issue_category, 'High' AS severity, table_name AS object_name, duplicate_key_rows AS issue_rows FROM ({_SUMMARIES}) WHERE duplicate_key_rows > 0 UNION ALL SELECT 'impossible values', 'High', table_name, impossible_values FROM ({_SUMMARIES}) WHERE impossible_values > 0
     UNION ALL SELECT 'referential integrity', 'High', child_table || '.' || child_key, orphan_rows FROM ({_FOREIGN}) WHERE orphan_rows > 0 UNION ALL SELECT 'validation', 'High', check_name, issue_count FROM ({_VALIDATION}) WHERE issue_count > 0"""
 part("x_issues", _ISSUES)
@@ -163,7 +164,7 @@ def agreement(t: Tables) -> DataFrame:
     summary = impact.overall(valued).agg(*[F.max(F.when(F.col("metric") == f"{x}_observed", F.col("value"))).alias(f"s_{x}") for x in ("trapped_working_capital_proxy", "excess_inventory_value_proxy")], F.max(F.when(F.col("metric") == "opportunity_total_12m_proxy", F.col("value"))).alias("opportunity"))
     row = lost.crossJoin(summary)
     for kind in ("sku", "warehouse", "supplier", "category"):
-        row = row.crossJoin(impact.impact_by(valued, {"sku": ["product_id", "warehouse_id"], "warehouse": ["warehouse_id"], "supplier": ["supplier_id"], "category": ["category"]}[kind]).agg(money_sum("lost_sales_revenue_observed").alias(f"by_{kind}")))
+        row = row.crossJoin(impact.sums_by(valued, {"sku": ["product_id", "warehouse_id"], "warehouse": ["warehouse_id"], "supplier": ["supplier_id"], "category": ["category"]}[kind]).agg(money_total("lost_sales_revenue_observed").alias(f"by_{kind}")))
     direct = valued.groupBy("supplier_id").agg(money_sum(F.col("lost_sales_revenue") * F.col("supplier_delay_factor")).alias("again"))
     delay = impacts(t, "supplier").join(direct, "supplier_id").agg(F.max(F.abs(F.col("supplier_delay_impact_proxy_observed") - F.col("again"))).alias("delay_gap"))
     month = fact(t).agg(*[F.sum(x).alias(f"m_{x}") for x in _UNITS], *[money_sum(x).alias(f"m_{x}") for x in ("lost_sales_revenue", "inventory_value")])
@@ -173,7 +174,11 @@ def agreement(t: Tables) -> DataFrame:
     fact_gap = reduce(lambda a, b: a + b, [gap(f"m_{x}", f"d_{x}") for x in [*_UNITS, "lost_sales_revenue", "inventory_value"]])
     snap = facts.reconciled(facts.snapshot(kpis.service_health(t.daily), impact.overall(valued)), facts.slice_totals(fact(t)))
     row = row.withColumns({"trapped_gap": gap("trapped_working_capital_proxy", "s_trapped_working_capital_proxy"), "excess_gap": gap("excess_inventory_value_proxy", "s_excess_inventory_value_proxy"), "fact_gap": fact_gap, **{f"{k}_gap": gap(f"by_{k}", "lost_sales_revenue") for k in ("sku", "warehouse", "supplier", "category")}})
-    row = row.crossJoin(snap.select(F.greatest("fill_diff", "stockout_diff").alias("snap_gap")))  # one row
+    return agreement_lines(row.crossJoin(snap.select(F.greatest("fill_diff", "stockout_diff").alias("snap_gap"))))  # one row
+
+
+def agreement_lines(row: DataFrame) -> DataFrame:
+    """Checks of the gaps of one row, as they are: nothing is rounded before it is compared."""
     close = lambda c, most=1.0: F.col(c) <= most
     within = [("aggregation_lost_sales_%s_to_overall" % k, "HIGH", f"{k}_gap", close(f"{k}_gap"), "FAIL") for k in ("sku", "warehouse", "supplier", "category")]
     money_checks = quality.checks_from(row, "impact", [
@@ -181,7 +186,8 @@ def agreement(t: Tables) -> DataFrame:
         ("impact_opportunity_non_negative", "HIGH", "opportunity", F.col("opportunity") >= 0, "FAIL"),
     ])
     board = [("dashboard_metric_reconciliation", "HIGH", "fact_gap", close("fact_gap"), "FAIL"), ("dashboard_official_snapshot_present_and_reconciled", "HIGH", "snap_gap", close("snap_gap", 0.0005), "FAIL")]
-    return money_checks.unionByName(quality.checks_from(row, "dashboard", board)).withColumn("observed", F.when(F.col("check_name") == "impact_opportunity_non_negative", F.round("observed", 2)).otherwise(F.round("observed", 0)))
+    lines = money_checks.unionByName(quality.checks_from(row, "dashboard", board))
+    return lines.withColumn("observed", F.when(F.col("check_name") == "impact_opportunity_non_negative", F.round("observed", 2)).otherwise(F.col("observed")))
 
 
 def scoring_checks(t: Tables) -> DataFrame:
@@ -258,10 +264,10 @@ _P: dict[str, tuple] = {
     "p21": ("lost_sales_revenue_consistency_daily", "processed", "HIGH", "(SELECT count(*) FROM daily d LEFT JOIN products p ON p.product_id = d.product_id WHERE unit_price IS NULL OR abs(lost_sales_revenue - CAST(units_lost_sales AS DOUBLE) * unit_price) > 0.11)"),
     "p22": ("inventory_value_consistency_raw", "raw", "CRITICAL", _value(0.11)),
     "p23": ("available_units_consistency_raw", "raw", "CRITICAL", VALIDATION["q11"][1]),
-    "p24": ("working_capital_proxy_overall_consistency", "impact", "HIGH", f"round(abs({_sum('trapped_working_capital_proxy', 'valued')} - {_sum('trapped_working_capital_proxy_observed', 'impact_category')}), 0)", "o <= 1"),
-    "p25": ("excess_inventory_proxy_overall_consistency", "impact", "HIGH", f"round(abs({_sum('excess_inventory_value_proxy', 'valued')} - {_sum('excess_inventory_value_proxy_observed', 'impact_category')}), 0)", "o <= 1"),
-    "p26": ("supplier_delay_proxy_consistency", "impact", "HIGH", f"round(abs({_sum('supplier_delay_impact_proxy', 'valued')} - {_sum('supplier_delay_impact_proxy_observed', 'impact_supplier')}), 0)", "o <= 1", "WARN"),
-    **{f"p{27 + i}": (f"aggregation_lost_sales_{k}_to_overall", "impact", "HIGH", f"round(abs({_sum('lost_sales_revenue_observed', f'impact_{k}')} - {_sum('lost_sales_revenue', 'daily')}), 0)", "o <= 1") for i, k in enumerate(("sku", "warehouse", "supplier", "category"))},
+    "p24": ("working_capital_proxy_overall_consistency", "impact", "HIGH", f"abs({_sum('trapped_working_capital_proxy', 'valued')} - {_sum('trapped_working_capital_proxy_observed', 'impact_category')})", "o <= 1"),
+    "p25": ("excess_inventory_proxy_overall_consistency", "impact", "HIGH", f"abs({_sum('excess_inventory_value_proxy', 'valued')} - {_sum('excess_inventory_value_proxy_observed', 'impact_category')})", "o <= 1"),
+    "p26": ("supplier_delay_proxy_consistency", "impact", "HIGH", f"abs({_sum('supplier_delay_impact_proxy', 'valued')} - {_sum('supplier_delay_impact_proxy_observed', 'impact_supplier')})", "o <= 1", "WARN"),
+    **{f"p{27 + i}": (f"aggregation_lost_sales_{k}_to_overall", "impact", "HIGH", f"abs({_sum('lost_sales_revenue_observed', f'impact_{k}')} - {_sum('lost_sales_revenue', 'daily')})", "o <= 1") for i, k in enumerate(("sku", "warehouse", "supplier", "category"))},
     "p31": ("impact_opportunity_non_negative", "impact", "HIGH", f"(SELECT round({money('lost_sales_margin_proxy')} * max(factor) * CAST(0.35 AS DOUBLE) + {money('trapped_working_capital_proxy')} * max(factor) * CAST(0.25 AS DOUBLE), 2) FROM valued, annual)", "o >= 0"),
     "p32": ("denominator_zero_demand_with_activity_raw", "raw", "CRITICAL", VALIDATION["q10"][1]),
     "p33": ("denominator_zero_demand_with_activity_daily", "processed", "CRITICAL", f"(SELECT count(*) FROM daily WHERE {_ZERO})"),
@@ -272,8 +278,8 @@ _P: dict[str, tuple] = {
     "p38": ("scoring_top25_stability_under_weight_perturbation", "scoring", "MEDIUM", f"round(least({_overlap((0.30, 0.19, 0.17, 0.16, 0.12, 0.06))}, {_overlap((0.20, 0.20, 0.21, 0.16, 0.17, 0.06))}), 4)", "o >= 0.65", "WARN"),
     "p39": ("data_contract_blocking_failures", "analytics", "HIGH", f"(SELECT count(*) FROM ({_contract_sql()}) WHERE status = 'FAIL')"),
     "p40": ("data_contract_warning_sanity", "analytics", "MEDIUM", f"(SELECT count(*) FROM ({_contract_sql()}) WHERE status = 'WARN')", "o = 0", "WARN"),
-    "p41": ("dashboard_metric_reconciliation", "dashboard", "HIGH", "round(" + " + ".join([f"abs((SELECT sum({u}) FROM daily) - (SELECT sum({u}) FROM month_fact))" for u in _UNITS] + [f"abs({_sum(x, 'daily')} - {_sum(x, 'month_fact')})" for x in ("lost_sales_revenue", "inventory_value")]) + ", 0)", "o <= 1"),
-    "p42": ("dashboard_official_snapshot_present_and_reconciled", "dashboard", "HIGH", f"round(greatest(abs((SELECT {FILL} FROM daily) - (SELECT {FILL} FROM month_fact)), abs((SELECT {LOSS} FROM daily) - (SELECT {LOSS} FROM month_fact))), 0)", "o <= 0.0005"),
+    "p41": ("dashboard_metric_reconciliation", "dashboard", "HIGH", " + ".join([f"abs((SELECT sum({u}) FROM daily) - (SELECT sum({u}) FROM month_fact))" for u in _UNITS] + [f"abs({_sum(x, 'daily')} - {_sum(x, 'month_fact')})" for x in ("lost_sales_revenue", "inventory_value")]), "o <= 1"),
+    "p42": ("dashboard_official_snapshot_present_and_reconciled", "dashboard", "HIGH", f"greatest(abs((SELECT {FILL} FROM daily) - (SELECT {FILL} FROM month_fact)), abs((SELECT {LOSS} FROM daily) - (SELECT {LOSS} FROM month_fact)))", "o <= 0.0005"),
 }
 
 
@@ -297,6 +303,36 @@ def overclaiming(texts: DataFrame, text_col: str = "text") -> DataFrame:
     return row.withColumn("status", F.when(F.col("causal_terms") > F.col("hedging_terms"), "WARN").otherwise("PASS"))
 
 
+#: What a summary's sentences look like, one figure each (fixed values): check, severity, pattern, factor to its unit, figure, tolerance, status otherwise.
+STATEMENTS = (
+    ("executive_summary_fill_rate_consistency", "HIGH", r"Overall fill rate is \*\*([0-9]+\.[0-9]+)%\*\*", 0.01, "overall_fill_rate", 0.001, "FAIL"),
+    ("executive_summary_stockout_rate_consistency", "HIGH", r"\*\*([0-9]+\.[0-9]+)%\*\* unit stockout rate", 0.01, "overall_stockout_rate", 0.001, "FAIL"),
+    ("executive_summary_lost_sales_consistency", "MEDIUM", r"Lost sales exposure is \*\*EUR ([0-9.]+)M\*\*", 1e6, "total_lost_sales_revenue", 200_000.0, "WARN"),
+)
+
+
+def report_checks(texts: DataFrame, health: DataFrame, text_col: str = "text") -> DataFrame:
+    """Figures that texts state against the one row of ``health``, all in one pass; observed is the largest gap, null where no text states it.
+
+    A figure that no text states is not confirmed: its check does not pass. One that some text states wrongly neither.
+    """
+    stated = {s[0]: F.try_to_number(F.regexp_extract(F.col(text_col), s[2], 1), F.lit("999999999999.999999")).cast("double") * s[3] for s in STATEMENTS}
+    ends = texts.agg(*[f(x).alias(f"{n}_{k}") for n, x in stated.items() for k, f in (("low", F.min), ("high", F.max))])
+    row = ends.crossJoin(health)  # one row each
+    gaps = {s[0]: F.greatest(F.abs(F.col(f"{s[0]}_low") - F.col(s[4])), F.abs(F.col(f"{s[0]}_high") - F.col(s[4]))) for s in STATEMENTS}
+    return quality.checks_from(row.withColumns(gaps), "reporting", [(n, severity, n, F.coalesce(F.col(n) <= tolerance, F.lit(False)), bad) for n, severity, _, _, _, tolerance, bad in STATEMENTS])
+
+
+def _stated_sql(name: str, severity: str, pattern: str, factor: float, figure: str, tolerance: float, bad: str) -> str:
+    actual = {"overall_fill_rate": FILL, "overall_stockout_rate": LOSS, "total_lost_sales_revenue": money("lost_sales_revenue")}[figure]
+    return f"SELECT '{name}' AS check_name, 'reporting' AS layer, '{severity}' AS severity, CASE WHEN coalesce(o <= {tolerance}, false) THEN 'PASS' ELSE '{bad}' END AS status, o AS observed FROM (SELECT max(abs(x - a)) AS o FROM (SELECT TRY_CAST(regexp_extract(text, '{pattern}', 1) AS DOUBLE) * {factor} AS x FROM documents), (SELECT {actual} AS a FROM daily))"
+
+
+for _number, _statement in zip((43, 44, 45), STATEMENTS, strict=True):
+    DOUBLES[f"p{_number}_{_statement[0]}"] = "observed"
+    register(f"p{_number}_{_statement[0]}", lambda t, n=_statement[0]: t.keep("report checks", lambda: report_checks(t.read("documents"), kpis.service_health(t.daily))).filter(F.col("check_name") == n), _stated_sql(*_statement))
+
+
 def stated_rate(texts: DataFrame, pattern: str, actual: DataFrame, tolerance: float, scale: float = 1.0) -> DataFrame:
     """The number that texts state (group 1 of a pattern) against a one-row figure: value, actual, status."""
     found = F.try_to_number(F.regexp_replace(F.regexp_extract("text", pattern, 1), ",", ""), F.lit("999999999999.999999")).cast("double") / scale

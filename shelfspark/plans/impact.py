@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.functions.expressions import clip, dos_cap, flag, loss_ratio, money_sum, slow_moving, unit, weighted
+from shelfspark.functions.expressions import clip, dos_cap, flag, loss_ratio, money_sum, money_total, slow_moving, unit, weighted
+from shelfspark.plans.ranking import ranked, top_of_all
 from shelfspark.schemas import Assumptions
 
 AMOUNTS = ["lost_sales_revenue", "lost_sales_margin_proxy", "excess_inventory_value_proxy", "trapped_working_capital_proxy", "slow_moving_value_proxy", "supplier_delay_impact_proxy"]
@@ -61,20 +62,25 @@ def _opportunity(df: DataFrame, a: Assumptions) -> DataFrame:
     return out.withColumn("opportunity_total_12m_proxy", F.col("opportunity_margin_recovery_12m_proxy") + F.col("opportunity_wc_release_12m_proxy"))
 
 
-def impact_by(amounts: DataFrame, keys: list[str], a: Assumptions = Assumptions()) -> DataFrame:
-    """Observed and annualized amounts, opportunity, its share and rank for entities of any grain.
+def sums_by(amounts: DataFrame, keys: list[str]) -> DataFrame:
+    """Units and observed amounts of entities of any grain."""
+    return amounts.groupBy(*keys).agg(F.sum("units_demanded").alias("units_demanded"), F.sum("units_lost_sales").alias("units_lost_sales"), *[money_sum(x).alias(f"{x}_observed") for x in AMOUNTS])
 
-    A year's amount is the observed one times one factor, so it is taken after summing. Ranks are given
-    over the entities, of which there are few against the fact; equal ones go by their keys.
+
+def impact_by(amounts: DataFrame, keys: list[str], a: Assumptions = Assumptions(), top: int | None = None) -> DataFrame:
+    """Observed and annualized amounts, opportunity, its share and rank for entities of any grain (the first ``top`` of them).
+
+    A year's amount is the observed one times one factor, so it is taken after summing. Ranks are given over many
+    tasks; equal opportunities go by their keys.
     """
-    sums = amounts.groupBy(*keys).agg(F.sum("units_demanded").alias("units_demanded"), F.sum("units_lost_sales").alias("units_lost_sales"), *[money_sum(x).alias(f"{x}_observed") for x in AMOUNTS])
-    out = _opportunity(sums.crossJoin(F.broadcast(annual_factor(amounts))), a).drop("analysis_days", "annualization_factor")  # one row
-    total = out.agg(money_sum("opportunity_total_12m_proxy").alias("pool"))
+    out = _opportunity(sums_by(amounts, keys).crossJoin(F.broadcast(annual_factor(amounts))), a).drop("analysis_days", "annualization_factor")  # one row
+    total = out.agg(money_total("opportunity_total_12m_proxy").alias("pool"))
     shared = out.crossJoin(F.broadcast(total))  # one row
-    order = Window.orderBy(F.round("opportunity_total_12m_proxy", 4).desc(), *keys)
-    return shared.withColumns({
-        "stockout_rate": loss_ratio("units_lost_sales", "units_demanded"), "opportunity_share": F.when(F.col("pool") > 0, F.col("opportunity_total_12m_proxy") / F.nullif("pool", F.lit(0.0))).otherwise(0.0), "opportunity_rank": F.row_number().over(order),
+    order = [F.round("opportunity_total_12m_proxy", 4).desc(), *map(F.col, keys)]
+    shared = shared.withColumns({
+        "stockout_rate": loss_ratio("units_lost_sales", "units_demanded"), "opportunity_share": F.when(F.col("pool") > 0, F.col("opportunity_total_12m_proxy") / F.nullif("pool", F.lit(0.0))).otherwise(0.0),
     }).drop("pool")
+    return ranked(shared, order, "opportunity_rank").drop("n_all") if top is None else top_of_all(shared, order, top, "opportunity_rank")
 
 
 def overall(amounts: DataFrame, a: Assumptions = Assumptions()) -> DataFrame:
@@ -86,7 +92,7 @@ def overall(amounts: DataFrame, a: Assumptions = Assumptions()) -> DataFrame:
 
 
 def priorities(by_sku: DataFrame, by_warehouse: DataFrame, by_supplier: DataFrame, by_category: DataFrame, top: int = 15) -> DataFrame:
-    """The first ``top`` of each kind of entity by rank."""
+    """The first ``top`` of each kind of entity by rank, in one table."""
     keep = ["opportunity_rank", "opportunity_total_12m_proxy", "opportunity_margin_recovery_12m_proxy", "opportunity_wc_release_12m_proxy", "lost_sales_revenue_annualized", "trapped_working_capital_proxy_annualized", "supplier_delay_impact_proxy_annualized", "opportunity_share"]
     one = lambda df, kind, key, name: df.filter(F.col("opportunity_rank") <= top).select(F.lit(kind).alias("entity_type"), key.alias("entity_id"), name.alias("entity_name"), *keep)
     sku = one(by_sku, "SKU", F.concat("product_id", F.lit("|"), "warehouse_id"), F.concat("product_name", F.lit(" @ "), "warehouse_id"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.functions.expressions import criticality_weight, dbl, dos_cap, fill_ratio, flag, loss_ratio, money_mean, money_sum, rate, slow_moving, weighted
+from shelfspark.functions.expressions import criticality_weight, dbl, dos_cap, fill_ratio, flag, loss_ratio, money_mean, money_sum, money_total, rate, slow_moving, weighted
 from shelfspark.schemas import DAILY_COLUMNS
 
 
@@ -67,7 +67,7 @@ def warehouse_profile(daily: DataFrame, warehouses: DataFrame) -> DataFrame:
     sized = days.join(F.broadcast(warehouses.select("warehouse_id", "warehouse_name", "storage_capacity_units")), "warehouse_id")
     total = sized.groupBy("warehouse_id").agg(
         F.max("warehouse_name").alias("warehouse_name"), F.max("region").alias("region"), fill_ratio(F.sum("f"), F.sum("d")).alias("fill_rate"), loss_ratio(F.sum("l"), F.sum("d")).alias("stockout_rate"),
-        money_sum("lost").alias("lost_sales_value"), F.avg("dos").alias("average_days_of_supply"), money_mean("value").alias("inventory_value"),
+        money_total("lost").alias("lost_sales_value"), F.avg("dos").alias("average_days_of_supply"), (money_total("value") / F.nullif(F.count("value"), F.lit(0)).cast("double")).alias("inventory_value"),
         F.avg(dbl("pipeline") / F.nullif(dbl("storage_capacity_units"), F.lit(0.0))).alias("capacity_pressure_proxy"),
     )
     one = F.lit(1.0)
