@@ -128,13 +128,61 @@ def distribution(name: str, df: DataFrame, columns: list[str]) -> DataFrame:
     return row.withColumn("p99_p50_ratio", ratio("p99", "p50", 0.0))
 
 
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the number of different values of each column, exact.
+
+    Several exact distinct counts in one aggregate copy every row for each column before it is summed. Here a row gives each
+    column's value once, equal ones are dropped by task, and what is shuffled are the different values of each task.
+    """
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(columns)])))
+    counted = long.filter("v is not null").distinct().groupBy("i").agg(F.count("v").alias("n"))
+    return counted.agg(*[F.coalesce(F.max(F.when(F.col("i") == i, F.col("n"))), F.lit(0)).alias(c) for i, c in enumerate(columns)])
+
+
+def day_bitmaps(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column_name, bucket, days: the days of each date column as bits, 32768 days to a bucket.
+
+    Bitmaps are made by task and merged by ``or``, so days of months, tables or files can be kept and joined later.
+    """
+    number = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date")).cast("long")
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), number(c).alias("d")) for c in columns]))).filter("d is not null")
+    return long.groupBy("column_name", F.bitmap_bucket_number("d").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("d")).alias("days"))
+
+
+def merged_bitmaps(bitmaps: DataFrame) -> DataFrame:
+    """Bitmaps of several parts as one."""
+    return bitmaps.groupBy("column_name", "bucket").agg(F.bitmap_or_agg("days").alias("days"))
+
+
+def days_of(bitmaps: DataFrame) -> DataFrame:
+    """column_name and day of every bit that is set."""
+    byte = F.col("byte")
+    number = F.conv(F.hex(byte), 16, 10).cast("int")
+    each = bitmaps.select("column_name", "bucket", "days", F.explode(F.sequence(F.lit(0), F.length("days") - 1)).alias("at")).withColumn("byte", F.substring(F.col("days"), F.col("at") + 1, F.lit(1)))
+    bits = each.filter(F.hex(byte) != "00").select("column_name", "bucket", "at", number.alias("number"), F.explode(F.array(*map(F.lit, range(8)))).alias("bit"))
+    found = bits.filter(F.expr("shiftright(number, bit) & 1 = 1"))
+    # the positions of a bucket count up from its first number where that is positive, and down from it elsewhere
+    place, bucket = F.col("at") * 8 + F.col("bit"), F.col("bucket")
+    number = F.when(bucket > 0, (bucket - 1) * 32768 + place + 1).otherwise(bucket * 32768 - place)
+    return found.select("column_name", F.date_add(F.lit("1970-01-01").cast("date"), number.cast("int")).alias("day"))
+
+
 def date_coverage(name: str, df: DataFrame, columns: list[str]) -> DataFrame:
-    row = df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max), ("n", F.countDistinct))])
-    expected = lambda c: (F.datediff(F.col(f"hi_{c}"), F.col(f"lo_{c}")) + 1).cast("long")
-    return row.select(F.inline(F.array(*[
-        F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("date_column"), F.col(f"lo_{c}").alias("min_date"), F.col(f"hi_{c}").alias("max_date"), F.col(f"n_{c}").alias("distinct_dates"), expected(c).alias("expected_days"), F.greatest(expected(c) - F.col(f"n_{c}"), F.lit(0)).alias("missing_days"))
-        for c in columns
-    ])))
+    """First, last, different, expected and missing days of each date column, from its bitmap."""
+    ends = df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])
+    ends = ends.select(F.inline(F.array(*[F.struct(F.lit(c).alias("date_column"), F.col(f"lo_{c}").alias("min_date"), F.col(f"hi_{c}").alias("max_date")) for c in columns])))
+    counted = day_bitmaps(df, columns).groupBy(F.col("column_name").alias("date_column")).agg(F.sum(F.bitmap_count("days")).alias("distinct_dates"))
+    both = ends.join(counted, "date_column", "left").withColumn("distinct_dates", F.coalesce("distinct_dates", F.lit(0)))
+    both = both.withColumn("expected_days", (F.datediff("max_date", "min_date") + 1).cast("long"))
+    return both.select(F.lit(name).alias("table_name"), "date_column", "min_date", "max_date", "distinct_dates", "expected_days", F.greatest(F.col("expected_days") - F.col("distinct_dates"), F.lit(0)).alias("missing_days"))
+
+
+def missing_dates(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column_name and day of every day between a column's first and last that no row has: the complement of its bitmap."""
+    found = days_of(day_bitmaps(df, columns))
+    spans = found.groupBy("column_name").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
+    every = spans.select("column_name", F.explode(F.sequence("lo", "hi")).alias("day"))
+    return every.join(found, ["column_name", "day"], "left_anti")
 
 
 def orphans(child: str, df: DataFrame, key: str, parent: str, of: DataFrame, parent_key: str) -> DataFrame:
@@ -160,8 +208,8 @@ def attribute_mismatch(df: DataFrame, key: str, column: str, master: DataFrame,
 
 def cube_completeness(name: str, df: DataFrame, day: str) -> DataFrame:
     """Rows against days times warehouses times products."""
-    row = df.agg(F.count(F.lit(1)).alias("observed_rows"), F.countDistinct(day).alias("days"), F.countDistinct("warehouse_id").alias("warehouses"), F.countDistinct("product_id").alias("products"))
-    return row.select(F.lit(name).alias("table_name"), "observed_rows", (F.col("days") * F.col("warehouses") * F.col("products")).alias("expected_rows")).withColumn("gap_rows", F.col("expected_rows") - F.col("observed_rows"))
+    row = df.agg(F.count(F.lit(1)).alias("observed_rows")).crossJoin(distinct_counts(df, [day, "warehouse_id", "product_id"]))  # one row each
+    return row.select(F.lit(name).alias("table_name"), "observed_rows", (F.col(day) * F.col("warehouse_id") * F.col("product_id")).alias("expected_rows")).withColumn("gap_rows", F.col("expected_rows") - F.col("observed_rows"))
 
 
 def supplier_signal(suppliers: DataFrame, orders: DataFrame, least: int = 100) -> DataFrame:
@@ -206,28 +254,62 @@ def _lines(row: DataFrame, names: list[str]) -> DataFrame:
     return row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("check_name"), F.col(n).alias("issue_count")) for n in names])))
 
 
-def validation(demand: DataFrame, inventory: DataFrame, orders: DataFrame, products: DataFrame) -> DataFrame:
-    """Eleven checks of the raw tables as (check_name, issue_count, status): one pass a table, plus its key count."""
+def checked(df: DataFrame, conditions: dict[str, Column], keys: list[str] | None = None) -> DataFrame:
+    """One row from one read of a table: how many rows meet each condition, and with ``keys`` also
+    duplicated (rows that repeat a key that has come before) and repeated_keys.
+
+    With keys, conditions are counted for each key in the same shuffle that finds the repeated ones.
+    """
+    counts = [count_rows(c).alias(n) for n, c in conditions.items()]
+    if not keys:
+        return df.agg(*counts)
+    n = F.col("_n")
+    by_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *counts)
+    return by_key.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in conditions], F.coalesce(F.sum(n - 1), F.lit(0)).cast("long").alias("duplicated"), count_rows(n > 1).alias("repeated_keys"))
+
+
+def demand_conditions() -> dict[str, Column]:
     fill = ratio("units_fulfilled", "units_demanded", None)
     lost, served, asked = F.col("units_lost_sales"), F.col("units_fulfilled"), F.col("units_demanded")
-    d = demand.agg(
-        count_rows((fill < 0) | (fill > 1)).alias("fill_rate_out_of_bounds"),
-        count_rows(((F.col("stockout_flag") == 1) & (lost == 0)) | ((F.col("stockout_flag") == 0) & (lost > 0)) | (served + lost != asked)).alias("stockout_logic_inconsistencies"),
-        count_rows((asked == 0) & ((served > 0) | (lost > 0))).alias("zero_demand_denominator_sanity"), count_rows((asked < 0) | (served < 0) | (lost < 0)).alias("negatives"),
-    )
+    return {
+        "fill_rate_out_of_bounds": (fill < 0) | (fill > 1),
+        "stockout_logic_inconsistencies": ((F.col("stockout_flag") == 1) & (lost == 0)) | ((F.col("stockout_flag") == 0) & (lost > 0)) | (served + lost != asked),
+        "zero_demand_denominator_sanity": (asked == 0) & ((served > 0) | (lost > 0)),
+        "negatives": (asked < 0) | (served < 0) | (lost < 0),
+    }
+
+
+def stock_conditions(tolerance: float = 0.05) -> dict[str, Column]:
+    """Conditions over stock with the unit_cost of its product."""
     units = [F.col(c) < 0 for c in ("on_hand_units", "on_order_units", "reserved_units", "available_units", "inventory_value")]
+    return {
+        "inventory_value_consistency": F.abs(F.col("inventory_value") - F.col("on_hand_units").cast("double") * F.col("unit_cost")) > tolerance,
+        "available_units_consistency": F.col("available_units") != F.col("on_hand_units") - F.col("reserved_units"),
+        "negatives": reduce(lambda a, b: a | b, units),
+    }
+
+
+def order_conditions() -> dict[str, Column]:
+    return {
+        "po_date_inconsistencies": (F.col("expected_arrival_date") < F.col("order_date")) | (F.col("actual_arrival_date") < F.col("order_date")),
+        "negatives": (F.col("ordered_units") < 0) | (F.col("received_units") < 0),
+    }
+
+
+def validation(demand: DataFrame, inventory: DataFrame, orders: DataFrame, products: DataFrame) -> DataFrame:
+    """Eleven checks of the raw tables as (check_name, issue_count, status). Each table is read once, its keys counted with its rows."""
     priced = inventory.join(products.select("product_id", "unit_cost"), "product_id", "left")
-    off = F.abs(F.col("inventory_value") - F.col("on_hand_units").cast("double") * F.col("unit_cost")) > 0.05
-    i = priced.agg(count_rows(off).alias("inventory_value_consistency"), count_rows(F.col("available_units") != F.col("on_hand_units") - F.col("reserved_units")).alias("available_units_consistency"), count_rows(reduce(lambda a, b: a | b, units)).alias("negatives"))
-    o = orders.agg(count_rows((F.col("expected_arrival_date") < F.col("order_date")) | (F.col("actual_arrival_date") < F.col("order_date"))).alias("po_date_inconsistencies"), count_rows((F.col("ordered_units") < 0) | (F.col("received_units") < 0)).alias("negatives"))
+    d = checked(demand, demand_conditions(), ["date", "warehouse_id", "product_id"])
+    i = checked(priced, stock_conditions(), ["snapshot_date", "warehouse_id", "product_id"])
+    o = checked(orders, order_conditions(), ["po_id"])
     p = products.agg(nulls(["product_id", "category", "unit_cost", "unit_price"]).alias("critical_null_fields"))
-    keys = {"demand_history": (demand, ["date", "warehouse_id", "product_id"]), "inventory_snapshots": (inventory, ["snapshot_date", "warehouse_id", "product_id"]), "purchase_orders": (orders, ["po_id"])}
-    twice = [duplicate_keys(df, k).select(F.lit(f"duplicate_keys_{n}").alias("check_name"), F.col("keys").alias("issue_count")) for n, (df, k) in keys.items()]
-    negative = union([x.select("negatives") for x in (d, i, o)]).agg(F.sum("negatives").alias("issue_count")).select(F.lit("impossible_negative_values").alias("check_name"), "issue_count")
-    lines = union([
-        _lines(d, ["fill_rate_out_of_bounds", "stockout_logic_inconsistencies", "zero_demand_denominator_sanity"]), _lines(i, ["inventory_value_consistency", "available_units_consistency"]), _lines(o, ["po_date_inconsistencies"]), _lines(p, ["critical_null_fields"]), negative, *twice,
-    ])
-    return lines.withColumn("status", F.when(F.col("issue_count") == 0, "PASS").otherwise("FAIL"))
+    named = {"negatives": "impossible_negative_values"}
+    lines = []
+    for table, row in (("demand_history", d), ("inventory_snapshots", i), ("purchase_orders", o), ("products", p)):
+        names = {c: named.get(c, f"duplicate_keys_{table}" if c == "repeated_keys" else c) for c in row.columns if c != "duplicated"}
+        lines.append(_lines(row.select(*[F.col(c).alias(n) for c, n in names.items()]), list(names.values())))
+    counted = union(lines).groupBy("check_name").agg(F.sum("issue_count").alias("issue_count"))
+    return counted.withColumn("status", F.when(F.col("issue_count") == 0, "PASS").otherwise("FAIL"))
 
 
 def value_mismatches(inventory: DataFrame, products: DataFrame, tolerance: float = 0.05, n: int = 100) -> DataFrame:
@@ -257,11 +339,11 @@ def zero(name: str, severity: str, column: str) -> tuple[str, str, str, Column,
 
 def demand_checks(demand: DataFrame) -> DataFrame:
     lost, served, asked = F.col("units_lost_sales"), F.col("units_fulfilled"), F.col("units_demanded")
-    fill = ratio("units_fulfilled", "units_demanded", None)
-    row = demand.agg(
-        F.count(F.lit(1)).alias("n"), (F.countDistinct("date") * F.countDistinct("warehouse_id") * F.countDistinct("product_id")).alias("dense"), count_rows((fill < 0) | (fill > 1)).alias("bounds"), count_rows(served + lost != asked).alias("balance"),
-        count_rows((F.col("stockout_flag") == 1) != (lost > 0)).alias("flag"), count_rows((asked == 0) & ((served > 0) | (lost > 0))).alias("zero"),
-    ).withColumn("gap", F.abs(F.col("dense") - F.col("n"))).crossJoin(duplicate_keys(demand, ["date", "warehouse_id", "product_id"]))  # one row each
+    shared = demand_conditions()
+    conditions = {"bounds": shared["fill_rate_out_of_bounds"], "balance": served + lost != asked, "flag": (F.col("stockout_flag") == 1) != (lost > 0), "zero": shared["zero_demand_denominator_sanity"]}
+    keys = ["date", "warehouse_id", "product_id"]
+    row = checked(demand, conditions | {"n": F.lit(True)}, keys).crossJoin(distinct_counts(demand, keys))  # one row each
+    row = row.withColumn("gap", F.abs(F.col("date") * F.col("warehouse_id") * F.col("product_id") - F.col("n")))
     return checks_from(row, "raw", [
         zero("rowcount_dense_demand_history", "HIGH", "gap"), zero("duplicates_demand_history", "HIGH", "duplicated"), zero("fill_rate_logic_bounds_raw", "CRITICAL", "bounds"), zero("demand_balance_units", "CRITICAL", "balance"), zero("stockout_flag_logic", "CRITICAL", "flag"), zero("denominator_zero_demand_with_activity_raw", "CRITICAL", "zero"),
     ])
@@ -269,12 +351,17 @@ def demand_checks(demand: DataFrame) -> DataFrame:
 
 def raw_checks(inventory: DataFrame, orders: DataFrame, products: DataFrame, suppliers: DataFrame, demand: DataFrame) -> DataFrame:
     priced = inventory.join(products.select("product_id", "unit_cost"), "product_id", "left")
-    off = F.abs(F.col("inventory_value") - F.col("on_hand_units").cast("double") * F.col("unit_cost")) > 0.11
-    stock = priced.agg(count_rows(off | F.col("unit_cost").isNull()).alias("value"), count_rows(F.col("available_units") != F.col("on_hand_units") - F.col("reserved_units")).alias("available"), negatives(["on_hand_units", "on_order_units", "reserved_units", "available_units", "inventory_value"]).alias("neg"))
-    cells = union([stock.select("neg"), demand.agg(negatives(["units_demanded", "units_fulfilled", "units_lost_sales"]).alias("neg")), orders.agg(negatives(["ordered_units", "received_units"]).alias("neg"))]).agg(F.sum("neg").alias("cells"))
-    row = stock.drop("neg").crossJoin(cells).crossJoin(duplicate_keys(inventory, ["snapshot_date", "warehouse_id", "product_id"]).select(F.col("duplicated").alias("inventory_twice")))
-    row = row.crossJoin(duplicate_keys(orders, ["po_id"]).select(F.col("duplicated").alias("orders_twice"))).crossJoin(products.agg(nulls(["product_id", "category", "unit_cost", "unit_price", "supplier_id"]).alias("product_nulls")))
+    cells = lambda columns: {f"below_{c}": F.col(c) < 0 for c in columns}
+    stock_cells, order_cells = cells(["on_hand_units", "on_order_units", "reserved_units", "available_units", "inventory_value"]), cells(["ordered_units", "received_units"])
+    below = lambda conditions: reduce(lambda a, b: a + b, map(F.col, conditions))
+    value = stock_conditions(0.11)["inventory_value_consistency"] | F.col("unit_cost").isNull()
+    stock = checked(priced, {"value": value, "available": stock_conditions()["available_units_consistency"], **stock_cells}, ["snapshot_date", "warehouse_id", "product_id"])
+    stock = stock.select("value", "available", F.col("duplicated").alias("inventory_twice"), below(stock_cells).alias("stock_below"))
+    ordered = checked(orders, order_cells, ["po_id"]).select(F.col("duplicated").alias("orders_twice"), below(order_cells).alias("orders_below"))
+    row = stock.crossJoin(ordered).crossJoin(demand.agg(negatives(["units_demanded", "units_fulfilled", "units_lost_sales"]).alias("demand_below")))
+    row = row.crossJoin(products.agg(nulls(["product_id", "category", "unit_cost", "unit_price", "supplier_id"]).alias("product_nulls")))
     row = row.crossJoin(suppliers.agg(nulls(["supplier_id", "supplier_name", "supplier_region"]).alias("supplier_nulls")))  # one row each
+    row = row.withColumn("cells", F.col("stock_below") + F.col("orders_below") + F.col("demand_below"))
     return checks_from(row, "raw", [
         zero("duplicates_inventory_snapshots", "HIGH", "inventory_twice"), zero("duplicates_purchase_orders", "HIGH", "orders_twice"), zero("products_critical_nulls", "HIGH", "product_nulls"), zero("suppliers_critical_nulls", "HIGH", "supplier_nulls"), zero("impossible_negative_values", "CRITICAL", "cells"),
         zero("inventory_value_consistency_raw", "CRITICAL", "value"), zero("available_units_consistency_raw", "CRITICAL", "available"),

@@ -100,6 +100,10 @@ _DK, _IK = "SELECT DISTINCT date AS d, warehouse_id, product_id FROM demand_hist
 register("dp07_key_reconciliation", lambda t: quality.key_reconciliation(t.demand_history, t.inventory_snapshots), f"SELECT (SELECT count(*) FROM ({_DK} EXCEPT {_IK})) AS demand_only, (SELECT count(*) FROM ({_IK} EXCEPT {_DK})) AS inventory_only, (SELECT count(*) FROM ({_DK} INTERSECT {_IK})) AS matched")
 register("dp08_region_mismatch", lambda t: quality.attribute_mismatch(t.demand_history, "warehouse_id", "region", t.warehouses, "region"), "SELECT count(*) AS rows, count(*) FILTER (WHERE d.region IS DISTINCT FROM w.region) AS mismatched FROM demand_history d LEFT JOIN warehouses w ON w.warehouse_id = d.warehouse_id")
 register("dp09_po_supplier_mismatch", lambda t: quality.attribute_mismatch(t.purchase_orders, "product_id", "supplier_id", t.products, "supplier_id"), "SELECT count(*) AS rows, count(*) FILTER (WHERE d.supplier_id IS DISTINCT FROM w.supplier_id) AS mismatched FROM purchase_orders d LEFT JOIN products w ON w.product_id = d.product_id")
+_missing = lambda n, c: f"SELECT '{n}' AS table_name, '{c}' AS column_name, CAST(d AS DATE) AS day FROM (SELECT unnest(generate_series(min({c}), max({c}), INTERVAL 1 DAY)) AS d FROM {n}) WHERE CAST(d AS DATE) NOT IN (SELECT DISTINCT {c} FROM {n} WHERE {c} IS NOT NULL)"
+register(
+    "dp05_missing_days", lambda t: quality.union([quality.missing_dates(t.raw(n), cols).select(F.lit(n).alias("table_name"), "column_name", "day") for n, cols in DATES.items()]), " UNION ALL ".join(_missing(n, c) for n, cols in DATES.items() for c in cols)
+)
 register(
     "dp10_cube_completeness",
     lambda t: quality.cube_completeness("demand_history", t.demand_history, "date").unionByName(quality.cube_completeness("inventory_snapshots", t.inventory_snapshots, "snapshot_date")),
