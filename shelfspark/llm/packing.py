@@ -18,6 +18,8 @@ from shelfspark.llm.word_ids import id_bytes, word_ids
 WINDOW_DOCS = 2048
 #: Tasks whose left-over pieces are packed together.
 TAIL_TASKS = 256
+#: Bytes of ids in the rows that a task holds before it hands them on.
+HELD_BYTES = 4 << 20
 _SCHEMA = "doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, task bigint, ids binary"
 
 
@@ -88,13 +90,14 @@ class Packer:
 
     def __init__(self, capacity: int, base: int, task: int, keep_ids: bool):
         self.capacity, self.next, self.task, self.keep = capacity, base, task, keep_ids
-        self.pool, self.rows = Pool(), []
+        self.pool, self.rows, self.held = Pool(), [], 0
 
     def put(self, sequence: list[tuple]) -> None:
         at = 0
         for doc, start, tokens, ids in sequence:
             self.rows.append((doc, start, len(ids) // 4, zlib.crc32(ids), tokens, self.next, at, self.task, ids if self.keep else None))
             at += len(ids) // 4
+        self.held += 4 * at * self.keep
         self.next += 1
 
     def document(self, doc: object, ids: bytes) -> None:
@@ -118,7 +121,7 @@ class Packer:
     def batch(self, schema: pa.Schema) -> pa.RecordBatch:
         columns = zip(*self.rows, strict=True) if self.rows else [[]] * len(schema)
         out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-        self.rows = []
+        self.rows, self.held = [], 0
         return out
 
 
@@ -149,7 +152,7 @@ def pack(df: DataFrame, path: str, end_id: int, capacity: int = 4096, id_col: st
             if count >= WINDOW_DOCS:
                 count = 0
                 packer.drain(8 * capacity)
-            if len(packer.rows) >= 4 * WINDOW_DOCS:
+            if len(packer.rows) >= 4 * WINDOW_DOCS or packer.held >= HELD_BYTES:
                 yield packer.batch(schema)
         if schema:
             packer.drain(capacity)
