@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from datetime import date
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.functions.expressions import day_bit, dbl, fill_ratio, loss_ratio, money_mean, money_sum, month_of, range_norm, ratio
+from shelfspark.functions.expressions import day_bit, dbl, fill_ratio, loss_ratio, money_mean, money_sum, money_total, month_of, range_norm, ratio
 from shelfspark.operators.kpis import UNITS, by_amount, first
 from shelfspark.plans.digests import content_digest
 from shelfspark.plans.selection import exact_quantiles
@@ -158,19 +159,74 @@ class Slice:
     facets: dict[str, str] = field(default_factory=dict)
     months: tuple[date, date] | None = None
 
+    def dimensions(self) -> set[str]:
+        """The dimensions that the facets filter by."""
+        named = {d for d, value in self.facets.items() if value != "ALL"}
+        if unknown := named - set(DIMENSIONS):
+            raise ValueError(f"no such facets: {', '.join(sorted(unknown))}")
+        return named
+
     def of(self, fact: DataFrame) -> DataFrame:
-        for dimension, value in self.facets.items():
-            if value != "ALL":
-                fact = fact.filter(F.col(dimension) == value)
-        return fact.filter(F.col("month").between(min(self.months), max(self.months))) if self.months else fact
+        """The rows of a fact or of cube cells; values and bounds are parameters of the statement."""
+        args = {d: self.facets[d] for d in sorted(self.dimensions())}
+        conditions = [f"{d} = :{d}" for d in args]
+        if self.months:
+            args |= {"first_month": min(self.months), "last_month": max(self.months)}
+            conditions.append("month BETWEEN :first_month AND :last_month")
+        return fact.sparkSession.sql(f"SELECT * FROM {{rows}} WHERE {' AND '.join(conditions)}", args=args, rows=fact) if conditions else fact
+
+
+#: Dimensions of the cube, each alone or with what it decides (a warehouse has one region).
+CUBE = (("region", "warehouse_id"), ("category",), ("supplier_id",), ("abc_class",))
+CUBE_COLUMNS = ["month", *[c for group in CUBE for c in group]]
+_CUBED = (*_CENTS, "extra_slow", "day_weight")
+
+
+def measured(fact: DataFrame) -> DataFrame:
+    """The fact with what its slices need beside its columns: slow-moving value beyond excess, and days weighted by rows."""
+    extra = F.greatest(F.col("slow_moving_proxy") - F.col("excess_inventory_proxy"), F.lit(0.0))
+    return fact.withColumns({"extra_slow": extra, "day_weight": F.col("avg_days_of_supply") * F.col("observation_days")})
+
+
+def cuboids() -> list[list[str]]:
+    """The column lists of all roll-ups: month with each choice of none or one level of every group of ``CUBE``."""
+    levels = [[group[:n] for n in range(len(group) + 1)] for group in CUBE]
+    return [["month", *[c for level in choice for c in level]] for choice in product(*levels)]
+
+
+def facet_cube(fact: DataFrame) -> DataFrame:
+    """Cells of every roll-up of the monthly fact over its facets, products left out: sums that merge.
+
+    Cells of all facets come first, and the roll-ups from these, so rows are multiplied by the number of roll-ups only
+    when products are summed already. ``cuboid`` tells which columns a cell has (a bit for each that it has not).
+    """
+    units = [*UNITS, "observation_days"]
+    sums = lambda first: [F.sum(u).alias(u) for u in units] + [F.sum(F.col(x).cast("decimal(18,6)") if first else F.col(x)).alias(x) for x in _CUBED]
+    cells = measured(fact).groupBy(*CUBE_COLUMNS).agg(*sums(True))
+    sets = [[F.col(c) for c in columns] for columns in cuboids()]
+    return cells.groupingSets(sets, *[F.col(c) for c in CUBE_COLUMNS]).agg(F.grouping_id().cast("int").alias("cuboid"), *sums(False))
+
+
+def slice_rows(cube: DataFrame, fact: DataFrame, shown: Slice, keys: set[str] = frozenset()) -> DataFrame:
+    """What a slice grouped by ``keys`` is summed from: cube cells, or the fact where it needs a product."""
+    needed = {*keys, *shown.dimensions()}
+    return shown.of(cells(cube, needed) if needed <= set(CUBE_COLUMNS) else fact)
+
+
+def cells(cube: DataFrame, needed: set[str]) -> DataFrame:
+    """The cells of the smallest roll-up that has the columns ``needed``; written by cuboid, only these are read."""
+    chosen = min((c for c in cuboids() if needed <= set(c)), key=len)
+    missing = sum(1 << i for i, c in enumerate(reversed(CUBE_COLUMNS)) if c not in chosen)
+    return cube.filter(F.col("cuboid") == missing)
 
 
 _SUMS = {"demand": "units_demanded", "fulfilled": "units_fulfilled", "lost": "units_lost_sales"}
 
 
 def _summed(fact: DataFrame, keys: list[str], amounts: dict[str, str], weighted_days: bool = False, *others: Column) -> DataFrame:
-    more = [(money_sum(F.col("avg_days_of_supply") * F.col("observation_days")) / F.nullif(F.sum("observation_days"), F.lit(0))).alias("avg_dos")] if weighted_days else []
-    grouped = fact.groupBy(*keys).agg(*[F.sum(v).alias(k) for k, v in _SUMS.items()], *[money_sum(v).alias(k) for k, v in amounts.items()], *more, *others)
+    fact = fact if "day_weight" in fact.columns else measured(fact)
+    more = [(money_total("day_weight") / F.nullif(F.sum("observation_days"), F.lit(0))).alias("avg_dos")] if weighted_days else []
+    grouped = fact.groupBy(*keys).agg(*[F.sum(v).alias(k) for k, v in _SUMS.items()], *[money_total(v).alias(k) for k, v in amounts.items()], *more, *others)
     return grouped.withColumns({"fill_rate": fill_ratio("fulfilled", "demand"), "stockout_rate": loss_ratio("lost", "demand")})
 
 
@@ -180,10 +236,8 @@ _EXCESS = {"excess": "excess_inventory_proxy", "trapped": "trapped_wc_proxy"}
 
 def slice_totals(fact: DataFrame, margin_rate: float = 0.35, release_rate: float = 0.25, slow_weight: float = 0.5) -> DataFrame:
     """One row of totals and of what a scenario could recover. Trapped value is taken on monthly sums here."""
-    extra = F.greatest(F.col("slow_moving_proxy") - F.col("excess_inventory_proxy"), F.lit(0.0))
-    named = fact.withColumn("scenario", F.col("excess_inventory_proxy") + slow_weight * extra)
-    amounts = _BASE | _EXCESS | {"trapped_scenario": "scenario", "slow": "slow_moving_proxy", "lost_margin": "lost_sales_margin_proxy"}
-    row = _summed(named, [], amounts)
+    row = _summed(fact, [], _BASE | _EXCESS | {"extra": "extra_slow", "slow": "slow_moving_proxy", "lost_margin": "lost_sales_margin_proxy"})
+    row = row.withColumn("trapped_scenario", F.col("excess") + slow_weight * F.col("extra")).drop("extra")
     return row.withColumn("scenario_opportunity_12m", F.col("lost_margin") * margin_rate + F.col("trapped_scenario") * release_rate)
 
 

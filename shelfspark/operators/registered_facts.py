@@ -71,6 +71,17 @@ def shown(t: Tables | AllMonths) -> DataFrame:
     return fact(t) if isinstance(t, AllMonths) else SHOWN.of(fact(t))
 
 
+def cube(t: Tables | AllMonths) -> DataFrame:
+    """The facet cube, written once by cuboid: slices read its cells, not the fact."""
+    return t.write("facet cube", lambda: facts.facet_cube(fact(t)), "cuboid")
+
+
+def shown_cells(t: Tables | AllMonths, *keys: str) -> DataFrame:
+    """Cube cells of the slice shown, of the smallest roll-up that has ``keys``."""
+    found = facts.cells(cube(t), {*keys, *SHOWN.dimensions()})
+    return found if isinstance(t, AllMonths) else SHOWN.of(found)
+
+
 register("db01_daily_proxies", lambda t: facts.daily_proxies(amounts(t)), "SELECT * FROM proxies")
 register("db02_monthly_sku_fact", fact, "SELECT * FROM month_fact")
 _SCORES = ["service_risk_score", "stockout_risk_score", "excess_inventory_score", "supplier_risk_score", "working_capital_risk_score", "governance_priority_score"]
@@ -109,30 +120,30 @@ part(
 
 
 def s_warehouse(t: Tables) -> DataFrame:
-    return facts.by_warehouse(shown(t), t.warehouses)
+    return facts.by_warehouse(shown_cells(t, "warehouse_id", "region"), t.warehouses)
 
 
 def s_supplier(t: Tables) -> DataFrame:
-    return facts.by_supplier(shown(t), suppliers(t))
+    return facts.by_supplier(shown_cells(t, "supplier_id"), suppliers(t))
 
 
 def s_sku(t: Tables) -> DataFrame:
     return facts.by_sku(shown(t), skus(t), t.products)
 
 
-register("db09_slice_totals", lambda t: facts.slice_totals(shown(t)), "SELECT * FROM s_totals")
-register("db10_slice_by_month", lambda t: facts.by_month(shown(t)), f"SELECT month, {S}, {B}, {R} FROM shown GROUP BY month")
+register("db09_slice_totals", lambda t: facts.slice_totals(shown_cells(t)), "SELECT * FROM s_totals")
+register("db10_slice_by_month", lambda t: facts.by_month(shown_cells(t)), f"SELECT month, {S}, {B}, {R} FROM shown GROUP BY month")
 register("db11_slice_by_warehouse", s_warehouse, "SELECT * FROM s_warehouse")
-register("db12_slice_by_category", lambda t: facts.by_category(shown(t)), "SELECT * FROM s_category")
-register("db13_slice_by_region", lambda t: facts.by_region(shown(t)), "SELECT * FROM s_region")
+register("db12_slice_by_category", lambda t: facts.by_category(shown_cells(t, "category")), "SELECT * FROM s_category")
+register("db13_slice_by_region", lambda t: facts.by_region(shown_cells(t, "region")), "SELECT * FROM s_region")
 register("db14_slice_by_supplier", s_supplier, "SELECT * FROM s_supplier")
-register("db15_slice_by_segment", lambda t: facts.by_segment(shown(t)), "SELECT * FROM s_segment")
+register("db15_slice_by_segment", lambda t: facts.by_segment(shown_cells(t, "category", "region")), "SELECT * FROM s_segment")
 register("db16_slice_by_sku", s_sku, "SELECT * FROM s_sku")
 part("s_otd", "SELECT sum(on_time_delivery_rate * demand) / greatest(sum(demand), 1) AS weighted_supplier_otd FROM s_supplier")
 register("db17_weighted_supplier_otd", lambda t: facts.weighted_otd(s_supplier(t)), "SELECT * FROM s_otd")
 register(
     "db18_posture",
-    lambda t: facts.posture(facts.slice_totals(shown(t)), s_sku(t)),
+    lambda t: facts.posture(facts.slice_totals(shown_cells(t)), s_sku(t)),
     "SELECT b AS balanced_share, CASE WHEN fill_rate < 0.95 AND b < 0.35 THEN 'critical' WHEN stockout_rate > 0.05 OR excess > inventory * 0.18 THEN 'watch' ELSE 'stable' END AS posture FROM s_totals, (SELECT CAST(count(*) FILTER (WHERE fill_rate >= 0.97 AND avg_dos BETWEEN 8 AND 35) AS DOUBLE) / greatest(count(*), 1) AS b FROM s_sku)",
 )
 _pick = lambda rows, name, by: f"(SELECT {name} FROM {rows} ORDER BY {by}, 1 LIMIT 1)"
@@ -144,7 +155,7 @@ _BY_FILL, _BY_EXCESS = _pick("s_warehouse", "warehouse_id", _asc("fill_rate")),
 _rows = lambda label, pairs: " UNION ALL ".join(f"SELECT {i} AS place, '{n}' AS {label}, {p} AS pick" for i, (n, p) in enumerate(pairs, 1))
 register(
     "db19_callouts",
-    lambda t: facts.callouts(s_sku(t), s_supplier(t), s_warehouse(t), facts.by_category(shown(t)), facts.by_segment(shown(t))),
+    lambda t: facts.callouts(s_sku(t), s_supplier(t), s_warehouse(t), facts.by_category(shown_cells(t, "category")), facts.by_segment(shown_cells(t, "category", "region"))),
     _rows("eyebrow", [("Priority 1", _TOP_SKU), ("Supplier escalation", _BY_EXPOSURE), ("Warehouse pressure", _BY_FILL), ("Capital concentration", _BY_EXCESS)]),
 )
 _three = lambda good, fair: f"CASE WHEN {good} THEN 'positive' WHEN {fair} THEN 'watch' ELSE 'critical' END"
@@ -155,7 +166,7 @@ _TILES = [
 ]
 register(
     "db20_kpi_tiles",
-    lambda t: facts.tiles(facts.slice_totals(shown(t)), s_sku(t), facts.weighted_otd(s_supplier(t))),
+    lambda t: facts.tiles(facts.slice_totals(shown_cells(t)), s_sku(t), facts.weighted_otd(s_supplier(t))),
     " UNION ALL ".join(f"SELECT '{n}' AS label, {v} AS value, {tone} AS tone FROM s_totals, s_otd, (SELECT count(*) FILTER (WHERE risk_tier IN ('High', 'Critical')) AS risky FROM s_sku)" for n, v, tone in _TILES),
 )
 register("db21_top_supplier_heatmap", lambda t: facts.supplier_heat(s_supplier(t), 1.0, 10), _heat(1.0, "(SELECT * FROM s_supplier ORDER BY round(supplier_service_risk_proxy, 6) DESC, supplier_id LIMIT 10)"))
@@ -173,13 +184,13 @@ register(
 )
 register(
     "db25_narrative_picks",
-    lambda t: facts.narrative(s_sku(t), s_supplier(t), s_warehouse(t), facts.by_category(shown(t))),
+    lambda t: facts.narrative(s_sku(t), s_supplier(t), s_warehouse(t), facts.by_category(shown_cells(t, "category"))),
     _rows("fact", [("top_sku", _TOP_SKU), ("supplier_by_exposure", _BY_EXPOSURE), ("supplier_by_stockout", _pick("s_supplier", "supplier_id", _desc("stockout_rate"))), ("warehouse_by_lost_sales", _pick("s_warehouse", "warehouse_id", _desc("lost_sales"))), ("warehouse_by_fill", _BY_FILL), ("category_by_excess", _BY_EXCESS)]),
 )
 _list = lambda name, rows, ident, by, n=None: f"SELECT '{name}' AS list, row_number() OVER (ORDER BY {by}, {ident}) AS place, {ident} AS id FROM {rows}" + (f" QUALIFY place <= {n}" if n else "")
 register(
     "db26_ranked_lists",
-    lambda t: facts.ranked_lists(s_warehouse(t), facts.by_category(shown(t)), facts.by_region(shown(t)), s_supplier(t), s_sku(t)),
+    lambda t: facts.ranked_lists(s_warehouse(t), facts.by_category(shown_cells(t, "category")), facts.by_region(shown_cells(t, "region")), s_supplier(t), s_sku(t)),
     " UNION ALL ".join(
         f"SELECT * FROM ({x})"
         for x in (
