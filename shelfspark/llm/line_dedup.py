@@ -60,8 +60,8 @@ def plain(text: Column) -> Column:
 
 
 def _key(line: Column) -> Column:
-    """128 bits that stand for a plain line."""
-    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("second half"), line).alias("b"))
+    """128 bits that stand for a plain line, as text: arrays of such values are intersected by hash."""
+    return F.concat(F.hex(F.xxhash64(line)), F.lit("-"), F.hex(F.xxhash64(F.lit("second half"), line)))
 
 
 def boilerplate(df: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -89,7 +89,7 @@ def drop_boilerplate(df: DataFrame, host_col: str, text_col: str, ratio: float =
     keep the order of their lines, and rows stay even when no line is left. Columns of ``df`` stay: where it
     has an n_lines or n_dropped, the new one has an underscore after its name (``fresh``).
     """
-    its_host, its_drop, its_plain, its_left, n_lines, n_dropped = fresh(df, "_host", "_drop", "_plain", "_left", "n_lines", "n_dropped")
+    its_host, its_drop, its_plain, its_hits, its_left, n_lines, n_dropped = fresh(df, "_host", "_drop", "_plain", "_hits", "_left", "n_lines", "n_dropped")
     found = stored(boilerplate(df, host_col, text_col, ratio, least_pages)).select(F.col("host").alias(its_host), F.col("drop").alias(its_drop))
     if (found.agg(F.sum(F.size(its_drop))).first()[0] or 0) <= BROADCAST_LINES:
         found = F.broadcast(found)
@@ -97,11 +97,14 @@ def drop_boilerplate(df: DataFrame, host_col: str, text_col: str, ratio: float =
     joined = df.join(found, F.coalesce(F.col(host_col).cast("string"), F.lit("")) == F.col(its_host), "left")
     joined = joined.withColumn(its_plain, F.split(plain(text), "\n"))
     lines, lean, drop = F.split(text, "\n"), F.col(its_plain), F.col(its_drop)
-    # a line goes if its key is boilerplate; the plain line at its place gives the key
-    stays = lambda line, i: (F.get(lean, i) == "") | ~F.array_contains(drop, _key(F.get(lean, i)))
-    out = joined.withColumn(its_left, F.when(drop.isNull(), lines).otherwise(F.filter(lines, stays)))
+    # a host's list may be long, so a document first takes what it shares with it; then a line goes if its key is there
+    keys = F.transform(lean, lambda line: F.when(line != "", _key(line)))
+    joined = joined.withColumn(its_hits, F.when(drop.isNotNull(), F.array_intersect(keys, drop)))
+    hits = F.col(its_hits)
+    stays = lambda line, i: (F.get(lean, i) == "") | ~F.array_contains(hits, _key(F.get(lean, i)))
+    out = joined.withColumn(its_left, F.when(hits.isNull() | (F.size(hits) == 0), lines).otherwise(F.filter(lines, stays)))
     out = out.withColumns({n_lines: F.size(F.array_remove(lean, "")).cast("long"), n_dropped: (F.size(lean) - F.size(its_left)).cast("long")})
-    return out.withColumn(text_col, F.array_join(its_left, "\n")).drop(its_left, its_plain, its_host, its_drop)
+    return out.withColumn(text_col, F.array_join(its_left, "\n")).drop(its_left, its_hits, its_plain, its_host, its_drop)
 
 
 #: The same in DuckDB, for ``pages``: page_id, host, n_lines, n_dropped, text.

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -205,12 +206,18 @@ def read_shards(spark: SparkSession, out: str) -> DataFrame:
     return joined.select("doc_id", (F.col("shard_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def lookup(spark: SparkSession, out: str, keys: DataFrame, id_col: str = "doc_id", max_shards: int = 1_000_000) -> DataFrame:
-    """ids (array of long) of the documents that ``keys`` names; keys that no shard holds give no row.
+def manifest(spark: SparkSession, out: str) -> DataFrame:
+    """path and first_id of every shard under ``out``, from a small table beside the shards.
 
-    First occurrences of repeated ids are returned. Keys go to the one shard whose range holds them
-    (shard starts are broadcast; more than ``max_shards`` of them is an error: write larger shards).
+    It is made by the first call, which opens every shard; later calls read the table alone.
     """
+    path = f"{out.rstrip('/')}-manifest"
+    schema = "path string, first_id bigint"
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -218,8 +225,18 @@ def lookup(spark: SparkSession, out: str, keys: DataFrame, id_col: str = "doc_id
             held = shard.ids[shard.null == 0]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(held[0]) if len(held) else None], pa.int64())], names=["path", "first_id"])
 
-    contents = _contents(spark, out).select("path", "content")
-    found = contents.mapInArrow(heads, "path string, first_id bigint").filter("first_id is not null").orderBy("first_id").limit(max_shards + 1).collect()
+    _contents(spark, out).select("path", "content").mapInArrow(heads, schema).filter("first_id is not null").write.mode("overwrite").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def lookup(spark: SparkSession, out: str, keys: DataFrame, id_col: str = "doc_id", max_shards: int = 1_000_000) -> DataFrame:
+    """ids (array of long) of the documents that ``keys`` names; keys that no shard holds give no row.
+
+    First occurrences of repeated ids are returned. The ``manifest`` says which one shard's range holds a key; only
+    these files are opened, and the index of each gives a key's place in constant time. Shard starts are held by the
+    driver (more than ``max_shards`` of them is an error: write larger shards).
+    """
+    found = manifest(spark, out).orderBy("first_id").limit(max_shards + 1).collect()
     if len(found) > max_shards:
         raise ValueError(f"more than {max_shards} shards")
     firsts, paths = np.array([r.first_id for r in found], np.int64), [r.path for r in found]
@@ -242,6 +259,10 @@ def lookup(spark: SparkSession, out: str, keys: DataFrame, id_col: str = "doc_id
     wanted = keys.select(F.col(id_col).cast("bigint").alias("id")).filter("id is not null").distinct()
     if not paths:
         return wanted.select(F.col("id").alias(id_col), F.array().cast("array<bigint>").alias("ids")).limit(0)
-    routes = wanted.mapInArrow(routed, "id bigint, path string").filter("path is not null")
+    routes = stored(wanted.mapInArrow(routed, "id bigint, path string").filter("path is not null"))
+    opened = [r.path for r in routes.select("path").distinct().collect()]  # max_shards at most
+    if not opened:
+        return wanted.select(F.col("id").alias(id_col), F.array().cast("array<bigint>").alias("ids")).limit(0)
+    contents = spark.read.format("binaryFile").load(opened).select("path", "content")
     got = routes.groupBy("path").cogroup(contents.groupBy("path")).applyInArrow(fetched, "id bigint, ids array<bigint>")
     return got.withColumnRenamed("id", id_col)

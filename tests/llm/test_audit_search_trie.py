@@ -7,13 +7,11 @@ import zlib
 from collections import Counter
 from itertools import permutations
 
-import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from shelfspark.llm import conversation_trie, filter_audit, vector_search
-from shelfspark.llm import queries as registered
 
 # ---- filter audit
 
@@ -228,19 +226,5 @@ def test_cut_files_keep_the_trie(spark):
         assert all(n[r.d1, r.d2] == 1 for r in marked if r.kind)
 
 
-# ---- registered queries
-
-
-@pytest.mark.parametrize("name", ["op11_filter_audit", "op12_vector_search", "op13_conversation_trie"])
-def test_queries_equal_their_sql(spark, data, name):
-    base = duckdb.connect()
-    for table in ("documents", "labels", "embeddings", "conversations"):
-        base.sql(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
-    got = registered.QUERIES[name](spark, data)
-    columns = sorted(got.columns)
-    want = base.sql(f"SELECT {', '.join(columns)} FROM ({registered.ORACLES[name]})").fetchall()
-    assert sorted(map(repr, map(tuple, got.select(columns).collect()))) == sorted(map(repr, want)) and want
-
-
 def test_empty_vectors_have_places():
     assert [(n, len(x), at.tolist()) for n, x, at in vector_search.by_length(pa.array([b"", b"\0" * 8, b""], pa.binary()))] == [(0, 2, [0, 2]), (2, 1, [1])]

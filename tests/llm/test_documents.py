@@ -424,7 +424,7 @@ def test_oracles(spark, data, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("pages", "conversations"):
+    for t in ("pages", "conversations", "documents", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     df = queries.QUERIES[name](spark, data)
     result = con.execute(queries.ORACLES[name])

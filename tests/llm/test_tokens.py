@@ -107,6 +107,20 @@ def test_shards(spark, docs):
     assert found == {i: ids[i].tolist() for i in (0, 2, 20)}
 
 
+def test_one_key_opens_one_file(spark, docs, monkeypatch):
+    """After the first lookup has written the manifest no file but the key's own is read."""
+    out = scratch(spark)
+    token_shards.write_shards(docs, out, WORDS, end_id=1, shard_bytes=20_000)
+    one = spark.createDataFrame([(2,)], "doc_id long")
+    first = token_shards.lookup(spark, out, one).collect()
+    monkeypatch.setattr(token_shards, "_contents", None)  # what opens all shards
+    again = token_shards.lookup(spark, out, one)
+    assert again.collect() == first and len(first) == 1
+    opened = [f for f in again.inputFiles() if f.startswith(out if ":" in out else f"file:{out}") or f"{out}/" in f]
+    assert len(opened) == 1 and token_shards.manifest(spark, out).count() > 1
+    assert token_shards.lookup(spark, out, spark.createDataFrame([(-7,)], "doc_id long")).count() == 0
+
+
 def test_perfect_hash_is_minimal():
     hashes = token_shards.mix(np.arange(5000, dtype=np.uint64))
     index = token_shards.PerfectHash.build(hashes)
