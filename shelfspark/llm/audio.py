@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import math
 import struct
 import wave
 from collections.abc import Callable, Iterator
@@ -48,6 +49,8 @@ class Settings:
 
 #: The integer of frames without any sound: equal energies on both sides of every filter.
 SILENCE = np.uint32(0xFFFFFFFF)
+#: Share of a new rate up to which tones pass when samples are resampled to it.
+PASS = 0.46
 
 
 def wav(data: object) -> tuple[np.ndarray, int]:
@@ -75,6 +78,19 @@ def wav(data: object) -> tuple[np.ndarray, int]:
     return samples.reshape(-1, channels).mean(axis=1), rate
 
 
+def resampled(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
+    """Samples at another rate. What the new rate cannot hold is filtered out first (a windowed sinc), or it would come back as lower tones."""
+    if rate == to or not len(samples):
+        return samples
+    if rate > to:
+        half = math.ceil(24 * rate / to)
+        at = np.arange(-half, half + 1)
+        taps = np.sinc(2 * PASS * to / rate * at) * np.hanning(2 * half + 3)[1:-1]
+        samples = np.convolve(samples, (taps / taps.sum()).astype(np.float32))[half : half + len(samples)]
+    at = np.arange(int(len(samples) * to / rate)) * (rate / to)
+    return np.interp(at, np.arange(len(samples)), samples).astype(np.float32)
+
+
 class Chroma:
     """Turns samples into packed integers, one for each place where a filter span fits."""
 
@@ -97,9 +113,7 @@ class Chroma:
     def frames(self, samples: np.ndarray, rate: int) -> np.ndarray:
         """Energy of the twelve pitch classes in each frame, scaled to length 1; silent frames are 0."""
         s = self.s
-        if rate != s.rate and len(samples):
-            at = np.arange(int(len(samples) * s.rate / rate)) * (rate / s.rate)
-            samples = np.interp(at, np.arange(len(samples)), samples).astype(np.float32)
+        samples = resampled(samples, rate, s.rate)
         if len(samples) < s.frame:
             return np.zeros((0, 12), np.float32)
         cut = np.lib.stride_tricks.sliding_window_view(samples.astype(np.float32), s.frame)[:: s.hop]
@@ -140,21 +154,24 @@ class Chroma:
 def search_keys(integers: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Keys and places: each joins one band of the bits of ``picks`` integers at equal distances.
 
-    Places where these integers are all equal (silence, a held note) have no key.
+    A band that stays the same over these integers gives no key there: silence, a held note or a steady beat would
+    meet everywhere under it, and say nothing. Where all bands stay (a held note) there is none.
     """
     n = len(integers) - (s.picks - 1) * s.stride
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     parts = np.stack([integers[i * s.stride : i * s.stride + n] for i in range(s.picks)]).astype(np.uint64)
-    places = np.flatnonzero((parts != parts[0]).any(axis=0))
-    width, keys = 32 // s.bands, []
+    width, keys, places = 32 // s.bands, [], []
     for band in range(s.bands):
-        key = np.full(len(places), band, np.uint64)
-        for p in parts[:, places]:
-            key = (key ^ ((p >> np.uint64(band * width)) & np.uint64((1 << width) - 1))) * np.uint64(0x9E3779B97F4A7C15)
+        bits = (parts >> np.uint64(band * width)) & np.uint64((1 << width) - 1)
+        at = np.flatnonzero((bits != bits[0]).any(axis=0))
+        key = np.full(len(at), band, np.uint64)
+        for p in bits[:, at]:
+            key = (key ^ p) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
         keys.append(key)
-    return np.concatenate(keys).view(np.int64), np.tile(places, s.bands)
+        places.append(at)
+    return np.concatenate(keys).view(np.int64), np.concatenate(places)
 
 
 def best_run(a: np.ndarray, b: np.ndarray, offset: int, s: Settings) -> tuple[int, int, float, float]:

@@ -385,6 +385,37 @@ def test_audio_search_equals_all_offsets(spark):
         assert abs(sum(int(x ^ y).bit_count() for x, y in zip(a.tolist(), b.tolist(), strict=True)) / (32 * m.frames) - m.bit_error) < 1e-9 and m.bit_error <= 0.2
 
 
+def test_high_tones_do_not_fold_into_low_ones():
+    """A recording at 44.1 kHz with loud tones above what 4 kHz can hold gives the integers of the music alone."""
+    s, rate = audio.Settings(), 44_100
+    chroma, t = audio.Chroma(s), np.arange(8 * 44_100) / 44_100
+    rng = np.random.default_rng(6)
+    pitch = 220.0 * 2 ** (np.repeat(rng.integers(0, 24, 64), len(t) // 64 + 1)[: len(t)] / 12)
+    music = np.sin(2 * np.pi * np.cumsum(pitch) / rate).astype(np.float32)
+    high = sum(np.sin(2 * np.pi * f * t) for f in (2300.0, 3100.0, 5000.0, 9777.0)).astype(np.float32)
+    clean, loud = chroma.integers(music, rate), chroma.integers(music + high, rate)
+    assert len(clean) > 80 and np.bitwise_count(clean ^ loud).sum() / (32 * len(clean)) < 0.02
+    direct = chroma.integers(np.sin(2 * np.pi * np.cumsum(pitch) / rate)[np.round(np.arange(int(len(t) * 4000 / rate)) * rate / 4000).astype(int)].astype(np.float32), 4000)
+    assert np.bitwise_count(clean[: len(direct)] ^ direct[: len(clean)]).sum() / (32 * len(direct)) < 0.1
+    assert len(audio.resampled(music[:0], rate, 4000)) == 0 and len(audio.resampled(music[:5], rate, 4000)) == 0
+
+
+@pytest.mark.parametrize("kind", ["clicks", "drone"])
+def test_steady_sounds_have_few_keys(kind):
+    """Twelve recordings of a click track or of a drone with noise: no key stands in very many places."""
+    s, chroma, seen = audio.Settings(), audio.Chroma(audio.Settings()), {}
+    t = np.arange(30 * s.rate) / s.rate
+    for i in range(12):
+        noise = np.random.default_rng(i).normal(0, 0.02, len(t))
+        sound = ((np.arange(len(t)) % 2000) < 40) * np.sin(2 * np.pi * 440 * t) if kind == "clicks" else np.sin(2 * np.pi * 220 * t) + np.sin(2 * np.pi * 330 * t)
+        integers = chroma.integers((sound + noise).astype(np.float32), s.rate)
+        keys, places = audio.search_keys(integers, s)
+        assert len(keys) == len(places)
+        for k in keys.tolist():
+            seen[k] = seen.get(k, 0) + 1
+    assert not seen or max(seen.values()) < 500
+
+
 def test_broken_and_deep_wav():
     import io
     import wave
