@@ -404,8 +404,8 @@ def near_duplicates(
     Classes are the connected components of links between texts whose words align to ``similarity`` or
     more (1 - edit distance / words of the longer text). Texts with the same words are one text from the
     start. Candidates share one of ``number`` (``short_number`` below ``SHORT_WORDS`` words) sketches of ``picks``
-    k-mers. In each bucket all members are compared to one of them, and again, for ``rounds``, those that are
-    not yet in its class to another, so that large classes are joined with work in proportion to their
+    k-mers. In each bucket all members are compared to one of them, which then leaves it, and again, for
+    ``rounds``, the others to another, so that large classes are joined with work in proportion to their
     members. Then all pairs of texts in buckets that still hold two classes are compared that share rare
     pairs of words as links must (``_rest``): no bucket is cut or left out.
 
@@ -436,11 +436,11 @@ def near_duplicates(
             looked_at = entries if turn else entries.filter(first)
             heads = looked_at.groupBy("key").agg(F.min(F.struct(draw.alias("draw"), "id", "label")).alias("head"), F.min("label").alias("low"), F.max("label").alias("high"))
             heads = heads.filter("low <> high").select("key", F.col("head.id").alias("other"), F.col("head.label").alias("other_label"))
-            # a bucket of one class stays one: only the others are written again
+            # a bucket of one class stays one, and what the others were compared to has no pair left there: the rest is written again
             mixed = stored(looked_at.join(heads, "key"))
             pairs = mixed.filter("label <> other_label").select("id", "label", "other", "other_label").distinct()
             links = _verified(pairs, texts, similarity)
-            mixed = mixed.select("id", "key", "label")
+            mixed = mixed.filter("id <> other").select("id", "key", "label")
             entries = mixed if turn else mixed.unionByName(entries.filter(~first))
         else:
             links = _rest(entries, texts, similarity).select("label", "other_label")
