@@ -44,6 +44,48 @@ def test_line_stage_equals_brute_force(small):
     assert all(r.n_chars == len(r.text) for r in small[2] if r.text != next(x.text for x in small[1] if x.doc_id == r.doc_id))
 
 
+def without_frequent(rows, ratio):
+    """(text, dropped lines) of each (source, text) without the lines that a share of the source's rows has, three at least."""
+    plain = lambda line: re.sub("[ \t\r\f\xa0]+", " ", line).strip(" ")
+    pages, found = Counter(s for s, _ in rows), Counter()
+    for s, text in rows:
+        found.update({(s, plain(line)) for line in text.split("\n") if plain(line)})
+    drop = {k for k, n in found.items() if n >= line_dedup.LEAST_PAGES and n >= pages[k[0]] * ratio}
+    kept = [[line for line in text.split("\n") if (s, plain(line)) not in drop] for s, text in rows]
+    return [("\n".join(k), text.count("\n") + 1 - len(k)) for k, (_, text) in zip(kept, rows, strict=True)]
+
+
+def test_both_shares_of_the_line_stage_equal_brute_force(spark):
+    """At sf0.01, where lines of 0.005 of a source go as well, and texts that would lose half keep theirs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.collect()
+    often = without_frequent([(r.source, r.text or "") for r in rows], line_dedup.RATIO)
+    rare = without_frequent([(r.source, text) for r, (text, _) in zip(rows, often, strict=True)], corpus_pipeline.LINE_RATIO)
+    want, halves = {}, 0
+    for r, (text, n), (less, m) in zip(rows, often, rare, strict=True):
+        keeps = not m or len(less) * 2 < len(text)
+        halves += bool(m and keeps)
+        want[r.doc_id] = (text if keeps else less, r.n_chars if not n + (0 if keeps else m) else len(text if keeps else less))
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_boilerplate(spark, docs, "").collect()}
+    assert got == want and halves and sum(m for _, m in rare) > 3 * sum(n for _, n in often) > 0
+
+
+def test_stages_take_odd_rows(spark, data):
+    """Nulls in every column, empty texts, repeated rows and columns with the names of helpers: every stage runs and keeps its contract."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, None, None, None, None), (5001, None, "en", "s", 0), (5002, "", None, None, 0), (5003, "one word", "en", "s", 8), (5003, "one word", "en", "s", 8)], docs.schema)
+    rows = docs.unionByName(odd).selectExpr("*", "1 AS n_lines", "'x' AS label", "2 AS _hits", "doc_id AS text_id")
+    seen = [rows]
+    for name, stage in corpus_pipeline.STAGES:
+        seen.append(stored(stage(spark, seen[-1], data)))
+        assert name == "packing" or seen[-1].columns == rows.columns, name
+    counts = [df.count() for df in seen]
+    assert counts[0] >= counts[1] == counts[2] >= counts[3] > 0
+    clean, kept = ({r.doc_id for r in df.select("doc_id").collect()} for df in (seen[1], seen[3]))
+    assert kept <= clean and (None in kept) == (None in clean) and (5003 in kept) == (5003 in clean)
+    assert len(kept & {5001, 5002}) == min(1, len(clean & {5001, 5002})) and {r.doc_id for r in seen[4].select("doc_id").distinct().collect()} == kept
+
+
 def test_near_duplicate_stage_equals_brute_force(small):
     rows = sorted(small[2], key=lambda r: r.doc_id)
     words = [near_dedup.words_of(r.text or "") for r in rows]
