@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions.expressions import c, dos_bucket, dos_cap, fill_ratio, floored_share, loss_ratio, money_mean, money_sum, month_of, rate, share, slow_moving, weighted
 from shelfspark.plans.ranking import ranked
 from shelfspark.plans.selection import exact_quantiles
+from shelfspark.sources.scratch import stored
 
 UNITS = ("units_demanded", "units_fulfilled", "units_lost_sales")
 
@@ -103,7 +104,7 @@ def value_curve(values: DataFrame, *keys: str) -> DataFrame:
     Values are ranked and summed over many tasks (``ranked``).
     """
     order = [F.round("avg_inventory_value", 6).desc(), *[F.col(k) for k in keys]]
-    placed = ranked(values.withColumn("value", F.col("avg_inventory_value").cast("decimal(18,6)")), order, "value_rank", ["value"])
+    placed = ranked(stored(values).withColumn("value", F.col("avg_inventory_value").cast("decimal(18,6)")), order, "value_rank", ["value"])
     running, total = F.col("running_value").cast("double"), F.col("all_value").cast("double")
     return placed.select(
         *values.columns, "value_rank", (F.col("value_rank") / F.col("n_all")).alias("rank_percentile"), running.alias("cumulative_inventory_value"), total.alias("total_inventory_value"), share(running, total).alias("cumulative_value_share"),

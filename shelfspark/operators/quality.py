@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.functions.expressions import fill_ratio, ratio
-from shelfspark.plans.selection import exact_quantiles, quantiles
+from shelfspark.plans.selection import quantiles, quantiles_of_tables
 
 CHECK = "check_name string, layer string, method string, status string, severity string, observed string, expected string, details string"
 
@@ -116,9 +116,15 @@ def cardinality(name: str, df: DataFrame, columns: list[str]) -> DataFrame:
     return out.select(F.lit(name).alias("table_name"), "column_name", "distinct_values", F.col("top.value").alias("top_value"), ratio(-F.col("top.k"), "rows", 0.0).alias("top_share"))
 
 
-def distribution(name: str, df: DataFrame, columns: list[str]) -> DataFrame:
-    """Least, percentiles, most, mean, deviation, bias-corrected skewness and p99 over p50 of each column."""
-    parts, points = [], exact_quantiles(df, {c: [0.5, 0.95, 0.99] for c in columns})[()]
+def distributions(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """Least, percentiles, most, mean, deviation, bias-corrected skewness and p99 over p50 of columns of tables."""
+    points = quantiles_of_tables(tables, [0.5, 0.95, 0.99])
+    return union([distribution(name, df, columns, points[name]) for name, (df, columns) in tables.items()])
+
+
+def distribution(name: str, df: DataFrame, columns: list[str], points: dict[str, list[float | None]]) -> DataFrame:
+    """The lines of one table, of whose columns p50, p95 and p99 are known."""
+    parts = []
     for c in columns:
         x, n = F.col(c).cast("double"), F.count(F.col(c)).cast("double")
         known = [F.lit(p).cast("double").alias(q) for p, q in zip(points[c], ("p50", "p95", "p99"), strict=True)]

@@ -41,8 +41,8 @@ def base(t: Tables) -> DataFrame:
 
 
 def states(t: Tables) -> DataFrame:
-    """Monthly states of SKU-locations, written once by month: all scores are merged from them."""
-    return t.write("states", lambda: scoring.partial_states(scoring.scoring_input(t.daily, base(t))), "month")
+    """Monthly states of SKU-locations, written once: all scores are merged from them."""
+    return t.write("states", lambda: scoring.partial_states(scoring.scoring_input(t.daily, base(t))))
 
 
 def skus(t: Tables) -> DataFrame:

@@ -80,7 +80,7 @@ register(
 _Q = lambda c, q: f"quantile_cont({c}, {q})"
 register(
     "dp04_distribution",
-    lambda t: quality.union([quality.distribution(n, t.raw(n), cols) for n, cols in METRICS.items()]),
+    lambda t: quality.distributions({n: (t.raw(n), cols) for n, cols in METRICS.items()}),
     " UNION ALL ".join(f"SELECT '{n}' AS table_name, '{c}' AS column_name, min({x}) AS min, {_Q(x, 0.5)} AS p50, {_Q(x, 0.95)} AS p95, {_Q(x, 0.99)} AS p99, max({x}) AS max, avg({x}) AS mean, stddev_samp({x}) AS std, skewness({x}) AS skew, CASE WHEN {_Q(x, 0.5)} = 0 THEN 0 ELSE {_Q(x, 0.99)} / nullif({_Q(x, 0.5)}, 0) END AS p99_p50_ratio FROM {n}" for n, cols in METRICS.items() for c in cols for x in [f"CAST({c} AS DOUBLE)"]),
 )
 register(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions.expressions import clip, dos_cap, flag, loss_ratio, money_sum, money_total, slow_moving, unit, weighted
 from shelfspark.plans.ranking import ranked, top_of_all
 from shelfspark.schemas import Assumptions
+from shelfspark.sources.scratch import stored
 
 AMOUNTS = ["lost_sales_revenue", "lost_sales_margin_proxy", "excess_inventory_value_proxy", "trapped_working_capital_proxy", "slow_moving_value_proxy", "supplier_delay_impact_proxy"]
 
@@ -73,7 +74,8 @@ def impact_by(amounts: DataFrame, keys: list[str], a: Assumptions = Assumptions(
     A year's amount is the observed one times one factor, so it is taken after summing. Ranks are given over many
     tasks; equal opportunities go by their keys.
     """
-    out = _opportunity(sums_by(amounts, keys).crossJoin(F.broadcast(annual_factor(amounts))), a).drop("analysis_days", "annualization_factor")  # one row
+    entities = stored(sums_by(amounts, keys))  # read for the total and for the ranks
+    out = _opportunity(entities.crossJoin(F.broadcast(annual_factor(amounts))), a).drop("analysis_days", "annualization_factor")  # one row
     total = out.agg(money_total("opportunity_total_12m_proxy").alias("pool"))
     shared = out.crossJoin(F.broadcast(total))  # one row
     order = [F.round("opportunity_total_12m_proxy", 4).desc(), *map(F.col, keys)]

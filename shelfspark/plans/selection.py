@@ -6,6 +6,7 @@ import math
 from collections import defaultdict
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,8 +73,22 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], keys:
 
     Meant for few large groups: beyond ``MOST_RANGES`` ranges it is an error (there a window for each group is the plan).
     """
-    fields = [F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in wanted]))]
-    written = stored(df.select(*keys, *fields))
+    return _selected(stored(_long(df, list(wanted), keys)), wanted, keys)
+
+
+def quantiles_of_tables(tables: Mapping[str, tuple[DataFrame, Sequence[str]]], shares: Sequence[float]) -> dict[str, dict[str, list[float | None]]]:
+    """{table: {column: its quantiles}} for some columns of several tables, all in the same passes."""
+    parts = [_long(df, columns, (), f"{table}.") for table, (df, columns) in tables.items()]
+    found = _selected(stored(reduce(DataFrame.unionByName, parts)), {f"{t}.{c}": shares for t, (_, columns) in tables.items() for c in columns}, ())[()]
+    return {t: {c: found[f"{t}.{c}"] for c in columns} for t, (_, columns) in tables.items()}
+
+
+def _long(df: DataFrame, columns: Sequence[str], keys: Sequence[str], prefix: str = "") -> DataFrame:
+    """keys, name, x: a row for each value of each column."""
+    return df.select(*keys, F.inline(F.array(*[F.struct(F.lit(prefix + c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns])))
+
+
+def _selected(written: DataFrame, wanted: Mapping[str, Sequence[float]], keys: Sequence[str]) -> dict[tuple, dict[str, list[float | None]]]:
     long = written.filter("x is not null and not isnan(x)")
     groups = [tuple(r) for r in written.select(*keys).distinct().limit(MOST_RANGES + 1).collect()] if keys else [()]
     if len(groups) * sum(2 * len(q) for q in wanted.values()) > MOST_RANGES:

@@ -77,11 +77,11 @@ def read_partitioned(spark: SparkSession, path: str, schema: T.StructType) -> Da
 def bucketed(df: DataFrame, n: int, *by: str) -> DataFrame:
     """``df`` from a new table of ``n`` buckets by the columns ``by``: tables alike in these meet on them without an exchange.
 
-    Rows are dealt by the same columns first, so that each task writes its own buckets only.
+    ``df`` should be dealt to ``n`` partitions by the same columns before, so that each task writes its own buckets only.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession)
     name = path.rsplit("/", 1)[1].replace("-", "_")
-    df.repartition(n, *by).write.format("parquet").bucketBy(n, *by).sortBy(*by).option("path", path).saveAsTable(name)
+    df.write.format("parquet").bucketBy(n, *by).sortBy(*by).option("path", path).saveAsTable(name)
     return spark.read.table(name)
 
 
