@@ -8,6 +8,7 @@ sketch are candidates; a banded alignment of their words decides.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -37,6 +38,8 @@ BEFORE = 2
 PART_ROWS = 20_000
 #: Characters of the texts that are aligned in one Python call, about: whole groups.
 PART_CHARS = 8_000_000
+#: Bins that a task hands on as one value.
+_RUN = 1 << 14
 #: Pairs whose bins are compared at a time.
 _PAIRS = 4096
 #: Rows of word pairs in an Arrow batch, about.
@@ -246,7 +249,8 @@ def _rare_pairs(df: DataFrame, choose: Callable[[np.ndarray], np.ndarray]) -> Da
 def pair_counts(df: DataFrame) -> np.ndarray:
     """How often pairs of words fall in each of ``COUNT_BINS`` bins, over the column text of all rows.
 
-    Tasks count for themselves; the sums are ``COUNT_BINS`` numbers at most, whatever the table's size.
+    Tasks count for themselves and hand on packed runs of ``_RUN`` bins; the sums are ``COUNT_BINS`` numbers, whatever
+    the table's size.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,12 +262,22 @@ def pair_counts(df: DataFrame) -> np.ndarray:
                 words = words_of(text)
                 tokens = _word_pairs(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
                 np.add.at(total, (tokens % np.uint64(COUNT_BINS)).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bin", "n"])
-
-    sums = df.select("text").mapInArrow(counted, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+        for run in range(0, COUNT_BINS, _RUN):
+            if total[run : run + _RUN].any():
+                yield pa.RecordBatch.from_pydict({"run": pa.array([run], pa.int64()), "counts": pa.array([zlib.compress(total[run : run + _RUN].tobytes(), 1)], pa.binary())})
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for run, blob in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                sums[run] = sums.get(run, 0) + np.frombuffer(zlib.decompress(blob), np.int64)
+        for run, counts in sums.items():
+            yield pa.RecordBatch.from_pydict({"run": pa.array([run], pa.int64()), "counts": pa.array([counts.tobytes()], pa.binary())})
+
+    kind = "run bigint, counts binary"
     out = np.zeros(COUNT_BINS, np.int64)
-    out[sums.column("bin").to_numpy()] = sums.column("n").to_numpy()
+    for r in df.select("text").mapInArrow(counted, kind).repartition("run").mapInArrow(added, kind).collect():
+        out[r.run : r.run + _RUN] = np.frombuffer(r.counts, np.int64)
     return out
 
 
