@@ -49,3 +49,11 @@ def test_files(spark, tmp_path):
     assert files.optional(spark, f"{tmp_path}/none", RAW["warehouses"]).count() == 0
     with pytest.raises(ValueError):
         files.write_table(df.drop("region"), f"{tmp_path}/x", "csv", RAW["warehouses"].names)
+
+
+def test_every_mismatch_is_shown(spark):
+    """More rows than a first page, in order of their differences; rows within the tolerance are left out."""
+    stock = spark.range(300).selectExpr("DATE '2020-01-01' AS snapshot_date", "'w' AS warehouse_id", "CAST(id AS STRING) AS product_id", "10L AS on_hand_units", "20.0D + IF(id < 250, 1 + id, 0.01D) AS inventory_value")
+    products = spark.range(300).selectExpr("CAST(id AS STRING) AS product_id", "2.0D AS unit_cost")
+    rows = quality.value_mismatches(stock, products).collect()
+    assert [r.product_id for r in rows] == [str(i) for i in range(249, -1, -1)] and {r.expected_value for r in rows} == {20.0}
