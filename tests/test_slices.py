@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.operators import facts, quality
 from shelfspark.operators.registered_facts import cube, fact
+from shelfspark.registry import PLANS
 from shelfspark.sources.fixtures import Tables
 
 
@@ -97,3 +98,14 @@ def test_days_as_bitmaps(spark):
     assert quality.missing_dates(days.limit(0), ["d"]).count() == 0
     row = quality.date_coverage("t", days, ["d"]).first()
     assert (row.distinct_dates, row.expected_days, row.missing_days) == (9, 72770, 72761)
+
+
+def test_a_slice_makes_its_own_roll_up_only(spark, data):
+    """Totals write one cell a month, not the cube; the cells are those of the cube."""
+    alone = Tables(spark, data)
+    totals = PLANS["db09_slice_totals_all_months"](alone)
+    assert "facet cube" not in alone._kept and alone._kept["cells by month"].count() == fact(alone).select("month").distinct().count()
+    assert rows(totals) == rows(facts.slice_totals(fact(alone)))
+    for columns in (["month", "supplier_id"], ["month", "region", "category"]):
+        found = facts.cells(cube(alone), set(columns)).select(facts.roll_up(fact(alone), columns).columns)
+        assert rows(found) == rows(facts.roll_up(fact(alone), columns))
