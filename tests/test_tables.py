@@ -5,9 +5,11 @@ import pathlib
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.operators.registered import base, states
+from shelfspark.operators.registered import base, prepared, skus, states
+from shelfspark.operators.registered_facts import fact
 from shelfspark.plans import scoring
 from shelfspark.plans.views import daily_metrics
+from shelfspark.sources import fixtures
 from shelfspark.sources.files import read_partitioned, write_partitioned
 from shelfspark.sources.fixtures import GRAIN, Tables
 from shelfspark.sources.scratch import scratch
@@ -76,3 +78,21 @@ def test_states_count_days_once_for_every_grain(tables):
         assert "Expand" not in plan_of(measures)
         want = {tuple(r)[:-1]: r[-1] for r in tables.daily.groupBy(*keys).agg(F.countDistinct("date")).collect()}
         assert {tuple(r)[:-1]: r[-1] for r in measures.select(*keys, "active_days").collect()} == want
+
+
+def test_facts_grow_in_buckets_and_group_by_product_without_an_exchange(spark, tables, monkeypatch):
+    """More lines give more buckets; states, risk and monthly fact start from product buckets and move no day."""
+    monkeypatch.setattr(fixtures, "BUCKET_LINES", 800)
+    many = Tables(spark, tables.folder)
+    assert many.buckets > tables.buckets == 4
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Exchange" not in plan_of(many._demand.join(many._stock, GRAIN))
+        assert "Exchange" not in plan_of(many.daily.groupBy("product_id", "warehouse_id").agg(F.sum("units_demanded")))
+        moved = [plan_of(scoring.partial_states(prepared(many))), plan_of(scoring.entity_measures(states(many), scoring.SKU_KEYS))]
+        assert all("hashpartitioning(product_id" not in line or "warehouse_id" not in line for plan in moved for line in plan.split("\n"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert many.daily.exceptAll(tables.daily).isEmpty() and many.daily.count() == tables.daily.count()
+    assert fact(many).exceptAll(fact(tables)).isEmpty() and skus(many).exceptAll(skus(tables)).isEmpty() and skus(many).count() == skus(tables).count() > 0
