@@ -46,3 +46,22 @@ def test_constant_signals_scale_to_the_middle(spark):
     df = spark.createDataFrame([(0.1, 0.9, 0.2, 0.1, 0.2, 0.3), (0.3, 0.7, 0.4, 0.1, 0.2, 0.3)], "stockout_day_rate double, service_level double, excess_inventory_rate double, slow_moving_rate double, lead_time_cv double, demand_cv double")
     better, worse = [r.composite_risk for r in scoring.legacy_composite(df).orderBy("stockout_day_rate").collect()]
     assert worse > better and better == 7.5
+
+
+def test_amounts_round_to_six_places_as_in_the_oracle(spark):
+    """Halves of a millionth, whose shortest text often says another side than their product with 10^6, as DuckDB casts them."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from shelfspark.functions.expressions import exact, money_sum
+
+    rows = [(i, sign * (k * 7919 % 10**n + 0.5) / 1e6) for i, (k, n, sign) in enumerate((k, n, sign) for k in range(300) for n in (4, 8, 10) for sign in (1, -1))]
+    df = spark.createDataFrame(rows, "i int, x double")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t(i INTEGER, x DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    want = dict(con.execute("SELECT i, CAST(x AS DECIMAL(18,6)) FROM t").fetchall())
+    assert {r.i: r.y for r in df.select("i", exact("x").alias("y")).collect()} == want
+    assert {r.i: r.y for r in df.groupBy("i").agg(money_sum("x").alias("y")).collect()} == {i: float(v) for i, v in want.items()}
+    assert any(r.y != want[r.i] for r in df.select("i", F.col("x").cast("decimal(18,6)").alias("y")).collect())
+    assert spark.sql("SELECT CAST(NULL AS DOUBLE) AS x").select(exact("x").alias("y")).first().y is None
