@@ -65,3 +65,17 @@ def test_amounts_round_to_six_places_as_in_the_oracle(spark):
     assert {r.i: r.y for r in df.groupBy("i").agg(money_sum("x").alias("y")).collect()} == {i: float(v) for i, v in want.items()}
     assert any(r.y != want[r.i] for r in df.select("i", F.col("x").cast("decimal(18,6)").alias("y")).collect())
     assert spark.sql("SELECT CAST(NULL AS DOUBLE) AS x").select(exact("x").alias("y")).first().y is None
+
+
+def test_results_are_rounded_as_in_the_oracle(spark):
+    import duckdb
+
+    from shelfspark.registry import rounded
+
+    rows = [(i, (k * 7919 % 10**n + 0.5) / 1e6 * (-1) ** i - 1e-10) for i, (k, n) in enumerate((k, n) for k in range(300) for n in (4, 8, 10, 12))]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t(i INTEGER, x DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    want = dict(con.execute("SELECT i, round(x + 1e-10, 6) FROM t").fetchall())
+    df = spark.createDataFrame([*rows, (-1, None), (-2, float("inf"))], "i int, x double")
+    assert {r.i: r.x for r in rounded(df).collect()} == want | {-1: None, -2: float("inf")}
