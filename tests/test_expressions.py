@@ -79,3 +79,14 @@ def test_results_are_rounded_as_in_the_oracle(spark):
     want = dict(con.execute("SELECT i, round(x + 1e-10, 6) FROM t").fetchall())
     df = spark.createDataFrame([*rows, (-1, None), (-2, float("inf"))], "i int, x double")
     assert {r.i: r.x for r in rounded(df).collect()} == want | {-1: None, -2: float("inf")}
+
+
+def test_money_sums_are_exact_beyond_a_long(spark):
+    """Sums of both parts of amounts equal sums of decimals: negative, huge and null amounts, and more in all than a long of millionths holds."""
+    from decimal import Decimal
+
+    rows = [9e11 + 1 / 3, -0.000001, -123456789.123457, 0.0, None, 1e-7] * 20
+    df = spark.createDataFrame([(x,) for x in rows], "x double")
+    got = df.agg(ex.exact_sum("x").alias("sum"), F.sum(ex.exact("x")).alias("want"), ex.money_sum("x").alias("double")).first()
+    assert got["sum"] == got.want > Decimal(2**63) / 10**6 and got.double == float(got.want)
+    assert df.filter("x is null").agg(ex.exact_sum("x").alias("y")).first().y is None

@@ -96,3 +96,13 @@ def test_facts_grow_in_buckets_and_group_by_product_without_an_exchange(spark, t
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert many.daily.exceptAll(tables.daily).isEmpty() and many.daily.count() == tables.daily.count()
     assert fact(many).exceptAll(fact(tables)).isEmpty() and skus(many).exceptAll(skus(tables)).isEmpty() and skus(many).count() == skus(tables).count() > 0
+
+
+def test_suppliers_merge_without_months_and_states_are_not_written(spark, tables):
+    """Sums travel without months, losses and days by month alone; an entity without a key stays. Amounts are sums of longs."""
+    days = states(tables)
+    odd = days.unionByName(days.limit(50).withColumn("supplier_id", F.lit(None).cast("string")))
+    apart, merged = (scoring.entity_measures(odd, scoring.SUPPLIER_KEYS, months_apart=x) for x in (True, False))
+    assert apart.select(*merged.columns).exceptAll(merged).isEmpty() and apart.count() == merged.count() > 1 and not apart.filter("supplier_id is null").isEmpty()
+    assert skus(tables).count() > 0 and "states" not in tables._kept
+    assert "decimal(28" not in plan_of(scoring.partial_states(prepared(tables)))
