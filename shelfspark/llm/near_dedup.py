@@ -32,6 +32,8 @@ SHORT_SKETCHES, SHORT_WORDS = 128, 100
 ROUNDS, FIRST_OF = 3, 4
 #: In the last pass: texts that make a block of a group, bins of a text's word counts, and bins of all texts' counts.
 BLOCK_ROWS, BINS, COUNT_BINS = 4096, 512, 1 << 18
+#: There, finer bins that tell which pairs only one text has: these can bring no texts together and are not handed on.
+FINE_BINS = 1 << 24
 #: There, word pairs before each one that tell whether two texts have met before.
 BEFORE = 2
 #: Rows of that pass in one Python call, about: many groups, whole ones.
@@ -40,6 +42,7 @@ PART_ROWS = 20_000
 PART_CHARS = 8_000_000
 #: Bins that a task hands on as one value.
 _RUN = 1 << 14
+_FINE_RUN = 1 << 20
 #: Pairs whose bins are compared at a time.
 _PAIRS = 4096
 #: Rows of word pairs in an Arrow batch, about.
@@ -219,8 +222,11 @@ def _word_pairs(hashes: np.ndarray) -> np.ndarray:
     return labelled_kmers(hashes, 2)
 
 
-def _rare_pairs(df: DataFrame, choose: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """For each word pair that ``choose`` takes of each text of ``df`` (id, label, text), in its order: id, label, n_words, at (its place), token and the ``BEFORE`` tokens before it (0 where there are none)."""
+def _rare_pairs(df: DataFrame, choose: Callable[[np.ndarray], np.ndarray], meets: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """For each word pair that ``choose`` takes of each text of ``df`` (id, label, text), in its order: id, label, n_words, at (its place), token and the ``BEFORE`` tokens before it (0 where there are none).
+
+    Pairs for which ``meets`` is false keep their place but give no row.
+    """
     kind, names = df.schema["id"].dataType.simpleString(), [f"before_{k}" for k in range(1, BEFORE + 1)]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,23 +244,28 @@ def _rare_pairs(df: DataFrame, choose: Callable[[np.ndarray], np.ndarray]) -> Da
                 sizes, tokens = np.array([len(x) for x in held]), np.concatenate(held)
                 at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 before = [np.where(at >= k, np.r_[np.zeros(k, np.int64), tokens][: len(tokens)], 0) for k in range(1, BEFORE + 1)]
-                of = pa.array(np.repeat(np.arange(first, row + 1), sizes))
-                columns = [np.repeat(np.array(lengths, np.int32), sizes), at.astype(np.int32), tokens, *before]
+                kept = meets(tokens.view(np.uint64))
+                of = pa.array(np.repeat(np.arange(first, row + 1), sizes)[kept])
+                columns = [c[kept] for c in (np.repeat(np.array(lengths, np.int32), sizes), at.astype(np.int32), tokens, *before)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *map(pa.array, columns)], names=["id", "label", "n_words", "at", "token", *names])
                 first, held, lengths = row + 1, [], []
 
     return df.select("id", "label", "text").mapInArrow(made, f"id {kind}, label {kind}, n_words int, at int, token bigint, " + ", ".join(f"{n} bigint" for n in names))
 
 
-def pair_counts(df: DataFrame) -> np.ndarray:
-    """How often pairs of words fall in each of ``COUNT_BINS`` bins, over the column text of all rows.
+def _fine_bins(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(40)).astype(np.int64) % FINE_BINS
+
 
-    Tasks count for themselves and hand on packed runs of ``_RUN`` bins; the sums are ``COUNT_BINS`` numbers, whatever
-    the table's size.
+def pair_counts(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How often pairs of words fall in each of ``COUNT_BINS`` bins, over the column text of all rows; and a bit for each of ``FINE_BINS`` bins: whether two fall there.
+
+    Tasks count for themselves and hand on packed runs of ``_RUN`` bins (``_FINE_RUN`` fine ones, under negative numbers); the
+    sums are ``COUNT_BINS`` numbers and ``FINE_BINS`` bits, whatever the table's size.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = _WordHashes(), np.zeros(COUNT_BINS, np.int64)
+        known, total, fine = _WordHashes(), np.zeros(COUNT_BINS, np.int64), np.zeros(FINE_BINS, np.uint8)
         for batch in slices(batches):
             if len(known) > MEMO_ENTRIES:
                 known.clear()
@@ -262,23 +273,33 @@ def pair_counts(df: DataFrame) -> np.ndarray:
                 words = words_of(text)
                 tokens = _word_pairs(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
                 np.add.at(total, (tokens % np.uint64(COUNT_BINS)).astype(np.int64), 1)
-        for run in range(0, COUNT_BINS, _RUN):
-            if total[run : run + _RUN].any():
-                yield pa.RecordBatch.from_pydict({"run": pa.array([run], pa.int64()), "counts": pa.array([zlib.compress(total[run : run + _RUN].tobytes(), 1)], pa.binary())})
+                bins, n = np.unique(_fine_bins(tokens), return_counts=True)
+                fine[bins] = np.minimum(fine[bins] + np.minimum(n, 2), 2)
+        for numbers, size, sign in ((total, _RUN, 1), (fine, _FINE_RUN, -1)):
+            for run in range(0, len(numbers), size):
+                if numbers[run : run + size].any():
+                    at = run if sign > 0 else -1 - run
+                    yield pa.RecordBatch.from_pydict({"run": pa.array([at], pa.int64()), "counts": pa.array([zlib.compress(numbers[run : run + size].tobytes(), 1)], pa.binary())})
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for run, blob in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                sums[run] = sums.get(run, 0) + np.frombuffer(zlib.decompress(blob), np.int64)
+                more = np.frombuffer(zlib.decompress(blob), np.int64 if run >= 0 else np.uint8)
+                sums[run] = sums.get(run, 0) + more if run >= 0 else np.minimum(sums.get(run, 0) + more, 2)
         for run, counts in sums.items():
-            yield pa.RecordBatch.from_pydict({"run": pa.array([run], pa.int64()), "counts": pa.array([counts.tobytes()], pa.binary())})
+            packed = counts if run >= 0 else np.packbits(counts > 1)
+            yield pa.RecordBatch.from_pydict({"run": pa.array([run], pa.int64()), "counts": pa.array([packed.tobytes()], pa.binary())})
 
     kind = "run bigint, counts binary"
-    out = np.zeros(COUNT_BINS, np.int64)
+    out, twice = np.zeros(COUNT_BINS, np.int64), np.zeros(FINE_BINS // 8, np.uint8)
     for r in df.select("text").mapInArrow(counted, kind).repartition("run").mapInArrow(added, kind).collect():
-        out[r.run : r.run + _RUN] = np.frombuffer(r.counts, np.int64)
-    return out
+        if r.run >= 0:
+            out[r.run : r.run + _RUN] = np.frombuffer(r.counts, np.int64)
+        else:
+            start = (-1 - r.run) // 8
+            twice[start : start + _FINE_RUN // 8] = np.frombuffer(r.counts, np.uint8)
+    return out, twice
 
 
 def _rest(entries: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -302,10 +323,14 @@ def _rest(entries: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
     def rarest(words: np.ndarray) -> np.ndarray:
         tokens = _word_pairs(words)
-        seen = shared.value[(tokens % np.uint64(COUNT_BINS)).astype(np.int64)]
+        seen = shared.value[0][(tokens % np.uint64(COUNT_BINS)).astype(np.int64)]
         return tokens[np.lexsort((tokens, seen))[: 2 * int((1 - similarity) * len(words) + 1e-9) + 2]]
 
-    meets = _rare_pairs(rows, rarest)  # made twice: in a table it would be larger than the texts
+    def in_two_texts(tokens: np.ndarray) -> np.ndarray:
+        bins = _fine_bins(tokens)
+        return (shared.value[1][bins >> 3] >> (7 - (bins & 7)).astype(np.uint8) & 1).astype(bool)
+
+    meets = _rare_pairs(rows, rarest, in_two_texts)  # made twice: in a table it would be larger than the texts
     groups = meets.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
     groups = stored(groups.filter("low <> high").select("token", "n", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks")))
     parts = -(-(groups.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0) // PART_ROWS)

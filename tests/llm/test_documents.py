@@ -462,3 +462,18 @@ def test_oracles(spark, data, name):
     names = [d[0] for d in result.description]
     rows = [tuple(r[names.index(c)] for c in df.columns) for r in result.fetchall()]
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, rows))
+
+
+def test_word_pairs_of_one_text_only_are_not_handed_on(spark):
+    """The last pass hands on pairs that two texts have, each with its place among all; of texts that share nothing it hands on next to none."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(120)) + " same two words" for i in range(60)]
+    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "id long, label long, text string")
+    counts, twice = near_dedup.pair_counts(df)
+    assert counts.sum() == 60 * 122
+    choose = lambda words: near_dedup._word_pairs(words)
+    bins = lambda tokens: near_dedup._fine_bins(tokens)
+    two = lambda tokens: (twice[bins(tokens) >> 3] >> (7 - (bins(tokens) & 7)).astype("uint8") & 1).astype(bool)
+    made = near_dedup._rare_pairs(df, choose, two).collect()
+    shared = [r for r in made if r["at"] in (120, 121)]
+    assert len(shared) == 120 and len({r.token for r in shared}) == 2 and len(made) < 120 + 60
+    assert all(r.before_1 != 0 and r.before_2 != 0 for r in shared)
