@@ -31,7 +31,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     few, often, n_dropped = fresh(docs, "_few", "_often", "n_dropped")
     common = line_dedup.drop_boilerplate(docs, "source", "text").withColumnRenamed(n_dropped, often)
-    common = stored(common.select(*docs.columns, often).withColumn(few, F.col("text")))
+    common = stored(common.select(*docs.columns, often)).withColumn(few, F.col("text"))  # the text is written once
     left = line_dedup.drop_boilerplate(common, "source", "text", LINE_RATIO)
     keeps = F.col(n_dropped).eqNullSafe(0) | (F.length("text") * 2 < F.length(few))
     dropped = F.col(often) + F.when(keeps, 0).otherwise(F.col(n_dropped))
