@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import os
+import struct
+from collections.abc import Sequence
 from functools import lru_cache
 
-import numpy as np
-
 from shelfspark.llm.common import MEMO_ENTRIES, plain_word, word_segments
 from shelfspark.llm.token_counts import byte_alphabet
 
 
+def packed_ids(ids: Sequence[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordIds:
     """Encodes texts with a tokenizer that drops white space, so that words can be encoded by themselves."""
 
@@ -25,13 +29,15 @@ class WordIds:
         self.spell = dict(enumerate(byte_alphabet()))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [packed_ids(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _part_ids(self, parts: list[str]) -> list[bytes]:
         """Runs of letters go to the library's model at once; the rest through its normaliser and splits."""
         merge, spell = self.library.model.tokenize, self.spell
-        other = iter(self._ids([p for p in parts if not plain_word(p)]))
-        return [np.array([t.id for t in merge(p.encode().decode("latin-1").translate(spell))], "<u4").tobytes() if plain_word(p) else next(other) for p in parts]
+        plain = list(map(plain_word, parts))
+        other = iter(self._ids([p for p, is_plain in zip(parts, plain, strict=True) if not is_plain]))
+        spelt = (p if p.isascii() else p.encode().decode("latin-1").translate(spell) for p in parts)  # ASCII letters spell themselves
+        return [packed_ids([t.id for t in merge(s)]) if is_plain else next(other) for s, is_plain in zip(spelt, plain, strict=True)]
 
     def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
         """Ids of each text, then ``end``, as little-endian unsigned 32-bit integers."""
@@ -51,4 +57,4 @@ def word_ids(path: str) -> WordIds:
 
 
 def id_bytes(value: int) -> bytes:
-    return np.array([value], "<u4").tobytes()
+    return packed_ids([value])

@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from shelfspark.llm import byte_bpe, packing, token_counts, token_shards
+from shelfspark.llm import byte_bpe, common, packing, token_counts, token_shards
 from shelfspark.llm.common import scratch
 from shelfspark.llm.word_ids import WordIds
 
@@ -81,6 +81,19 @@ def test_word_ids_equal_the_library():
         assert np.frombuffer(model.encode([text])[0], "<u4").tolist() == model.library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_bytes_decide_as_patterns_do():
+    """Texts of one byte a character are judged by tables of bytes: the same for every character, alone and beside another."""
+    every = [chr(c) for c in range(0x180)] + [chr(c) + d for c in range(0x180) for d in ".,_a \x85\xb5\u0131"]
+    for text in every:
+        assert common._touching(text) == (common._TOUCHING.search(text) is not None), text
+        if common._NOT_LATIN.search(text):
+            assert common.word_segments(text) == (None if common._ODD_CONTROL.search(text) else text.split()), text
+        else:
+            low = text.lower()
+            assert common.word_segments(text) == (low if common._TOUCHING.search(low) else low.replace(".", " . ").replace(",", " , ")).split(), text
+        assert common.plain_word(text) == (common._LETTERS.fullmatch(text) is not None and text.lower() == text), text
+
+
 def test_special_tokens_are_looked_for_in_raw_text():
     model = WordIds(WORDS)
     for text in ["a <|ENDOFTEXT|> b", "<|EndOfText|>", "x <|endoftext|> y <|ENDOFTEXT|> z", "a<|StartOfText|>b", "a <|endoftext|> B.", "A <|ENDOFTEXT|>. 漢"]:
