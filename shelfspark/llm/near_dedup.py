@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,8 +46,8 @@ _RUN = 1 << 14
 _FINE_RUN = 1 << 20
 #: Pairs whose bins are compared at a time.
 _PAIRS = 4096
-#: Rows of word pairs in an Arrow batch, about.
-_FLUSH = 100_000
+#: Texts' word pairs that a task looks at together, about, and those of one pair that it hands on as one row.
+_FLUSH, _CHUNK = 400_000, 256
 #: Hash values held at a time while sketches are made.
 _BLOCK, _LARGEST = 1 << 20, np.uint64((1 << 64) - 1)
 _find_words = re.compile(r"\w+").findall
@@ -223,34 +224,49 @@ def _word_pairs(hashes: np.ndarray) -> np.ndarray:
 
 
 def _rare_pairs(df: DataFrame, choose: Callable[[np.ndarray], np.ndarray], meets: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """For each word pair that ``choose`` takes of each text of ``df`` (id, label, text), in its order: id, label, n_words, at (its place), token and the ``BEFORE`` tokens before it (0 where there are none).
+    """For each word pair (token) that ``choose`` takes of texts of ``df`` (id, label, text), in its order: the texts that have it.
 
-    Pairs for which ``meets`` is false keep their place but give no row.
+    Arrays hold, for each text under the token, id, label, n_words, at (the token's place there) and the ``BEFORE`` tokens before it (0
+    where there are none). A task puts ``_CHUNK`` texts at most of those it looks at together in one row, so that
+    a frequent pair is few rows. Pairs for which ``meets`` is false keep their place but are not handed on.
     """
     kind, names = df.schema["id"].dataType.simpleString(), [f"before_{k}" for k in range(1, BEFORE + 1)]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHashes()
+        known, texts, rows, count = _WordHashes(), [], [], 0
+
+        def together() -> pa.RecordBatch:
+            ids, labels = (pa.chunked_array([x.column(c) for x in texts]).combine_chunks() for c in (0, 1))
+            token, of, *columns = (np.concatenate(c) for c in zip(*rows, strict=True))
+            order = np.argsort(token, kind="stable")
+            token, of = token[order], pa.array(of[order])
+            new = np.r_[True, token[1:] != token[:-1]]
+            nth = np.arange(len(token)) - np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))
+            starts = np.flatnonzero(nth % _CHUNK == 0)
+            ends = pa.array(np.r_[starts, len(token)].astype(np.int32))
+            arrays = [ids.take(of), labels.take(of), *(pa.array(c[order]) for c in columns)]
+            return pa.RecordBatch.from_arrays([pa.array(token[starts]), *(pa.ListArray.from_arrays(ends, x) for x in arrays)], names=["token", "id", "label", "n_words", "at", *names])
+
         for batch in slices(batches):
             if len(known) > MEMO_ENTRIES:
                 known.clear()
-            texts, first, held, lengths = batch.column(2), 0, [], []
-            for row in range(batch.num_rows):
-                words = words_of(texts[row].as_py())
-                held.append(choose(np.fromiter(map(known.__getitem__, words), np.uint64, len(words))).view(np.int64))
-                lengths.append(len(words))
-                if row + 1 < batch.num_rows and sum(map(len, held)) < _FLUSH:
-                    continue
-                sizes, tokens = np.array([len(x) for x in held]), np.concatenate(held)
-                at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                before = [np.where(at >= k, np.r_[np.zeros(k, np.int64), tokens][: len(tokens)], 0) for k in range(1, BEFORE + 1)]
-                kept = meets(tokens.view(np.uint64))
-                of = pa.array(np.repeat(np.arange(first, row + 1), sizes)[kept])
-                columns = [c[kept] for c in (np.repeat(np.array(lengths, np.int32), sizes), at.astype(np.int32), tokens, *before)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *map(pa.array, columns)], names=["id", "label", "n_words", "at", "token", *names])
-                first, held, lengths = row + 1, [], []
-
-    return df.select("id", "label", "text").mapInArrow(made, f"id {kind}, label {kind}, n_words int, at int, token bigint, " + ", ".join(f"{n} bigint" for n in names))
+            first = sum(x.num_rows for x in texts)
+            texts.append(batch.select(["id", "label"]))
+            for row, text in enumerate(batch.column(2)):
+                words = words_of(text.as_py())
+                tokens = choose(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+                at = np.flatnonzero(meets(tokens))
+                tokens = tokens.view(np.int64)
+                before = [np.where(at >= k, tokens[np.maximum(at - k, 0)], 0) for k in range(1, BEFORE + 1)]
+                rows.append((tokens[at], np.full(len(at), first + row), np.full(len(at), len(words), np.int32), at.astype(np.int32), *before))
+                count += len(at)
+            if count >= _FLUSH:
+                yield together()
+                texts, rows, count = [], [], 0
+        if count:
+            yield together()
+
+    return df.select("id", "label", "text").mapInArrow(made, f"token bigint, id array<{kind}>, label array<{kind}>, n_words array<int>, at array<int>, " + ", ".join(f"{n} array<bigint>" for n in names))
 
 
 def _fine_bins(tokens: np.ndarray) -> np.ndarray:
@@ -314,7 +330,7 @@ def _rest(entries: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     met under it, and it is decided there; so a passage that thousands have brings two texts together about once.
 
     Texts under one pair are dealt to blocks, and a group holds two blocks of a few numbers for each text, so that the
-    texts of a pair are written again only beyond ``BLOCK_ROWS`` of them (n texts: n * n / ``BLOCK_ROWS`` rows). What meets is
+    texts of a pair are written again only beyond ``BLOCK_ROWS`` of them (n texts: each n / ``BLOCK_ROWS`` times). What meets is
     aligned for a whole group, so a text travels once to a group and not once to each of its pairs (``_aligned``).
     """
     mixed = entries.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
@@ -324,23 +340,29 @@ def _rest(entries: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     def rarest(words: np.ndarray) -> np.ndarray:
         tokens = _word_pairs(words)
         seen = shared.value[0][(tokens % np.uint64(COUNT_BINS)).astype(np.int64)]
-        return tokens[np.lexsort((tokens, seen))[: 2 * int((1 - similarity) * len(words) + 1e-9) + 2]]
+        # those that only one text has come first: they take places, and no text meets another under them
+        return tokens[np.lexsort((tokens, seen, in_two_texts(tokens)))[: 2 * int((1 - similarity) * len(words) + 1e-9) + 2]]
 
     def in_two_texts(tokens: np.ndarray) -> np.ndarray:
         bins = _fine_bins(tokens)
         return (shared.value[1][bins >> 3] >> (7 - (bins & 7)).astype(np.uint8) & 1).astype(bool)
 
     meets = _rare_pairs(rows, rarest, in_two_texts)  # made twice: in a table it would be larger than the texts
-    groups = meets.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    groups = meets.groupBy("token").agg(F.sum(F.size("id")).alias("n"), F.min(F.array_min("label")).alias("low"), F.max(F.array_max("label")).alias("high"))
     groups = stored(groups.filter("low <> high").select("token", "n", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks")))
     parts = -(-(groups.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0) // PART_ROWS)
-    own = F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).alias("own")
+    own = F.pmod(F.xxhash64(F.col("id")[0], F.lit("block")), F.col("blocks")).alias("own")  # a row's texts stay together
     blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with")
     dealt = meets.join(groups.drop("n"), "token").select(*meets.columns, own, blocks)
     dealt = dealt.withColumns({"one": F.least("own", "with"), "two": F.greatest("own", "with")}).drop("with")
     kind = entries.schema["id"].dataType.simpleString()
 
+    listed = ["id", "label", "n_words", "at", *[f"before_{k}" for k in range(1, BEFORE + 1)]]
+
     def paired(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        of = pc.list_parent_indices(part.column("id"))
+        part = pa.table({c: pc.list_flatten(part.column(c)) if c in listed else part.column(c).take(of) for c in part.column_names})
         part = part.sort_by([("token", "ascending"), ("one", "ascending"), ("two", "ascending")]).combine_chunks()
         ids, labels = (part.column(c).combine_chunks() for c in ("id", "label"))
         token, one, two, own, n, at, place = (part.column(c).to_numpy() for c in ("token", "one", "two", "own", "n_words", "at", "place"))

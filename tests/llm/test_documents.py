@@ -113,6 +113,28 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_a_frequent_word_pair_is_few_rows(spark):
+    """Texts of a task stand together under a word pair: 600 texts with one passage, three rows of texts a pair and task."""
+    passage = " ".join(f"common{k}" for k in range(30))
+    df = spark.createDataFrame([(i, i, f"own{i} {passage}") for i in range(600)], "id long, label long, text string").coalesce(1)
+    got = near_dedup._rare_pairs(df, near_dedup._word_pairs, lambda tokens: np.arange(len(tokens)) % 2 == 1).collect()
+    assert len(got) == 15 * 3 and {len(r.id) for r in got} == {256, 88}
+    for r in got:
+        assert len(set(r.id)) == len(r.id) and r.id == r.label and set(r.n_words) == {31} and len(set(r.at)) == 1
+        assert set(r.before_2) == {0} if r.at[0] == 1 else len(set(r.before_1)) == 1
+
+
+def test_last_pass_links_texts_of_two_blocks(spark, monkeypatch):
+    """Blocks of two texts and rows of one: each pair of texts of two labels still meets."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 2)
+    passage = " ".join(f"common{k}" for k in range(30))
+    texts = spark.createDataFrame([(i, f"{passage} own{i}") for i in range(9)], "id long, text string").repartition(9)
+    entries = texts.select("id", F.lit(1).alias("key"), F.col("id").alias("label"))
+    got = {(r.id, r.other) for r in near_dedup._rest(entries, texts, 0.8).collect()}
+    assert {tuple(sorted(x)) for x in got} == {(i, j) for i in range(9) for j in range(i + 1, 9)}
+
+
+
 def test_pairs_that_meet_only_beside_a_large_class(spark, monkeypatch):
     """One passage as all sketches: every text is in the same buckets, most are of one class, and heads are drawn from it."""
     monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 7, raising=False)
