@@ -32,7 +32,7 @@ SHORT_SKETCHES, SHORT_WORDS = 128, 100
 #: looks at one bucket in ``FIRST_OF``: copies share many, and the others need not be compared twice.
 ROUNDS, FIRST_OF = 3, 4
 #: In the last pass: texts that make a block of a group, bins of a text's word counts, and bins of all texts' counts.
-BLOCK_ROWS, BINS, COUNT_BINS = 4096, 512, 1 << 18
+BLOCK_ROWS, BINS, COUNT_BINS = 1024, 1024, 1 << 18
 #: There, finer bins that tell which pairs only one text has: these can bring no texts together and are not handed on.
 FINE_BINS = 1 << 24
 #: There, word pairs before each one that tell whether two texts have met before.
@@ -46,6 +46,8 @@ _RUN = 1 << 14
 _FINE_RUN = 1 << 20
 #: Pairs whose bins are compared at a time.
 _PAIRS = 4096
+#: Pairs that wait for their words to decide, so that one that meets in several places is aligned once.
+_WAITING = 1 << 20
 #: Texts' word pairs that a task looks at together, about, and those of one pair that it hands on as one row.
 _FLUSH, _CHUNK = 400_000, 256
 #: Hash values held at a time while sketches are made.
@@ -330,8 +332,9 @@ def _rest(entries: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     met under it, and it is decided there; so a passage that thousands have brings two texts together about once.
 
     Texts under one pair are dealt to blocks, and a group holds two blocks of a few numbers for each text, so that the
-    texts of a pair are written again only beyond ``BLOCK_ROWS`` of them (n texts: each n / ``BLOCK_ROWS`` times). What meets is
-    aligned for a whole group, so a text travels once to a group and not once to each of its pairs (``_aligned``).
+    texts of a pair are written again only beyond ``BLOCK_ROWS`` of them (n texts: each n / ``BLOCK_ROWS`` times). Of a group
+    only the texts that meet another one are handed on, not their pairs: those are made again where a whole group is
+    aligned, to which each text travels once (``_aligned``).
     """
     mixed = entries.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
     rows = stored(texts.join(entries.join(mixed, "key").select("id", "label").distinct(), "id").select("id", "label", "text"))
@@ -357,79 +360,105 @@ def _rest(entries: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     dealt = dealt.withColumns({"one": F.least("own", "with"), "two": F.greatest("own", "with")}).drop("with")
     kind = entries.schema["id"].dataType.simpleString()
 
-    listed = ["id", "label", "n_words", "at", *[f"before_{k}" for k in range(1, BEFORE + 1)]]
+    befores = [f"before_{k}" for k in range(1, BEFORE + 1)]
+    listed = ["id", "label", "n_words", "at", *befores]
 
-    def paired(part: pa.Table) -> pa.Table:
+    def meeting(part: pa.Table) -> pa.Table:
         part = part.combine_chunks()
         of = pc.list_parent_indices(part.column("id"))
         part = pa.table({c: pc.list_flatten(part.column(c)) if c in listed else part.column(c).take(of) for c in part.column_names})
-        part = part.sort_by([("token", "ascending"), ("one", "ascending"), ("two", "ascending")]).combine_chunks()
-        ids, labels = (part.column(c).combine_chunks() for c in ("id", "label"))
-        token, one, two, own, n, at, place = (part.column(c).to_numpy() for c in ("token", "one", "two", "own", "n_words", "at", "place"))
-        before = [part.column(f"before_{k}").to_numpy() for k in range(1, BEFORE + 1)]
-        ahead = np.maximum(n - 1, 1) - at
-        code = labels.dictionary_encode().indices.to_numpy()
-        starts = np.r_[True, (token[1:] != token[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
-        group, i, step, left, right = np.cumsum(starts), np.arange(len(token)), 0, [], []
-        while len(i):  # each row with the one so many places further on, as long as any group reaches so far
-            step += 1
-            i = i[i + step < len(group)]
-            i = i[group[i] == group[i + step]]
-            j = i + step
-            longer = np.maximum(n[i], n[j])
-            limit = ((1 - similarity) * longer + 1e-9).astype(np.int64)
-            near = (code[i] != code[j]) & ((one[i] == two[i]) | (own[i] != own[j])) & (np.abs(n[i] - n[j]) <= limit)
-            near = np.flatnonzero(near & (np.minimum(ahead[i], ahead[j]) >= longer - 1 - 2 * limit))
-            for x in before:
-                for y in before:
-                    x_i, y_j = x[i[near]], y[j[near]]
-                    near = near[(x_i != y_j) | (x_i == 0)]
-            left.append(i[near])
-            right.append(j[near])
-        i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
-        return pa.table({"id": ids.take(pa.array(i)), "other": ids.take(pa.array(j)), "place": place[i]})
-
-    dealt = dealt.withColumn("place", F.xxhash64("token", "one", "two")).withColumn("part", F.pmod("place", F.lit(max(1, parts))))
-    found = dealt.groupBy("part").applyInArrow(paired, f"id {kind}, other {kind}, place bigint")
-    sides = F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")
-    return _aligned(stored(found.groupBy(*sides).agg(F.min("place").alias("place"))), rows, similarity)
-
-
-def _aligned(found: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """id, label, other, other_label of the pairs ``found`` (id, other, place) whose texts align.
-
-    Pairs of one place are looked at together, and each of their texts (``rows``: id, label, text) is brought
-    there once: two blocks of texts at most. Pairs whose lengths or binned word counts differ by more
-    than the edit distance go first, many at a time; words decide the rest.
+        part = part.select(["id", "label", "place", "side", "n_words", "at", *befores]).sort_by("place").combine_chunks()
+        meets = np.zeros(part.num_rows, bool)
+        for i, j in _candidates(part, similarity):
+            meets[i] = meets[j] = True
+        return part.filter(pa.array(meets, pa.bool_()))
+
+    side = F.when(F.col("one") == F.col("two"), 0).when(F.col("own") == F.col("one"), 1).otherwise(2)  # two blocks meet each other, one meets itself
+    dealt = dealt.withColumns({"place": F.xxhash64("token", "one", "two"), "side": side}).withColumn("part", F.pmod("place", F.lit(max(1, parts))))
+    columns = f"id {kind}, label {kind}, place bigint, side int, n_words int, at int, " + ", ".join(f"{n} bigint" for n in befores)
+    members = dealt.select("part", "place", "side", *listed).groupBy("part").applyInArrow(meeting, columns)
+    return _aligned(stored(members), rows, similarity)
+
+
+def _candidates(members: pa.Table, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) in ``members``, in order of place, of the pairs of two classes that may align and have not met before: some for each step between rows."""
+    place, side, n, at = (members.column(c).to_numpy() for c in ("place", "side", "n_words", "at"))
+    before = [members.column(f"before_{k}").to_numpy() for k in range(1, BEFORE + 1)]
+    code = members.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+    ahead = np.maximum(n - 1, 1) - at
+    i, step = np.arange(len(place)), 0
+    while len(i):  # each row with the one so many rows further on, as long as any place reaches so far
+        step += 1
+        i = i[i + step < len(place)]
+        i = i[place[i] == place[i + step]]
+        j = i + step
+        longer = np.maximum(n[i], n[j])
+        limit = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+        near = (code[i] != code[j]) & ((side[i] == 0) | (side[i] != side[j])) & (np.abs(n[i] - n[j]) <= limit)
+        near = np.flatnonzero(near & (np.minimum(ahead[i], ahead[j]) >= longer - 1 - 2 * limit))
+        for x in before:
+            for y in before:
+                x_i, y_j = x[i[near]], y[j[near]]
+                near = near[(x_i != y_j) | (x_i == 0)]
+        if len(near):
+            yield i[near], j[near]
+
+
+def _aligned(members: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """id, label, other, other_label of the pairs of ``members`` of one place that may meet (``_candidates``) and whose texts align.
+
+    Pairs are made where they are looked at, so what is handed on are a place's members, in proportion to its texts. Each of
+    their texts (``rows``: id, label, text) is brought there once: two blocks of texts at most. Pairs whose lengths or
+    binned word counts differ by more than the edit distance go first, many at a time; words decide the rest.
     """
-    ends = lambda c: found.select(c, "id").union(found.select(c, "other")).distinct()
+    ends = lambda c: members.select(c, "id").distinct()
     n_chars = ends("place").join(rows.select("id", F.length("text").alias("n_chars")), "id").agg(F.sum("n_chars")).first()[0] or 0
-    found = found.withColumn("part", F.pmod("place", F.lit(max(1, -(-n_chars // PART_CHARS)))))
-    texts = ends("part").join(rows, "id").select(F.col("part").alias("text_part"), F.col("id").alias("text_id"), "label", "text")
+    members = members.withColumn("part", F.pmod("place", F.lit(max(1, -(-n_chars // PART_CHARS)))))
+    texts = ends("part").join(rows, "id").select(F.col("part").alias("text_part"), F.col("id").alias("text_id"), F.col("label").alias("text_label"), "text")
     kind = rows.schema["id"].dataType.simpleString()
 
-    def checked(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+    def checked(met: pa.Table, texts: pa.Table) -> pa.Table:
         codes: dict[str, int] = {}
         held = [np.array([codes.setdefault(w, len(codes)) for w in words_of(t.as_py())], np.int32) for t in texts.column("text")]
         bins = np.zeros((len(held), BINS), np.uint8)
         for row, words in zip(bins, held, strict=True):
             row[:] = np.minimum(np.bincount(words % BINS, minlength=BINS), 255)
-        n, at = np.array([len(words) for words in held], np.int64), np.arange(len(held))
+        n = np.array([len(words) for words in held], np.int64)
         # an id that repeats has several texts, and each of them is looked at
-        one, two = (pa.table({c: texts.column("text_id"), at_c: at, f"{c}_label": texts.column("label")}) for c, at_c in (("id", "a"), ("other", "b")))
-        both = pairs.select(["id", "other"]).join(one, "id", join_type="inner", use_threads=False).join(two, "other", join_type="inner", use_threads=False)
-        keep = np.zeros(both.num_rows, bool)
-        left, right = (both.column(c).to_numpy() for c in ("a", "b"))
-        for start in range(0, len(keep), _PAIRS):
-            i, j = left[start : start + _PAIRS], right[start : start + _PAIRS]
-            limit = ((1 - similarity) * np.maximum(n[i], n[j]) + 1e-9).astype(np.int64)
-            apart = bins[i].astype(np.int16) - bins[j]
-            more = np.maximum(apart, 0).sum(axis=1, dtype=np.int64)
-            for k in np.flatnonzero((np.abs(n[i] - n[j]) <= limit) & (more <= limit) & (more - apart.sum(axis=1, dtype=np.int64) <= limit)):
-                keep[start + k] = similar(held[i[k]].tolist(), held[j[k]].tolist(), similarity)
-        return both.select(["id", "id_label", "other", "other_label"]).rename_columns(["id", "label", "other", "other_label"]).filter(pa.array(keep, pa.bool_()))
-
-    return found.groupBy("part").cogroup(texts.groupBy("text_part")).applyInArrow(checked, f"id {kind}, label {kind}, other {kind}, other_label {kind}")
+        texts = texts.append_column("text_at", pa.array(np.arange(len(held))))
+        met = met.join(texts.select(["text_id", "text_at"]), "id", "text_id", join_type="inner", use_threads=False).sort_by("place").combine_chunks()
+        text_at = met.column("text_at").to_numpy()
+        found, waiting = [np.zeros(0, np.int64)], []
+
+        def decided() -> None:
+            for key in np.setdiff1d(np.concatenate([np.zeros(0, np.int64), *waiting]), found[0]):
+                i, j = divmod(int(key), len(held))
+                if similar(held[i].tolist(), held[j].tolist(), similarity):
+                    found.append(np.array([key]))
+            waiting.clear()
+            found[:] = [np.unique(np.concatenate(found))]
+
+        for left, right in _candidates(met, similarity):
+            left, right = text_at[left], text_at[right]
+            for start in range(0, len(left), _PAIRS):
+                i, j = left[start : start + _PAIRS], right[start : start + _PAIRS]
+                limit = ((1 - similarity) * np.maximum(n[i], n[j]) + 1e-9).astype(np.int64)
+                apart = bins[i].astype(np.int16) - bins[j]
+                more = np.maximum(apart, 0).sum(axis=1, dtype=np.int64)
+                near = (np.abs(n[i] - n[j]) <= limit) & (more <= limit) & (more - apart.sum(axis=1, dtype=np.int64) <= limit)
+                waiting.append(np.minimum(i, j)[near] * len(held) + np.maximum(i, j)[near])
+            if sum(map(len, waiting)) >= _WAITING:
+                decided()
+        decided()
+        ids, labels = (texts.column(c).combine_chunks() for c in ("text_id", "text_label"))
+        one, other = (pa.array(x) for x in (found[0] // max(1, len(held)), found[0] % max(1, len(held))))
+        out = pa.table({"id": ids.take(one), "label": labels.take(one), "other": ids.take(other), "other_label": labels.take(other)})
+        later = pc.greater(out.column("id"), out.column("other"))
+        swapped = {c: pc.if_else(later, out.column(o), out.column(c)) for c, o in (("id", "other"), ("label", "other_label"), ("other", "id"), ("other_label", "label"))}
+        return pa.table(swapped)
+
+    met = members.groupBy("part").cogroup(texts.groupBy("text_part")).applyInArrow(checked, f"id {kind}, label {kind}, other {kind}, other_label {kind}")
+    return met.distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

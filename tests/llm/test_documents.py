@@ -135,6 +135,20 @@ def test_last_pass_links_texts_of_two_blocks(spark, monkeypatch):
 
 
 
+def test_last_pass_hands_on_members_and_not_their_pairs(spark, monkeypatch):
+    """Texts that share three quarters of their words meet all, but few align: what is handed on grows with texts, not with pairs."""
+    rng = random.Random(6)
+    passage, own = " ".join(f"common{k}" for k in range(60)), lambda i: " ".join(f"own{i}x{rng.randrange(10**6)}" for _ in range(20))
+    texts = [f"{passage} {own(i)}" for i in range(80)]
+    texts += [f"{texts[i]} more" for i in range(3)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    entries = rows.select("id", F.lit(1).alias("key"), F.col("id").alias("label"))
+    handed_on, aligned = [], near_dedup._aligned
+    monkeypatch.setattr(near_dedup, "_aligned", lambda found, *more: handed_on.append(found.count()) or aligned(found, *more))
+    got = {(r.id, r.other) for r in near_dedup._rest(entries, rows, 0.8).collect()}
+    assert got == {(i, 80 + i) for i in range(3)} and handed_on[0] <= 4 * len(texts)
+
+
 def test_pairs_that_meet_only_beside_a_large_class(spark, monkeypatch):
     """One passage as all sketches: every text is in the same buckets, most are of one class, and heads are drawn from it."""
     monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 7, raising=False)
