@@ -5,10 +5,11 @@ import pathlib
 import pytest
 from pyspark.sql import functions as F
 
+from shelfspark.operators import quality
 from shelfspark.operators.registered import base, prepared, skus, states
 from shelfspark.operators.registered_facts import fact
 from shelfspark.plans import scoring
-from shelfspark.plans.views import daily_metrics
+from shelfspark.plans.views import daily_metrics, supplier_performance
 from shelfspark.sources import fixtures
 from shelfspark.sources.files import read_partitioned, write_partitioned
 from shelfspark.sources.fixtures import GRAIN, Tables
@@ -106,3 +107,17 @@ def test_suppliers_merge_without_months_and_states_are_not_written(spark, tables
     assert apart.select(*merged.columns).exceptAll(merged).isEmpty() and apart.count() == merged.count() > 1 and not apart.filter("supplier_id is null").isEmpty()
     assert skus(tables).count() > 0 and "states" not in tables._kept
     assert "decimal(28" not in plan_of(scoring.partial_states(prepared(tables)))
+
+
+def test_large_dimensions_are_met_by_sorting(spark, data, monkeypatch):
+    """Parts, suppliers and customers of more rows than the driver should hold are not broadcast, however small their files are."""
+    usual = Tables(spark, data)
+    monkeypatch.setattr(fixtures, "BROADCAST_ROWS", 1, raising=False)
+    large = Tables(spark, data)
+    for df, joins in ((large.purchase_orders, 3), (supplier_performance(large.purchase_orders, large.suppliers), 4), (large.by_product(base(large), "supplier_risk_score_base"), 1)):
+        plan = plan_of(df)
+        assert plan.count("SortMergeJoin") >= joins and "BroadcastHashJoin [pk" not in plan and "BroadcastHashJoin [o_" not in plan and "BroadcastHashJoin [supplier_id" not in plan
+    checks = quality.raw_checks(large.inventory_snapshots, large.purchase_orders, large.products, large.suppliers, large.demand_history)
+    assert "BroadcastHashJoin [product_id" not in plan_of(checks) and "BroadcastHashJoin [pk" not in plan_of(checks)
+    assert large.purchase_orders.exceptAll(usual.purchase_orders).isEmpty() and large.purchase_orders.count() == usual.purchase_orders.count()
+    assert large.daily.exceptAll(usual.daily).isEmpty() and large.daily.count() == usual.daily.count()
