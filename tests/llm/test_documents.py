@@ -513,3 +513,28 @@ def test_word_pairs_of_one_text_only_are_not_handed_on(spark):
     shared = [r for r in made if r["at"] in (120, 121)]
     assert len(shared) == 120 and len({r.token for r in shared}) == 2 and len(made) < 120 + 60
     assert all(r.before_1 != 0 and r.before_2 != 0 for r in shared)
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """A word that only some of many labelled rows have, those with the largest hashes, is learnt; shards give what their rows say, whatever their order."""
+    rows = spark.range(13000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    usable = rows.filter(toxicity.learnable("doc_id"))
+    late = usable.filter("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").offset(3000)
+    docs = rows.join(late.select("doc_id", F.lit(True).alias("late")), "doc_id", "left")
+    word = F.when(F.col("late"), "zebra").when(F.col("toxic") == 1, "bad").otherwise("fine")
+    docs = docs.select("doc_id", F.concat(F.lit("some text "), word).alias("text"), F.lit("en").alias("lang"))
+    model = toxicity.fit(docs, rows)
+    scorer = toxicity.Scorer(model)
+    assert usable.count() > 9000 and late.count() > 1000
+    assert scorer.score("some text zebra") > 0.9 and scorer.score("some text bad") > 0.9 and scorer.score("some text fine") < 0.1 and scorer.score("some text quokka") < 0.9
+    again = toxicity.fit(docs.repartition(7, "text"), rows.repartition(3))
+    assert (again.table == model.table).all() and again.bias == model.bias and again.thresholds == model.thresholds
+
+
+def test_toxicity_texts_scored_together_are_scored_alike():
+    """Texts of any length beside others get the score they get alone."""
+    model, rng = toxicity.Model.fresh(toxicity.Settings()), np.random.default_rng(3)
+    model.table[:-1] = rng.normal(0, 1, model.table[:-1].shape)
+    texts = ["", "a", "a b", "a b c", "", " ".join(f"w{i}" for i in range(20000)), "c a", ""]
+    together, alone = toxicity.Scorer(model).scores(texts), [toxicity.Scorer(model).score(t) for t in texts]
+    assert np.allclose(together, alone, atol=1e-5) and len(set(alone)) == 6
